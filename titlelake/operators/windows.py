@@ -22,12 +22,14 @@ def _cols(xs) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
 
-def pick_one(df: DataFrame, keys: Sequence[str], order: Sequence[Column], drop_null_keys: bool = False) -> DataFrame:
+def pick_one(df: DataFrame, keys: Sequence[str], order: Sequence[Column], drop_null_keys: bool = False,
+             largest: bool = False) -> DataFrame:
     """Keep, per key, the row that sorts first under ``order`` (a list of
-    ascending sort expressions; negate numbers for descending).
+    ascending sort expressions; negate numbers for descending), or last
+    when ``largest``.
 
-    Implemented as ``min_by(struct(row), struct(order))`` so the work is a
-    partial + final hash aggregate.
+    Implemented as ``min_by``/``max_by(struct(row), struct(order))`` so the
+    work is a partial + final hash aggregate.
     """
     src = df
     if drop_null_keys:
@@ -36,7 +38,8 @@ def pick_one(df: DataFrame, keys: Sequence[str], order: Sequence[Column], drop_n
     cols = df.columns
     row = F.struct(*[F.col(c) for c in cols])
     okey = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])
-    return (src.groupBy(*keys).agg(F.min_by(row, okey).alias("__r"))
+    pick = F.max_by if largest else F.min_by
+    return (src.groupBy(*keys).agg(pick(row, okey).alias("__r"))
             .select(*[F.col("__r")[c].alias(c) for c in cols]))
 
 
@@ -87,7 +90,7 @@ def keep_first(df: DataFrame, key: str, pos: str, drop_blank: bool = True) -> Da
 
 def keep_last(df: DataFrame, key: str, pos: str) -> DataFrame:
     """Last row (highest ``pos``) per key."""
-    return pick_one(df, [key], [-F.col(pos)])
+    return pick_one(df, [key], [F.col(pos)], largest=True)
 
 
 def best_by_score(df: DataFrame, key: str, score: Column, order_cols: Sequence[str]) -> DataFrame:
