@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from titlelake.functions.text import STRIP_CLASS, safe_strip, word_tokens
 from titlelake.operators.aggregates import mean_std
+from titlelake.session import cut_lineage
 
 NAN = float("nan")
 # Mode-collapse cut, sentiment cuts and VADER constants
@@ -324,8 +325,11 @@ METRICS_SCHEMA = T.StructType([T.StructField(n, T.DoubleType()) for n in METRIC_
 def evaluate(pairs: DataFrame, lexicon: DataFrame, pred_emb: DataFrame | None = None,
              corpus_emb: DataFrame | None = None, token_nll: DataFrame | None = None) -> DataFrame:
     """Every metric family in one wide row (the 40 names of
-    ``METRIC_NAMES``). Empty input -> every value NaN (M11)."""
-    p = clean_pairs(pairs)
+    ``METRIC_NAMES``). Empty input -> every value NaN (M11).
+
+    The cleaned pairs feed every metric family; they are checkpointed once to
+    the shared checkpoint folder so the upstream plan runs once."""
+    p = cut_lineage(clean_pairs(pairs))
     parts = [rouge_summary(p), cosine_summary(pred_emb, corpus_emb) if pred_emb is not None
              else p.sparkSession.range(1).select(*[F.lit(NAN).alias(n) for n in METRIC_NAMES[18:23]])]
     if token_nll is not None:

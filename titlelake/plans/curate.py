@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from titlelake.functions.numeric import with_engagement
 from titlelake.operators import filters as flt
 from titlelake.operators.windows import dedupe_titles
+from titlelake.session import cut_lineage
 
 TIE = ("video_id", "trending_date")
 
@@ -38,29 +39,43 @@ class CurateConfig:
     tie: tuple = TIE
 
 
-def curate(df: DataFrame, cfg: CurateConfig = CurateConfig()) -> DataFrame:
-    """Curated rows (input columns + like_rate, comment_rate)."""
+def curate_stages(df: DataFrame, cfg: CurateConfig = CurateConfig(), materialize: bool = True) -> dict:
+    """Rows surviving each stage, keyed by stage name.
+
+    The virality survivors (at most ``max_per_channel`` rows per channel) feed
+    both the engagement-threshold subquery and the main path; with
+    ``materialize`` they are checkpointed once to the shared checkpoint
+    folder, so the source is not scanned again for the thresholds.
+    """
     s1 = flt.virality_kept(df, cfg.tie, cfg.view_rel_min, cfg.max_per_channel)
+    if materialize:
+        s1 = cut_lineage(s1)
     s2 = flt.tag_engagement(s1, cfg.like_quantile, cfg.comment_quantile, cfg.min_views)
     s2 = s2.where("keep_engagement").drop("keep_engagement")
+    stages = {"input": df, "virality": s1, "engagement": s2}
     if cfg.category_pattern:
         s2 = s2.where(flt.category_pattern_keep(s2, mode=cfg.pattern_mode))
+        stages["category_pattern"] = s2
     if cfg.text_heuristic:
         s2 = s2.where(flt.text_heuristic_keep(mode=cfg.pattern_mode))
+        stages["text_heuristic"] = s2
     s5 = dedupe_titles(s2, cfg.tie, keep_empty_norm=cfg.keep_empty_norm)
-    return s5.where(flt.language_keep(enabled=cfg.english_only))
+    stages["dedupe"] = s5
+    if cfg.english_only:
+        stages["language"] = s5.where(flt.language_keep(enabled=True))
+    return stages
 
 
-def curate_funnel(df: DataFrame, cfg: CurateConfig = CurateConfig()) -> DataFrame:
-    """Rows surviving each stage, as (stage, rows), from one tagged plan
-    per stage boundary (no per-stage action)."""
-    s1 = flt.virality_kept(df, cfg.tie, cfg.view_rel_min, cfg.max_per_channel)
-    s2 = flt.tag_engagement(s1, cfg.like_quantile, cfg.comment_quantile, cfg.min_views).where("keep_engagement")
-    s5 = curate(df, cfg)
-    parts = [df.select(F.lit(0).alias("step"), F.lit("input").alias("stage")),
-             s1.select(F.lit(1).alias("step"), F.lit("virality").alias("stage")),
-             s2.select(F.lit(2).alias("step"), F.lit("engagement").alias("stage")),
-             s5.select(F.lit(3).alias("step"), F.lit("dedupe").alias("stage"))]
+def curate(df: DataFrame, cfg: CurateConfig = CurateConfig(), materialize: bool = True) -> DataFrame:
+    """Curated rows (input columns + like_rate, comment_rate)."""
+    return list(curate_stages(df, cfg, materialize).values())[-1]
+
+
+def curate_funnel(df: DataFrame, cfg: CurateConfig = CurateConfig(), materialize: bool = True) -> DataFrame:
+    """Rows surviving each stage, as (step, stage, rows)."""
+    stages = curate_stages(df, cfg, materialize)
+    parts = [d.select(F.lit(i).alias("step"), F.lit(name).alias("stage"))
+             for i, (name, d) in enumerate(stages.items())]
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)

@@ -124,13 +124,20 @@ def merge_counters(inputs: DataFrame, allowed: DataFrame | None = None) -> DataF
         t = t.join(ids, F.col("__id") == F.col("__aid"), "left").withColumn("__allowed", F.col("__aid").isNotNull())
     else:
         t = t.withColumn("__allowed", F.lit(True))
-    s = rc.transcript_score("full_transcript")
-    w = (Window.partitionBy("__id").orderBy("input_rank", "pos")
-         .rowsBetween(Window.unboundedPreceding, -1))
-    valid = t.where((F.col("__id") != "") & F.col("__allowed")).withColumn("__s", s)
-    rec = valid.withColumn("__prev", F.max("__s").over(w))
-    counts = rec.agg(F.count_distinct("__id").alias("unique_ids"),
-                     F.count_if(F.col("__prev").isNotNull() & (F.col("__s") > F.col("__prev"))).alias("replaced"))
+    # A row "replaces" when its score beats every earlier row of its id. Per
+    # (id, score level) only the first occurrence can do that, and it does
+    # iff every higher level first occurs later. So the window runs over the
+    # distinct score levels of an id (bounded by the value domain), never
+    # over all rows of a hot id.
+    valid = t.where((F.col("__id") != "") & F.col("__allowed")).select(
+        "__id", rc.transcript_score("full_transcript").alias("__s"), F.struct("input_rank", "pos").alias("__o"))
+    levels = valid.groupBy("__id", "__s").agg(F.min("__o").alias("__f"))
+    higher = (Window.partitionBy("__id").orderBy(F.col("__s").desc())
+              .rowsBetween(Window.unboundedPreceding, -1))
+    levels = levels.withColumn("__later", F.min("__f").over(higher))
+    is_record = F.col("__later").isNull() | (F.col("__f") < F.col("__later"))
+    counts = levels.agg(F.count_distinct("__id").alias("unique_ids"),
+                        (F.count_if(is_record) - F.count_distinct("__id")).alias("replaced"))
     kept, _ = merge(inputs, allowed)
     nonempty = kept.agg(F.count_if(safe_strip("full_transcript") != "").alias("non_empty"))
     base = t.agg(F.count(F.lit(1)).alias("rows_read"), F.count_if(F.col("__id") == "").alias("missing_id"),

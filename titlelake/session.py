@@ -45,12 +45,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     folder and is used as is. Only when it is unset -- local tests -- do we
     create a scratch folder of our own.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
     if current:
         return current
-    path = tempfile.mkdtemp(prefix="titlelake-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not conf:
+        conf = tempfile.mkdtemp(prefix="titlelake-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", conf)
+    sc.setCheckpointDir(conf)
+    return sc.getCheckpointDir() or conf
+
+
+def cut_lineage(df):
+    """Materialise ``df`` in the shared checkpoint folder and continue from
+    that copy (reliable checkpoint: survives executor loss, no recompute of
+    the upstream plan by later consumers)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
