@@ -7,7 +7,9 @@ those shapes from a driver table with plain projections, so its size grows
 with the table it reads. Every view is defined once as SQL select-list text
 that Spark and DuckDB both accept; ``spark_view`` builds it as a DataFrame and
 ``duckdb_ctes`` renders the same definitions as a WITH prefix for the oracle
-SQL. Nothing here subsets rows for cost: ``pred_emb``/``corpus_emb`` split the
+SQL. (A one-for-one character replace commutes with ``substr``, so titles
+cut the text first and replace newlines in the short prefix only.) Nothing
+here subsets rows for cost: ``pred_emb``/``corpus_emb`` split the
 embeddings table into two roles that together cover every row.
 """
 
@@ -33,7 +35,7 @@ VIDEOS = [
     "doc_id",
     "concat('v', cast(doc_id as string)) as video_id",
     "concat(case when doc_id % 7 = 0 then 'I tried ' else '' end,"
-    " substr(replace(text, chr(10), ' '), 1, cast(4 + doc_id % 113 as int)),"
+    " replace(substr(text, 1, cast(4 + doc_id % 113 as int)), chr(10), ' '),"
     " case when doc_id % 5 = 0 then '?' else '' end,"
     " case when doc_id % 11 = 3 then ' Official Video' when doc_id % 13 = 4 then ' MV out'"
     " when doc_id % 17 = 5 then ' vs. rival' when doc_id % 19 = 6 then ' season 2' else '' end) as title",
@@ -134,7 +136,7 @@ GENERATIONS = [
     " when doc_id % 10 = 5 then ''"
     " when doc_id % 10 = 7 then concat('''', title, '''')"
     " else concat(substr(title, 1, cast(10 + doc_id % 30 as int)), ' ',"
-    " substr(replace(coalesce(description, ''), chr(10), ' '), 200, 40)) end as raw_output",
+    " replace(substr(coalesce(description, ''), 200, 40), chr(10), ' ')) end as raw_output",
 ]
 
 REVIEW_RESPONSES = [

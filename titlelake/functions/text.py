@@ -13,8 +13,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Characters Python's str.strip() removes: ASCII whitespace, the information
-# separators 0x1C-0x1F, NEL and every Unicode separator (Zs, Zl, Zp).
+# separators 0x1C-0x1F, NEL and every Unicode separator (Zs, Zl, Zp) -- as a
+# regex class (used for splitting and by the SQL oracles) and as the literal
+# set of all 29 code points (used by ``trim``).
 STRIP_CLASS = r"[\t\n\x0b\x0c\r\x1c-\x1f\x85\p{Z}]"
+WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x20\x85\xa0\u1680"
+              + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000")
 STRIP_RE = rf"^{STRIP_CLASS}+|{STRIP_CLASS}+\z"
 # Line boundaries of Python's str.splitlines().
 LINE_BREAK_CLASS = r"[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
@@ -33,8 +37,11 @@ def _c(x) -> Column:
 
 
 def safe_strip(x) -> Column:
-    """Null -> '', strip Unicode whitespace at both ends."""
-    return F.coalesce(F.regexp_replace(_c(x).cast("string"), STRIP_RE, ""), F.lit(""))
+    """Null -> '', strip Unicode whitespace at both ends.
+
+    ``trim`` with an explicit character set: native, one reference to its
+    input (nested strips do not multiply the expression tree)."""
+    return F.coalesce(F.trim(_c(x).cast("string"), F.lit(WHITESPACE)), F.lit(""))
 
 
 def normalize_title(t) -> Column:

@@ -44,7 +44,7 @@ def describe(df: DataFrame, cols: Sequence[str] = PROFILE_NUMERIC, digits: int =
         F.count(c).alias(f"{c}__count"), F.avg(c).alias(f"{c}__mean"), F.stddev_samp(c).alias(f"{c}__std"),
         F.min(c).alias(f"{c}__min"), F.max(c).alias(f"{c}__max"))])
     q = quantiles(num, [], {f"{c}__{n}": (c, p) for c in cols for n, p in (("p25", .25), ("p50", .5), ("p75", .75))})
-    wide = _attach_one_row(basic, q)
+    wide = attach_one_row(basic, q)
     rows = [F.struct(F.lit(c).alias("column"),
                      F.col(f"{c}__count").alias("count"),
                      *[F.round(F.col(f"{c}__{s}"), digits).alias(s) for s in ("mean", "std", "min", "p25", "p50", "p75", "max")])
@@ -52,7 +52,7 @@ def describe(df: DataFrame, cols: Sequence[str] = PROFILE_NUMERIC, digits: int =
     return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
-def _attach_one_row(left: DataFrame, right: DataFrame) -> DataFrame:
+def attach_one_row(left: DataFrame, right: DataFrame) -> DataFrame:
     """Attach the single row of ``right`` (a global aggregate: at most one
     row, so a size-bounded broadcast) to every row of ``left``."""
     return left.withColumn("__one", F.lit(1)).join(
@@ -72,7 +72,7 @@ def rate_stats(df: DataFrame) -> DataFrame:
                       (F.col("comment_count").try_cast("double") / v).alias("cr"))
     means = rates.agg(F.avg("lr").alias("like_rate_mean"), F.avg("cr").alias("comment_rate_mean"))
     meds = quantiles(rates, [], {"like_rate_median": ("lr", .5), "comment_rate_median": ("cr", .5)})
-    return _attach_one_row(means, meds).select("like_rate_mean", "like_rate_median",
+    return attach_one_row(means, meds).select("like_rate_mean", "like_rate_median",
                                                "comment_rate_mean", "comment_rate_median")
 
 
@@ -82,7 +82,7 @@ def title_len_stats(df: DataFrame, title: str = "title") -> DataFrame:
     basic = lens.agg(F.avg("n").alias("title_len_mean"), F.min("n").alias("title_len_min"),
                      F.max("n").alias("title_len_max"))
     med = quantiles(lens, [], {"title_len_median": ("n", .5)})
-    return _attach_one_row(basic, med).select("title_len_mean", "title_len_median", "title_len_min", "title_len_max")
+    return attach_one_row(basic, med).select("title_len_mean", "title_len_median", "title_len_min", "title_len_max")
 
 
 def date_ranges(df: DataFrame, cols: Sequence[str] = ("publishedAt", "trending_date")) -> DataFrame:

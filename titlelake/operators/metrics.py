@@ -165,27 +165,33 @@ def max_cosine(preds: DataFrame, corpus: DataFrame, col: str = "embedding", bloc
         pred_blocks = max(1, math.ceil(preds.count() / block_rows))
     if corpus_blocks is None:
         corpus_blocks = max(1, math.ceil(corpus.count() / block_rows))
+    # Blocks travel as flat row-major double arrays (one Arrow list per
+    # block), which convert to numpy without per-element Python objects.
     pb = (preds.select("vec_id", _unit(col).alias("u"))
           .groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(pred_blocks)).alias("pb"))
-          .agg(F.collect_list(F.struct("vec_id", "u")).alias("P")))
+          .agg(F.collect_list(F.struct("vec_id", "u")).alias("s"))
+          .select("pb", F.transform("s", lambda r: r["vec_id"]).alias("ids"),
+                  F.flatten(F.transform("s", lambda r: r["u"])).alias("P")))
     cb = (corpus.select(_unit(col).alias("u"))
           .groupBy(F.pmod(F.xxhash64("u"), F.lit(corpus_blocks)).alias("cb"))
-          .agg(F.collect_list("u").alias("C")))
+          .agg(F.flatten(F.collect_list("u")).alias("C")))
     grid = pb.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(corpus_blocks - 1)))).join(cb, "cb")
 
     def block_max(it):
         for pdf in it:
             ids, best = [], []
-            for P, C in zip(pdf["P"], pdf["C"]):
-                if len(P) == 0 or len(C) == 0:
+            for i_arr, P, C in zip(pdf["ids"], pdf["P"], pdf["C"]):
+                n_p = len(i_arr)
+                if n_p == 0 or C is None or len(C) == 0:
                     continue
-                pm = np.stack([np.asarray(r["u"], dtype=np.float64) for r in P])
-                cm = np.stack([np.asarray(c, dtype=np.float64) for c in C])
-                ids.extend(int(r["vec_id"]) for r in P)
-                best.extend((pm @ cm.T).max(axis=1).tolist())
-            yield pd.DataFrame({"vec_id": pd.Series(ids, dtype="int64"), "s": pd.Series(best, dtype="float64")})
-
-    per_block = grid.select("P", "C").mapInPandas(block_max, "vec_id long, s double")
+                pm = np.asarray(P, dtype=np.float64).reshape(n_p, -1)
+                cm = np.asarray(C, dtype=np.float64).reshape(-1, pm.shape[1])
+                ids.append(np.asarray(i_arr, dtype=np.int64))
+                best.append((pm @ cm.T).max(axis=1))
+            if ids:
+                yield pd.DataFrame({"vec_id": np.concatenate(ids), "s": np.concatenate(best)})
+
+    per_block = grid.select("ids", "P", "C").mapInPandas(block_max, "vec_id long, s double")
     return per_block.groupBy("vec_id").agg(F.max("s").alias("max_sim"))
 
 

@@ -14,9 +14,11 @@ the same exact, linearly interpolated answer in three data-parallel steps:
    *counted*; rows inside it are pre-aggregated to (value, multiplicity) by a
    partial aggregate. The bracket holds O(n/accuracy) distinct values,
    whatever the skew or the number of ties.
-3. per group, the small bracket histogram is sorted and folded with running
-   counts to read the order statistics at floor/ceil((n-1)p), which are then
-   interpolated.
+3. the bracket histogram is range-partitioned on (group, value); running
+   counts inside each partition plus per-partition offsets give every
+   distinct value its exact rank range, from which the order statistics at
+   floor/ceil((n-1)p) are read and interpolated. No step gathers a group in
+   one task, however large the group or its bracket.
 
 Interpolation: ``x[lo] + ((n-1)p - lo) * (x[hi] - x[lo])`` -- the pandas,
 DuckDB ``quantile_cont`` and Spark ``percentile`` definition. NULL and NaN
@@ -27,7 +29,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_ACCURACY = 20000
@@ -99,26 +101,31 @@ def quantiles(
             .groupBy(*k, F.when(inside, F.col("__v")).alias("__bv"))
             .agg(F.count(F.lit(1)).alias("__c")))
 
-    # Step 3: per group, the bracket histogram (bounded size) as a sorted
-    # array; a fold over it finds the values at the wanted ranks.
-    per_group = (hist.groupBy(*k)
-                 .agg(F.sum(F.when(F.col("__bv").isNull(), F.col("__c")).otherwise(0)).alias("__nb"),
-                      F.sort_array(F.collect_list(F.when(F.col("__bv").isNotNull(),
-                                                         F.struct(F.col("__bv").alias("v"),
-                                                                  F.col("__c").alias("c"))))).alias("__h"))
-                 .join(stats.select(*k, "__pos", "__ilo", "__ihi"), k))
-
-    def value_at(idx: str) -> Column:
-        init = F.struct(F.col("__nb").cast("bigint").alias("cum"), F.lit(None).cast("double").alias("res"))
-        return F.aggregate(
-            "__h", init,
-            lambda acc, x: F.struct(
-                (acc["cum"] + x["c"]).alias("cum"),
-                F.when(acc["res"].isNull() & (F.col(idx) < acc["cum"] + x["c"]), x["v"])
-                .otherwise(acc["res"]).alias("res")),
-            lambda acc: acc["res"])
-
-    picked = (per_group.select(*k, "__pos", "__ilo", value_at("__ilo").alias("__xlo"), value_at("__ihi").alias("__xhi"))
+    # Step 3: exact ranks inside the bracket without holding a group in one
+    # task: the bracket histogram is range-partitioned on (group, value), so a
+    # hot group spans many partitions; per-partition totals (a tiny table)
+    # give each partition's rank offset, and a running sum inside each
+    # (group, partition) slice gives each value its rank range.
+    below = hist.where(F.col("__bv").isNull()).select(*k, F.col("__c").alias("__nb"))
+    ranged = (hist.where(F.col("__bv").isNotNull()).select(*k, F.col("__bv").alias("__v"), "__c")
+              .repartitionByRange(*k, "__v").withColumn("__pid", F.spark_partition_id()))
+    part = ranged.groupBy(*k, "__pid").agg(F.sum("__c").alias("__pc"))
+    before = Window.partitionBy(*k).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = part.select(*k, "__pid", F.coalesce(F.sum("__pc").over(before), F.lit(0)).alias("__off"))
+    running = Window.partitionBy(*k, "__pid").orderBy("__v").rowsBetween(Window.unboundedPreceding,
+                                                                          Window.currentRow)
+    ranked = (ranged.withColumn("__cum", F.sum("__c").over(running))
+              .join(offsets, k + ["__pid"])
+              .join(below, k, "left")
+              .join(stats.select(*k, "__pos", "__ilo", "__ihi"), k))
+    start_ = F.coalesce(F.col("__nb"), F.lit(0)) + F.col("__off") + F.col("__cum") - F.col("__c")
+    end_ = start_ + F.col("__c") - 1
+    cover = lambda idx: (start_ <= F.col(idx)) & (F.col(idx) <= end_)
+    picked = (ranked.where(cover("__ilo") | cover("__ihi"))
+              .groupBy(*k)
+              .agg(F.max(F.when(cover("__ilo"), F.col("__v"))).alias("__xlo"),
+                   F.max(F.when(cover("__ihi"), F.col("__v"))).alias("__xhi"),
+                   F.first("__pos").alias("__pos"), F.first("__ilo").alias("__ilo"))
               .select(*k, (F.col("__xlo") + (F.col("__pos") - F.col("__ilo"))
                            * (F.col("__xhi") - F.col("__xlo"))).alias("__q")))
 

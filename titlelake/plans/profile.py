@@ -1,6 +1,12 @@
 """L1 ``profile``: the table profile as one long (section, key, value) frame
 (A1-A7, A10). Each part is also callable on its own from
-``titlelake.operators.aggregates``."""
+``titlelake.operators.aggregates``.
+
+All scalar statistics (shape, missing counts, totals, engagement means,
+title-length mean/min/max) come from ONE aggregate pass; the three medians
+share one exact-quantile pipeline; only the per-year and top-k value counts
+are separate keyed aggregates.
+"""
 
 from __future__ import annotations
 
@@ -9,30 +15,49 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from titlelake.functions.text import title_len
 from titlelake.operators import aggregates as agg
-
-
-def _long(section: str, wide: DataFrame) -> DataFrame:
-    cols = wide.columns
-    return wide.select(F.explode(F.array(*[
-        F.struct(F.lit(section).alias("section"), F.lit(c).alias("key"), F.col(c).cast("double").alias("value"))
-        for c in cols])).alias("r")).select("r.*")
+from titlelake.operators.quantiles import quantiles
 
 
 def profile(df: DataFrame, top_k: int = 20) -> DataFrame:
     """Numeric profile sections of the trending table in long form."""
-    parts = [_long("shape", agg.shape(df)),
-             agg.missing_report(df).select(F.lit("missing").alias("section"), F.col("column").alias("key"),
-                                           F.col("missing").cast("double").alias("value")),
-             _long("totals", agg.totals(df)),
-             _long("engagement", agg.rate_stats(df)),
-             _long("title_len", agg.title_len_stats(df))]
-    if "publishedAt" in df.columns:
+    cols = df.columns
+    num = [c for c in agg.PROFILE_NUMERIC if c in cols]
+    entries = [("shape", "rows", F.count(F.lit(1)).cast("double")),
+               ("shape", "columns", F.lit(float(len(cols))))]
+    entries += [("missing", c, F.count_if(F.col(c).isNull()).cast("double")) for c in cols]
+    entries += [("totals", c, F.sum(F.col(c).try_cast("double"))) for c in num]
+    medians = {}
+    if "view_count" in cols:
+        v = F.col("view_count").try_cast("double")
+        v = F.when(v != 0, v)
+        for src, name in (("likes", "like_rate"), ("comment_count", "comment_rate")):
+            if src in cols:
+                r = F.col(src).try_cast("double") / v
+                entries.append(("engagement", f"{name}_mean", F.avg(r)))
+                medians[f"{name}_median"] = ("engagement", r)
+    if "title" in cols:
+        n = title_len("title")
+        entries += [("title_len", "title_len_mean", F.avg(n)),
+                    ("title_len", "title_len_min", F.min(n).cast("double")),
+                    ("title_len", "title_len_max", F.max(n).cast("double"))]
+        medians["title_len_median"] = ("title_len", n)
+    one = df.agg(*[e.alias(f"v{i}") for i, (_, _, e) in enumerate(entries)])
+    names = [(s, k, f"v{i}") for i, (s, k, _) in enumerate(entries)]
+    if medians:
+        q = quantiles(df, [], {k: (e, 0.5) for k, (_, e) in medians.items()})
+        one = agg.attach_one_row(one, q)
+        names += [(s, k, k) for k, (s, _) in medians.items()]
+    parts = [one.select(F.explode(F.array(*[
+        F.struct(F.lit(s).alias("section"), F.lit(k).alias("key"), F.col(c).cast("double").alias("value"))
+        for s, k, c in names])).alias("r")).select("r.*")]
+    if "publishedAt" in cols:
         parts.append(agg.rows_per_year(df).select(F.lit("videos_per_year").alias("section"),
                                                   F.col("year").cast("string").alias("key"),
                                                   F.col("rows").cast("double").alias("value")))
     for col, section in (("categoryId", "category_counts"), ("channelTitle", "top_channels")):
-        if col in df.columns:
+        if col in cols:
             parts.append(agg.value_counts(df, col, top_k).select(
                 F.lit(section).alias("section"), F.col(col).cast("string").alias("key"),
                 F.col("count").cast("double").alias("value")))
