@@ -25,3 +25,11 @@ def distinct_sorted(frames: list[DataFrame], col: str) -> DataFrame:
 def concat_disjoint(a: DataFrame, b: DataFrame) -> DataFrame:
     """Union of two frames that are disjoint by construction."""
     return a.unionByName(b)
+
+
+def head(df: DataFrame, n: int, *order_cols: str) -> DataFrame:
+    """The first ``n`` rows in ``order_cols`` order; ``n = 0`` keeps all
+    rows (ordered). A top-n limit is the feature here, planned as a
+    take-ordered (per-partition top-n, then a final merge of n rows each)."""
+    ordered = df.orderBy(*order_cols)
+    return ordered if n == 0 else ordered.limit(n)

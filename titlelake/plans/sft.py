@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from titlelake.functions import records as rc
 from titlelake.functions.text import clean_prediction, safe_strip
-from titlelake.operators.filters import sft_quality_keep
+from titlelake.operators.filters import min_rows_guard, sft_quality_keep
 from titlelake.operators.windows import keep_first
 
 BUCKET_HEX = 4  # 65,536 hash-prefix buckets per stratum
@@ -66,10 +66,16 @@ def split(ex: DataFrame, cfg: SplitConfig = SplitConfig()) -> DataFrame:
     return ranked.select(*ex.columns, is_test.alias("is_test"), order_key.alias("order_key"))
 
 
-def prepare(records: DataFrame, cfg: SplitConfig = SplitConfig(), row_index: str = "row_index"):
+def prepare(records: DataFrame, cfg: SplitConfig = SplitConfig(), row_index: str = "row_index",
+            min_examples: int | None = 20):
     """(data, train_ids, test_ids). ``data`` is train then test, each in
-    sha1 order (U3, O2); id lists carry their order key as ``pos``."""
-    s = split(examples(records, row_index), cfg)
+    sha1 order (U3, O2); id lists carry their order key as ``pos``. Fewer
+    than ``min_examples`` usable examples raise (F15; reads at most that
+    many rows)."""
+    ex = examples(records, row_index)
+    if min_examples:
+        min_rows_guard(ex, min_examples)
+    s = split(ex, cfg)
     data = s.select("id", "source", "source_text", "title", "is_test", "order_key") \
         .orderBy(F.col("is_test"), F.col("order_key"))
     train_ids = s.where(~F.col("is_test")).select(F.col("order_key").alias("pos"), "id").orderBy("pos")

@@ -89,3 +89,11 @@ def q_k1(spark, sf):
                            T.StructField("title", T.StringType()), T.StructField("description", T.StringType()),
                            T.StructField("view_count", T.LongType())])
     return read_trending_csv(spark, root, schema)
+
+
+@register("O4_head_for_review", fx.duckdb_ctes("videos") + """
+select video_id, title from videos order by video_id limit 50""")
+def q_o4(spark, sf):
+    """The first 50 videos by id go to review (head(n); 0 would mean all)."""
+    from titlelake.operators.sets import head
+    return head(fx.videos(spark, sf).select("video_id", "title"), 50, "video_id")
