@@ -21,6 +21,7 @@ from titlelake.functions import records as rc
 from titlelake.functions.text import clean_prediction, safe_strip
 from titlelake.operators.filters import min_rows_guard, sft_quality_keep
 from titlelake.operators.windows import keep_first
+from titlelake.session import cut_lineage
 
 BUCKET_HEX = 4  # 65,536 hash-prefix buckets per stratum
 
@@ -71,8 +72,9 @@ def prepare(records: DataFrame, cfg: SplitConfig = SplitConfig(), row_index: str
     """(data, train_ids, test_ids). ``data`` is train then test, each in
     sha1 order (U3, O2); id lists carry their order key as ``pos``. Fewer
     than ``min_examples`` usable examples raise (F15; reads at most that
-    many rows)."""
-    ex = examples(records, row_index)
+    many rows). The examples feed the guard, the split histogram and the
+    split itself, so they are checkpointed once to the shared folder."""
+    ex = cut_lineage(examples(records, row_index))
     if min_examples:
         min_rows_guard(ex, min_examples)
     s = split(ex, cfg)

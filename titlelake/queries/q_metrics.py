@@ -12,11 +12,13 @@ from titlelake.plans import sft
 from titlelake.plans.evaluate import DISPLAY_KEYS, compare_runs, label_runs
 from titlelake.queries.q_functions import strip_sql
 from titlelake.queries.q_sft import ex_sql
+from titlelake.session import cut_lineage
 
 
 def _pairs(spark, sf):
+    """Cleaned (reference, prediction) pairs, checkpointed: every metric reads them several times."""
     data, _, _ = sft.prepare(fx.videos(spark, sf).withColumn("row_index", F.col("doc_id")))
-    return mt.clean_pairs(sft.collect_predictions(fx.generations(spark, sf), data))
+    return cut_lineage(mt.clean_pairs(sft.collect_predictions(fx.generations(spark, sf), data)))
 
 
 PRED_SQL = (f"""regexp_replace(regexp_replace({strip_sql(f"string_split_regex({strip_sql('g.raw_output')}, "
