@@ -268,3 +268,8 @@ def duckdb_ctes(*names: str) -> str:
             if dep not in order:
                 order.append(dep)
     return "with " + ",\n".join(f"{n} as (\n  {views[n]}\n)" for n in order) + "\n"
+
+
+def duckdb_view(name: str) -> str:
+    """Body of one derived view's DuckDB definition (its inputs not included)."""
+    return _duck_views()[name]

@@ -24,7 +24,7 @@ def _pairs(spark, sf):
 PRED_SQL = (f"""regexp_replace(regexp_replace({strip_sql(f"string_split_regex({strip_sql('g.raw_output')}, "
             f"'[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\x{{2028}}\\x{{2029}}]')[1]")}, '^"+|"+\\z', '', 'g'), """
             """'^''+|''+\\z', '', 'g')""")
-PAIRS = ex_sql(False) + f""",
+PAIRS = "with recursive " + ex_sql(False)[5:] + f""",
 g as ({fx.duckdb_ctes('generations').split('generations as (', 1)[1].rsplit(')', 1)[0]}),
 pp as (select sp.id, {strip_sql('sp.title')} as reference, {strip_sql(PRED_SQL)} as prediction from sp join g on sp.id = g.id),
 pairs as (select * from pp where reference <> '' and prediction <> '')
@@ -40,7 +40,11 @@ def _grams_sql(n: int) -> str:
     return side("reference", 1) + " union all " + side("prediction", 2)
 
 
-def _rouge_sql(n: int) -> str:
+def _fin(rounded: bool, cols: str, raw: str) -> str:
+    return cols if rounded else raw
+
+
+def _rouge_sql(n: int, rounded: bool = True) -> str:
     tr, tp = TOK.format(x="reference"), TOK.format(x="prediction")
     return PAIRS + f""",
 gr as ({_grams_sql(n)}),
@@ -49,7 +53,8 @@ ov as (select id, sum(least(cr, cp)) as ov from cg group by id),
 s as (select p.id, greatest(len({tr}) - {n} + 1, 0) as nr, greatest(len({tp}) - {n} + 1, 0) as np,
         coalesce(o.ov, 0) as ov from pairs p left join ov o on p.id = o.id),
 m as (select id, ov / greatest(np, 1) as p, ov / greatest(nr, 1) as r from s)
-select id, round(p, 6) as p, round(r, 6) as r, round(case when p + r > 0 then 2 * p * r / (p + r) else 0 end, 6) as f1 from m"""
+select """ + _fin(rounded, "id, round(p, 6) as p, round(r, 6) as r, round(case when p + r > 0 then 2 * p * r / (p + r) else 0 end, 6) as f1",
+                 "id, p, r, case when p + r > 0 then 2 * p * r / (p + r) else 0 end as f1") + " from m"
 
 
 def _rouge_q(n):
@@ -63,7 +68,27 @@ register("M1_rouge1_pairs", _rouge_sql(1))(_rouge_q(1))
 register("M1_rouge2_pairs", _rouge_sql(2))(_rouge_q(2))
 
 
-@register("M2_rougeL_pairs")
+def _rouge_l_sql(rounded: bool = True) -> str:
+    tr, tp = TOK.format(x="reference"), TOK.format(x="prediction")
+    return PAIRS + f""",
+toks as (select id, {tr} as r, {tp} as p from pairs),
+dp(id, i, rw) as (
+  select id, 0, list_transform(range(0, len(p) + 1), lambda x: 0) from toks
+  union all
+  select d.id, d.i + 1,
+    [0] || list_transform(range(1, len(t.p) + 1), lambda j:
+       list_max(list_transform(range(1, j + 1), lambda k:
+          greatest(d.rw[k + 1], d.rw[k] + case when t.r[d.i + 1] = t.p[k] then 1 else 0 end))))
+  from dp d join toks t on d.id = t.id where d.i < len(t.r)),
+l as (select t.id, len(t.r) as nr, len(t.p) as np, d.rw[len(d.rw)] as lcs from dp d join toks t on d.id = t.id
+      where d.i = len(t.r)),
+m as (select id, case when nr > 0 and np > 0 then lcs / np else 0 end as p,
+        case when nr > 0 and np > 0 then lcs / nr else 0 end as r from l)
+select """ + _fin(rounded, "id, round(p, 6) as p, round(r, 6) as r, round(case when p + r > 0 then 2 * p * r / (p + r) else 0 end, 6) as f1",
+                 "id, p, r, case when p + r > 0 then 2 * p * r / (p + r) else 0 end as f1") + " from m"
+
+
+@register("M2_rougeL_pairs", _rouge_l_sql())
 def q_m2(spark, sf):
     r = mt.rouge_l(_pairs(spark, sf))
     return r.select("id", *[F.round(c, 6).alias(c) for c in ("p", "r", "f1")])
@@ -179,7 +204,51 @@ def q_m9(spark, sf):
     return s.select(*[F.round(c, 6).alias(c) for c in s.columns])
 
 
-@register("L12_evaluate_run")
+def _l12_sql() -> str:
+    from titlelake.catalog import ORACLES
+
+    def summ(tag: str, sub: str) -> str:
+        cols = ", ".join(f"avg({m}) as {m}_mean, stddev_pop({m}) as {m}_std" for m in ("p", "r", "f1"))
+        return f"(select {cols} from ({sub}) x) {tag}"
+
+    sent = ORACLES["M6_sentiment"].replace("round(s / sqrt(s * s + 15), 6) as compound", "s / sqrt(s * s + 15) as compound")
+    unit_p, unit_c = UNIT.format(e="p.embedding"), UNIT.format(e="c.embedding")
+    cos = EMB + f""",
+cu as (select {UNIT.format(e='embedding')} as u from corpus_emb),
+d as (select i, avg(u[i]) as m from cu, (select unnest(range(1, 65)) as i) r group by i),
+c0 as (select list(m order by i) as c from d),
+cn as (select list_transform(c, lambda x: x / sqrt(list_sum(list_transform(c, lambda y: y * y)))) as c from c0),
+cc as (select p.vec_id, list_dot_product({unit_p}, cn.c) as v from pred_emb p, cn),
+mx as (select p.vec_id, max(list_dot_product({unit_p}, {unit_c})) as v from pred_emb p, corpus_emb c group by p.vec_id)
+select (select avg(v) from cc) as cosine_mean_corpus_mean, (select stddev_pop(v) from cc) as cosine_mean_corpus_std,
+  (select avg(v) from mx) as cosine_max_sim_mean, (select stddev_pop(v) from mx) as cosine_max_sim_std,
+  (select avg(cast(v >= 0.95 as double)) from mx) as cosine_max_sim_prop_above_95"""
+    mk = [(m, k) for m in ("base", "self") for k in ("pred", "ref")]
+    perp = PAIRS + f""",
+token_nll as ({fx.duckdb_view('token_nll')}),
+per as (select id, model, kind, exp(avg(nll)) as ppl from token_nll where pos < 128
+        and id in (select id from pairs) group by id, model, kind)
+select """ + ", ".join(
+        f"avg(ppl) filter (where model = '{m}' and kind = '{k}') as perplexity_{m}_{k}_mean, "
+        f"stddev_pop(ppl) filter (where model = '{m}' and kind = '{k}') as perplexity_{m}_{k}_std" for m, k in mk) + " from per"
+    sent_sum = f"""(select avg(compound) as sentiment_compound_mean, stddev_pop(compound) as sentiment_compound_std,
+  avg(abs(compound)) as sentiment_compound_abs_mean, stddev_pop(abs(compound)) as sentiment_compound_abs_std,
+  count_if(compound > 0.05) / count(*) as sentiment_prop_positive, count_if(compound < -0.05) / count(*) as sentiment_prop_negative,
+  count_if(compound between -0.05 and 0.05) / count(*) as sentiment_prop_neutral from ({sent}) x) se"""
+    srcs = ", ".join([summ("r1", _rouge_sql(1, False)), summ("r2", _rouge_sql(2, False)), summ("rl", _rouge_l_sql(False)),
+                      f"({cos}) co", f"({perp}) pp", sent_sum, f"({ORACLES['M7_ttr']}) tt", f"({ORACLES['M8_self_bleu']}) sb"])
+    outs = []
+    for name in mt.METRIC_NAMES:
+        if name.startswith("rouge"):
+            fam, met, stat = name.split("_")
+            tag = {"rouge1": "r1", "rouge2": "r2", "rougeL": "rl"}[fam]
+            outs.append(f"round({tag}.{met}_{stat}, 6) as {name}")
+        else:
+            outs.append(f"round({name}, 6) as {name}")
+    return "select " + ", ".join(outs) + " from " + srcs
+
+
+@register("L12_evaluate_run", _l12_sql())
 def q_l12(spark, sf):
     row = mt.evaluate(_pairs(spark, sf), fx.lexicon(spark), fx.pred_emb(spark, sf), fx.corpus_emb(spark, sf),
                       fx.token_nll(spark, sf))
@@ -195,7 +264,34 @@ def q_m11(spark, sf):
     return mt.evaluate(blank, fx.lexicon(spark))
 
 
-@register("M12_compare_runs")
+def _m12_sql() -> str:
+    from titlelake.catalog import ORACLES
+    echo_pairs = PAIRS.replace(f"{strip_sql(PRED_SQL)} as prediction", f"{strip_sql('sp.title')} as prediction")
+    assert echo_pairs != PAIRS
+
+    def fmt(x: str) -> str:
+        return f"case when {x} is null or isnan({x}) then 'nan' else printf('%.4f', {x}) end"
+
+    def run(name: str, pairs_sql: str) -> str:
+        rl = _rouge_l_sql(False).replace(PAIRS, pairs_sql)
+        sent = (ORACLES["M6_sentiment"].replace("round(s / sqrt(s * s + 15), 6) as compound",
+                                                "s / sqrt(s * s + 15) as compound").replace(PAIRS, pairs_sql))
+        ttr = ORACLES["M7_ttr"].replace("round(count(distinct w) / count(*), 6)", "count(distinct w) / count(*)")
+        bleu = ORACLES["M8_self_bleu"].replace("round(case when (select count(*) from tk) >= 2", "(case when (select count(*) from tk) >= 2")
+        bleu = bleu.replace("else 'nan'::double end, 6)", "else 'nan'::double end)")
+        vals = {
+            "rougeL_f1_mean": f"(select avg(f1) from ({rl}) x)",
+            "sentiment_compound_abs_mean": f"(select avg(abs(compound)) from ({sent}) x)",
+            "diversity_ttr": f"({ttr.replace(PAIRS, pairs_sql)})",
+            "diversity_self_bleu": f"({bleu.replace(PAIRS, pairs_sql)})",
+        }
+        cols = [f"'{name}' as run"] + [fmt(vals[k]) + f" as {k}" if k in vals else f"'nan' as {k}" for k in DISPLAY_KEYS]
+        return "select " + ", ".join(cols)
+
+    return run("model", PAIRS) + " union all " + run("echo", echo_pairs)
+
+
+@register("M12_compare_runs", _m12_sql())
 def q_m12(spark, sf):
     """Two runs over the same examples: the model's predictions and the
     references echoed back as predictions."""
