@@ -25,6 +25,8 @@ BASE_CONF = {
     # Skip per-call Python stack capture for error context (several JVM
     # round trips per Column call while building plans).
     "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # Remove checkpoint files once the checkpointed data is no longer referenced.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
