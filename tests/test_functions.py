@@ -58,3 +58,9 @@ def test_shard_and_hash_match_python(spark):
 def test_retryable_id(spark):
     assert one(spark, rc.retryable_id("x"), "transcript_fetch_error:abc:timeout:3") == "abc"
     assert one(spark, rc.retryable_id("x"), "transcript_fetch_error:abc") is None
+
+
+def test_view_int_edges(spark):
+    from titlelake.functions.numeric import to_view_int
+    df = spark.createDataFrame([("12.9",), ("-3.7",), ("1e30",), ("inf",), ("nan",), ("abc",), (None,)], "x string")
+    assert [r[0] for r in df.select(to_view_int("x")).collect()] == [12, -3, 0, 0, 0, 0, 0]

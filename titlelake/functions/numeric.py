@@ -17,10 +17,11 @@ def to_number(x, default: float | None = None) -> Column:
 
 
 def to_view_int(x) -> Column:
-    """int(float(x)); unparsable, NaN or infinite -> 0."""
+    """int(float(x)) truncated toward zero; unparsable, NaN, infinite or
+    beyond BIGINT range -> 0."""
     d = to_number(x)
     finite = d.isNotNull() & ~F.isnan(d) & (F.abs(d) != float("inf"))
-    return F.when(finite, d.cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    return F.coalesce(F.when(finite, d.try_cast("bigint")), F.lit(0).cast("bigint"))
 
 
 def to_ts(x) -> Column:

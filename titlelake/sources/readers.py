@@ -34,9 +34,10 @@ def read_trending_csv(spark: SparkSession, path: str, schema: T.StructType, enco
 
 def transcode_csv(spark: SparkSession, src: str, dst: str, src_encoding: str = "ISO-8859-1") -> None:
     """Re-encode a CSV table as UTF-8 (all columns kept as text)."""
+    from titlelake.sources.sinks import write_csv
     df = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
           .option("encoding", src_encoding).csv(src))
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(dst)
+    write_csv(df, dst)
 
 
 def read_csv_strings(spark: SparkSession, path: str, required: tuple = ("video_id", "title")) -> DataFrame:
