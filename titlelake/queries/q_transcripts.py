@@ -174,11 +174,14 @@ def q_j3(spark, sf):
     return found.select("video_id", "doc_id")
 
 
-@register("J3_retry_lookup_absent", OUTCOMES + f"""
+@register("J3_retry_lookup_absent", OUTCOMES + """
 select video_id from (select distinct retry_id as video_id from oc where retry_id is not null) f
-where video_id not in (select {SID} from transcripts_in where input_rank = 0)""")
+where video_id not in (select video_id from oc where status <> 'retryable')""")
 def q_j3b(spark, sf):
-    _, absent = tp.retry_lookup(_sink(spark, sf), tp.failed_ids(fx.fetch_log(spark, sf)))
+    """Failed ids absent from the transcripts the fetch run wrote (retryable
+    failures are never written, so every failed id is looked up as absent)."""
+    log = fx.fetch_log(spark, sf)
+    _, absent = tp.retry_lookup(tp.assemble(log), tp.failed_ids(log))
     return absent.select("video_id")
 
 
