@@ -63,3 +63,18 @@ def test_empty_input_gives_nan_row(spark):
     row = mt.evaluate(pairs_df(spark, ["", "  "]), lex).first()
     assert len(row) == len(mt.METRIC_NAMES) == 40
     assert all(math.isnan(v) for v in row)
+
+
+def test_sentiment_rules(spark):
+    lex = spark.createDataFrame([("good", 1.9), ("bad", -2.5)], "token string, valence double")
+    texts = {"a": "good", "b": "not good", "c": "GOOD movie", "d": "bad but good", "e": "good!!", "f": "good??",
+             "g": "nothing here"}
+    df = spark.createDataFrame(list(texts.items()), "id string, prediction string")
+    got = {r["id"]: r["compound"] for r in mt.compound_scores(df, lex).collect()}
+
+    def comp(s):
+        return s / math.sqrt(s * s + 15)
+    want = {"a": comp(1.9), "b": comp(1.9 * -0.74), "c": comp(1.9 + 0.733), "d": comp(-2.5 * 0.5 + 1.9 * 1.5),
+            "e": comp(1.9 + 2 * 0.292), "f": comp(1.9 + 2 * 0.18), "g": 0.0}
+    for k, v in want.items():
+        assert math.isclose(got[k], v, rel_tol=1e-9, abs_tol=1e-12), k

@@ -19,17 +19,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from titlelake.functions.text import STRIP_CLASS, safe_strip, word_tokens
+from titlelake.functions.text import NON_WORD_RE, STRIP_CLASS, safe_strip, word_tokens
 from titlelake.operators.aggregates import mean_std
 from titlelake.session import cut_lineage
 
 NAN = float("nan")
-# Mode-collapse cut, sentiment cuts and VADER constants
-# (normalisation alpha 15, negation scalar -0.74) and its negation words.
+# Mode-collapse cut, sentiment cuts, the published VADER
+# constants (normalisation alpha 15, negation scalar -0.74, caps increment
+# 0.733, "but" weights 0.5 / 1.5, "!" 0.292 up to 4, "?" 0.18 up to 3 else
+# 0.96) and the negation words.
 MODE_COLLAPSE_THRESHOLD = 0.95
 SENTIMENT_CUT = 0.05
 VADER_ALPHA = 15.0
 NEGATION_SCALAR = -0.74
+CAPS_INCREMENT = 0.733
+BUT_BEFORE = 0.5
+BUT_AFTER = 1.5
+BANG_INCREMENT = 0.292
+QUESTION_INCREMENT = 0.18
+QUESTION_MAX = 0.96
 NEGATIONS = ("not", "no", "never", "none", "nobody", "nothing", "neither", "nor", "nowhere", "cannot",
              "isnt", "dont", "doesnt", "didnt", "wont", "cant", "without")
 SELF_BLEU_MAX_N = 4
@@ -213,18 +221,44 @@ def cosine_summary(preds: DataFrame | None, corpus: DataFrame | None, col: str =
 
 # ------------------------------------------------------------ sentiment
 def compound_scores(texts: DataFrame, lexicon: DataFrame, text: str = "prediction") -> DataFrame:
-    """M6: per text, lexicon compound ``s / sqrt(s^2 + 15)`` where ``s`` sums
-    token valences, each flipped by -0.74 when one of the three preceding
-    tokens is a negation word. The lexicon is a caller table joined on token."""
-    tok = texts.select("id", word_tokens(text).alias("t"))
-    ex = tok.select("id", "t", F.posexplode("t").alias("i", "token"))
+    """M6: per text, the lexicon compound score ``s / sqrt(s^2 + 15)``.
+
+    Rules of Hutto & Gilbert (2014) applied to each lexicon hit (the lexicon
+    is a caller table joined on the lower-cased token): an ALL-CAPS hit in a
+    mixed-case text moves 0.733 away from zero; a negation word among the
+    three preceding tokens scales by -0.74; hits before the first "but" scale
+    by 0.5, after it by 1.5. ``s`` then moves away from zero by 0.292 per "!"
+    (at most 4) plus, for two or more "?", 0.18 each (0.96 beyond three)."""
+    raw = F.coalesce(F.col(text), F.lit(""))
+    orig = F.filter(F.split(raw, NON_WORD_RE), lambda x: x != "")
+    tok = texts.select("id", orig.alias("o"), F.transform(orig, F.lower).alias("t"),
+                       (F.length(raw) - F.length(F.replace(raw, F.lit("!"), F.lit("")))).alias("bang"),
+                       (F.length(raw) - F.length(F.replace(raw, F.lit("?"), F.lit("")))).alias("qm"))
+    n_caps = F.size(F.filter("o", lambda x: (x == F.upper(x)) & (x != F.lower(x))))
+    tok = tok.withColumns({"cap_diff": (n_caps > 0) & (n_caps < F.size("o")),
+                           "but_at": F.array_position("t", "but")})
+    ex = tok.select("id", "t", "o", "cap_diff", "but_at", F.posexplode("t").alias("i", "token"))
     hits = ex.join(lexicon.select(F.lower("token").alias("token"), "valence"), "token")
+    val = F.col("valence")
+    word = F.element_at("o", F.col("i") + 1)
+    is_caps = (word == F.upper(word)) & (word != F.lower(word))
+    v = F.when(F.col("cap_diff") & is_caps,
+               F.when(val > 0, val + CAPS_INCREMENT).otherwise(val - CAPS_INCREMENT)).otherwise(val)
     prev3 = F.slice("t", F.greatest(F.col("i") - 2, F.lit(1)), F.least(F.col("i"), F.lit(3)))
     negated = (F.col("i") > 0) & F.arrays_overlap(prev3, F.array(*[F.lit(w) for w in NEGATIONS]))
-    v = F.when(negated, F.col("valence") * NEGATION_SCALAR).otherwise(F.col("valence"))
-    s = hits.groupBy("id").agg(F.sum(v).alias("s"))
-    out = tok.select("id").join(s, "id", "left").fillna(0.0, ["s"])
-    return out.select("id", (F.col("s") / F.sqrt(F.col("s") * F.col("s") + VADER_ALPHA)).alias("compound"))
+    v = F.when(negated, v * NEGATION_SCALAR).otherwise(v)
+    pos1 = F.col("i") + 1
+    v = (F.when((F.col("but_at") > 0) & (pos1 < F.col("but_at")), v * BUT_BEFORE)
+         .when((F.col("but_at") > 0) & (pos1 > F.col("but_at")), v * BUT_AFTER).otherwise(v))
+    sums = hits.groupBy("id").agg(F.sum(v).alias("s"))
+    out = tok.select("id", "bang", "qm").join(sums, "id", "left").fillna(0.0, ["s"])
+    qm = F.col("qm")
+    punct = (F.least(F.col("bang"), F.lit(4)) * BANG_INCREMENT
+             + F.when(qm > 1, F.when(qm <= 3, qm * QUESTION_INCREMENT).otherwise(F.lit(QUESTION_MAX)))
+             .otherwise(F.lit(0.0)))
+    s2 = (F.when(F.col("s") > 0, F.col("s") + punct).when(F.col("s") < 0, F.col("s") - punct)
+          .otherwise(F.col("s")))
+    return out.select("id", (s2 / F.sqrt(s2 * s2 + VADER_ALPHA)).alias("compound"))
 
 
 def sentiment_summary(pairs: DataFrame, lexicon: DataFrame) -> DataFrame:

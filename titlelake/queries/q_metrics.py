@@ -135,13 +135,32 @@ NEG = "[" + ", ".join(f"'{w}'" for w in mt.NEGATIONS) + "]"
 WT = "list_filter(string_split_regex(lower(coalesce(prediction, '')), '[^\\p{L}\\p{N}_]+'), lambda w: w <> '')"
 
 
+OT = "list_filter(string_split_regex(coalesce(prediction, ''), '[^\\p{L}\\p{N}_]+'), lambda w: w <> '')"
+IS_CAPS = "(o[i] = upper(o[i]) and o[i] <> lower(o[i]))"
+
+
 @register("M6_sentiment", PAIRS + f""",
 {fx.duckdb_ctes('lexicon')[5:]},
-tk as (select id, {WT} as t from pairs),
-tx as (select id, t, unnest(range(1, len(t) + 1)) as i from tk),
-hits as (select tx.id, case when i > 1 and list_has_any(t[greatest(i - 3, 1):i - 1], {NEG})
-           then valence * {mt.NEGATION_SCALAR} else valence end as v from tx join lexicon l on t[i] = lower(l.token)),
-s as (select tk.id, coalesce(sum(v), 0) as s from tk left join hits h on tk.id = h.id group by tk.id)
+tk0 as (select id, {OT} as o,
+          length(coalesce(prediction, '')) - length(replace(coalesce(prediction, ''), '!', '')) as bang,
+          length(coalesce(prediction, '')) - length(replace(coalesce(prediction, ''), '?', '')) as qm from pairs),
+tk as (select *, list_transform(o, lambda w: lower(w)) as t,
+         len(list_filter(o, lambda w: w = upper(w) and w <> lower(w))) as ncaps from tk0),
+tk2 as (select *, ncaps > 0 and ncaps < len(o) as cap_diff, list_position(t, 'but') as but_at from tk),
+tx as (select id, t, o, cap_diff, but_at, unnest(range(1, len(t) + 1)) as i from tk2),
+h0 as (select tx.*, l.valence from tx join lexicon l on t[i] = lower(l.token)),
+h1 as (select id, i, but_at, t, case when cap_diff and {IS_CAPS} then
+         case when valence > 0 then valence + {mt.CAPS_INCREMENT} else valence - {mt.CAPS_INCREMENT} end
+         else valence end as v from h0),
+h2 as (select id, i, but_at, case when i > 1 and list_has_any(t[greatest(i - 3, 1):i - 1], {NEG})
+         then v * {mt.NEGATION_SCALAR} else v end as v from h1),
+hits as (select id, case when coalesce(but_at, 0) > 0 and i < but_at then v * {mt.BUT_BEFORE}
+           when coalesce(but_at, 0) > 0 and i > but_at then v * {mt.BUT_AFTER} else v end as v from h2),
+s0 as (select tk2.id, tk2.bang, tk2.qm, coalesce(sum(h.v), 0) as s from tk2 left join hits h on tk2.id = h.id
+       group by tk2.id, tk2.bang, tk2.qm),
+s1 as (select id, s, least(bang, 4) * {mt.BANG_INCREMENT} + case when qm > 1 then case when qm <= 3
+         then qm * {mt.QUESTION_INCREMENT} else {mt.QUESTION_MAX} end else 0 end as punct from s0),
+s as (select id, case when s > 0 then s + punct when s < 0 then s - punct else s end as s from s1)
 select id, round(s / sqrt(s * s + 15), 6) as compound from s""")
 def q_m6(spark, sf):
     c = mt.compound_scores(_pairs(spark, sf), fx.lexicon(spark))
