@@ -86,7 +86,7 @@ def q_w1(spark, sf):
         "view_rel", F.col("vc") / F.when(F.col("m") == 0, 1.0).otherwise(F.col("m")))
     r = rank_within_channel(rel, "channelTitle", "view_rel", ["video_id", "trending_date"])
     return r.select("video_id", F.col("trending_date").cast("string").alias("trending_date"), "channelTitle",
-                    "rank_within_channel")
+                    F.col("rank_within_channel").cast("bigint").alias("rank_within_channel"))
 
 
 @register("A9_engagement_thresholds", fx.duckdb_ctes("trending") + f"""

@@ -45,7 +45,7 @@ from videos""")
 def q_ptext(spark, sf):
     v = fx.videos(spark, sf)
     return v.select("video_id", tx.safe_strip("title").alias("stripped"), tx.normalize_title("title").alias("norm_title"),
-                    tx.title_len("title").alias("title_len"), F.round(tx.ascii_letter_ratio("title"), 6).alias("ascii_ratio"),
+                    tx.title_len("title").cast("bigint").alias("title_len"), F.round(tx.ascii_letter_ratio("title"), 6).alias("ascii_ratio"),
                     F.size(tx.word_tokens("title")).alias("n_tokens"), tx.has_stopword("title").alias("has_stopword"),
                     tx.is_english_like("title").alias("english_like"))
 
@@ -65,7 +65,7 @@ def q_pnum(spark, sf):
     ts = nm.to_ts("pa")
     return v.select("video_id", nm.to_number("tags").alias("tags_num"), nm.to_number("vp", 0).alias("views_prefix_num"),
                     nm.to_view_int("lk").alias("likes_int"),
-                    F.date_format(ts, "yyyy-MM-dd HH:mm:ss").alias("published_ts"), F.year(ts).alias("published_year"))
+                    F.date_format(ts, "yyyy-MM-dd HH:mm:ss").alias("published_ts"), F.year(ts).cast("bigint").alias("published_year"))
 
 
 @register("F5_F8_row_rules", fx.duckdb_ctes("videos") + f"""

@@ -63,7 +63,8 @@ from (select length(coalesce(title, '')) as n from trending) s""")
 def q_a6(spark, sf):
     r = agg.title_len_stats(fx.trending(spark, sf))
     return r.select(_r("title_len_mean").alias("title_len_mean"), _r("title_len_median").alias("title_len_median"),
-                    "title_len_min", "title_len_max")
+                    F.col("title_len_min").cast("bigint").alias("title_len_min"),
+                    F.col("title_len_max").cast("bigint").alias("title_len_max"))
 
 
 @register("A7_date_ranges", TR + """
@@ -78,7 +79,7 @@ def q_a7(spark, sf):
 @register("A7_rows_per_year", TR + """
 select year(publishedAt) as year, count(*) as rows from trending group by 1""")
 def q_a7b(spark, sf):
-    return agg.rows_per_year(fx.trending(spark, sf))
+    return agg.rows_per_year(fx.trending(spark, sf)).select(F.col("year").cast("bigint").alias("year"), "rows")
 
 
 @register("A10_top_channels", TR + """

@@ -49,7 +49,7 @@ select id, source, title, length(source_text) as text_len, is_test,
   case when is_test then sha1('42:test:' || id) else sha1('42:train:' || id) end as order_key from sp""")
 def q_l9(spark, sf):
     data, _, _ = _prep(spark, sf)
-    return data.select("id", "source", "title", F.length("source_text").alias("text_len"), "is_test", "order_key")
+    return data.select("id", "source", "title", F.length("source_text").cast("bigint").alias("text_len"), "is_test", "order_key")
 
 
 @register("W7_split_stratified", ex_sql(True) + """
