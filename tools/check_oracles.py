@@ -2,7 +2,7 @@
 
 Usage: python tools/check_oracles.py [sf_dir] [name-prefix ...]
 Mirrors the driver's check: row count, column names, order-insensitive values
-(doubles compared after rounding to 6 places).
+(doubles compared after rounding), and reports column type differences.
 """
 
 from __future__ import annotations
@@ -20,6 +20,10 @@ from titlelake.catalog import ORACLES, QUERIES, load_all  # noqa: E402
 from titlelake.session import local_session  # noqa: E402
 
 
+TYPE_NAMES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+              "boolean": "BOOLEAN", "float": "FLOAT", "date": "DATE", "timestamp": "TIMESTAMP"}
+
+
 def norm(v):
     if v is None:
         return ("~null",)
@@ -55,7 +59,10 @@ def main():
             continue
         t0 = time.time()
         try:
-            sp = fn(spark, sf).toPandas()
+            sdf = fn(spark, sf)
+            stypes = {f.name: TYPE_NAMES.get(f.dataType.simpleString(), f.dataType.simpleString())
+                      for f in sdf.schema.fields}
+            sp = sdf.toPandas()
         except Exception as e:  # noqa: BLE001
             print(f"FAIL {name}: spark error {type(e).__name__}: {str(e)[:400]}")
             bad += 1
@@ -72,6 +79,10 @@ def main():
             continue
         c1, r1 = rows_of(sp)
         c2, r2 = rows_of(dk)
+        dtypes = dict(zip(con.sql(ORACLES[name]).columns, map(str, con.sql(ORACLES[name]).types)))
+        tdiff = [(c, t, dtypes.get(c)) for c, t in stypes.items() if t != dtypes.get(c)]
+        if tdiff:
+            print(f"TYPE {name}: {tdiff}")
         if c1 != c2:
             print(f"FAIL {name}: columns {c1} vs {c2}")
             bad += 1
