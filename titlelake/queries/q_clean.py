@@ -101,3 +101,15 @@ def q_f1(spark, sf):
     t2 = tag_clean(t, CleanConfig(deny_channels=FIXTURE_DENY, max_videos=10**12, promo_literals=()))
     return t2.where(~F.col("r_list")).select(
         "video_id", F.col("trending_date").cast("string").alias("trending_date"))
+
+
+LIST_TAGGED_SQL = TAGGED_SQL.replace(_sql_list(flt.DENY_CHANNELS), _sql_list(FIXTURE_DENY))
+
+
+@register("A11_removal_report_fixture_list", LIST_TAGGED_SQL + """
+select channelTitle, count(*) as rows, case when max(cast(r_list as int)) = 1 then 'list' else '>400 videos' end as source
+from tk where r_list or r_high_volume group by channelTitle""")
+def q_a11b(spark, sf):
+    """A11 with a deny-list naming fixture channels (the list is a parameter)."""
+    cfg = CleanConfig(deny_channels=FIXTURE_DENY)
+    return removal_report(tag_clean(fx.trending(spark, sf), cfg), cfg)
