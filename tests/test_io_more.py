@@ -83,3 +83,22 @@ def test_min_rows_guard(spark):
         min_rows_guard(spark.range(5), 20)
     assert min_rows_guard(spark.range(50), 20) == 20
     assert F is not None
+
+
+def test_csv_encoding_auto_falls_back_to_latin1(spark, scratch):
+    p = f"{scratch}/enc.csv"
+    with open(p, "wb") as f:
+        f.write("video_id,title\nv1,Caf\xe9\n".encode("latin-1"))
+    got = rd.read_trending_csv(spark, p, SCHEMA, encoding="auto").collect()
+    assert [tuple(r) for r in got] == [("v1", "Café")]
+
+
+def test_audit_pair_written_by_flag(spark, scratch):
+    from titlelake import fixtures as fx
+    from titlelake.plans.clean import tag_clean
+    from tests.conftest import SF_SMALL
+    tagged = tag_clean(fx.trending(spark, SF_SMALL)).select("video_id", "title", "keep", "reasons")
+    sk.write_audit_pair(tagged, f"{scratch}/audit")
+    back = spark.read.option("header", True).csv(f"{scratch}/audit")
+    assert back.count() == tagged.count()
+    assert back.where("keep = false and reasons = ''").count() == 0
