@@ -159,11 +159,13 @@ def cosine_to_centroid(preds: DataFrame, corpus: DataFrame, col: str = "embeddin
 
 
 def max_cosine(preds: DataFrame, corpus: DataFrame, col: str = "embedding", block_rows: int = 2048,
-               pred_blocks: int | None = None, corpus_blocks: int | None = None) -> DataFrame:
+               pred_blocks: int | None = None, corpus_blocks: int | None = None,
+               corpus_block_rows: int | None = None) -> DataFrame:
     """M4 (J8): per prediction, max cosine to any corpus vector (no self-exclusion).
 
     Exact all-pairs work is done block by block: both sides are hashed into
-    blocks of about ``block_rows`` unit vectors, every (prediction block,
+    blocks of unit vectors (``block_rows`` per prediction block, four times
+    that per corpus block unless ``corpus_block_rows`` is given), every (prediction block,
     corpus block) pair meets once through an equi-join on the replicated
     corpus-block index, a vectorised matmul in ``mapInPandas`` yields each
     prediction's best score per corpus block, and a keyed ``max`` combines
@@ -172,7 +174,9 @@ def max_cosine(preds: DataFrame, corpus: DataFrame, col: str = "embedding", bloc
     if pred_blocks is None:
         pred_blocks = max(1, math.ceil(preds.count() / block_rows))
     if corpus_blocks is None:
-        corpus_blocks = max(1, math.ceil(corpus.count() / block_rows))
+        # Corpus blocks are larger: each prediction block is replicated once
+        # per corpus block, so fewer corpus blocks mean less shuffled data.
+        corpus_blocks = max(1, math.ceil(corpus.count() / (corpus_block_rows or 4 * block_rows)))
     # Blocks travel as flat row-major double arrays (one Arrow list per
     # block), which convert to numpy without per-element Python objects.
     pb = (preds.select("vec_id", _unit(col).alias("u"))

@@ -28,6 +28,9 @@ BASE_CONF = {
     # Remove checkpoint files once the checkpointed data is no longer referenced.
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Arrow batches to Python are cut by bytes as well as rows, so a batch of
+    # block-matrix rows (max cosine) stays within a bounded size.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
 }
 
 
