@@ -13,7 +13,6 @@ from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from titlelake.functions.records import parse_verdict, review_prompt

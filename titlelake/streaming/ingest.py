@@ -11,7 +11,6 @@ is there and stops.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from titlelake.functions.text import safe_strip
@@ -63,4 +62,4 @@ def batch_equivalent(log: DataFrame) -> DataFrame:
     return assemble(b).select(*TRANSCRIPT_COLS)
 
 
-__all__ = ["run_ingest", "process_batch", "batch_equivalent", "FETCH_LOG_SCHEMA", "F"]
+__all__ = ["run_ingest", "process_batch", "batch_equivalent", "FETCH_LOG_SCHEMA"]
