@@ -145,3 +145,28 @@ def q_o1(spark, sf):
         "view_rel", F.coalesce(F.col("view_count").try_cast("double"), F.lit(0.0))
         / F.when(F.col("m") == 0, 1.0).otherwise(F.col("m")))
     return _out(rel.orderBy(F.col("channelTitle"), F.col("view_rel").desc(), "video_id", "trending_date"))
+
+
+def _all_filters_sql() -> str:
+    from titlelake.queries.q_functions import RATIO, STOP, contains_any_sql, tokens_sql
+    groups = " or ".join(contains_any_sql("title", pats) for pats in flt.PATTERN_GROUPS.values())
+    base = CURATE_CTES.split(",\ndd as (")[0]
+    return base + f""",
+f6 as (select * from f10 where coalesce(try_cast(categoryId as double) in (22, 23, 24, 26, 27, 28, 19), false)
+       and not ({groups})),
+f7 as (select * from f6 where length(coalesce(title, '')) between 5 and 120
+       and (contains(coalesce(title, ''), '?') or {contains_any_sql('title', flt.HOOK_PHRASES)})
+       and not {contains_any_sql('title', flt.GENERIC_PATTERNS)}),
+dd as (select * exclude (dn) from (select *, row_number() over (partition by channelTitle, {NORM_SQL}
+        order by vc desc, coalesce(try_cast(likes as double), 0) desc, video_id, trending_date) as dn from f7) y
+        where dn = 1),
+lg as (select * from dd where coalesce(title, '') <> '' and ({RATIO} >= 0.6 or list_has_any({tokens_sql('title')}, {STOP})))
+select {OUT_SQL} from lg"""
+
+
+@register("L3_curate_all_filters", _all_filters_sql())
+def q_l3_all(spark, sf):
+    """L3 with the optional stages switched on: category/pattern (F5/F6),
+    text heuristic (F7) and the English-only language filter (F8)."""
+    cfg = CurateConfig(category_pattern=True, text_heuristic=True, english_only=True)
+    return _out(curate(fx.trending(spark, sf), cfg))
