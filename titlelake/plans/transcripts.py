@@ -32,11 +32,13 @@ def plan_fetch(table: DataFrame, sink: DataFrame | None, num_shards: int = 1, sh
     if num_shards < 1 or not 0 <= shard_index < num_shards:
         raise ValueError("need num_shards >= 1 and 0 <= shard_index < num_shards")
     t = table.withColumn("video_id", safe_strip("video_id"))
+    if num_shards > 1:
+        # The shard depends on the id alone: filter before the dedupe and the
+        # anti-join so a shard run only shuffles its own ids.
+        t = t.where(rc.shard_of("video_id", num_shards) == shard_index)
     todo = keep_first(t, "video_id", pos)
     if sink is not None:
         todo = jn.anti_by_id(todo, sink)
-    if num_shards > 1:
-        todo = todo.where(rc.shard_of("video_id", num_shards) == shard_index)
     return todo
 
 
