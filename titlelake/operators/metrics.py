@@ -314,7 +314,9 @@ def self_bleu(pairs: DataFrame, text: str = "prediction", max_n: int = SELF_BLEU
                .select("id", "n", F.least(F.col("c"), F.when(F.col("id") == F.col("own"), F.col("m2"))
                                            .otherwise(F.col("m1"))).alias("num")))
     nums = clipped.groupBy("id").pivot("n", list(range(1, max_n + 1))).agg(F.sum("num"))
-    # Closest other length (ties -> shorter), from the length histogram.
+    # Closest other length (ties -> shorter), from the length histogram. The
+    # neighbour lookup orders the *distinct token counts* (at most the length
+    # of the longest text), not the texts, so one task suffices.
     hist = toks.groupBy("len").agg(F.count(F.lit(1)).alias("k"))
     w = Window.orderBy("len")
     hist = hist.select("len", "k", F.lag("len").over(w).alias("lo"), F.lead("len").over(w).alias("hi"))
