@@ -100,3 +100,11 @@ def test_audit_pair_written_by_flag(spark, scratch):
     back = spark.read.option("header", True).csv(f"{scratch}/audit")
     assert back.count() == tagged.count()
     assert back.where("keep = false and reasons = ''").count() == 0
+
+
+def test_read_predictions_strips_and_fills(spark, scratch):
+    p = f"{scratch}/pred.jsonl"
+    with open(p, "w") as f:
+        f.write('{"id": " a ", "source": "transcript", "reference": " Ref ", "prediction": null}\n')
+    got = rd.read_predictions(spark, p).collect()
+    assert [tuple(r) for r in got] == [("a", "transcript", "Ref", "")]

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from titlelake.functions import records as rc
 from titlelake.functions.text import clean_prediction, safe_strip
 from titlelake.operators.filters import min_rows_guard, sft_quality_keep
+from titlelake.operators.joins import ordered_lookup
 from titlelake.operators.windows import keep_first
 from titlelake.session import cut_lineage
 
@@ -88,7 +89,7 @@ def prepare(records: DataFrame, cfg: SplitConfig = SplitConfig(), row_index: str
 def training_text(data: DataFrame, ids: DataFrame, system_prompt: str = rc.SYSTEM_PROMPT_TRAIN) -> DataFrame:
     """L10 (training): rows for the ordered id list (J6), rendered as
     ``ROLE:\\ncontent\\n`` chat text (P15-P17)."""
-    rows = ids.join(data.select("id", "source", "source_text", "title"), "id")
+    rows = ordered_lookup(ids, data.select("id", "source", "source_text", "title"))
     src = F.lower(safe_strip("source"))
     msgs = rc.to_messages(src, F.coalesce(F.col("source_text"), F.lit("")), F.coalesce(F.col("title"), F.lit("")),
                           system_prompt)
@@ -98,7 +99,7 @@ def training_text(data: DataFrame, ids: DataFrame, system_prompt: str = rc.SYSTE
 def inference_prompts(data: DataFrame, ids: DataFrame, system_prompt: str = rc.SYSTEM_PROMPT_INFER) -> DataFrame:
     """L10 (inference): prompt without the assistant turn (P18) and the
     stripped reference (P19)."""
-    rows = ids.join(data.select("id", "source", "source_text", "title"), "id")
+    rows = ordered_lookup(ids, data.select("id", "source", "source_text", "title"))
     src = F.lower(safe_strip("source"))
     msgs = rc.to_messages(src, F.coalesce(F.col("source_text"), F.lit("")), F.col("title"), system_prompt,
                           drop_blank_assistant=True)

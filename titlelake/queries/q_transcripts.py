@@ -226,3 +226,16 @@ select video_id, transcript_source as status from mr where {strip_sql('full_tran
 def q_f16(spark, sf):
     from titlelake.operators.filters import unretryable
     return unretryable(_retried(spark, sf))
+
+
+@register("U1_union_shard_outputs", OUTCOMES + """
+select video_id, transcript_source from oc
+where status <> 'retryable' and ('0x' || substr(md5(video_id), 1, 8))::ubigint % 4 <> 2""")
+def q_u1(spark, sf):
+    """Four shard runs assemble their own ids; shard 2's output is absent
+    and skipped by the union (U1)."""
+    from titlelake.functions.records import shard_of
+    from titlelake.operators.sets import union_inputs
+    log = fx.fetch_log(spark, sf).withColumn("__sh", shard_of(F.col("video_id"), 4))
+    outs = [tp.assemble(log.where(F.col("__sh") == i)) if i != 2 else None for i in range(4)]
+    return union_inputs(outs).select("video_id", "transcript_source")
