@@ -24,3 +24,22 @@ def test_global_matches_pandas(spark, values, p):
     df = spark.createDataFrame([(float(x),) for x in values], "v double")
     got = quantiles(df, [], {"q": ("v", p)}, accuracy=10).first()["q"]
     assert np.isclose(got, pd.Series(values).quantile(p), rtol=1e-9, atol=1e-6)
+
+
+def test_exact_under_many_partial_merges(spark):
+    """Low sketch accuracy, many partitions, sorted and tie-heavy inputs: the
+    bracket must still contain the exact order statistics."""
+    rng = np.random.default_rng(11)
+    n = 60000
+    cases = {
+        "sorted": np.sort(rng.normal(size=n)),
+        "ties": rng.integers(0, 7, n).astype(float),
+        "skewed": np.concatenate([np.zeros(n // 2), rng.exponential(size=n - n // 2)]),
+    }
+    for name, v in cases.items():
+        pdf = pd.DataFrame({"g": np.where(np.arange(n) % 5 == 0, "b", "a"), "v": v})
+        df = spark.createDataFrame(pdf).repartition(64)
+        got = quantiles(df, ["g"], {"q": ("v", 0.37), "m": ("v", 0.5)}, accuracy=50).toPandas()
+        got = got.set_index("g").sort_index()
+        want = pdf.groupby("g")["v"].quantile([0.37, 0.5]).unstack().sort_index()
+        assert np.allclose(got[["q", "m"]].values, want.values), name
