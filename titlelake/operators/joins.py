@@ -18,14 +18,22 @@ def _ids(ids: DataFrame, col: str = "video_id") -> DataFrame:
     return (ids.select(safe_strip(col).alias("__id")).where(F.col("__id") != "").distinct())
 
 
-def semi_by_id(df: DataFrame, ids: DataFrame, col: str = "video_id", id_col: str = "video_id") -> DataFrame:
+def _key(df: DataFrame, col: str, stripped: bool):
+    # A column that is already stripped joins as is, so a later aggregate on
+    # it can reuse the join's hash partitioning instead of shuffling again.
+    return df[col] if stripped else safe_strip(df[col])
+
+
+def semi_by_id(df: DataFrame, ids: DataFrame, col: str = "video_id", id_col: str = "video_id",
+               stripped: bool = False) -> DataFrame:
     """Rows whose stripped id is in ``ids`` (duplicates in ``df`` kept)."""
-    return df.join(_ids(ids, id_col), safe_strip(df[col]) == F.col("__id"), "left_semi")
+    return df.join(_ids(ids, id_col), _key(df, col, stripped) == F.col("__id"), "left_semi")
 
 
-def anti_by_id(df: DataFrame, ids: DataFrame, col: str = "video_id", id_col: str = "video_id") -> DataFrame:
+def anti_by_id(df: DataFrame, ids: DataFrame, col: str = "video_id", id_col: str = "video_id",
+               stripped: bool = False) -> DataFrame:
     """Rows whose stripped id is not in ``ids``."""
-    return df.join(_ids(ids, id_col), safe_strip(df[col]) == F.col("__id"), "left_anti")
+    return df.join(_ids(ids, id_col), _key(df, col, stripped) == F.col("__id"), "left_anti")
 
 
 def attach_group_stat(df: DataFrame, stats: DataFrame, key: str) -> DataFrame:

@@ -38,7 +38,7 @@ def plan_fetch(table: DataFrame, sink: DataFrame | None, num_shards: int = 1, sh
         t = t.where(rc.shard_of("video_id", num_shards) == shard_index)
     todo = keep_first(t, "video_id", pos)
     if sink is not None:
-        todo = jn.anti_by_id(todo, sink)
+        todo = jn.anti_by_id(todo, sink, stripped=True)
     return todo
 
 
@@ -108,8 +108,8 @@ def merge(inputs: DataFrame, allowed: DataFrame | None = None) -> tuple[DataFram
     t = inputs.withColumn("video_id", safe_strip("video_id")).where(F.col("video_id") != "")
     score = rc.transcript_score("full_transcript")
     if allowed is not None:
-        ok = jn.semi_by_id(t, allowed)
-        bad = jn.anti_by_id(t, allowed)
+        ok = jn.semi_by_id(t, allowed, stripped=True)
+        bad = jn.anti_by_id(t, allowed, stripped=True)
     else:
         ok, bad = t, t.limit(0)
     kept = best_by_score(ok, "video_id", score, ["input_rank", "pos"]).orderBy("video_id")
