@@ -73,7 +73,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf:
         conf = tempfile.mkdtemp(prefix="titlelake-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", conf)
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
 
