@@ -108,3 +108,13 @@ def test_read_predictions_strips_and_fills(spark, scratch):
         f.write('{"id": " a ", "source": "transcript", "reference": " Ref ", "prediction": null}\n')
     got = rd.read_predictions(spark, p).collect()
     assert [tuple(r) for r in got] == [("a", "transcript", "Ref", "")]
+
+
+def test_csv_to_parquet_prunes_columns(spark, scratch):
+    p = f"{scratch}/in.csv"
+    with open(p, "w") as f:
+        f.write('video_id,title\nv1,"a\nb"\nv2,c\n')
+    df = rd.csv_to_parquet(spark, p, f"{scratch}/pq", SCHEMA)
+    assert sorted(tuple(r) for r in df.collect()) == [("v1", "a\nb"), ("v2", "c")]
+    plan = df.where("video_id = 'v2'").select("title")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(video_id), EqualTo(video_id,v2)]" in plan

@@ -118,3 +118,13 @@ def resolve_column(df: DataFrame, *candidates: str) -> str | None:
         if c.lower() in lower:
             return lower[c.lower()]
     return None
+
+
+def csv_to_parquet(spark: SparkSession, csv_path: str, parquet_path: str, schema: T.StructType,
+                   encoding: str = "auto") -> DataFrame:
+    """Convert a trending CSV to Parquet once (S1 + K7): later jobs then get
+    column pruning, predicate pushdown and splittable files, which a
+    multi-line CSV cannot offer. Returns the Parquet-backed DataFrame."""
+    from titlelake.sources.sinks import replace_dataset
+    replace_dataset(spark, read_trending_csv(spark, csv_path, schema, encoding), parquet_path)
+    return spark.read.parquet(parquet_path)
