@@ -52,7 +52,7 @@ def q_ptext(spark, sf):
 
 @register("P_numeric_coercion", fx.duckdb_ctes("videos") + """
 select video_id, try_cast(tags as double) as tags_num,
-  coalesce(try_cast(substr(cast(view_count as varchar), 1, 3) || '.5' as double), 0) as views_prefix_num,
+  coalesce(try_cast(cast(view_count as varchar) || '.5' as double), 0) as views_text_num,
   case when try_cast(cast(likes as varchar) || 'e2' as double) is null then 0
        else cast(trunc(try_cast(cast(likes as varchar) || 'e2' as double)) as bigint) end as likes_int,
   cast(try_cast(cast(publishedAt as varchar) as timestamp) as varchar) as published_ts,
@@ -60,10 +60,10 @@ select video_id, try_cast(tags as double) as tags_num,
 from videos""")
 def q_pnum(spark, sf):
     v = fx.videos(spark, sf).select(
-        "video_id", "tags", F.concat(F.substring(F.col("view_count").cast("string"), 1, 3), F.lit(".5")).alias("vp"),
+        "video_id", "tags", F.concat(F.col("view_count").cast("string"), F.lit(".5")).alias("vp"),
         F.concat(F.col("likes").cast("string"), F.lit("e2")).alias("lk"), F.col("publishedAt").cast("string").alias("pa"))
     ts = nm.to_ts("pa")
-    return v.select("video_id", nm.to_number("tags").alias("tags_num"), nm.to_number("vp", 0).alias("views_prefix_num"),
+    return v.select("video_id", nm.to_number("tags").alias("tags_num"), nm.to_number("vp", 0).alias("views_text_num"),
                     nm.to_view_int("lk").alias("likes_int"),
                     F.date_format(ts, "yyyy-MM-dd HH:mm:ss").alias("published_ts"), F.year(ts).cast("bigint").alias("published_year"))
 
