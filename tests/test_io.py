@@ -18,7 +18,7 @@ def test_csv_overflow_and_short_rows(spark, scratch):
 def test_jsonl_tolerant(spark, scratch):
     p = f"{scratch}/t.jsonl"
     with open(p, "w") as f:
-        f.write('{"video_id": "a", "title": "x"}\n\nnot json\n[1,2]\n{"video_id": null}\n')
+        f.write('{"video_id": "a", "title": "x"}\n\nnot json\n[1,2]\n{"video_id": null}\n{"video_id": "b"} junk\n')
     schema = T.StructType([T.StructField("video_id", T.StringType()), T.StructField("title", T.StringType())])
     rows = [tuple(r) for r in rd.read_jsonl_tolerant(spark, p, schema).collect()]
     assert sorted(rows, key=str) == sorted([("a", "x"), (None, None)], key=str)

@@ -53,7 +53,12 @@ def read_csv_strings(spark: SparkSession, path: str, required: tuple = ("video_i
 def read_jsonl_tolerant(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """JSON lines; blank, malformed and non-object lines are skipped."""
     lines = spark.read.text(path).where(F.trim("value") != "")
-    objects = lines.where(F.trim("value").startswith("{") & F.from_json("value", "map<string,string>").isNotNull())
+    # The JSON parser stops after the first complete value, so a line with
+    # trailing junk must also be rejected by its shape (Python's json.loads
+    # rejects it).
+    body = safe_strip("value")
+    objects = lines.where(body.startswith("{") & body.endswith("}")
+                          & F.from_json("value", "map<string,string>").isNotNull())
     return objects.select(F.from_json("value", schema).alias("r")).where(F.col("r").isNotNull()).select("r.*")
 
 
