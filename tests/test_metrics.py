@@ -78,3 +78,19 @@ def test_sentiment_rules(spark):
             "e": comp(1.9 + 2 * 0.292), "f": comp(1.9 + 2 * 0.18), "g": 0.0}
     for k, v in want.items():
         assert math.isclose(got[k], v, rel_tol=1e-9, abs_tol=1e-12), k
+
+
+def test_sentiment_boosters(spark):
+    lex = spark.createDataFrame([("good", 1.9), ("bad", -2.5)], "token string, valence double")
+    boost = spark.createDataFrame([("very", 0.293), ("barely", -0.293)], "token string, increment double")
+    texts = {"a": "very good", "b": "very very good", "c": "VERY good stuff", "d": "very bad", "e": "barely good",
+             "f": "good"}
+    df = spark.createDataFrame(list(texts.items()), "id string, prediction string")
+    got = {r["id"]: r["compound"] for r in mt.compound_scores(df, lex, boosters=boost).collect()}
+
+    def comp(s):
+        return s / math.sqrt(s * s + 15)
+    want = {"a": comp(1.9 + 0.293), "b": comp(1.9 + 0.293 + 0.293 * 0.95), "c": comp(1.9 + 0.293 + 0.733),
+            "d": comp(-2.5 - 0.293), "e": comp(1.9 - 0.293), "f": comp(1.9)}
+    for k, v in want.items():
+        assert math.isclose(got[k], v, rel_tol=1e-9), k

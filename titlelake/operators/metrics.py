@@ -27,7 +27,7 @@ NAN = float("nan")
 # Mode-collapse cut, sentiment cuts, the published VADER
 # constants (normalisation alpha 15, negation scalar -0.74, caps increment
 # 0.733, "but" weights 0.5 / 1.5, "!" 0.292 up to 4, "?" 0.18 up to 3 else
-# 0.96) and the negation words.
+# 0.96, booster decay 0.95 / 0.9 at distance 2 / 3) and the negation words.
 MODE_COLLAPSE_THRESHOLD = 0.95
 SENTIMENT_CUT = 0.05
 VADER_ALPHA = 15.0
@@ -38,6 +38,8 @@ BUT_AFTER = 1.5
 BANG_INCREMENT = 0.292
 QUESTION_INCREMENT = 0.18
 QUESTION_MAX = 0.96
+BOOST_DECAY_2 = 0.95
+BOOST_DECAY_3 = 0.9
 NEGATIONS = ("not", "no", "never", "none", "nobody", "nothing", "neither", "nor", "nowhere", "cannot",
              "isnt", "dont", "doesnt", "didnt", "wont", "cant", "without")
 SELF_BLEU_MAX_N = 4
@@ -224,7 +226,8 @@ def cosine_summary(preds: DataFrame | None, corpus: DataFrame | None, col: str =
 
 
 # ------------------------------------------------------------ sentiment
-def compound_scores(texts: DataFrame, lexicon: DataFrame, text: str = "prediction") -> DataFrame:
+def compound_scores(texts: DataFrame, lexicon: DataFrame, text: str = "prediction",
+                    boosters: DataFrame | None = None) -> DataFrame:
     """M6: per text, the lexicon compound score ``s / sqrt(s^2 + 15)``.
 
     Rules of Hutto & Gilbert (2014) applied to each lexicon hit (the lexicon
@@ -232,7 +235,13 @@ def compound_scores(texts: DataFrame, lexicon: DataFrame, text: str = "predictio
     mixed-case text moves 0.733 away from zero; a negation word among the
     three preceding tokens scales by -0.74; hits before the first "but" scale
     by 0.5, after it by 1.5. ``s`` then moves away from zero by 0.292 per "!"
-    (at most 4) plus, for two or more "?", 0.18 each (0.96 beyond three)."""
+    (at most 4) plus, for two or more "?", 0.18 each (0.96 beyond three).
+
+    With an optional ``boosters`` table (token, increment), a booster word
+    (not itself in the lexicon) among the three tokens before a hit adds its
+    increment in the hit's direction (plus 0.733 when it is ALL CAPS in a
+    mixed-case text), scaled by 1, 0.95 and 0.9 with distance; this comes
+    before the negation rule."""
     raw = F.coalesce(F.col(text), F.lit(""))
     orig = F.filter(F.split(raw, NON_WORD_RE), lambda x: x != "")
     tok = texts.select("id", orig.alias("o"), F.transform(orig, F.lower).alias("t"),
@@ -248,6 +257,9 @@ def compound_scores(texts: DataFrame, lexicon: DataFrame, text: str = "predictio
     is_caps = (word == F.upper(word)) & (word != F.lower(word))
     v = F.when(F.col("cap_diff") & is_caps,
                F.when(val > 0, val + CAPS_INCREMENT).otherwise(val - CAPS_INCREMENT)).otherwise(val)
+    if boosters is not None:
+        hits = hits.join(_booster_sums(hits, lexicon, boosters), ["id", "i"], "left")
+        v = v + F.coalesce(F.col("boost"), F.lit(0.0))
     prev3 = F.slice("t", F.greatest(F.col("i") - 2, F.lit(1)), F.least(F.col("i"), F.lit(3)))
     negated = (F.col("i") > 0) & F.arrays_overlap(prev3, F.array(*[F.lit(w) for w in NEGATIONS]))
     v = F.when(negated, v * NEGATION_SCALAR).otherwise(v)
@@ -265,6 +277,25 @@ def compound_scores(texts: DataFrame, lexicon: DataFrame, text: str = "predictio
     return out.select("id", (s2 / F.sqrt(s2 * s2 + VADER_ALPHA)).alias("compound"))
 
 
+def _booster_sums(hits: DataFrame, lexicon: DataFrame, boosters: DataFrame) -> DataFrame:
+    """Per lexicon hit (id, i): summed booster contributions of the up to
+    three preceding tokens (keyed joins; no per-row Python)."""
+    steps = F.when(F.col("i") > 0, F.sequence(F.lit(1), F.least(F.col("i"), F.lit(3)))).otherwise(
+        F.array().cast("array<int>"))
+    cand = hits.select("id", "i", "valence", "cap_diff", "t", "o", F.explode(steps).alias("d"))
+    at = F.col("i") - F.col("d") + 1
+    cand = cand.select("id", "i", "valence", "cap_diff", "d", F.element_at("t", at).alias("ptok"),
+                       F.element_at("o", at).alias("pword"))
+    cand = (cand.join(boosters.select(F.lower("token").alias("ptok"), "increment"), "ptok")
+            .join(lexicon.select(F.lower("token").alias("ptok")), "ptok", "left_anti"))
+    val, pw = F.col("valence"), F.col("pword")
+    scalar = F.when(val < 0, -F.col("increment")).otherwise(F.col("increment"))
+    caps = F.col("cap_diff") & (pw == F.upper(pw)) & (pw != F.lower(pw))
+    scalar = F.when(caps, F.when(val > 0, scalar + CAPS_INCREMENT).otherwise(scalar - CAPS_INCREMENT)).otherwise(scalar)
+    scale = F.when(F.col("d") == 1, 1.0).when(F.col("d") == 2, BOOST_DECAY_2).otherwise(BOOST_DECAY_3)
+    return cand.groupBy("id", "i").agg(F.sum(scalar * scale).alias("boost"))
+
+
 def sentiment_summary(pairs: DataFrame, lexicon: DataFrame) -> DataFrame:
     c = compound_scores(pairs, lexicon).withColumn("abs", F.abs("compound"))
     ms = mean_std(c, {"sentiment_compound": "compound", "sentiment_compound_abs": "abs"})
