@@ -157,21 +157,41 @@ def open_pairs(seen: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
     # a link needs (100 + p) * overlap >= p * (n + n')
     most = F.floor((100 + percent) * F.col("inter") / percent) - F.col("n")
     step = lambda n: F.floor(F.log(n.cast("double")) * 50)
-    left = own.filter("comp != home").select("c", F.col("x").alias("a"), F.col("n").alias("na"), F.col("inter").alias("ia"), F.col("comp").alias("ca"), most.alias("most"), "outside")
-    right = own.select("c", F.col("x").alias("b"), F.col("n").alias("nb"), F.col("inter").alias("ib"), F.col("comp").alias("cb"), "outside")
-    sizes = left.filter(F.col("most") * 100 >= F.col("na") * percent).withColumn("s", F.explode(F.sequence(step(F.greatest(F.lit(1), F.floor(F.col("na") * percent / 100))), step(F.greatest(F.col("most"), F.lit(1))) + 1))).drop("outside")
-    fits = lambda extra: (100 + percent) * (F.least("ia", "ib") + extra) >= percent * (F.col("na") + F.col("nb"))
-    apart = F.col("ca") != F.col("cb")
-    by_size = sizes.join(right.drop("outside").withColumn("s", step(F.col("nb"))), ["c", "s"]).filter(apart & fits(F.lit(0))).select("a", "b")
-    # shared shingles outside the centre
-    out = own.select("c", "x", "comp", F.explode("outside").alias("h"))
-    shared = out.groupBy("c", "h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("c", "h")
-    one = left.withColumn("h", F.explode("outside")).drop("outside").join(shared, ["c", "h"], "left_semi")
-    two = right.withColumn("h", F.explode("outside")).drop("outside").join(shared, ["c", "h"], "left_semi")
-    by_share = one.join(two, ["c", "h"]).filter(apart).groupBy("c", "a", "b", "na", "nb", "ia", "ib").agg(F.count(F.lit(1)).alias("e")).filter(fits(F.col("e"))).select("a", "b")
+    left = own.filter("comp != home").select("c", F.col("x").alias("a"), F.col("n").alias("na"), F.col("inter").alias("ia"), F.col("comp").alias("ca"), most.alias("most"))
+    right = own.select("c", F.col("x").alias("b"), F.col("n").alias("nb"), F.col("inter").alias("ib"), F.col("comp").alias("cb"))
+    sizes = left.filter(F.col("most") * 100 >= F.col("na") * percent).withColumn("s", F.explode(F.sequence(step(F.greatest(F.lit(1), F.floor(F.col("na") * percent / 100))), step(F.greatest(F.col("most"), F.lit(1))) + 1)))
+    fits = (100 + percent) * F.least("ia", "ib") >= percent * (F.col("na") + F.col("nb"))
+    by_size = sizes.join(right.withColumn("s", step(F.col("nb"))), ["c", "s"]).filter((F.col("ca") != F.col("cb")) & fits).select("a", "b")
+    by_share = _sharing(own, percent)
     return by_size.unionAll(by_share).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _sharing(own: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` that share a shingle outside their centre early enough.
+
+    A pair that needs t shared outside shingles to link shares one among the rarest
+    (count - t + 1) of each member's.  t depends on both sizes, so each member is listed for each class of
+    partner sizes (steps of 5 percent) that its centre has, with what that class needs at least;
+    shingles of one component alone, the rarest of all, then leave most members
+    with no row.  The full sets decide about what is left."""
+    step = lambda n: F.floor(F.log(n.cast("double")) * 20)
+    ext = own.select("c", "x", "comp", F.explode("outside").alias("h"))
+    held = ext.groupBy("c", "h").agg(F.count(F.lit(1)).alias("d"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    held = held.select("c", "h", F.when(F.col("lo") < F.col("hi"), F.col("d")).otherwise(0).alias("d"))
+    ranked = ext.join(held, ["c", "h"]).groupBy("c", "x").agg(F.sort_array(F.collect_list(F.struct("d", "h"))).alias("hs"))
+    mine = own.select("c", "x", "n", "inter", "comp", "home", step(F.col("n")).alias("s"))
+    each = mine.join(ranked, ["c", "x"]).join(mine.select("c", F.col("s").alias("other")).distinct(), "c")
+    least = F.greatest(F.floor(F.exp(F.col("other") / 20) - 0.001), F.lit(1))  # of the partner's class
+    most = F.ceil(F.exp((F.col("other") + 1) / 20) + 0.001)
+    each = each.filter((least * percent <= F.col("n") * 100) & (most * 100 >= F.col("n") * percent))
+    need = F.greatest(F.ceil(percent * (F.col("n") + least) / (100 + percent) - 0.001) - F.col("inter"), F.lit(1))
+    early = F.filter(F.slice("hs", 1, F.greatest(F.size("hs") - need + 1, F.lit(0)).cast("int")), lambda e: e["d"] > 0)
+    each = each.select("c", "x", "comp", "home", "s", "other", F.explode(early).alias("e")).withColumn("h", F.col("e.h")).drop("e")
+    left = each.filter("comp != home").select("c", "h", F.col("s").alias("sa"), F.col("other").alias("sb"), F.col("x").alias("a"), F.col("comp").alias("ca"))
+    right = each.select("c", "h", F.col("other").alias("sa"), F.col("s").alias("sb"), F.col("x").alias("b"), F.col("comp").alias("cb"))
+    return left.join(right, ["c", "h", "sa", "sb"]).filter("ca != cb").select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every document."""
     small_batches(docs.sparkSession)
