@@ -12,12 +12,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from titlelake.functions.numeric import with_engagement
 from titlelake.functions.text import contains_any, is_english_like, safe_strip, title_len
-from titlelake.operators.quantiles import DEFAULT_ACCURACY, quantile, quantiles
+from titlelake.operators.quantiles import quantile, quantiles
 
 # Channel deny-list (F1). The reference's list lost three
 # commas ("BLACKPINK" "NPR", "CTV News" "News"); the intended names are
@@ -154,12 +154,15 @@ def unretryable(df: DataFrame) -> DataFrame:
             .select(safe_strip("video_id").alias("video_id"), F.col("transcript_source").alias("status")))
 
 
-def min_rows_guard(df: DataFrame, minimum: int = 20) -> int:
-    """raise when fewer than ``minimum`` rows exist (reads at most that many)."""
-    n = df.limit(minimum).count()
-    if n < minimum:
-        raise ValueError(f"Too few usable examples after filtering: {n}")
-    return n
+def guard_min_rows(df: DataFrame, minimum: int = 20) -> DataFrame:
+    """the rows of ``df``; reading them fails when there are fewer than
+    ``minimum``. The check is part of the plan (a count over at most
+    ``minimum`` rows as a scalar subquery), so nothing runs while it is built.
+    No row at all fails too: the check's own row is what raises."""
+    n = df.limit(minimum).agg(F.count(F.lit(1)).alias("n"))
+    text = F.concat(F.lit(f"at least {minimum} examples are needed, passed the filters: "), F.col("n").cast("string"))
+    ok = n.select(F.when(F.col("n") >= minimum, F.lit(True)).otherwise(F.raise_error(text).cast("boolean")).alias("ok"))
+    return df.where(ok.scalar())
 
 
 # ------------------------------------------------------ table-level rules
@@ -173,64 +176,70 @@ def tag_high_volume(df: DataFrame, channel: str = "channelTitle", max_videos: in
 
 
 def tag_virality(df: DataFrame, tie: Sequence[str], view_rel_min: float = 2.0, max_per_channel: int = 20,
-                 channel: str = "channelTitle", out: str = "keep_virality",
-                 accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+                 channel: str = "channelTitle", out: str = "keep_virality") -> DataFrame:
     """F9 (A8 + W1): keep rows whose views are at least ``view_rel_min`` times
     their channel's median (median 0 counts as 1) and that rank within the
     channel's top ``max_per_channel`` by that ratio. Null channels never pass.
 
     A row below ``view_rel_min`` always ranks after every row above it, so the
     rank limit is applied to the passing rows only; Spark then plans a
-    partial top-k before the shuffle.
+    partial top-k before the shuffle. The kept rows come back as counts by
+    (channel, tie, ratio): rows that repeat all of these are alike to the
+    ranking, and as many of them are tagged as were kept (null-safe, so null
+    dates count; no row is added or lost).
     """
-    from titlelake.operators.windows import top_k_per_group
-
+    rel = _with_view_rel(df, channel)
+    passing = rel.where(F.col(channel).isNotNull() & (F.col("view_rel") >= view_rel_min))
+    key = [channel, *tie, "view_rel"]
+    kept = _top_by_ratio(passing, tie, max_per_channel, channel, "view_rel")
+    counts = kept.select(F.struct(*key).alias("__key")).groupBy("__key").agg(F.count(F.lit(1)).alias("__kept"))
+    among = F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(0)))
+    tagged = rel.withColumn("__key", F.struct(*key)).join(counts, "__key", "left")
+    tagged = tagged.withColumn("__nth", F.when(F.col("__kept").isNotNull(), among))
+    return tagged.withColumn(out, _b(F.col("__nth") <= F.col("__kept"))).drop("__key", "__kept", "__nth")
+
+
+def _with_view_rel(df: DataFrame, channel: str) -> DataFrame:
+    """``view_rel``: views over the channel's median (A8); null without a channel."""
     vc = F.coalesce(F.col("view_count").try_cast("double"), F.lit(0.0))
     work = df.withColumn("__vc", vc)
-    med = quantile(work.where(F.col(channel).isNotNull()), [channel], "__vc", 0.5, "__med", accuracy)
+    med = quantile(work.where(F.col(channel).isNotNull()), [channel], "__vc", 0.5, "__med")
     med = med.withColumn("__med", F.when(F.col("__med") == 0, F.lit(1.0)).otherwise(F.col("__med")))
-    rel = work.join(med, channel, "left").withColumn("view_rel", F.col("__vc") / F.col("__med"))
-    passing = rel.where(F.col("view_rel") >= view_rel_min)
-    order = [F.col("view_rel").desc()] + [F.col(t) for t in tie]
-    kept_keys = top_k_per_group(passing, [channel], order, max_per_channel).select(*tie).withColumn(out, F.lit(True))
-    return (rel.join(kept_keys, list(tie), "left").withColumn(out, _b(F.col(out)))
-            .drop("__vc", "__med"))
+    return work.join(med, channel, "left").withColumn("view_rel", F.col("__vc") / F.col("__med")).drop("__vc", "__med")
 
 
-def virality_kept(df: DataFrame, tie: Sequence[str], view_rel_min: float = 2.0, max_per_channel: int = 20,
-                  channel: str = "channelTitle", accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
-    """F9 kept side only: no join back to the removed rows."""
+def _top_by_ratio(rows: DataFrame, tie: Sequence[str], k: int, channel: str, ratio: str) -> DataFrame:
     from titlelake.operators.windows import top_k_per_group
 
-    vc = F.coalesce(F.col("view_count").try_cast("double"), F.lit(0.0))
-    work = df.where(F.col(channel).isNotNull()).withColumn("__vc", vc)
-    med = quantile(work, [channel], "__vc", 0.5, "__med", accuracy)
-    med = med.withColumn("__med", F.when(F.col("__med") == 0, F.lit(1.0)).otherwise(F.col("__med")))
-    rel = work.join(med, channel).withColumn("__rel", F.col("__vc") / F.col("__med"))
-    order = [F.col("__rel").desc()] + [F.col(t) for t in tie]
-    return top_k_per_group(rel.where(F.col("__rel") >= view_rel_min), [channel], order,
-                           max_per_channel).drop("__vc", "__med", "__rel")
+    return top_k_per_group(rows, [channel], [F.col(ratio).desc()] + [F.col(t) for t in tie], k)
+
+
+def virality_kept(df: DataFrame, tie: Sequence[str], view_rel_min: float = 2.0, max_per_channel: int = 20,
+                  channel: str = "channelTitle") -> DataFrame:
+    """F9 kept side only: no join back to the removed rows."""
+    rel = _with_view_rel(df.where(F.col(channel).isNotNull()), channel)
+    passing = rel.where(F.col("view_rel") >= view_rel_min)
+    return _top_by_ratio(passing, tie, max_per_channel, channel, "view_rel").drop("view_rel")
 
 
 def engagement_thresholds(df: DataFrame, like_quantile: float = 0.5, comment_quantile: float = 0.5,
-                          min_views: int = 10_000, accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+                          min_views: int = 10_000) -> DataFrame:
     """One row (like_thr, comment_thr) over rows with views >= min_views;
     no row at all when none is eligible."""
     e = with_engagement(df)
     vc = F.coalesce(F.col("view_count").try_cast("double"), F.lit(0.0))
     eligible = e.where(vc >= min_views)
     return quantiles(eligible, [], {"like_thr": ("like_rate", like_quantile),
-                                    "comment_thr": ("comment_rate", comment_quantile)}, accuracy)
+                                    "comment_thr": ("comment_rate", comment_quantile)})
 
 
 def tag_engagement(df: DataFrame, like_quantile: float = 0.5, comment_quantile: float = 0.5,
-                   min_views: int = 10_000, out: str = "keep_engagement",
-                   accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+                   min_views: int = 10_000, out: str = "keep_engagement") -> DataFrame:
     """like_rate >= q_l AND comment_rate >= q_c; the thresholds enter as
     scalar subqueries (computed once). No eligible row -> every row passes."""
     if "view_count" not in df.columns:
         return df.withColumn(out, F.lit(True))
-    thr = engagement_thresholds(df, like_quantile, comment_quantile, min_views, accuracy)
+    thr = engagement_thresholds(df, like_quantile, comment_quantile, min_views)
     e = with_engagement(df)
     t = thr.select(F.struct("like_thr", "comment_thr")).scalar()
     keep = (F.coalesce(F.col("like_rate") >= t["like_thr"], F.lit(True))

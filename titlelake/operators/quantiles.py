@@ -1,24 +1,21 @@
-"""Exact quantiles that never buffer a whole group in one task.
-
-Spark's exact ``percentile``/``median`` aggregate keeps every distinct value
-of a group in one buffer on one reducer; a channel holding a third of all rows
-(or a global quantile over a whole table) would not fit. This operator gets
-the same exact, linearly interpolated answer in three data-parallel steps:
-
-1. per group: ``count`` and a ``percentile_approx`` sketch (mergeable, bounded
-   memory) evaluated just below and just above each wanted probability. The
-   sketch's rank error is at most n/accuracy, so the two sketch values bracket
-   the exact order statistics. Groups of at most ``accuracy`` rows take the
-   whole group as their bracket.
-2. one pass over the rows: rows strictly below the bracket are only
-   *counted*; rows inside it are pre-aggregated to (value, multiplicity) by a
-   partial aggregate. The bracket holds O(n/accuracy) distinct values,
-   whatever the skew or the number of ties.
-3. the bracket histogram is range-partitioned on (group, value); running
-   counts inside each partition plus per-partition offsets give every
-   distinct value its exact rank range, from which the order statistics at
-   floor/ceil((n-1)p) are read and interpolated. No step gathers a group in
-   one task, however large the group or its bracket.
+"""Exact quantiles that never gather a group in one task.
+
+Spark's exact ``percentile`` keeps every distinct value of a group in one
+buffer.  Here the order statistics are found by value buckets instead:
+
+1. rows are pre-aggregated to ``(group, value) -> count``; the only exchange
+   of rows is on (group, value), with partial counts before it, so a hot
+   group or a value shared by many rows is spread or summed up first;
+2. a bucket is a function of the value alone (1,024 steps for each doubling).
+   Counts per bucket, running sums over a group's buckets, and the wanted
+   ranks pick one bucket for each rank;
+3. the picked bucket is cut into 65,536 equal steps between its own least
+   and largest value, and the same picks one step;
+4. the distinct values of that step are ranked, which gives the value.
+
+Every level sums before it shuffles, and a window only ever sees the buckets
+of a group, the steps of a bucket or the distinct values of a step.  Nothing
+is sampled and nothing depends on partitions, on exchange reuse or on size.
 
 Interpolation: ``x[lo] + ((n-1)p - lo) * (x[hi] - x[lo])`` -- the pandas,
 DuckDB ``quantile_cont`` and Spark ``percentile`` definition. NULL and NaN
@@ -32,112 +29,78 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_ACCURACY = 20000
-_MARGIN_UNITS = 4.0  # bracket half-width, in units of the sketch's rank error
+STEPS_PER_DOUBLING = 1024
+STEPS_PER_BUCKET = 65_535
 
 
 def _as_col(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    specs: Mapping[str, tuple],
-    accuracy: int = DEFAULT_ACCURACY,
-) -> DataFrame:
+def value_bucket(v: Column) -> Column:
+    """Bucket of a double: never falls as the value grows."""
+    return (F.signum(v) * F.floor(F.log2(F.abs(v) + 1) * STEPS_PER_DOUBLING)).cast("long")
+
+
+def _running(part: Sequence, order: str) -> Column:
+    """Count of the rows before this entry, in the order of ``order``."""
+    return F.sum("__c").over(Window.partitionBy(*part).orderBy(order)) - F.col("__c")
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], specs: Mapping[str, tuple]) -> DataFrame:
     """Exact quantiles per group.
 
     ``specs`` maps output name -> (value column or expression, probability).
     Returns one row per group that has at least one non-null value, with
     ``keys`` plus one DOUBLE column per spec. With ``keys=[]`` the result has
-    at most one row (none when there is no value at all).
+    at most one row (none when there is no value at all). Null keys form a group.
     """
-    keys = list(keys)
-    names = list(specs)
+    keys, names = list(keys), list(specs)
     probs = [float(specs[n][1]) for n in names]
     for p in probs:
         if not 0.0 <= p <= 1.0:
             raise ValueError(f"probability out of range: {p}")
-    gkeys = keys if keys else ["__g"]
-    base = df if keys else df.withColumn("__g", F.lit(0))
-
-    # Long form: one (spec, value) entry per input row and spec.
-    entries = F.array(*[
-        F.struct(F.lit(i).alias("s"), _as_col(specs[n][0]).cast("double").alias("v"))
-        for i, n in enumerate(names)
-    ])
-    long = (base.select(*gkeys, F.explode(entries).alias("__e"))
-            .select(*gkeys, F.col("__e.s").alias("__s"), F.col("__e.v").alias("__v"))
+    entries = F.array(*[F.struct(F.lit(i).alias("s"), _as_col(specs[n][0]).cast("double").alias("v"))
+                        for i, n in enumerate(names)])
+    # Group keys travel as one struct, so null keys join like any other value.
+    group = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("g"))
+    long = (df.select(group.alias("g"), F.explode(entries).alias("e"))
+            .select(F.struct("g", "e.s").alias("__k"), F.col("e.v").alias("__v"))
             .where(F.col("__v").isNotNull() & ~F.isnan("__v")))
-    k = gkeys + ["__s"]
-
-    margin = _MARGIN_UNITS / accuracy
-    brackets = []
-    for p in probs:
-        brackets += [max(0.0, p - margin), min(1.0, p + margin)]
-    p_arr = F.array(*[F.lit(p) for p in probs])
-
-    # Step 1: count + sketch per (group, spec).
-    agg = (long.groupBy(*k)
-           .agg(F.count("__v").alias("__n"),
-                F.percentile_approx("__v", F.array(*[F.lit(b) for b in brackets]), accuracy).alias("__br")))
-    n, s_ = F.col("__n"), F.col("__s")
-    pos = (n - 1) * F.element_at(p_arr, s_ + 1)
-    # Groups no larger than the sketch resolution use the whole group as the
-    # bracket (at most ``accuracy`` rows, so still bounded).
-    small = n <= F.lit(accuracy)
-    stats = agg.select(
-        *k, pos.alias("__pos"), F.floor(pos).alias("__ilo"), F.ceil(pos).alias("__ihi"),
-        F.when(small, F.lit(float("-inf"))).otherwise(F.element_at("__br", 2 * s_ + 1)).alias("__lo"),
-        F.when(small, F.lit(float("inf"))).otherwise(F.element_at("__br", 2 * s_ + 2)).alias("__hi"))
-
-    # Step 2: one pass over the rows. Rows inside the bracket keep their value
-    # (pre-aggregated to value -> multiplicity by the partial aggregate);
-    # rows below it collapse into one counter entry per group.
-    tagged = long.join(stats.select(*k, "__lo", "__hi"), k)
-    inside = (F.col("__v") >= F.col("__lo")) & (F.col("__v") <= F.col("__hi"))
-    hist = (tagged.where(F.col("__v") <= F.col("__hi"))
-            .groupBy(*k, F.when(inside, F.col("__v")).alias("__bv"))
-            .agg(F.count(F.lit(1)).alias("__c")))
-
-    # Step 3: exact ranks inside the bracket without holding a group in one
-    # task: the bracket histogram is range-partitioned on (group, value), so a
-    # hot group spans many partitions; per-partition totals (a tiny table)
-    # give each partition's rank offset, and a running sum inside each
-    # (group, partition) slice gives each value its rank range.
-    below = hist.where(F.col("__bv").isNull()).select(*k, F.col("__c").alias("__nb"))
-    ranged = (hist.where(F.col("__bv").isNotNull()).select(*k, F.col("__bv").alias("__v"), "__c")
-              .repartitionByRange(*k, "__v").withColumn("__pid", F.spark_partition_id()))
-    part = ranged.groupBy(*k, "__pid").agg(F.sum("__c").alias("__pc"))
-    before = Window.partitionBy(*k).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = part.select(*k, "__pid", F.coalesce(F.sum("__pc").over(before), F.lit(0)).alias("__off"))
-    running = Window.partitionBy(*k, "__pid").orderBy("__v").rowsBetween(Window.unboundedPreceding,
-                                                                          Window.currentRow)
-    ranked = (ranged.withColumn("__cum", F.sum("__c").over(running))
-              .join(offsets, k + ["__pid"])
-              .join(below, k, "left")
-              .join(stats.select(*k, "__pos", "__ilo", "__ihi"), k))
-    start_ = F.coalesce(F.col("__nb"), F.lit(0)) + F.col("__off") + F.col("__cum") - F.col("__c")
-    end_ = start_ + F.col("__c") - 1
-    cover = lambda idx: (start_ <= F.col(idx)) & (F.col(idx) <= end_)
-    picked = (ranked.where(cover("__ilo") | cover("__ihi"))
-              .groupBy(*k)
-              .agg(F.max(F.when(cover("__ilo"), F.col("__v"))).alias("__xlo"),
-                   F.max(F.when(cover("__ihi"), F.col("__v"))).alias("__xhi"),
-                   F.first("__pos").alias("__pos"), F.first("__ilo").alias("__ilo"))
-              .select(*k, (F.col("__xlo") + (F.col("__pos") - F.col("__ilo"))
-                           * (F.col("__xhi") - F.col("__xlo"))).alias("__q")))
-
-    if len(names) == 1:
-        wide = picked.select(*gkeys, F.col("__q").alias(names[0]))
-    else:
-        wide = picked.groupBy(*gkeys).agg(*[
-            F.max(F.when(F.col("__s") == i, F.col("__q"))).alias(n) for i, n in enumerate(names)
-        ])
-    return wide if keys else wide.drop("__g")
-
-
-def quantile(df: DataFrame, keys: Sequence[str], value, p: float, name: str = "q",
-             accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
-    return quantiles(df, keys, {name: (value, p)}, accuracy)
+    hist = (long.groupBy("__k", (F.col("__v") + 0.0).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+            .withColumn("__b", value_bucket(F.col("__v"))))
+
+    # 2: bucket of each wanted rank
+    buckets = hist.groupBy("__k", "__b").agg(F.sum("__c").alias("__c"), F.min("__v").alias("__lo"),
+                                             F.max("__v").alias("__hi"))
+    n = F.sum("__c").over(Window.partitionBy("__k"))
+    pos = (n - 1) * F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("__k.s") + 1)
+    ranks = F.explode(F.array(F.struct(F.lit(0).alias("w"), F.floor("__pos").alias("r")),
+                              F.struct(F.lit(1).alias("w"), F.ceil("__pos").alias("r"))))
+    buckets = (buckets.withColumns({"__before": _running(["__k"], "__b"), "__pos": pos})
+               .select("*", ranks.alias("__want")).select("*", "__want.w", "__want.r").drop("__want"))
+    here = (F.col("r") >= F.col("__before")) & (F.col("r") < F.col("__before") + F.col("__c"))
+    picked = buckets.where(here).select("__k", "__b", "__lo", "__hi", "__pos", "w", (F.col("r") - F.col("__before")).alias("r"))
+
+    # 3: step within the bucket
+    width = F.col("__hi") - F.col("__lo")
+    step = F.when((width > 0) & (width < float("inf")),
+                  F.floor((F.col("__v") - F.col("__lo")) / width * STEPS_PER_BUCKET)).otherwise(F.lit(0)).cast("long")
+    inside = hist.join(picked, ["__k", "__b"]).withColumn("__t", step)
+    steps = inside.groupBy("__k", "w", "__t").agg(F.sum("__c").alias("__c"), F.first("r").alias("r"))
+    steps = steps.withColumn("__before", _running(["__k", "w"], "__t")).where(here)
+    steps = steps.select("__k", "w", "__t", (F.col("r") - F.col("__before")).alias("__r"))
+
+    # 4: the value among the distinct values of the step
+    values = inside.join(steps, ["__k", "w", "__t"]).withColumn("__before", _running(["__k", "w"], "__v"))
+    values = values.where((F.col("__r") >= F.col("__before")) & (F.col("__r") < F.col("__before") + F.col("__c")))
+    at = lambda w: F.max(F.when(F.col("w") == w, F.col("__v")))
+    found = values.groupBy("__k").agg(at(0).alias("__x0"), at(1).alias("__x1"), F.first("__pos").alias("__pos"))
+    q = F.col("__x0") + (F.col("__pos") - F.floor("__pos")) * (F.col("__x1") - F.col("__x0"))
+    found = found.select("__k.g", F.col("__k.s").alias("__s"), q.alias("__q"))
+    wide = found.groupBy("g").agg(*[F.max(F.when(F.col("__s") == i, F.col("__q"))).alias(f"__q{i}") for i in range(len(names))])
+    return wide.select(*[F.col("g")[k].alias(k) for k in keys], *[F.col(f"__q{i}").alias(m) for i, m in enumerate(names)])
+
+
+def quantile(df: DataFrame, keys: Sequence[str], value, p: float, name: str = "q") -> DataFrame:
+    return quantiles(df, keys, {name: (value, p)})

@@ -28,8 +28,9 @@ def pick_one(df: DataFrame, keys: Sequence[str], order: Sequence[Column], drop_n
     ascending sort expressions; negate numbers for descending), or last
     when ``largest``.
 
-    Implemented as ``min_by``/``max_by(struct(row), struct(order))`` so the
-    work is a partial + final hash aggregate.
+    Implemented as ``min_by``/``max_by(struct(row), struct(order))``: partial
+    and final aggregates (sort-based, since the buffer holds a row), so a hot key
+    sends one row per map task.
     """
     src = df
     if drop_null_keys:
@@ -53,9 +54,27 @@ def top_k_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
 
 
 def rank_within_channel(df: DataFrame, channel: str, score: str, tie: Sequence[str]) -> DataFrame:
-    """1-based rank by ``score`` desc within channel (all rows kept)."""
-    w = Window.partitionBy(channel).orderBy(F.col(score).desc(), *_cols(tie))
-    return df.withColumn("rank_within_channel", F.row_number().over(w))
+    """1-based rank by ``score`` desc within channel (all rows kept).
+
+    No task sorts a whole channel: rows are ranked among those of equal score
+    and equal start of the first tie column; running sums over the counts of
+    these runs, first within a bucket of scores and then over a channel's
+    buckets, give each run its first rank."""
+    from titlelake.operators.quantiles import value_bucket
+
+    s = F.col(score).cast("double")
+    bucket = F.when(s.isNull(), F.lit(1 << 62)).otherwise(-value_bucket(s))
+    start = F.substring(F.col(tie[0]).cast("string"), 1, 3) if tie and dict(df.dtypes)[tie[0]] == "string" else F.lit("")
+    rows = df.withColumns({"__g": F.struct(channel), "__b": bucket, "__p": start})
+    run = rows.groupBy("__g", "__b", F.col(score).alias("__s"), "__p").agg(F.count(F.lit(1)).alias("__c"))
+    before = lambda part, order: F.sum("__c").over(Window.partitionBy(*part).orderBy(*order)) - F.col("__c")
+    buckets = run.groupBy("__g", "__b").agg(F.sum("__c").alias("__c"))
+    buckets = buckets.select("__g", "__b", before(["__g"], ["__b"]).alias("__b0"))
+    run = run.withColumn("__r0", before(["__g", "__b"], [F.col("__s").desc(), F.col("__p").asc()])).join(buckets, ["__g", "__b"])
+    first = run.select(F.struct("__g", "__s", "__p").alias("__run"), (F.col("__b0") + F.col("__r0")).alias("__first"))
+    within = F.row_number().over(Window.partitionBy("__run").orderBy(*_cols(tie)))
+    ranked = rows.withColumn("__run", F.struct("__g", F.col(score).alias("__s"), "__p")).join(first, "__run")
+    return ranked.select(*df.columns, (F.col("__first") + within).cast("int").alias("rank_within_channel"))
 
 
 def dedupe_titles(df: DataFrame, tie: Sequence[str], channel: str = "channelTitle", title: str = "title",
