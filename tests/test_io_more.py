@@ -77,10 +77,69 @@ def test_head_zero_keeps_all(spark):
 
 
 def test_min_rows_guard(spark):
-    from titlelake.operators.filters import min_rows_guard
-    with pytest.raises(ValueError):
-        min_rows_guard(spark.range(5), 20)
-    assert min_rows_guard(spark.range(50), 20) == 20
+    from titlelake.operators.filters import guard_min_rows
+    for n in (5, 0):
+        with pytest.raises(Exception, match="at least 20 examples are needed"):
+            guard_min_rows(spark.range(n), 20).collect()
+    assert guard_min_rows(spark.range(50), 20).count() == 50
+
+
+def test_csv_binds_by_name(spark, scratch):
+    p = f"{scratch}/n.csv"
+    with open(p, "w") as f:
+        f.write('title,extra,video_id\n"a ""b"", c",1,v1\nt2,2,v2,overflow\nt3\n')
+    got = {tuple(r) for r in rd.read_trending_csv(spark, p, SCHEMA).select("video_id", "title").collect()}
+    assert got == {(None, "t3"), ("v1", 'a "b", c')}
+
+
+def test_jsonl_two_objects_on_a_line_are_rejected(spark, scratch):
+    from titlelake.schemas import TRANSCRIPT
+    p = f"{scratch}/two.jsonl"
+    with open(p, "w") as f:
+        f.write('{"video_id":"a"} {"video_id":"b"}\n{"video_id":"c"}, {"video_id":"d"}\n{"video_id":"e", "title": "x}{"}\n{"video_id":"f"} junk}\n')
+    assert [r["video_id"] for r in rd.read_jsonl_tolerant(spark, p, TRANSCRIPT).collect()] == ["e"]
+
+
+def test_json_array_needs_an_array(spark, scratch):
+    from titlelake.schemas import SFT_RECORD
+    for name, text, ok in (("a", ' [{"id":"1"}, {"id":"2"}]', 2), ("b", '{"id":"1"}', None), ("c", '[{"id":"1"}', None)):
+        with open(f"{scratch}/{name}.json", "w") as f:
+            f.write(text)
+        df = rd.read_json_array(spark, f"{scratch}/{name}.json", SFT_RECORD)
+        if ok:
+            assert df.count() == ok
+        else:
+            with pytest.raises(Exception):
+                df.collect()
+
+
+def test_run_metrics_skips_absent_globs(spark, scratch):
+    import os
+    os.makedirs(f"{scratch}/r1")
+    with open(f"{scratch}/r1/m.json", "w") as f:
+        f.write('{"a": 1.5, "b": NaN}')
+    got = rd.read_run_metrics(spark, [f"{scratch}/none/*.json", f"{scratch}/*/m.json"]).collect()
+    assert [(r["run"], r["a"]) for r in got] == [("r1", 1.5)] and got[0]["b"] != got[0]["b"]
+    assert rd.read_run_metrics(spark, f"{scratch}/none.json").count() == 0
+
+
+def test_metrics_json_writes_bare_nan(spark):
+    import json
+    from titlelake.sources.sinks import metrics_json
+    text = metrics_json(spark.range(1).selectExpr("double('NaN') as a", "double('-Infinity') as b", "1.5D as c", "'NaN ' as d")).first()[0]
+    assert '"a":NaN' in text and json.loads(text)["b"] == float("-inf") and json.loads(text)["d"] == "NaN "
+
+
+def test_replace_dataset_swaps_and_leaves_nothing(spark, scratch):
+    import os
+    from titlelake.sources.sinks import replace_dataset
+    path = f"{scratch}/t"
+    replace_dataset(spark, spark.range(5), path)
+    replace_dataset(spark, spark.read.parquet(path).selectExpr("id + 10 as id"), path)
+    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == list(range(10, 15))
+    with pytest.raises(Exception):
+        replace_dataset(spark, spark.read.parquet(path).selectExpr("raise_error('x') as id"), path)
+    assert spark.read.parquet(path).count() == 5 and os.listdir(scratch) == ["t"]
 
 
 def test_csv_encoding_auto_falls_back_to_latin1(spark, scratch):

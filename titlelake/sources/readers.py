@@ -4,6 +4,8 @@ loops)."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,8 +16,11 @@ OVERFLOW = "__overflow"
 
 
 def read_trending_csv(spark: SparkSession, path: str, schema: T.StructType, encoding: str = "UTF-8") -> DataFrame:
-    """Header CSV with quoted newlines and doubled-quote escapes. Rows
-    with too many fields are skipped, short rows are null-padded.
+    """Header CSV with quoted newlines and doubled-quote escapes. The
+    header's names bind the columns, whatever their order and however many
+    there are; a column of the schema that the file lacks is null, and a value
+    that does not parse is null. Rows with more fields than the header are
+    skipped, short rows are null-padded.
 
     A trailing sentinel column catches overflow fields: a row that fills it
     had too many fields and is dropped. (DROPMALFORMED would also drop short
@@ -26,10 +31,20 @@ def read_trending_csv(spark: SparkSession, path: str, schema: T.StructType, enco
         bad = df.where(F.exists(F.array(*[F.col(f.name).cast("string") for f in schema.fields]),
                                 lambda x: F.contains(x, F.lit("�")))).limit(1).count()
         return read_trending_csv(spark, path, schema, "ISO-8859-1") if bad else df
-    wide = T.StructType(list(schema.fields) + [T.StructField(OVERFLOW, T.StringType())])
+    names = csv_header(spark, path, encoding)
+    wide = T.StructType([T.StructField(f"__c{i}", T.StringType()) for i in range(len(names))] + [T.StructField(OVERFLOW, T.StringType())])
     df = (spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
           .option("mode", "PERMISSIVE").option("encoding", encoding).schema(wide).csv(path))
-    return df.where(F.col(OVERFLOW).isNull()).drop(OVERFLOW)
+    at = {n: i for i, n in reversed(list(enumerate(names)))}
+    return df.where(F.col(OVERFLOW).isNull()).select(*[
+        (F.col(f"__c{at[f.name]}") if f.name in at else F.lit(None)).try_cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
+def csv_header(spark: SparkSession, path: str, encoding: str = "UTF-8") -> list[str]:
+    """Column names of the header row (one short read of the first file)."""
+    head = (spark.read.option("header", False).option("multiLine", True).option("quote", '"').option("escape", '"')
+            .option("encoding", encoding).csv(path).limit(1).collect())
+    return [c or "" for c in head[0]] if head else []
 
 
 def transcode_csv(spark: SparkSession, src: str, dst: str, src_encoding: str = "ISO-8859-1") -> None:
@@ -54,10 +69,11 @@ def read_jsonl_tolerant(spark: SparkSession, path: str, schema: T.StructType) ->
     """JSON lines; blank, malformed and non-object lines are skipped."""
     lines = spark.read.text(path).where(F.trim("value") != "")
     # The JSON parser stops after the first complete value, so a line with
-    # trailing junk must also be rejected by its shape (Python's json.loads
-    # rejects it).
+    # more behind it must be rejected by other means: as the one entry of an
+    # array the whole line has to parse, and to give exactly one object.
     body = safe_strip("value")
-    objects = lines.where(body.startswith("{") & body.endswith("}")
+    one = F.from_json(F.concat(F.lit("["), body, F.lit("]")), "array<map<string,string>>", {"mode": "PERMISSIVE"})
+    objects = lines.where(body.startswith("{") & body.endswith("}") & (F.size(one) == 1)
                           & F.from_json("value", "map<string,string>").isNotNull())
     return objects.select(F.from_json("value", schema).alias("r")).where(F.col("r").isNotNull()).select("r.*")
 
@@ -68,8 +84,12 @@ def read_jsonl_strict(spark: SparkSession, path: str, schema: T.StructType) -> D
 
 
 def read_json_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """One JSON document holding a top-level array of objects."""
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    """JSON documents that each hold a top-level array of objects; any
+    other document, and a malformed one, fails the job."""
+    body = safe_strip("value")
+    text = F.when(body.startswith("["), body).otherwise(F.raise_error(F.lit("the document's top level is no array")).cast("string"))
+    docs = spark.read.text(path, wholetext=True).select(F.from_json(text, T.ArrayType(schema), {"mode": "FAILFAST"}).alias("a"))
+    return docs.select(F.explode("a").alias("r")).where(F.col("r").isNotNull()).select("r.*")
 
 
 def read_records(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -81,7 +101,7 @@ def read_records(spark: SparkSession, path: str, schema: T.StructType | None = N
         return read_jsonl_strict(spark, path, schema) if schema else spark.read.option("mode", "FAILFAST").json(path)
     if low.endswith(".json"):
         return read_json_array(spark, path, schema) if schema else spark.read.option("multiLine", True).json(path)
-    raise ValueError("Unsupported input type. Use .csv, .json, or .jsonl")
+    raise ValueError(f"no reader for {path!r}: the suffix must be .csv, .json or .jsonl")
 
 
 def read_id_list(spark: SparkSession, path: str) -> DataFrame:
@@ -108,10 +128,25 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     return df.select(*[safe_strip(c).alias(c) for c in PREDICTION.fieldNames()])
 
 
-def read_run_metrics(spark: SparkSession, pattern: str) -> DataFrame:
-    """Metrics JSON documents matched by a glob; run name = parent
-    directory of each file."""
-    df = spark.read.option("multiLine", True).option("allowNonNumericNumbers", True).json(pattern)
+def existing(spark: SparkSession, patterns: str | Sequence[str]) -> list[str]:
+    """The paths or globs that match anything, in any file system Spark reaches."""
+    found = []
+    for p in [patterns] if isinstance(patterns, str) else patterns:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        hits = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(path)
+        if hits is not None and len(hits):
+            found.append(p)
+    return found
+
+
+def read_run_metrics(spark: SparkSession, patterns: str | Sequence[str]) -> DataFrame:
+    """Metrics JSON documents matched by one or several globs; globs and
+    paths without a match are skipped, and no match at all gives no row. Run
+    name = parent directory of each file."""
+    paths = existing(spark, patterns)
+    if not paths:
+        return spark.createDataFrame([], "run string")
+    df = spark.read.option("multiLine", True).option("allowNonNumericNumbers", True).json(paths)
     run = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
     return df.withColumn("run", run)
 

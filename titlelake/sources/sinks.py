@@ -39,19 +39,37 @@ def write_audit_pair(tagged: DataFrame, path: str, keep_col: str = "keep") -> No
 
 
 def metrics_json(row: DataFrame) -> DataFrame:
-    """K6: the metrics row as one JSON document string (NaN kept)."""
-    return row.select(F.to_json(F.struct(*row.columns)).alias("json"))
+    """K6: the metrics row as one JSON document string; numbers that are not
+    finite are written bare (``NaN``), as Python's json module does."""
+    text = F.to_json(F.struct(*row.columns), {"ignoreNullFields": "false"})
+    return row.select(F.regexp_replace(text, r'":"(NaN|-?Infinity)"', '":$1').alias("json"))
 
 
 def write_metrics_json(row: DataFrame, path: str) -> None:
     metrics_json(row).coalesce(1).write.mode("overwrite").text(path)
 
 
-def replace_dataset(spark, df: DataFrame, path: str, fmt: str = "parquet") -> str:
-    """K7: write the new version beside the old one, then publish it by a
-    second overwrite from the staged copy (the plan that overwrote ``path``
-    never reads ``path``). Returns the staging folder."""
-    staging = f"{path.rstrip('/')}.__staging_{uuid.uuid4().hex}"
-    df.write.mode("overwrite").format(fmt).save(staging)
-    spark.read.format(fmt).load(staging).write.mode("overwrite").format(fmt).save(path)
-    return staging
+def replace_dataset(spark, df: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """K7: write the new version beside the old one, then swap folders.
+
+    The data is written once; the target is only renamed away when the new
+    version is complete, comes back if the second rename fails, and nothing
+    is left beside it. ``df`` may read ``path``."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    target = path.rstrip("/")
+    mark = uuid.uuid4().hex
+    staged, old = f"{target}.__new_{mark}", f"{target}.__old_{mark}"
+    fs = hadoop(target).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    try:
+        df.write.format(fmt).save(staged)
+        had = fs.exists(hadoop(target))
+        if had and not fs.rename(hadoop(target), hadoop(old)):
+            raise OSError(f"{target} could not be renamed")
+        if not fs.rename(hadoop(staged), hadoop(target)):
+            if had:
+                fs.rename(hadoop(old), hadoop(target))
+            raise OSError(f"{staged} could not be renamed")
+        if had:
+            fs.delete(hadoop(old), True)
+    finally:
+        fs.delete(hadoop(staged), True)

@@ -1,8 +1,8 @@
 """ST1: resumable transcript ingest with Structured Streaming.
 
 New fetch-outcome files landing in ``source_dir`` are processed once each
-(file source + checkpoint). Every micro-batch keeps the first row per id,
-drops ids already present in the sink (anti-join against what has been
+(file source + checkpoint). Every micro-batch keeps the first row per id
+that is no retryable failure, drops ids already present in the sink (anti-join against what has been
 written so far) and appends the assembled transcript records. A stopped
 job resumes from its checkpoint; ``trigger(availableNow=True)`` drains what
 is there and stops.
@@ -13,10 +13,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from titlelake.functions.records import classify_fetch
 from titlelake.functions.text import safe_strip
 from titlelake.operators.joins import anti_by_id
 from titlelake.operators.windows import keep_first
 from titlelake.plans.transcripts import TRANSCRIPT_COLS, assemble
+from titlelake.sources.readers import existing
 
 FETCH_LOG_SCHEMA = T.StructType([
     T.StructField("pos", T.LongType()), T.StructField("video_id", T.StringType()),
@@ -27,16 +29,20 @@ FETCH_LOG_SCHEMA = T.StructType([
 
 
 def _sink_ids(spark: SparkSession, sink_dir: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(sink_dir).select("video_id")
-    except Exception:  # noqa: BLE001 -- no sink yet
-        return None
+    """Ids in the sink; None only where nothing was written yet (any other failure to read it is an error)."""
+    return spark.read.parquet(sink_dir).select("video_id") if existing(spark, f"{sink_dir.rstrip('/')}/part-*") else None
+
+
+def _final_rows(log: DataFrame) -> DataFrame:
+    """First row per id among those that are no retryable failure: such a
+    failure never hides a later outcome, however files fall into micro-batches."""
+    final = log.where(classify_fetch("exc_type", "exc_msg") != "retryable")
+    return keep_first(final.withColumn("video_id", safe_strip("video_id")), "video_id", "pos")
 
 
 def process_batch(spark: SparkSession, batch: DataFrame, sink_dir: str) -> None:
-    """One micro-batch: first row per id, minus ids already in the sink, appended."""
-    b = batch.withColumn("video_id", safe_strip("video_id"))
-    b = keep_first(b, "video_id", "pos")
+    """One micro-batch: first final row per id, minus ids already in the sink, appended."""
+    b = _final_rows(batch)
     done = _sink_ids(spark, sink_dir)
     if done is not None:
         b = anti_by_id(b, done)
@@ -58,8 +64,7 @@ def run_ingest(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_d
 
 def batch_equivalent(log: DataFrame) -> DataFrame:
     """What one batch run over all files would write (for replay checks)."""
-    b = keep_first(log.withColumn("video_id", safe_strip("video_id")), "video_id", "pos")
-    return assemble(b).select(*TRANSCRIPT_COLS)
+    return assemble(_final_rows(log)).select(*TRANSCRIPT_COLS)
 
 
 __all__ = ["run_ingest", "process_batch", "batch_equivalent", "FETCH_LOG_SCHEMA"]
