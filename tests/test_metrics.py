@@ -94,3 +94,50 @@ def test_sentiment_boosters(spark):
             "d": comp(-2.5 - 0.293), "e": comp(1.9 - 0.293), "f": comp(1.9)}
     for k, v in want.items():
         assert math.isclose(got[k], v, rel_tol=1e-9), k
+
+
+def test_pairs_of_one_id_are_scored_each_for_itself(spark):
+    rows = [("1", "the cat sat", "the cat sat"), ("1", "a dog", "no match here"), ("2", "a b c", "a b x"), ("2", "a b c", "a b x")]
+    df = spark.createDataFrame(rows, "id string, reference string, prediction string")
+    got = sorted(round(r["f1"], 6) for r in mt.rouge_n(df, 1).collect())
+    assert got == [0.0, 0.666667, 0.666667, 1.0]
+
+
+def test_zero_vector_is_nan_and_skipped(spark):
+    df = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 2.0])], "vec_id long, embedding array<double>")
+    corpus = df.where("vec_id > 1")
+    row = mt.cosine_summary(df, corpus).first()
+    assert math.isclose(row["cosine_max_sim_mean"], 1.0) and math.isclose(row["cosine_mean_corpus_mean"], math.sqrt(0.5))
+    assert math.isclose(row["cosine_max_sim_prop_above_95"], 2 / 3)
+
+
+def test_max_cosine_with_equal_vectors(spark):
+    """Mode collapse: all vectors equal are one vector of one block."""
+    same = spark.range(3000).selectExpr("id as vec_id", "array(1D, 2D, 3D) as embedding")
+    got = mt.max_cosine(same, same, pred_blocks=5, corpus_blocks=5)
+    assert got.count() == 3000 and got.where("abs(max_sim - 1) > 1e-9").count() == 0
+
+
+def test_sentiment_contractions_and_double_negation(spark):
+    lex = spark.createDataFrame([("good", 1.9)], "token string, valence double")
+    texts = ["this isn't good", "is not good", "don\u2019t say good", "not never good", "good", "good", "NOT good"]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)] + [("4", "good")], "id string, prediction string")
+    got = {}
+    for r in mt.compound_scores(df, lex).collect():
+        got.setdefault(r["id"], []).append(round(r["compound"], 4))
+    norm = lambda s: round(s / math.sqrt(s * s + 15), 4)
+    neg, plain = norm(1.9 * -0.74), norm(1.9)
+    assert got["0"] == got["1"] == got["2"] == [neg] and got["3"] == [norm(1.9 * 0.74 * 0.74)]
+    assert got["4"] == [plain, plain] and got["5"] == [plain] and got["6"] == [neg]
+    own = mt.compound_scores(df, lex, negations=("say",)).where("id = '2'").first()["compound"]
+    assert round(own, 4) == neg
+
+
+def test_evaluate_takes_references_as_corpus_and_kept_pairs_only(spark):
+    pairs = spark.createDataFrame([("1", "a b", "a c"), ("2", "x", " ")], "id string, reference string, prediction string")
+    emb = spark.createDataFrame([("1", 1, [1.0, 0.0]), ("2", 2, [0.0, 1.0])], "id string, vec_id long, embedding array<double>")
+    lex = spark.createDataFrame([("good", 1.9)], "token string, valence double")
+    row = mt.evaluate(pairs, lex, pred_emb=emb, ref_emb=emb).first()
+    assert row["cosine_max_sim_mean"] == 1.0 and row["cosine_mean_corpus_mean"] == 1.0
+    corpus = spark.createDataFrame([("t", [0.0, 1.0]), (" ", [1.0, 0.0])], "text string, embedding array<double>")
+    assert mt.evaluate(pairs, lex, pred_emb=emb, corpus_emb=corpus).first()["cosine_max_sim_mean"] == 0.0

@@ -10,7 +10,7 @@ reference's empty-metrics contract requires.
 
 from __future__ import annotations
 
-import math
+from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
@@ -21,7 +21,6 @@ from pyspark.sql import types as T
 
 from titlelake.functions.text import NON_WORD_RE, STRIP_CLASS, safe_strip, word_tokens
 from titlelake.operators.aggregates import mean_std
-from titlelake.session import cut_lineage
 
 NAN = float("nan")
 # Mode-collapse cut, sentiment cuts, the published VADER
@@ -40,8 +39,14 @@ QUESTION_INCREMENT = 0.18
 QUESTION_MAX = 0.96
 BOOST_DECAY_2 = 0.95
 BOOST_DECAY_3 = 0.9
-NEGATIONS = ("not", "no", "never", "none", "nobody", "nothing", "neither", "nor", "nowhere", "cannot",
-             "isnt", "dont", "doesnt", "didnt", "wont", "cant", "without")
+NEGATIONS = (
+    "aint", "arent", "cannot", "cant", "couldnt", "darent", "didnt", "doesnt", "dont", "hadnt", "hasnt", "havent",
+    "isnt", "mightnt", "mustnt", "neither", "neednt", "never", "no", "nobody", "none", "nope", "nor", "not",
+    "nothing", "nowhere", "oughtnt", "shant", "shouldnt", "uhuh", "wasnt", "werent", "without", "wont", "wouldnt",
+    "rarely", "seldom", "despite",
+)
+# "isn't" and "don't" become one word before tokens are cut.
+CONTRACTION_RE = "([A-Za-z]+[nN])['\u2019]([tT])([^A-Za-z]|$)"
 SELF_BLEU_MAX_N = 4
 SMOOTH_EPS = 0.1
 
@@ -77,39 +82,45 @@ def _ngrams(tokens: Column, n: int) -> Column:
 def rouge_n(pairs: DataFrame, n: int) -> DataFrame:
     """M1: per pair ROUGE-n precision / recall / F1 from clipped n-gram
     overlap (explode + keyed aggregate, linear in text length)."""
-    tok = pairs.select("id", rouge_tokens("reference").alias("r"), rouge_tokens("prediction").alias("p"))
-    totals = tok.select("id", F.greatest(F.size("r") - n + 1, F.lit(0)).alias("nr"),
+    tok = pairs.select("id", F.xxhash64("id", "reference", "prediction").alias("__pair"),
+                       rouge_tokens("reference").alias("r"), rouge_tokens("prediction").alias("p"))
+    totals = tok.select("id", "__pair", F.greatest(F.size("r") - n + 1, F.lit(0)).alias("nr"),
                         F.greatest(F.size("p") - n + 1, F.lit(0)).alias("np"))
-    grams = (tok.select("id", F.explode(F.concat(
-        F.transform(F.when(F.size("r") >= n, _ngrams(F.col("r"), n)).otherwise(F.array().cast("array<string>")),
-                    lambda g: F.struct(g.alias("g"), F.lit(1).alias("side"))),
-        F.transform(F.when(F.size("p") >= n, _ngrams(F.col("p"), n)).otherwise(F.array().cast("array<string>")),
-                    lambda g: F.struct(g.alias("g"), F.lit(2).alias("side"))))).alias("e"))
-             .groupBy("id", F.col("e.g").alias("g"))
+    side = lambda col, i: F.transform(_ngrams(F.col(col), n), lambda g: F.struct(g.alias("g"), F.lit(i).alias("side")))
+    grams = (tok.select("__pair", F.explode(F.concat(side("r", 1), side("p", 2))).alias("e"))
+             .groupBy("__pair", F.col("e.g").alias("g"))
              .agg(F.count_if(F.col("e.side") == 1).alias("cr"), F.count_if(F.col("e.side") == 2).alias("cp")))
-    overlap = grams.groupBy("id").agg(F.sum(F.least("cr", "cp")).alias("ov"))
-    s = totals.join(overlap, "id", "left").fillna(0, ["ov"])
-    prec = F.col("ov") / F.greatest(F.col("np"), F.lit(1))
-    rec = F.col("ov") / F.greatest(F.col("nr"), F.lit(1))
+    # Pairs are told apart by their content. Rows alike in all of it count
+    # their grams together: the overlap is taken back to one row by the share
+    # of the reference's grams.
+    overlap = grams.groupBy("__pair").agg(F.sum(F.least("cr", "cp")).alias("ov"), F.sum("cr").alias("tr"))
+    s = totals.join(overlap, "__pair", "left")
+    ov = F.when((F.col("nr") > 0) & (F.col("ov") > 0), F.col("ov") * F.col("nr") / F.col("tr")).otherwise(F.lit(0.0))
+    prec = ov / F.greatest(F.col("np"), F.lit(1))
+    rec = ov / F.greatest(F.col("nr"), F.lit(1))
     f1 = F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(F.lit(0.0))
     return s.select("id", prec.cast("double").alias("p"), rec.cast("double").alias("r"), f1.alias("f1"))
 
 
 @F.pandas_udf(T.LongType())
 def _lcs_len(a: pd.Series, b: pd.Series) -> pd.Series:
-    """LCS length of two token arrays. Each DP row is one vectorised step:
-    new[j] = cummax_j(max(prev[j], prev[j-1] + [a_i == b_j]))."""
+    """LCS length of two token arrays, bit-parallel: a bit of ``row`` stands for
+    a token of ``y`` and is cleared where the common subsequence grows, so
+    one token of ``x`` is a handful of operations on whole machine words."""
     out = np.zeros(len(a), dtype=np.int64)
     for k, (x, y) in enumerate(zip(a, b)):
         if x is None or y is None or len(x) == 0 or len(y) == 0:
             continue
-        ys = np.asarray(y, dtype=object)
-        prev = np.zeros(len(ys) + 1, dtype=np.int64)
+        at: dict[str, int] = {}
+        for j, tok in enumerate(y):
+            at[tok] = at.get(tok, 0) | 1 << j
+        full = (1 << len(y)) - 1
+        row = full
         for tok in x:
-            m = (ys == tok).astype(np.int64)
-            cand = np.maximum(prev[1:], prev[:-1] + m)
-            prev = np.concatenate(([0], np.maximum.accumulate(cand)))
-        out[k] = prev[-1]
+            hit = row & at.get(tok, 0)
+            if hit:
+                row = (row + hit | row - hit) & full
+        out[k] = len(y) - row.bit_count()
     return pd.Series(out)
 
 
@@ -137,7 +148,8 @@ def _unit(v) -> Column:
     c = F.col(v) if isinstance(v, str) else v
     c = F.transform(c, lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(c, lambda x: x / norm)
+    # a zero vector has no direction: NaN, which summaries skip
+    return F.transform(c, lambda x: F.coalesce(F.try_divide(x, norm), F.lit(NAN)))
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -160,34 +172,37 @@ def cosine_to_centroid(preds: DataFrame, corpus: DataFrame, col: str = "embeddin
     return p.join(F.broadcast(c), "__k").select("vec_id", _dot(F.col("u"), F.col("c")).alias("cos_centroid"))
 
 
-def max_cosine(preds: DataFrame, corpus: DataFrame, col: str = "embedding", block_rows: int = 2048,
-               pred_blocks: int | None = None, corpus_blocks: int | None = None,
-               corpus_block_rows: int | None = None) -> DataFrame:
+def max_cosine(preds: DataFrame, corpus: DataFrame, col: str = "embedding", pred_blocks: int | None = None,
+               corpus_blocks: int | None = None) -> DataFrame:
     """M4 (J8): per prediction, max cosine to any corpus vector (no self-exclusion).
 
-    Exact all-pairs work is done block by block: both sides are hashed into
-    blocks of unit vectors (``block_rows`` per prediction block, four times
-    that per corpus block unless ``corpus_block_rows`` is given), every (prediction block,
-    corpus block) pair meets once through an equi-join on the replicated
-    corpus-block index, a vectorised matmul in ``mapInPandas`` yields each
-    prediction's best score per corpus block, and a keyed ``max`` combines
-    the blocks. Individual pairs never become rows.
+    Exact all-pairs work is done block by block: both sides are reduced to
+    their distinct unit vectors (a maximum does not change, and however many
+    vectors are equal, none fills a block) and hashed into blocks, every
+    (prediction block, corpus block) pair meets once through an equi-join on
+    the replicated corpus-block index, a vectorised matmul in ``mapInPandas``
+    yields each vector's best score per corpus block, and a keyed ``max``
+    combines the blocks. Individual pairs never become rows.
+
+    The block counts default to the session's shuffle partitions (an eighth of
+    them for the corpus, since predictions are replicated once per corpus
+    block), so plan building reads no data; pass counts to bound a block's rows.
+    A zero vector gives NaN, and a corpus with one gives NaN for all, as numpy's maximum does.
     """
-    if pred_blocks is None:
-        pred_blocks = max(1, math.ceil(preds.count() / block_rows))
-    if corpus_blocks is None:
-        # Corpus blocks are larger: each prediction block is replicated once
-        # per corpus block, so fewer corpus blocks mean less shuffled data.
-        corpus_blocks = max(1, math.ceil(corpus.count() / (corpus_block_rows or 4 * block_rows)))
+    partitions = int(preds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pred_blocks = pred_blocks or max(1, partitions)
+    corpus_blocks = corpus_blocks or max(1, partitions // 8)
     # Blocks travel as flat row-major double arrays (one Arrow list per
     # block), which convert to numpy without per-element Python objects.
-    pb = (preds.select("vec_id", _unit(col).alias("u"))
-          .groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(pred_blocks)).alias("pb"))
-          .agg(F.collect_list(F.struct("vec_id", "u")).alias("s"))
-          .select("pb", F.transform("s", lambda r: r["vec_id"]).alias("ids"),
+    units = preds.select("vec_id", _unit(col).alias("u")).withColumn("uk", F.xxhash64("u"))
+    pb = (units.select("uk", "u").groupBy("uk").agg(F.first("u").alias("u"))
+          .groupBy(F.pmod(F.xxhash64("uk"), F.lit(pred_blocks)).alias("pb"))
+          .agg(F.collect_list(F.struct("uk", "u")).alias("s"))
+          .select("pb", F.transform("s", lambda r: r["uk"]).alias("ids"),
                   F.flatten(F.transform("s", lambda r: r["u"])).alias("P")))
-    cb = (corpus.select(_unit(col).alias("u"))
-          .groupBy(F.pmod(F.xxhash64("u"), F.lit(corpus_blocks)).alias("cb"))
+    cb = (corpus.select(_unit(col).alias("u")).withColumn("uk", F.xxhash64("u"))
+          .groupBy("uk").agg(F.first("u").alias("u"))
+          .groupBy(F.pmod(F.xxhash64("uk"), F.lit(corpus_blocks)).alias("cb"))
           .agg(F.flatten(F.collect_list("u")).alias("C")))
     grid = pb.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(corpus_blocks - 1)))).join(cb, "cb")
 
@@ -203,71 +218,78 @@ def max_cosine(preds: DataFrame, corpus: DataFrame, col: str = "embedding", bloc
                 ids.append(np.asarray(i_arr, dtype=np.int64))
                 best.append((pm @ cm.T).max(axis=1))
             if ids:
-                yield pd.DataFrame({"vec_id": np.concatenate(ids), "s": np.concatenate(best)})
+                top = np.concatenate(best)
+                none = np.isnan(top)  # pandas would turn NaN into null
+                yield pd.DataFrame({"uk": np.concatenate(ids), "s": np.where(none, 0.0, top), "none": none})
 
-    per_block = grid.select("ids", "P", "C").mapInPandas(block_max, "vec_id long, s double")
-    return per_block.groupBy("vec_id").agg(F.max("s").alias("max_sim"))
+    per_block = grid.select("ids", "P", "C").mapInPandas(block_max, "uk long, s double, none boolean")
+    best = per_block.groupBy("uk").agg(F.when(F.max("none"), F.lit(NAN)).otherwise(F.max("s")).alias("max_sim"))
+    return units.select("vec_id", "uk").join(best, "uk").select("vec_id", "max_sim")
 
 
-def cosine_summary(preds: DataFrame | None, corpus: DataFrame | None, col: str = "embedding",
-                   block_rows: int = 2048) -> DataFrame:
-    """M3-M5 summary row; NaN when either side is absent."""
-    names = ["cosine_mean_corpus_mean", "cosine_mean_corpus_std", "cosine_max_sim_mean", "cosine_max_sim_std",
-             "cosine_max_sim_prop_above_95"]
-    if preds is None or corpus is None:
-        return preds.sparkSession.range(1).select(*[F.lit(NAN).alias(n) for n in names]) if preds is not None \
-            else corpus.sparkSession.range(1).select(*[F.lit(NAN).alias(n) for n in names])
+def cosine_summary(preds: DataFrame, corpus: DataFrame, col: str = "embedding") -> DataFrame:
+    """M3-M5 summary row; NaN when either side is empty."""
+    names = COSINE_NAMES
     cc = mean_std(cosine_to_centroid(preds, corpus, col), {"cosine_mean_corpus": "cos_centroid"})
-    mx = max_cosine(preds, corpus, col, block_rows)
+    mx = max_cosine(preds, corpus, col)
     ms = mean_std(mx, {"cosine_max_sim": "max_sim"})
-    prop = mx.agg(F.when(F.count(F.lit(1)) > 0, F.avg((F.col("max_sim") >= MODE_COLLAPSE_THRESHOLD).cast("double")))
+    prop = mx.agg(F.when(F.count(F.lit(1)) > 0, F.avg(((F.col("max_sim") >= MODE_COLLAPSE_THRESHOLD) & ~F.isnan("max_sim")).cast("double")))
                   .otherwise(F.lit(NAN)).alias("cosine_max_sim_prop_above_95"))
     return one_row_join([cc, ms, prop]).select(*names)
 
 
 # ------------------------------------------------------------ sentiment
 def compound_scores(texts: DataFrame, lexicon: DataFrame, text: str = "prediction",
-                    boosters: DataFrame | None = None) -> DataFrame:
+                    boosters: DataFrame | None = None, negations: Sequence[str] = NEGATIONS) -> DataFrame:
     """M6: per text, the lexicon compound score ``s / sqrt(s^2 + 15)``.
 
     Rules of Hutto & Gilbert (2014) applied to each lexicon hit (the lexicon
     is a caller table joined on the lower-cased token): an ALL-CAPS hit in a
-    mixed-case text moves 0.733 away from zero; a negation word among the
-    three preceding tokens scales by -0.74; hits before the first "but" scale
-    by 0.5, after it by 1.5. ``s`` then moves away from zero by 0.292 per "!"
-    (at most 4) plus, for two or more "?", 0.18 each (0.96 beyond three).
+    mixed-case text moves 0.733 away from zero; each of the three preceding
+    tokens that is one of ``negations`` scales by -0.74 (contractions such as
+    "isn't" are one token, "isnt"); hits before the first "but" scale by 0.5, after
+    it by 1.5. ``s`` then moves away from zero by 0.292 per "!" (at most 4)
+    plus, for two or more "?", 0.18 each (0.96 beyond three).
 
     With an optional ``boosters`` table (token, increment), a booster word
     (not itself in the lexicon) among the three tokens before a hit adds its
     increment in the hit's direction (plus 0.733 when it is ALL CAPS in a
     mixed-case text), scaled by 1, 0.95 and 0.9 with distance; this comes
-    before the negation rule."""
-    raw = F.coalesce(F.col(text), F.lit(""))
-    orig = F.filter(F.split(raw, NON_WORD_RE), lambda x: x != "")
-    tok = texts.select("id", orig.alias("o"), F.transform(orig, F.lower).alias("t"),
-                       (F.length(raw) - F.length(F.replace(raw, F.lit("!"), F.lit("")))).alias("bang"),
-                       (F.length(raw) - F.length(F.replace(raw, F.lit("?"), F.lit("")))).alias("qm"))
-    n_caps = F.size(F.filter("o", lambda x: (x == F.upper(x)) & (x != F.lower(x))))
+    before the negation rule.
+
+    A token row carries at most the three tokens before it, so rows stay
+    linear in the text. Rows are told apart by their content; rows alike in
+    identifier and text are scored together and divided by their number."""
+    raw = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), CONTRACTION_RE, "$1$2$3")
+    src = texts.select("id", F.xxhash64("id", text).alias("__row"), raw.alias("raw"))
+    orig = F.filter(F.split("raw", NON_WORD_RE), lambda x: x != "")
+    tok = src.select("id", "__row", orig.alias("o"),
+                     (F.length("raw") - F.length(F.replace("raw", F.lit("!"), F.lit("")))).alias("bang"),
+                     (F.length("raw") - F.length(F.replace("raw", F.lit("?"), F.lit("")))).alias("qm"))
+    caps = lambda x: (x == F.upper(x)) & (x != F.lower(x))
+    n_caps = F.size(F.filter("o", caps))
     tok = tok.withColumns({"cap_diff": (n_caps > 0) & (n_caps < F.size("o")),
-                           "but_at": F.array_position("t", "but")})
-    ex = tok.select("id", "t", "o", "cap_diff", "but_at", F.posexplode("t").alias("i", "token"))
+                           "but_at": F.array_position(F.transform("o", F.lower), "but")})
+    entry = F.transform("o", lambda x, i: F.struct(
+        i.alias("i"), x.alias("word"), F.slice("o", F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3))).alias("prev")))
+    ex = tok.select("__row", "cap_diff", "but_at", F.explode(entry).alias("e")).select(
+        "__row", "cap_diff", "but_at", "e.*").withColumn("token", F.lower("word"))
     hits = ex.join(lexicon.select(F.lower("token").alias("token"), "valence"), "token")
     val = F.col("valence")
-    word = F.element_at("o", F.col("i") + 1)
-    is_caps = (word == F.upper(word)) & (word != F.lower(word))
-    v = F.when(F.col("cap_diff") & is_caps,
+    v = F.when(F.col("cap_diff") & caps(F.col("word")),
                F.when(val > 0, val + CAPS_INCREMENT).otherwise(val - CAPS_INCREMENT)).otherwise(val)
     if boosters is not None:
-        hits = hits.join(_booster_sums(hits, lexicon, boosters), ["id", "i"], "left")
+        hits = hits.join(_booster_sums(hits, lexicon, boosters), ["__row", "i"], "left")
         v = v + F.coalesce(F.col("boost"), F.lit(0.0))
-    prev3 = F.slice("t", F.greatest(F.col("i") - 2, F.lit(1)), F.least(F.col("i"), F.lit(3)))
-    negated = (F.col("i") > 0) & F.arrays_overlap(prev3, F.array(*[F.lit(w) for w in NEGATIONS]))
-    v = F.when(negated, v * NEGATION_SCALAR).otherwise(v)
+    n_neg = F.size(F.filter("prev", lambda x: F.lower(x).isin(*negations)))
+    v = v * F.pow(F.lit(NEGATION_SCALAR), n_neg)
     pos1 = F.col("i") + 1
     v = (F.when((F.col("but_at") > 0) & (pos1 < F.col("but_at")), v * BUT_BEFORE)
          .when((F.col("but_at") > 0) & (pos1 > F.col("but_at")), v * BUT_AFTER).otherwise(v))
-    sums = hits.groupBy("id").agg(F.sum(v).alias("s"))
-    out = tok.select("id", "bang", "qm").join(sums, "id", "left").fillna(0.0, ["s"])
+    sums = hits.groupBy("__row").agg(F.sum(v).alias("s"))
+    alike = src.groupBy("__row").agg(F.count(F.lit(1)).alias("rows"))
+    out = (tok.select("id", "__row", "bang", "qm").join(alike, "__row").join(sums, "__row", "left")
+           .withColumn("s", F.coalesce(F.col("s") / F.col("rows"), F.lit(0.0))))
     qm = F.col("qm")
     punct = (F.least(F.col("bang"), F.lit(4)) * BANG_INCREMENT
              + F.when(qm > 1, F.when(qm <= 3, qm * QUESTION_INCREMENT).otherwise(F.lit(QUESTION_MAX)))
@@ -278,14 +300,12 @@ def compound_scores(texts: DataFrame, lexicon: DataFrame, text: str = "predictio
 
 
 def _booster_sums(hits: DataFrame, lexicon: DataFrame, boosters: DataFrame) -> DataFrame:
-    """Per lexicon hit (id, i): summed booster contributions of the up to
-    three preceding tokens (keyed joins; no per-row Python)."""
-    steps = F.when(F.col("i") > 0, F.sequence(F.lit(1), F.least(F.col("i"), F.lit(3)))).otherwise(
-        F.array().cast("array<int>"))
-    cand = hits.select("id", "i", "valence", "cap_diff", "t", "o", F.explode(steps).alias("d"))
-    at = F.col("i") - F.col("d") + 1
-    cand = cand.select("id", "i", "valence", "cap_diff", "d", F.element_at("t", at).alias("ptok"),
-                       F.element_at("o", at).alias("pword"))
+    """Per lexicon hit: summed booster contributions of the up to three
+    preceding tokens, the nearest last in ``prev`` (keyed joins; no per-row
+    Python). Rows alike in identifier and text each add theirs."""
+    near = F.transform("prev", lambda x, k: F.struct(x.alias("pword"), (F.size("prev") - k).alias("d")))
+    cand = hits.select("__row", "i", "valence", "cap_diff", F.explode(near).alias("n")).select(
+        "__row", "i", "valence", "cap_diff", "n.*").withColumn("ptok", F.lower("pword"))
     cand = (cand.join(boosters.select(F.lower("token").alias("ptok"), "increment"), "ptok")
             .join(lexicon.select(F.lower("token").alias("ptok")), "ptok", "left_anti"))
     val, pw = F.col("valence"), F.col("pword")
@@ -293,7 +313,9 @@ def _booster_sums(hits: DataFrame, lexicon: DataFrame, boosters: DataFrame) -> D
     caps = F.col("cap_diff") & (pw == F.upper(pw)) & (pw != F.lower(pw))
     scalar = F.when(caps, F.when(val > 0, scalar + CAPS_INCREMENT).otherwise(scalar - CAPS_INCREMENT)).otherwise(scalar)
     scale = F.when(F.col("d") == 1, 1.0).when(F.col("d") == 2, BOOST_DECAY_2).otherwise(BOOST_DECAY_3)
-    return cand.groupBy("id", "i").agg(F.sum(scalar * scale).alias("boost"))
+    # equal entries of rows alike are one contribution
+    one = cand.groupBy("__row", "i", "d").agg(F.first(scalar * scale).alias("x"))
+    return one.groupBy("__row", "i").agg(F.sum("x").alias("boost"))
 
 
 def sentiment_summary(pairs: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -321,54 +343,55 @@ def self_bleu(pairs: DataFrame, text: str = "prediction", max_n: int = SELF_BLEU
     no unigram matches, brevity from the closest other length, ties to the
     shorter); fewer than two texts -> NaN. Whitespace tokens, case-sensitive.
 
-    Linear: per n-gram only the two largest per-text counts and the owner of
-    the largest are kept (one keyed aggregate + one join), so the clip count
-    against "all other texts" is max2 for the owner of max1 and max1 for
-    everyone else.
+    Linear and without a join on n-grams: a text that does not hold the largest
+    count of a gram alone keeps its own count when clipped against all others;
+    the one that does loses the difference to the second largest. So per text
+    and order, matches = number of grams - sum of its losses. Largest and second
+    largest come from the distinct count levels of a gram (how many texts hold it
+    how often), which are few however common the gram is. Equal texts count
+    as one with a multiplicity; identifiers are not used.
     """
-    toks = pairs.select("id", F.filter(F.split(safe_strip(text), f"{STRIP_CLASS}+"), lambda x: x != "").alias("t"))
-    toks = toks.where(F.size("t") > 0).withColumn("len", F.size("t"))
+    toks = pairs.select(F.filter(F.split(safe_strip(text), f"{STRIP_CLASS}+"), lambda x: x != "").alias("t"))
+    toks = toks.where(F.size("t") > 0).groupBy(F.xxhash64("t").alias("key")).agg(F.first("t").alias("t"), F.count(F.lit(1)).alias("k"))
+    toks = toks.withColumn("len", F.size("t"))
+
     def tagged(n: int) -> Column:
         lit_n = F.lit(n)
         return F.transform(_ngrams(F.col("t"), n), lambda g: F.struct(lit_n.alias("n"), g.alias("g")))
 
-    grams = toks.select("id", F.explode(F.flatten(F.array(*[tagged(n) for n in range(1, max_n + 1)]))).alias("e")) \
-        .select("id", "e.n", "e.g")
-    # Per-text n-gram counts feed the top-2 aggregate, the owner join and the
-    # clipping join: checkpoint them once instead of re-exploding three times.
-    cnt = cut_lineage(grams.groupBy("id", "n", "g").agg(F.count(F.lit(1)).alias("c")))
-    top1 = cnt.groupBy("n", "g").agg(F.max_by("id", F.struct("c", "id")).alias("own"), F.max("c").alias("m1"))
-    top2 = (cnt.join(top1, ["n", "g"]).where(F.col("id") != F.col("own"))
-            .groupBy("n", "g").agg(F.max("c").alias("m2")))
-    stats = top1.join(top2, ["n", "g"], "left").fillna(0, ["m2"])
-    clipped = (cnt.join(stats, ["n", "g"])
-               .select("id", "n", F.least(F.col("c"), F.when(F.col("id") == F.col("own"), F.col("m2"))
-                                           .otherwise(F.col("m1"))).alias("num")))
-    nums = clipped.groupBy("id").pivot("n", list(range(1, max_n + 1))).agg(F.sum("num"))
+    grams = toks.select("key", "k", F.explode(F.flatten(F.array(*[tagged(n) for n in range(1, max_n + 1)]))).alias("e")) \
+        .select("key", "k", "e.n", "e.g")
+    cnt = grams.groupBy("key", "k", "n", "g").agg(F.count(F.lit(1)).alias("c"))
+    levels = cnt.groupBy("n", "g", "c").agg(F.sum("k").alias("texts"), F.max("key").alias("own"))
+    top = levels.groupBy("n", "g").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "texts", "own")), False), 1, 2).alias("l"))
+    first, second = F.get("l", F.lit(0)), F.get("l", F.lit(1))
+    alone = top.where(first["texts"] == 1).select(
+        first["own"].alias("key"), "n", (first["c"] - F.coalesce(second["c"], F.lit(0))).alias("loss"))
+    losses = alone.groupBy("key").pivot("n", list(range(1, max_n + 1))).agg(F.sum("loss"))
     # Closest other length (ties -> shorter), from the length histogram. The
     # neighbour lookup orders the *distinct token counts* (at most the length
     # of the longest text), not the texts, so one task suffices.
-    hist = toks.groupBy("len").agg(F.count(F.lit(1)).alias("k"))
+    hist = toks.groupBy("len").agg(F.sum("k").alias("k"))
     w = Window.orderBy("len")
     hist = hist.select("len", "k", F.lag("len").over(w).alias("lo"), F.lead("len").over(w).alias("hi"))
     closest = F.when(F.col("k") >= 2, F.col("len")).when(
         F.col("lo").isNull(), F.col("hi")).when(F.col("hi").isNull(), F.col("lo")).when(
         F.col("len") - F.col("lo") <= F.col("hi") - F.col("len"), F.col("lo")).otherwise(F.col("hi"))
     ref_len = hist.select("len", closest.alias("rl"))
-    per = toks.select("id", "len").join(nums, "id", "left").join(ref_len, "len", "left")
+    per = toks.select("key", "k", "len").join(losses, "key", "left").join(ref_len, "len", "left")
+    nums = {n: F.greatest(F.col("len") - n + 1, F.lit(0)) - F.coalesce(F.col(str(n)), F.lit(0)) for n in range(1, max_n + 1)}
     logp = []
     for n in range(1, max_n + 1):
-        num = F.coalesce(F.col(str(n)), F.lit(0)).cast("double")
+        num = nums[n].cast("double")
         den = F.greatest(F.col("len") - n + 1, F.lit(1)).cast("double")
         p = F.when(num > 0, num / den).otherwise(F.lit(SMOOTH_EPS) / den)
         logp.append(F.log(p) / max_n)
     c, r = F.col("len").cast("double"), F.col("rl").cast("double")
     bp = F.when(c > r, F.lit(1.0)).otherwise(F.exp(1 - r / c))
-    u1 = F.coalesce(F.col("1"), F.lit(0))
-    bleu = F.when(u1 == 0, F.lit(0.0)).otherwise(bp * F.exp(reduce(lambda a, b: a + b, logp)))
-    scored = per.where(F.col("rl").isNotNull()).select(bleu.alias("b"))
-    total = toks.agg(F.count(F.lit(1)).alias("__n"))
-    sb = scored.agg(F.avg("b").alias("__m"))
+    bleu = F.when(nums[1] == 0, F.lit(0.0)).otherwise(bp * F.exp(reduce(lambda a, b: a + b, logp)))
+    scored = per.where(F.col("rl").isNotNull()).select(bleu.alias("b"), "k")
+    total = toks.agg(F.sum("k").alias("__n"))
+    sb = scored.agg((F.sum(F.col("b") * F.col("k")) / F.sum("k")).alias("__m"))
     return one_row_join([total, sb]).select(
         F.when((F.col("__n") >= 2) & F.col("__m").isNotNull(), F.col("__m")).otherwise(F.lit(NAN))
         .alias("diversity_self_bleu"))
@@ -389,33 +412,46 @@ def perplexity_summary(nll: DataFrame, max_positions: int = 128, models=("base",
 
 
 # ------------------------------------------------------------ M10 / M11
-METRIC_NAMES = (
-    [f"{n}_{m}_{s}" for n in ("rouge1", "rouge2", "rougeL") for m in ("p", "r", "f1") for s in ("mean", "std")]
-    + ["cosine_mean_corpus_mean", "cosine_mean_corpus_std", "cosine_max_sim_mean", "cosine_max_sim_std",
-       "cosine_max_sim_prop_above_95"]
-    + [f"perplexity_{m}_{k}_{s}" for m in ("base", "self") for k in ("pred", "ref") for s in ("mean", "std")]
-    + ["sentiment_compound_mean", "sentiment_compound_std", "sentiment_compound_abs_mean",
-       "sentiment_compound_abs_std", "sentiment_prop_positive", "sentiment_prop_negative", "sentiment_prop_neutral",
-       "diversity_ttr", "diversity_self_bleu"]
-)
+ROUGE_NAMES = [f"{n}_{m}_{s}" for n in ("rouge1", "rouge2", "rougeL") for m in ("p", "r", "f1") for s in ("mean", "std")]
+COSINE_NAMES = ["cosine_mean_corpus_mean", "cosine_mean_corpus_std", "cosine_max_sim_mean", "cosine_max_sim_std",
+                "cosine_max_sim_prop_above_95"]
+PERPLEXITY_NAMES = [f"perplexity_{m}_{k}_{s}" for m in ("base", "self") for k in ("pred", "ref") for s in ("mean", "std")]
+SENTIMENT_NAMES = ["sentiment_compound_mean", "sentiment_compound_std", "sentiment_compound_abs_mean",
+                   "sentiment_compound_abs_std", "sentiment_prop_positive", "sentiment_prop_negative",
+                   "sentiment_prop_neutral"]
+DIVERSITY_NAMES = ["diversity_ttr", "diversity_self_bleu"]
+METRIC_NAMES = ROUGE_NAMES + COSINE_NAMES + PERPLEXITY_NAMES + SENTIMENT_NAMES + DIVERSITY_NAMES
 METRICS_SCHEMA = T.StructType([T.StructField(n, T.DoubleType()) for n in METRIC_NAMES])
 
 
+def _nan_row(like: DataFrame, names: Sequence[str]) -> DataFrame:
+    return like.sparkSession.range(1).select(*[F.lit(NAN).alias(n) for n in names])
+
+
 def evaluate(pairs: DataFrame, lexicon: DataFrame, pred_emb: DataFrame | None = None,
-             corpus_emb: DataFrame | None = None, token_nll: DataFrame | None = None) -> DataFrame:
+             corpus_emb: DataFrame | None = None, token_nll: DataFrame | None = None,
+             ref_emb: DataFrame | None = None) -> DataFrame:
     """Every metric family in one wide row (the 40 names of
     ``METRIC_NAMES``). Empty input -> every value NaN (M11).
 
-    The cleaned pairs feed every metric family; they are checkpointed once to
-    the shared checkpoint folder so the upstream plan runs once."""
-    p = cut_lineage(clean_pairs(pairs))
-    parts = [rouge_summary(p), cosine_summary(pred_emb, corpus_emb) if pred_emb is not None
-             else p.sparkSession.range(1).select(*[F.lit(NAN).alias(n) for n in METRIC_NAMES[18:23]])]
-    if token_nll is not None:
-        ids = p.select("id")
-        parts.append(perplexity_summary(token_nll.join(ids, "id", "left_semi")))
-    else:
-        parts.append(p.sparkSession.range(1).select(*[F.lit(NAN).alias(n) for n in METRIC_NAMES[23:31]]))
+    Embeddings enter as tables: ``pred_emb`` (``vec_id, embedding``, and ``id``
+    where they belong to pairs: then only those of kept pairs count), and the
+    corpus as ``corpus_emb`` (rows whose optional ``text`` is blank are left
+    out) or, without one, ``ref_emb`` (``id, embedding``): the references of the
+    kept pairs are the corpus. The plan is lazy; a caller that has costly
+    pairs passes them materialised, since every family reads them."""
+    p = clean_pairs(pairs)
+    kept = p.select("id")
+    if pred_emb is not None and "id" in pred_emb.columns:
+        pred_emb = pred_emb.join(kept, "id", "left_semi")
+    if corpus_emb is not None and "text" in corpus_emb.columns:
+        corpus_emb = corpus_emb.where(safe_strip("text") != "")
+    if corpus_emb is None and ref_emb is not None:
+        corpus_emb = ref_emb.join(kept, "id", "left_semi")
+    parts = [rouge_summary(p), cosine_summary(pred_emb, corpus_emb) if pred_emb is not None and corpus_emb is not None
+             else _nan_row(p, COSINE_NAMES)]
+    parts.append(perplexity_summary(token_nll.join(kept, "id", "left_semi")) if token_nll is not None
+                 else _nan_row(p, PERPLEXITY_NAMES))
     parts += [sentiment_summary(p, lexicon), ttr(p), self_bleu(p)]
     row = one_row_join(parts)
     return row.select(*[F.col(n).cast("double").alias(n) for n in METRIC_NAMES])

@@ -16,7 +16,7 @@ from titlelake.session import cut_lineage
 
 
 def _pairs(spark, sf):
-    """Cleaned (reference, prediction) pairs, checkpointed: every metric reads them several times."""
+    """Cleaned (reference, prediction) pairs, checkpointed by this caller: every metric reads them several times."""
     data, _, _ = sft.prepare(fx.videos(spark, sf).withColumn("row_index", F.col("doc_id")))
     return cut_lineage(mt.clean_pairs(sft.collect_predictions(fx.generations(spark, sf), data)))
 
@@ -117,7 +117,7 @@ mx as (select p.vec_id, max(list_dot_product({UNIT.format(e='p.embedding')}, {UN
 
 @register("M4_max_cosine", MAXCOS + "select vec_id, round(max_sim, 6) as max_sim from mx")
 def q_m4(spark, sf):
-    r = mt.max_cosine(fx.pred_emb(spark, sf), fx.corpus_emb(spark, sf), block_rows=64)
+    r = mt.max_cosine(fx.pred_emb(spark, sf), fx.corpus_emb(spark, sf), pred_blocks=7, corpus_blocks=5)
     return r.select("vec_id", F.round("max_sim", 6).alias("max_sim"))
 
 
@@ -125,7 +125,7 @@ def q_m4(spark, sf):
 select round(avg(cast(max_sim >= 0.95 as double)), 6) as prop_above_95, round(avg(max_sim), 6) as max_sim_mean,
   round(stddev_pop(max_sim), 6) as max_sim_std from mx""")
 def q_m5(spark, sf):
-    s = mt.cosine_summary(fx.pred_emb(spark, sf), fx.corpus_emb(spark, sf), block_rows=64)
+    s = mt.cosine_summary(fx.pred_emb(spark, sf), fx.corpus_emb(spark, sf))
     return s.select(F.round("cosine_max_sim_prop_above_95", 6).alias("prop_above_95"),
                     F.round("cosine_max_sim_mean", 6).alias("max_sim_mean"),
                     F.round("cosine_max_sim_std", 6).alias("max_sim_std"))
@@ -135,7 +135,8 @@ NEG = "[" + ", ".join(f"'{w}'" for w in mt.NEGATIONS) + "]"
 WT = "list_filter(string_split_regex(lower(coalesce(prediction, '')), '[^\\p{L}\\p{N}_]+'), lambda w: w <> '')"
 
 
-OT = "list_filter(string_split_regex(coalesce(prediction, ''), '[^\\p{L}\\p{N}_]+'), lambda w: w <> '')"
+RAW = "regexp_replace(coalesce(prediction, ''), '([A-Za-z]+[nN])[''\u2019]([tT])([^A-Za-z]|$)', '\\1\\2\\3', 'g')"
+OT = f"list_filter(string_split_regex({RAW}, '[^\\p{{L}}\\p{{N}}_]+'), lambda w: w <> '')"
 IS_CAPS = "(o[i] = upper(o[i]) and o[i] <> lower(o[i]))"
 
 
@@ -152,8 +153,8 @@ h0 as (select tx.*, l.valence from tx join lexicon l on t[i] = lower(l.token)),
 h1 as (select id, i, but_at, t, case when cap_diff and {IS_CAPS} then
          case when valence > 0 then valence + {mt.CAPS_INCREMENT} else valence - {mt.CAPS_INCREMENT} end
          else valence end as v from h0),
-h2 as (select id, i, but_at, case when i > 1 and list_has_any(t[greatest(i - 3, 1):i - 1], {NEG})
-         then v * {mt.NEGATION_SCALAR} else v end as v from h1),
+h2 as (select id, i, but_at, v * pow({mt.NEGATION_SCALAR}, case when i > 1 then
+         len(list_filter(t[greatest(i - 3, 1):i - 1], lambda w: list_contains({NEG}, w))) else 0 end) as v from h1),
 hits as (select id, case when coalesce(but_at, 0) > 0 and i < but_at then v * {mt.BUT_BEFORE}
            when coalesce(but_at, 0) > 0 and i > but_at then v * {mt.BUT_AFTER} else v end as v from h2),
 s0 as (select tk2.id, tk2.bang, tk2.qm, coalesce(sum(h.v), 0) as s from tk2 left join hits h on tk2.id = h.id
@@ -187,12 +188,8 @@ def _bleu_sql() -> str:
 tk as (select id, t, len(t) as len from (select id, {toks} as t from pairs) a where len(t) > 0),
 gr as ({grams}),
 cnt as (select id, n, g, count(*) as c from gr group by id, n, g),
-t1 as (select n, g, max(c) as m1 from cnt group by n, g),
-ow as (select c.n, c.g, max(c.id) as own from cnt c join t1 on c.n = t1.n and c.g = t1.g and c.c = t1.m1 group by c.n, c.g),
-t2 as (select c.n, c.g, max(c.c) as m2 from cnt c join ow on c.n = ow.n and c.g = ow.g where c.id <> ow.own group by c.n, c.g),
-cl as (select c.id, c.n, least(c.c, case when c.id = ow.own then coalesce(t2.m2, 0) else t1.m1 end) as num
-       from cnt c join t1 on c.n = t1.n and c.g = t1.g join ow on c.n = ow.n and c.g = ow.g
-       left join t2 on c.n = t2.n and c.g = t2.g),
+cl as (select a.id, a.n, a.g, least(a.c, coalesce(max(b.c), 0)) as num from cnt a
+       left join cnt b on a.n = b.n and a.g = b.g and a.id <> b.id group by a.id, a.n, a.g, a.c),
 nums as (select id, sum(num) filter (where n = 1) as n1, sum(num) filter (where n = 2) as n2,
          sum(num) filter (where n = 3) as n3, sum(num) filter (where n = 4) as n4 from cl group by id),
 h as (select len, count(*) as k from tk group by len),
@@ -279,7 +276,7 @@ def q_m11(spark, sf):
     """Pairs whose prediction is blank: F12 leaves nothing, every metric is NaN."""
     data, _, _ = sft.prepare(fx.videos(spark, sf).withColumn("row_index", F.col("doc_id")))
     preds = sft.collect_predictions(fx.generations(spark, sf), data)
-    blank = preds.where(F.col("prediction") == "")
+    blank = cut_lineage(preds.where(F.col("prediction") == ""))
     return mt.evaluate(blank, fx.lexicon(spark))
 
 
@@ -315,7 +312,7 @@ def q_m12(spark, sf):
     """Two runs over the same examples: the model's predictions and the
     references echoed back as predictions."""
     data, _, _ = sft.prepare(fx.videos(spark, sf).withColumn("row_index", F.col("doc_id")))
-    preds = sft.collect_predictions(fx.generations(spark, sf), data)
+    preds = cut_lineage(sft.collect_predictions(fx.generations(spark, sf), data))
     echo = preds.withColumn("prediction", F.col("reference"))
     lex = fx.lexicon(spark)
     runs = label_runs({"model": mt.evaluate(preds, lex), "echo": mt.evaluate(echo, lex)})
