@@ -104,3 +104,87 @@ def test_curate_from_csv_round_trip(spark, scratch):
     a = curate(full, materialize=False).select(*key)
     b = curate(back, materialize=False).select(*key)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_retryable_failure_never_hides_a_later_outcome(spark, scratch):
+    rows = [(1, "a", "t", "d", "RuntimeError", "transcript_fetch_error:a:timeout", None), (2, "a", "t", "d", None, None, "text"), (3, "b", "t", "d", None, None, "b")]
+    log = spark.createDataFrame(rows, FETCH_LOG_SCHEMA)
+    for n in (1, 100):
+        for i in range(3):
+            log.where(F.col("pos") == i + 1).coalesce(1).write.mode("append").parquet(f"{scratch}/in{n}")
+        run_ingest(spark, f"{scratch}/in{n}", f"{scratch}/sink{n}", f"{scratch}/ck{n}", max_files_per_trigger=n)
+        assert sorted(r["video_id"] for r in spark.read.parquet(f"{scratch}/sink{n}").collect()) == ["a", "b"]
+    assert batch_equivalent(log).count() == 2
+
+
+def test_review_does_not_depend_on_the_batch(spark):
+    from titlelake.operators.review import review
+    v = spark.range(20).selectExpr("cast(id as string) as video_id", "concat('t', id) as title", "'c' as channelTitle", "'x' as tags")
+
+    def scorer(prompts):
+        if any('"t7"' in p for p in prompts):
+            raise RuntimeError("bad prompt")
+        return ["REMOVE"] * len(prompts)
+
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for n in ("2", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+        out = review(v, scorer, "criteria").collect()
+        assert [r["video_id"] for r in out if r["keep"]] == ["7"]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_tag_virality_keeps_rows_with_repeated_or_null_keys(spark):
+    from titlelake.operators.filters import tag_virality, virality_kept
+    rows = [("c", "a", "2020", 1), ("c", "b", "2020", 2), ("c", "d", "2020", 2), ("c", "e", "2020", 2), ("c", "x", "2021", 50), ("c", "x", "2021", 50), ("c", "y", None, 40),
+            (None, "z", "2020", 99)]
+    df = spark.createDataFrame(rows, "channelTitle string, video_id string, trending_date string, view_count long")
+    for k in (1, 2, 20):
+        tagged = tag_virality(df, ("video_id", "trending_date"), max_per_channel=k)
+        assert tagged.count() == len(rows)
+        kept = tagged.where("keep_virality").select(*df.columns)
+        want = virality_kept(df, ("video_id", "trending_date"), max_per_channel=k).select(*df.columns)
+        assert kept.count() == min(k, 3) and kept.exceptAll(want).count() == 0
+
+
+def test_plans_run_nothing_while_they_are_built(spark):
+    """Building L3, L9, M8 and M10 starts no job."""
+    from titlelake.operators import metrics as mt
+    from titlelake.plans import sft
+    rows = fx.videos(spark, SF_SMALL).withColumn("row_index", F.col("doc_id"))
+    t, emb, lex = fx.trending(spark, SF_SMALL), fx.pred_emb(spark, SF_SMALL), fx.lexicon(spark)
+    raw = fx.generations(spark, SF_SMALL)
+    spark.sparkContext.setJobGroup("build-only", "none")
+    try:
+        curate(t)
+        data, _, _ = sft.prepare(rows)
+        preds = sft.collect_predictions(raw, data)
+        mt.self_bleu(mt.clean_pairs(preds))
+        mt.evaluate(preds, lex, emb, emb)
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("build-only")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_checkpoint_folder_is_never_local_on_a_cluster():
+    from titlelake.session import ensure_checkpoint_dir
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    import pytest
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(Session())

@@ -29,5 +29,5 @@ def register(name: str, oracle: str | None = None):
 def load_all() -> None:
     """Import the modules that register queries."""
     from titlelake.queries import (  # noqa: F401
-        q_curate, q_clean, q_profile, q_functions, q_transcripts, q_sft, q_metrics, q_misc,
+        q_curate, q_clean, q_profile, q_functions, q_transcripts, q_sft, q_metrics, q_full, q_misc, q_io,
     )

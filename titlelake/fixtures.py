@@ -96,7 +96,7 @@ TRANSCRIPTS_IN = [
             "doc_id as pos",
             "video_id",
             "title",
-            "substr(description, 1, 400) as full_transcript",
+            "description as full_transcript",
             "'api' as transcript_source",
         ],
     ),
@@ -135,8 +135,7 @@ GENERATIONS = [
     "case when doc_id % 10 = 1 then concat('  \"', title, '\"', chr(10), 'second line')"
     " when doc_id % 10 = 5 then ''"
     " when doc_id % 10 = 7 then concat('''', title, '''')"
-    " else concat(substr(title, 1, cast(10 + doc_id % 30 as int)), ' ',"
-    " replace(substr(coalesce(description, ''), 200, 40), chr(10), ' ')) end as raw_output",
+    " else concat(replace(title, 'th', 't'), ' - ', coalesce(channelTitle, 'none')) end as raw_output",
 ]
 
 REVIEW_RESPONSES = [

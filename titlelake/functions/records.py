@@ -32,7 +32,6 @@ MISSING_EXCEPTIONS = ("NoTranscriptFound", "TranscriptsDisabled", "VideoUnavaila
 AGE_RESTRICTED_MSG = "This video is age-restricted"
 PRIVATE_MSG = "This video is private"
 BLOCKED_MSG = "YouTube is blocking your requests"
-RETRY_MARKER = "transcript_fetch_error:"
 API_SOURCE_TAG = "youtube_transcript_api"
 TERMINAL_STATUSES = ("missing", "age_restricted", "private", "blocked_by_youtube")
 

@@ -24,6 +24,14 @@ def shape(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows")).select("rows", F.lit(len(df.columns)).alias("columns"))
 
 
+def dtypes(df: DataFrame) -> DataFrame:
+    """A1: per column its type and its non-null count."""
+    one = df.agg(*[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(df.columns)])
+    rows = [F.struct(F.lit(c).alias("column"), F.lit(t).alias("dtype"), F.col(f"n{i}").alias("non_null"))
+            for i, (c, t) in enumerate(df.dtypes)]
+    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
 def missing_report(df: DataFrame) -> DataFrame:
     """A2: per column, null count and percentage of rows (2 decimals)."""
     cols = df.columns

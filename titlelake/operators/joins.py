@@ -36,11 +36,6 @@ def anti_by_id(df: DataFrame, ids: DataFrame, col: str = "video_id", id_col: str
     return df.join(_ids(ids, id_col), _key(df, col, stripped) == F.col("__id"), "left_anti")
 
 
-def attach_group_stat(df: DataFrame, stats: DataFrame, key: str) -> DataFrame:
-    """Left join of a per-group statistic; null keys never match."""
-    return df.join(stats, key, "left")
-
-
 def ordered_lookup(ids: DataFrame, data: DataFrame, id_col: str = "id", data_pos: str | None = None) -> DataFrame:
     """Rows of ``data`` for an ordered id list ``ids(pos, id)``: list
     order and list duplicates kept, missing ids skipped; when ``data`` has

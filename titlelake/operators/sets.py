@@ -17,16 +17,6 @@ def union_inputs(frames: list[DataFrame | None]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), present)
 
 
-def distinct_sorted(frames: list[DataFrame], col: str) -> DataFrame:
-    """Distinct union of one column, sorted."""
-    return union_inputs([f.select(col) for f in frames]).where(F.col(col).isNotNull()).distinct().orderBy(col)
-
-
-def concat_disjoint(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Union of two frames that are disjoint by construction."""
-    return a.unionByName(b)
-
-
 def head(df: DataFrame, n: int, *order_cols: str) -> DataFrame:
     """The first ``n`` rows in ``order_cols`` order; ``n = 0`` keeps all
     rows (ordered). A top-n limit is the feature here, planned as a

@@ -16,7 +16,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from titlelake.functions.numeric import with_engagement
 from titlelake.operators import filters as flt
 from titlelake.operators.windows import dedupe_titles
 from titlelake.session import cut_lineage
@@ -39,13 +38,13 @@ class CurateConfig:
     tie: tuple = TIE
 
 
-def curate_stages(df: DataFrame, cfg: CurateConfig = CurateConfig(), materialize: bool = True) -> dict:
+def curate_stages(df: DataFrame, cfg: CurateConfig = CurateConfig(), materialize: bool = False) -> dict:
     """Rows surviving each stage, keyed by stage name.
 
-    The virality survivors (at most ``max_per_channel`` rows per channel) feed
-    both the engagement-threshold subquery and the main path; with
-    ``materialize`` they are checkpointed once to the shared checkpoint
-    folder, so the source is not scanned again for the thresholds.
+    Nothing runs while the plan is built. The virality survivors (at most
+    ``max_per_channel`` rows per channel) feed both the engagement-threshold
+    subquery and the main path; ``materialize`` checkpoints them once to the
+    shared folder, where a second pass over the source costs more.
     """
     s1 = flt.virality_kept(df, cfg.tie, cfg.view_rel_min, cfg.max_per_channel)
     if materialize:
@@ -66,12 +65,12 @@ def curate_stages(df: DataFrame, cfg: CurateConfig = CurateConfig(), materialize
     return stages
 
 
-def curate(df: DataFrame, cfg: CurateConfig = CurateConfig(), materialize: bool = True) -> DataFrame:
+def curate(df: DataFrame, cfg: CurateConfig = CurateConfig(), materialize: bool = False) -> DataFrame:
     """Curated rows (input columns + like_rate, comment_rate)."""
     return list(curate_stages(df, cfg, materialize).values())[-1]
 
 
-def curate_funnel(df: DataFrame, cfg: CurateConfig = CurateConfig(), materialize: bool = True) -> DataFrame:
+def curate_funnel(df: DataFrame, cfg: CurateConfig = CurateConfig(), materialize: bool = False) -> DataFrame:
     """Rows surviving each stage, as (step, stage, rows)."""
     stages = curate_stages(df, cfg, materialize)
     parts = [d.select(F.lit(i).alias("step"), F.lit(name).alias("stage"))
@@ -80,7 +79,3 @@ def curate_funnel(df: DataFrame, cfg: CurateConfig = CurateConfig(), materialize
     for p in parts[1:]:
         u = u.unionByName(p)
     return u.groupBy("step", "stage").agg(F.count(F.lit(1)).alias("rows"))
-
-
-def with_rates(df: DataFrame) -> DataFrame:
-    return with_engagement(df)

@@ -2,10 +2,11 @@
 (A1-A7, A10). Each part is also callable on its own from
 ``titlelake.operators.aggregates``.
 
-All scalar statistics (shape, missing counts, totals, engagement means,
-title-length mean/min/max) come from ONE aggregate pass; the three medians
-share one exact-quantile pipeline; only the per-year and top-k value counts
-are separate keyed aggregates.
+All scalar statistics (shape, types, missing counts and percentages, date
+ranges as Unix seconds, describe, totals, engagement means, title-length
+mean/min/max) come from ONE aggregate pass; all medians and quartiles share
+one exact-quantile pipeline; only the per-year and top-k value counts are
+separate keyed aggregates.
 """
 
 from __future__ import annotations
@@ -27,6 +28,16 @@ def profile(df: DataFrame, top_k: int = 20) -> DataFrame:
     entries = [("shape", "rows", F.count(F.lit(1)).cast("double")),
                ("shape", "columns", F.lit(float(len(cols))))]
     entries += [("missing", c, F.count_if(F.col(c).isNull()).cast("double")) for c in cols]
+    entries += [("missing_pct", c, F.round(F.count_if(F.col(c).isNull()) / F.count(F.lit(1)) * 100, 2)) for c in cols]
+    entries += [("dtypes", f"{c}:{t}", F.lit(1.0)) for c, t in df.dtypes]
+    for c in ("publishedAt", "trending_date"):
+        if c in cols:
+            at = F.try_to_timestamp(F.col(c).cast("string"))
+            entries += [("date_range", f"{c}_{k}", F.unix_seconds(f(at)).cast("double")) for k, f in (("min", F.min), ("max", F.max))]
+    for c in num:
+        x = F.col(c).try_cast("double")
+        entries += [("describe", f"{c}_{k}", e) for k, e in (
+            ("count", F.count(x).cast("double")), ("mean", F.avg(x)), ("std", F.stddev_samp(x)), ("min", F.min(x)), ("max", F.max(x)))]
     entries += [("totals", c, F.sum(F.col(c).try_cast("double"))) for c in num]
     medians = {}
     if "view_count" in cols:
@@ -46,7 +57,12 @@ def profile(df: DataFrame, top_k: int = 20) -> DataFrame:
     one = df.agg(*[e.alias(f"v{i}") for i, (_, _, e) in enumerate(entries)])
     names = [(s, k, f"v{i}") for i, (s, k, _) in enumerate(entries)]
     if medians:
-        q = quantiles(df, [], {k: (e, 0.5) for k, (_, e) in medians.items()})
+        specs = {k: (e, 0.5) for k, (_, e) in medians.items()}
+        for c in num:
+            for k, p in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75)):
+                specs[f"{c}_{k}"] = (F.col(c).try_cast("double"), p)
+                medians[f"{c}_{k}"] = ("describe", None)
+        q = quantiles(df, [], specs)
         one = agg.attach_one_row(one, q)
         names += [(s, k, k) for k, (s, _) in medians.items()]
     parts = [one.select(F.explode(F.array(*[

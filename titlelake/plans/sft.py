@@ -2,12 +2,12 @@
 
 ``prepare`` builds the examples (id inference P13, source selection P14,
 quality gate F11, keep-first by id W3) and the seeded train/test split
-(W7). The split ranks ids by ``sha1(seed:id)`` inside each stratum. To avoid
-a window over a whole stratum (two strata = two tasks), the rank is
-assembled from (a) a running count over a small (stratum, hash-prefix)
-histogram and (b) a rank inside each hash-prefix bucket, whose rows are
-spread uniformly by the hash. k = clamp(round_half_even(n * p), 1, n - 1),
-and a stratum of one row goes to test.
+(W7). The split puts the k smallest of ``sha1(seed:id)`` of each stratum in
+the test set. No stratum is sorted: a histogram over (stratum, hash prefix)
+finds the bucket where the k-th hash lies, only that bucket's hashes are
+ranked, and the hash found becomes a cut that each row is compared with.
+k = clamp(round_half_even(n * p), 1, n - 1), and a stratum of one row goes
+to test.
 """
 
 from __future__ import annotations
@@ -19,10 +19,9 @@ from pyspark.sql import functions as F
 
 from titlelake.functions import records as rc
 from titlelake.functions.text import clean_prediction, safe_strip
-from titlelake.operators.filters import min_rows_guard, sft_quality_keep
+from titlelake.operators.filters import guard_min_rows, sft_quality_keep
 from titlelake.operators.joins import ordered_lookup
 from titlelake.operators.windows import keep_first
-from titlelake.session import cut_lineage
 
 BUCKET_HEX = 4  # 65,536 hash-prefix buckets per stratum
 
@@ -51,38 +50,41 @@ def split(ex: DataFrame, cfg: SplitConfig = SplitConfig()) -> DataFrame:
     """Examples + ``is_test`` and the O2 order keys ``order_key``."""
     if not 0.0 < cfg.test_size < 1.0:
         raise ValueError("test_size must be in (0, 1)")
-    stratum = F.col("source") if cfg.stratify_source else F.lit("")
-    h = rc.hash_key(cfg.seed, F.col("id"))
-    keyed = ex.withColumns({"__st": stratum, "__h": h, "__b": F.substring(h, 1, BUCKET_HEX)})
-    hist = keyed.groupBy("__st", "__b").agg(F.count(F.lit(1)).alias("__c"))
-    wb = Window.partitionBy("__st").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    keyed = ex.withColumns({"__st": F.col("source") if cfg.stratify_source else F.lit(""),
+                            "__h": rc.hash_key(cfg.seed, F.col("id"))})
+    ids = keyed.select("__st", "__h", F.substring("__h", 1, BUCKET_HEX).alias("__b"))  # no text travels
+    hist = ids.groupBy("__st", "__b").agg(F.count(F.lit(1)).alias("__c"))
+    by_bucket = Window.partitionBy("__st").orderBy("__b")
     n = F.sum("__c").over(Window.partitionBy("__st"))
     k_raw = F.bround(n * F.lit(cfg.test_size), 0).cast("bigint")
     k = F.when(n <= 1, F.lit(1)).otherwise(F.least(F.greatest(k_raw, F.lit(1)), n - 1))
-    hist = hist.select("__st", "__b", F.coalesce(F.sum("__c").over(wb), F.lit(0)).alias("__before"), k.alias("__k"))
-    within = F.row_number().over(Window.partitionBy("__st", "__b").orderBy("__h"))
-    ranked = keyed.join(hist, ["__st", "__b"]).withColumn("__rank", F.col("__before") + within)
-    is_test = F.col("__rank") <= F.col("__k")
+    need = k - (F.sum("__c").over(by_bucket) - F.col("__c"))  # test rows wanted from this bucket on
+    hist = hist.withColumn("__need", need)
+    edge = hist.where((F.col("__need") > 0) & (F.col("__need") <= F.col("__c")))
+    nth = F.row_number().over(Window.partitionBy("__st", "__b").orderBy("__h"))
+    cut = (ids.join(edge.select("__st", "__b", "__need"), ["__st", "__b"]).withColumn("__nth", nth)
+           .where(F.col("__nth") == F.col("__need")).select("__st", F.col("__h").alias("__cut")))
+    # One row per stratum: the sources are two fixed labels (P14), or there is one stratum.
+    out = keyed.join(F.broadcast(cut), "__st")
+    is_test = F.col("__h") <= F.col("__cut")
     order_key = F.when(is_test, rc.hash_key(cfg.seed, F.col("id"), "test")).otherwise(
         rc.hash_key(cfg.seed, F.col("id"), "train"))
-    return ranked.select(*ex.columns, is_test.alias("is_test"), order_key.alias("order_key"))
+    return out.select(*ex.columns, is_test.alias("is_test"), order_key.alias("order_key"))
 
 
 def prepare(records: DataFrame, cfg: SplitConfig = SplitConfig(), row_index: str = "row_index",
             min_examples: int | None = 20):
-    """(data, train_ids, test_ids). ``data`` is train then test, each in
-    sha1 order (U3, O2); id lists carry their order key as ``pos``. Fewer
-    than ``min_examples`` usable examples raise (F15; reads at most that
-    many rows). The examples feed the guard, the split histogram and the
-    split itself, so they are checkpointed once to the shared folder."""
-    ex = cut_lineage(examples(records, row_index))
+    """(data, train_ids, test_ids), all lazy. ``data`` carries ``is_test`` and
+    ``order_key``, by which a writer sorts (train then test, each in sha1 order:
+    U3, O2); id lists carry their order key as ``pos``. Fewer than
+    ``min_examples`` usable examples fail the job that reads the result (F15)."""
+    ex = examples(records, row_index)
     if min_examples:
-        min_rows_guard(ex, min_examples)
+        ex = guard_min_rows(ex, min_examples)
     s = split(ex, cfg)
-    data = s.select("id", "source", "source_text", "title", "is_test", "order_key") \
-        .orderBy(F.col("is_test"), F.col("order_key"))
-    train_ids = s.where(~F.col("is_test")).select(F.col("order_key").alias("pos"), "id").orderBy("pos")
-    test_ids = s.where(F.col("is_test")).select(F.col("order_key").alias("pos"), "id").orderBy("pos")
+    data = s.select("id", "source", "source_text", "title", "is_test", "order_key")
+    train_ids = s.where(~F.col("is_test")).select(F.col("order_key").alias("pos"), "id")
+    test_ids = s.where(F.col("is_test")).select(F.col("order_key").alias("pos"), "id")
     return data, train_ids, test_ids
 
 

@@ -76,16 +76,13 @@ def failed_ids(log: DataFrame) -> DataFrame:
 
 def fetch_summary(table: DataFrame, sink: DataFrame | None, log: DataFrame, pos: str = "pos") -> DataFrame:
     """Unique input ids, ids already done, ids scheduled, transcripts
-    found, distinct retryable failures."""
-    t = table.withColumn("video_id", safe_strip("video_id"))
-    uniq = keep_first(t, "video_id", pos)
-    todo = plan_fetch(table, sink, pos=pos)
-    o = fetch_outcomes(log)
-    done = sink.select(safe_strip("video_id").alias("video_id")).where("video_id <> ''").distinct() if sink is not None else None
-    parts = [uniq.agg(F.count(F.lit(1)).alias("unique_ids")),
-             (done.agg(F.count(F.lit(1)).alias("already_done")) if done is not None
-              else uniq.agg(F.lit(0).cast("bigint").alias("already_done"))),
-             todo.agg(F.count(F.lit(1)).alias("scheduled")),
+    found, distinct retryable failures (ids alone are shuffled)."""
+    ids = lambda df: df.select(safe_strip("video_id").alias("video_id")).where("video_id <> ''").distinct()
+    n = F.count(F.lit(1))
+    uniq, o = ids(table), fetch_outcomes(log)
+    done = ids(sink) if sink is not None else uniq.limit(0)
+    todo = uniq.join(done, "video_id", "left_anti")
+    parts = [uniq.agg(n.alias("unique_ids")), done.agg(n.alias("already_done")), todo.agg(n.alias("scheduled")),
              o.agg(F.count_if((F.col("status") != "retryable") & (F.col("full_transcript") != "")).alias("found"),
                    F.count_distinct("retry_id").alias("retryable"))]
     out = parts[0]
@@ -139,12 +136,12 @@ def merge_counters(inputs: DataFrame, allowed: DataFrame | None = None) -> DataF
     levels = levels.withColumn("__later", F.min("__f").over(higher))
     is_record = F.col("__later").isNull() | (F.col("__f") < F.col("__later"))
     counts = levels.agg(F.count_distinct("__id").alias("unique_ids"),
-                        (F.count_if(is_record) - F.count_distinct("__id")).alias("replaced"))
-    kept, _ = merge(inputs, allowed)
-    nonempty = kept.agg(F.count_if(safe_strip("full_transcript") != "").alias("non_empty"))
+                        (F.count_if(is_record) - F.count_distinct("__id")).alias("replaced"),
+                        # an id's best transcript is non-empty when any of its levels is
+                        F.count_distinct(F.when(F.col("__s.has") == 1, F.col("__id"))).alias("non_empty"))
     base = t.agg(F.count(F.lit(1)).alias("rows_read"), F.count_if(F.col("__id") == "").alias("missing_id"),
                  F.count_if((F.col("__id") != "") & ~F.col("__allowed")).alias("not_allowed"))
-    return _one_row_join(_one_row_join(base, counts), nonempty)
+    return _one_row_join(base, counts)
 
 
 # ------------------------------------------------------------------- L7
@@ -173,13 +170,13 @@ def cap_counters(transcripts: DataFrame, videos: DataFrame, max_per_channel: int
     t = transcripts.withColumn("__id", safe_strip("video_id"))
     cv = channel_views(videos, pos)
     e = t.join(cv, F.col("__id") == cv["video_id"], "left").drop(cv["video_id"])
-    base = e.agg(F.count(F.lit(1)).alias("rows_read"),
-                 F.count_if((F.col("__id") != "") & (F.coalesce(F.col("channel"), F.lit("")) == "")).alias("uncapped"),
-                 F.count_if(F.col("__id") == "").alias("blank_id"))
-    written = cap(transcripts, videos, max_per_channel, pos).agg(F.count(F.lit(1)).alias("written"))
-    out = _one_row_join(base, written)
-    return out.select("rows_read", "uncapped",
-                      (F.col("rows_read") - F.col("blank_id") - F.col("written")).alias("dropped"), "written")
+    # Rows per channel are enough: a channel writes at most ``max_per_channel`` of them.
+    group = F.when(F.col("__id") == "", F.lit("blank")).when(F.coalesce(F.col("channel"), F.lit("")) == "", F.lit("free")).otherwise(F.lit("capped"))
+    rows = e.groupBy(group.alias("g"), F.when(group == "capped", F.col("channel")).alias("channel")).agg(F.count(F.lit(1)).alias("n"))
+    written = F.when(F.col("g") == "capped", F.least("n", F.lit(max_per_channel))).when(F.col("g") == "free", F.col("n")).otherwise(0)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    return rows.agg(total("n").alias("rows_read"), total(F.when(F.col("g") == "free", F.col("n"))).alias("uncapped"),
+                    total(F.when(F.col("g") == "capped", F.col("n") - written)).alias("dropped"), total(written).alias("written"))
 
 
 # ------------------------------------------------------------------- L8

@@ -113,3 +113,40 @@ def q_a11b(spark, sf):
     """A11 with a deny-list naming fixture channels (the list is a parameter)."""
     cfg = CleanConfig(deny_channels=FIXTURE_DENY)
     return removal_report(tag_clean(fx.trending(spark, sf), cfg), cfg)
+
+
+# The volume rule with a threshold that some of the fixture's channels pass and some do not.
+MIXED = CleanConfig(deny_channels=FIXTURE_DENY, max_videos=99)
+MIXED_SQL = LIST_TAGGED_SQL.replace("having count(*) > 400", "having count(*) > 99")
+
+
+@register("L2_clean_kept_mixed", MIXED_SQL + "select video_id, cast(trending_date as varchar) as trending_date, title "
+          "from tk where keep")
+def q_l2_mixed(spark, sf):
+    kept, _ = clean(fx.trending(spark, sf), MIXED)
+    return kept.select("video_id", F.col("trending_date").cast("string").alias("trending_date"), "title")
+
+
+@register("A12_removal_funnel_mixed", MIXED_SQL + """
+select count(*) as before, cast(count_if(r_list) as bigint) as removed_list, cast(count_if(r_high_volume) as bigint) as removed_high_volume,
+  cast(count_if(r_promo_title) as bigint) as removed_promo_title, cast(count_if(r_category_25) as bigint) as removed_category_25,
+  cast(count_if(r_category_10) as bigint) as removed_category_10, cast(count_if(not keep) as bigint) as removed, cast(count_if(keep) as bigint) as after
+from tk""")
+def q_a12_mixed(spark, sf):
+    return removal_funnel(tag_clean(fx.trending(spark, sf), MIXED))
+
+
+@register("A11_removal_report_mixed", MIXED_SQL + """
+select channelTitle, count(*) as rows, case when max(cast(r_list as int)) = 1 then 'list' else '>99 videos' end as source
+from tk where r_list or r_high_volume group by channelTitle""")
+def q_a11_mixed(spark, sf):
+    return removal_report(tag_clean(fx.trending(spark, sf), MIXED), MIXED)
+
+
+@register("F2_high_volume_mixed", fx.duckdb_ctes("trending") + """
+select channelTitle, count(*) as rows, count(*) > 99 as over_threshold from trending
+where channelTitle is not null group by channelTitle""")
+def q_f2_mixed(spark, sf):
+    t = flt.tag_high_volume(fx.trending(spark, sf), max_videos=99)
+    return (t.where(F.col("channelTitle").isNotNull()).groupBy("channelTitle")
+            .agg(F.count(F.lit(1)).alias("rows"), F.max("high_volume").alias("over_threshold")))

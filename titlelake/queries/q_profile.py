@@ -12,6 +12,8 @@ from titlelake.plans.profile import profile
 TR = fx.duckdb_ctes("trending")
 TR_COLS = ["doc_id", "video_id", "title", "publishedAt", "channelId", "channelTitle", "categoryId",
            "trending_date", "tags", "view_count", "likes", "comment_count", "description"]
+TR_TYPES = ["bigint", "string", "string", "timestamp", "string", "string", "int", "date", "string", "bigint",
+            "bigint", "bigint", "string"]
 NUM = ["view_count", "likes", "comment_count"]
 
 
@@ -24,6 +26,12 @@ def q_a1(spark, sf):
     return agg.shape(fx.trending(spark, sf)).select("rows", F.col("columns").cast("int").alias("columns"))
 
 
+@register("A1_dtypes", TR + " union all ".join(
+    f"select '{c}' as column, '{t}' as dtype, count({c}) as non_null from trending" for c, t in zip(TR_COLS, TR_TYPES)))
+def q_a1_dtypes(spark, sf):
+    return agg.dtypes(fx.trending(spark, sf))
+
+
 @register("A2_missing", TR + " union all ".join(
     f"select '{c}' as column, cast(count_if({c} is null) as bigint) as missing, "
     f"round(count_if({c} is null) * 100.0 / count(*), 2) as missing_pct from trending" for c in TR_COLS))
@@ -100,6 +108,13 @@ def _profile_sql() -> str:
     parts = [f"select 'shape' as section, 'rows' as key, cast(count(*) as double) as value from trending",
              f"select 'shape', 'columns', {float(len(TR_COLS))}"]
     parts += [f"select 'missing', '{c}', cast(cast(count_if({c} is null) as bigint) as double) from trending" for c in TR_COLS]
+    parts += [f"select 'missing_pct', '{c}', round(count_if({c} is null) * 100.0 / count(*), 2) from trending" for c in TR_COLS]
+    parts += [f"select 'dtypes', '{c}:{t}', 1.0" for c, t in zip(TR_COLS, TR_TYPES)]
+    parts += [f"select 'date_range', '{c}_{k}', cast(epoch({k}(cast({c} as timestamp))) as double) from trending"
+              for c in ("publishedAt", "trending_date") for k in ("min", "max")]
+    parts += [f"select 'describe', '{c}_{k}', cast({e} as double) from trending" for c in NUM for k, e in (
+        ("count", f"count({c})"), ("mean", f"avg({c})"), ("std", f"stddev_samp({c})"), ("min", f"min({c})"), ("max", f"max({c})"),
+        ("p25", f"quantile_cont({c}, 0.25)"), ("p50", f"quantile_cont({c}, 0.5)"), ("p75", f"quantile_cont({c}, 0.75)"))]
     parts += [f"select 'totals', '{c}', cast(sum({c}) as double) from trending" for c in NUM]
     parts += ["select 'engagement', 'like_rate_mean', avg(likes / nullif(cast(view_count as double), 0)) from trending",
               "select 'engagement', 'like_rate_median', quantile_cont(likes / nullif(cast(view_count as double), 0), 0.5) from trending",
