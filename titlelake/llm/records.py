@@ -33,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from titlelake.llm.common import bytes_of, column, doc_rows, pieces, range_of, shared_path, small_batches, split_points, text_key, texts_of
-from titlelake.llm.tokens import tokens
+from titlelake.llm.common import bytes_of, column, doc_rows, pieces, shared_path, small_batches, split_points, text_key, texts_of
+from titlelake.llm.tokens import forget, tokens
 
 # Fixed values of the file format.
 MASK_ADD = 0xA282EAD8
@@ -55,8 +55,8 @@ def frame(doc_id: int | None, ids: bytes, width: int) -> bytes:
     return b"".join([size, struct.pack("<I", masked(size)), payload, struct.pack("<I", masked(payload))])
 
 
-def frames(data: bytes, name: str = "", bodies: bool = True) -> Iterator[tuple[int, int, int | None, bytes | int]]:
-    """``offset, size, doc_id, ids`` of each record (the number of ids instead, without reading them, if not ``bodies``)."""
+def frames(data: bytes, name: str = "") -> Iterator[tuple[int, int, int | None, bytes]]:
+    """``offset, size, doc_id, ids`` of each record, both checksums verified."""
     view, at = memoryview(data), 0
     while at < len(view):
         try:
@@ -69,14 +69,11 @@ def frames(data: bytes, name: str = "", bodies: bool = True) -> Iterator[tuple[i
                 raise ValueError("end")
             number, none, width = LEAD.unpack_from(view, body)
             doc_id = None if none else number
-            if not bodies:
-                yield at, whole, doc_id, (size - LEAD.size) // width
-            else:
-                payload = bytes(view[body : body + size])
-                if TAIL.unpack_from(view, body + size) != (masked(payload), LINE_FEED):
-                    raise ValueError("payload")
-                ids = payload[LEAD.size :]
-                yield at, whole, doc_id, ids if width == 4 else np.frombuffer(ids, f"<u{width}").astype("<u4").tobytes()
+            payload = bytes(view[body : body + size])
+            if TAIL.unpack_from(view, body + size) != (masked(payload), LINE_FEED):
+                raise ValueError("payload")
+            ids = payload[LEAD.size :]
+            yield at, whole, doc_id, ids if width == 4 else np.frombuffer(ids, f"<u{width}").astype("<u4").tobytes()
         except (ValueError, struct.error) as e:
             raise ValueError(f"damaged record at byte {at} of {name}: {e}") from e
         at += whole
@@ -87,6 +84,9 @@ def write_records(docs: DataFrame, tokenizer: str, path: str, end: int = 0, file
     in ascending ``doc_id`` order, for about ``file_bytes`` of text a file."""
     small_batches(docs.sparkSession)
     parts = max(1, -(-bytes_of(docs) // file_bytes))
+    own = doc_rows(docs).withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    points = np.array(split_points(own, "doc_id", parts), dtype=np.int64)
+    first = np.iinfo(np.int64).min  # where null identifiers go
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, last = tokens(tokenizer), int(end).to_bytes(4, "little")
@@ -94,14 +94,13 @@ def write_records(docs: DataFrame, tokenizer: str, path: str, end: int = 0, file
         for batch in batches:
             for part in pieces(batch):
                 ids = codec.encode(texts_of(part))
-                own = column(part, "doc_id")
+                doc_ids = column(part, "doc_id")
+                place = np.searchsorted(points, doc_ids.fill_null(first).to_numpy(zero_copy_only=False))
                 yield pa.RecordBatch.from_arrays([
-                    column(part, "part"), own, column(part, "tk"), pa.array([frame(d, x + last, width) for d, x in zip(own.to_pylist(), ids)], pa.binary()),
+                    pa.array(place, pa.int32()), doc_ids, column(part, "tk"), pa.array([frame(d, x + last, width) for d, x in zip(doc_ids.to_pylist(), ids)], pa.binary()),
                 ], ["part", "doc_id", "tk", "frame"])
 
-    own = doc_rows(docs).withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    own = own.select("doc_id", "text", text_key().alias("tk"), range_of("doc_id", split_points(own, "doc_id", parts)).alias("part"))
-    framed = own.mapInArrow(encode, "part int, doc_id bigint, tk bigint, frame binary")
+    framed = own.withColumn("tk", text_key()).mapInArrow(encode, "part int, doc_id bigint, tk bigint, frame binary")
     ordered = framed.repartition(parts, "part").sortWithinPartitions("part", "doc_id", "tk")
     ordered.select("part", F.col("frame").cast("string").alias("value")).write.partitionBy("part").option("lineSep", "\n").text(path)
 
@@ -111,24 +110,28 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def build_index(spark: SparkSession, path: str, index: str) -> DataFrame:
-    """Write and return ``part, path, offset, size, doc_id, n_tokens, before`` of every record; only heads are read."""
+    """Read every file once, verify both checksums of each record, and write and return
+    ``part, path, offset, size, doc_id, n_tokens, before, ids_crc32``: where a record is, its
+    number of ids, the ids before it in its file, and the CRC-32 of its ids as
+    little-endian unsigned 32-bit integers."""
 
-    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()  # the encoder's words; this worker reads now
         for batch in batches:
             for path, data in zip(column(batch, "path").to_pylist(), column(batch, "content")):
-                found = list(frames(data.as_buffer(), path, bodies=False))
-                n = np.array([x[3] for x in found], dtype=np.int64)
+                found = [(at, size, doc_id, len(ids) // 4, zlib.crc32(ids)) for at, size, doc_id, ids in frames(data.as_buffer(), path)]
+                cols = list(zip(*found)) or [()] * 5
+                n = np.array(cols[3], dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([part_of(path)] * len(found), pa.int32()), pa.array([path] * len(found), pa.string()), pa.array([x[0] for x in found], pa.int64()),
-                    pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.int64()), pa.array(n), pa.array(np.cumsum(n) - n),
-                ], ["part", "path", "offset", "size", "doc_id", "n_tokens", "before"])
+                    pa.array([part_of(path)] * len(found), pa.int32()), pa.array([path] * len(found), pa.string()), pa.array(cols[0], pa.int64()),
+                    pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(n), pa.array(np.cumsum(n) - n), pa.array(cols[4], pa.int64()),
+                ], ["part", "path", "offset", "size", "doc_id", "n_tokens", "before", "ids_crc32"])
 
-    found = _files(spark, path).mapInArrow(heads, INDEX)
-    found.write.parquet(index)
+    _files(spark, path).mapInArrow(entries, INDEX).write.parquet(index)
     return spark.read.schema(INDEX).parquet(index)
 
 
-INDEX = "part int, path string, offset bigint, size bigint, doc_id bigint, n_tokens bigint, before bigint"
+INDEX = "part int, path string, offset bigint, size bigint, doc_id bigint, n_tokens bigint, before bigint, ids_crc32 bigint"
 
 
 def part_of(path: str) -> int:
@@ -192,6 +195,4 @@ def encode_and_read_back(docs: DataFrame, tokenizer: str, path: str | None = Non
     path = path or shared_path(spark, "records")
     write_records(docs, tokenizer, f"{path}/data")
     index = build_index(spark, f"{path}/data", f"{path}/index")
-    places = index.join(starts(index), "part").select("part", "offset", (F.col("base") + F.col("before")).alias("start"))
-    read = read_records(spark, f"{path}/data").select("part", "offset", "doc_id", F.expr("length(ids) div 4").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
-    return read.join(places, ["part", "offset"]).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return index.join(starts(index), "part").select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")

@@ -99,3 +99,10 @@ def tokens(path: str) -> Tokens:
     if path not in _open:
         _open[path] = Tokens(path)
     return _open[path]
+
+
+def forget() -> None:
+    """Drop the words that this worker remembers."""
+    for own in _open.values():
+        own.known.clear()
+        own.known.old = {}
