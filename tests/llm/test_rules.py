@@ -35,7 +35,7 @@ def test_pairs_are_learned_beyond_weights():
     rows = labelled(3000, random.Random(3), lambda a, b: a != b)
     cfg = toxicity_fm.Config(epochs=40)
     bits = cfg.hash_bits
-    slots = [np.unique([toxicity_fm.slot_of(w, bits) for w in set(t.split())]).astype("<i4") for _, t, _ in rows]
+    slots = [toxicity_fm.all_slots(t, bits) for _, t, _ in rows]
     model = toxicity_fm.train(slots[:2400], np.array([y for *_, y in rows[:2400]]), 0.48, cfg)
     score = model.score([t for _, t, _ in rows[2400:]])
     right = np.mean((score >= 0.5) == np.array([y for *_, y in rows[2400:]]))
@@ -60,6 +60,14 @@ def test_held_out_accuracy_and_edges(spark, edge_docs, no_docs):
     assert kept.columns == edge_docs.columns
 
 
+def test_inflected_words_are_known_by_their_beginnings():
+    rng = random.Random(8)
+    rows = [(" ".join([f"w{rng.randint(0, 200)}" for _ in range(30)] + (["zorkel" + rng.choice("abcdefgh") * rng.randint(1, 9)] if y else [])), y) for y in [0, 1] * 300]
+    cfg = toxicity_fm.Config()
+    model = toxicity_fm.train([toxicity_fm.all_slots(t, cfg.hash_bits) for t, _ in rows], np.array([y for _, y in rows]), 0.5, cfg)
+    assert (model.score(["w1 w2 zorkelxyz", "w1 w2 zebra", ""]) >= 0.5).tolist()[:2] == [True, False]
+
+
 def test_labels_of_the_held_out_fifth_are_never_read(spark):
     rows = labelled(600, random.Random(5), lambda a, b: a and b)
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")

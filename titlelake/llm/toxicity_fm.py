@@ -1,11 +1,12 @@
 """Toxicity by a factorization machine over hashed terms.
 
-Terms are the distinct lower-cased words of a text, hashed.  A first look at
-a bounded sample of labelled rows keeps the slots that tell the classes apart
-best (log-likelihood ratio); the machine then learns for each slot a weight
-and a vector, so that a pair of slots (an insult and the mention of a group)
-adds the product of their vectors beyond the two weights.  Scoring a text is
-one pass over its distinct words.
+Terms are the distinct lower-cased words of a text and their beginnings of
+four to six letters (abuse is inflected and compounded like any word), hashed
+to 30 bits.  A first look at a bounded sample of labelled rows keeps the
+slots that tell the classes apart best (log-likelihood ratio); the machine
+then learns for each slot a weight and a vector, so that a pair of slots (an
+insult and the mention of a group) adds the product of their vectors beyond
+the two weights.  Scoring a text is one pass over its distinct words.
 
 Cases: a null or empty text has no term and gets the intercept's score; a
 text of any length is read whole; rows repeat freely; an empty table gives an
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 from titlelake.llm.common import doc_rows, small_batches
 
 WORD = re.compile(r"\w+")
+BEGINNINGS = (4, 5, 6)
 #: Distinct words remembered for each worker.
 CACHE_WORDS = 400_000
 
@@ -36,11 +39,13 @@ CACHE_WORDS = 400_000
 @dataclass
 class Config:
     """``sample_rows`` bounds the labelled rows that training sees, half of
-    them at most with label 1; nothing else is bounded."""
+    them at most with label 1; nothing else is bounded.  ``least_gain`` is the
+    log-likelihood ratio that a slot must reach (chance gives 15 to one in 9,000)."""
 
     sample_rows: int = 12_000
-    hash_bits: int = 20
+    hash_bits: int = 30
     slots: int = 1024
+    least_gain: float = 15.0
     factors: int = 4
     epochs: int = 12
     batch: int = 256
@@ -61,6 +66,9 @@ class Model:
     factor: np.ndarray
     cache: dict = field(default_factory=dict, repr=False, compare=False)
 
+    def __post_init__(self) -> None:
+        self.ordered = self.slots.tolist()
+
     def __getstate__(self):
         return self.__dict__ | {"cache": {}}
 
@@ -70,23 +78,31 @@ class Model:
         for w in set(WORD.findall(text.lower())):
             at = cache.get(w)
             if at is None:
-                h = slot_of(w, self.bits)
-                i = int(np.searchsorted(self.slots, h))
-                at = i if i < len(self.slots) and self.slots[i] == h else -1
                 if len(cache) >= CACHE_WORDS:
                     cache.clear()
-                cache[w] = at
-            if at >= 0:
-                found.add(at)
+                at = cache[w] = tuple(i for h in slots_of(w, self.bits) if (i := self._place(h)) >= 0)
+            if at:
+                found.update(at)
         return sorted(found)
 
+    def _place(self, slot: int) -> int:
+        i = bisect_left(self.ordered, slot)
+        return i if i < len(self.ordered) and self.ordered[i] == slot else -1
+
     def score(self, texts: list[str]) -> np.ndarray:
         rows = [self.terms(t) for t in texts]
         return sigmoid(margins(self.bias, self.weight, self.factor, *ragged(rows))[0])
 
 
-def slot_of(word: str, bits: int) -> int:
-    return zlib.crc32(word.encode("utf-8", "surrogatepass")) >> (32 - bits)
+def slots_of(word: str, bits: int) -> list[int]:
+    """Slots of the word and of its beginnings (marked, so that a short word is no beginning)."""
+    terms = [word, *("^" + word[:n] for n in BEGINNINGS if len(word) >= n)]
+    return [zlib.crc32(t.encode("utf-8", "surrogatepass")) >> (32 - bits) for t in terms]
+
+
+def all_slots(text: str, bits: int) -> np.ndarray:
+    """Distinct slots of a text, ascending."""
+    return np.unique(np.array([h for w in set(WORD.findall(text.lower())) for h in slots_of(w, bits)], dtype="<i4"))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -127,21 +143,17 @@ def train(rows: list[np.ndarray], labels: np.ndarray, share: float, cfg: Config)
     if not n_pos or not n_neg:
         p = min(max(share, 1e-6), 1 - 1e-6)
         return Model(cfg.hash_bits, float(np.log(p / (1 - p))), np.zeros(0, np.int64), np.zeros(0), np.zeros((0, cfg.factors)))
-    size = 1 << cfg.hash_bits
-    pos, neg = np.zeros(size), np.zeros(size)
-    for r, one in zip(rows, y):
-        (pos if one else neg)[r] += 1
-    gain = np.where(pos + neg >= 3, ratio(pos, neg, n_pos, n_neg), 0.0)
-    # slots whose gain chance alone would not give among so many candidates
-    floor = 2 * np.log(max(2, int((pos + neg >= 3).sum())))
-    kept = np.sort(np.argsort(-gain, kind="stable")[: cfg.slots])
-    kept = kept[gain[kept] > floor]
-    model = Model(cfg.hash_bits, 0.0, kept.astype(np.int64), np.zeros(len(kept)), np.zeros((len(kept), cfg.factors)))
+    every, count = np.unique(np.concatenate(rows), return_counts=True)
+    every, count = every[count >= 3], count[count >= 3]
+    own = [np.searchsorted(every, r[np.isin(r, every, assume_unique=True)]) for r, one in zip(rows, y) if one]
+    pos = np.bincount(np.concatenate(own), minlength=len(every)).astype(float)
+    gain = ratio(pos, count - pos, n_pos, n_neg)
+    best = np.argsort(-gain, kind="stable")[: cfg.slots]
+    kept = np.sort(every[best[gain[best] > cfg.least_gain]]).astype(np.int64)
+    model = Model(cfg.hash_bits, 0.0, kept, np.zeros(len(kept)), np.zeros((len(kept), cfg.factors)))
     rng = np.random.default_rng(cfg.seed)
     model.factor = rng.normal(0, 0.01, model.factor.shape)
-    place = np.full(size, -1, dtype=np.int64)
-    place[kept] = np.arange(len(kept))
-    sparse = [(p := place[r])[p >= 0] for r in rows]
+    sparse = [np.searchsorted(kept, r[np.isin(r, kept, assume_unique=True)]) for r in rows]
     bias, g_bias = float(np.log(n_pos / n_neg)), 1e-8
     g_w, g_v = np.full(len(kept), 1e-8), np.full(model.factor.shape, 1e-8)
     for _ in range(cfg.epochs):
@@ -186,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, cfg: Config = Config(), label: str =
     @F.pandas_udf("binary")
     def slots(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in texts:
-            yield pd.Series([np.unique(np.fromiter((slot_of(w, bits) for w in set(WORD.findall(t.lower()))), dtype="<i4")).tobytes() for t in part])
+            yield pd.Series([all_slots(t, bits).tobytes() for t in part])
 
     # the sample is at most about ``sample_rows`` rows of two numbers: a bounded broadcast and a bounded collect
     got = doc_rows(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "y", slots("text").alias("s")).collect()
