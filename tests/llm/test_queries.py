@@ -50,9 +50,32 @@ def test_pipeline_stages(spark):
         assert own[0][0] == 0 and all(a[0] + a[1] == b[0] for a, b in zip(own, own[1:]))
 
 
-def test_empty_tables(spark, no_docs):
-    import public_tokenizers  # noqa: F401
+def test_stages_on_edge_rows(spark, edge_docs):
+    docs = edge_docs
+    for name, stage in corpus_pipeline.STAGES:
+        after = stage(spark, docs, SF)
+        rows = after.collect()
+        if name == "packing":
+            ids = {r["doc_id"] for r in rows}
+        else:
+            assert after.columns == edge_docs.columns, name
+            docs = spark.createDataFrame(rows, after.schema)
+    kept = {r["doc_id"] for r in docs.collect()}
+    assert ids == kept and {None, 2, 3, 8, -3} <= kept  # nulls, empty and very long texts are kept
+    assert not {5, 15} & kept  # copies of 1 and 13 are not
+
 
+def test_stored_tables_can_be_cleared(spark):
+    from titlelake.llm import common
+
+    frame = common.stored(spark.range(3), "x")
+    path = common._written[-1]
+    assert frame.count() == 3
+    common.clear_stored(spark)
+    assert not common._written and not spark._jvm.java.io.File(path.removeprefix("file:")).exists()
+
+
+def test_empty_tables(spark, no_docs):
     docs = no_docs
     for name, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)

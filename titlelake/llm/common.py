@@ -35,16 +35,29 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/titlelake-{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, *partition: str) -> DataFrame:
+_written: list[str] = []
+
+
+def clear_stored(spark: SparkSession) -> None:
+    """Delete the tables that ``stored`` wrote in this session; call it when no
+    result that reads them is needed any more."""
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     It cuts lineage as ``checkpoint()`` does (a lost executor costs a re-read)
-    and keeps column pruning for the readers.
+    and keeps column pruning for the readers.  Results are lazy and read these
+    tables, so they stay until ``clear_stored``.
     """
     spark, path = df.sparkSession, shared_path(df.sparkSession, name)
-    writer = df.write.partitionBy(*partition) if partition else df.write
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition else spark.read.parquet(path)
+    _written.append(path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def doc_rows(docs: DataFrame, *more: str) -> DataFrame:
