@@ -11,18 +11,20 @@ from titlelake.functions.text import safe_strip
 # The two system-prompt wordings (training says 30-70
 # characters, inference says 50-80), the user-prompt sentence and the
 # review-prompt layout, stated as the reference writes them.
-SYSTEM_PROMPT_TRAIN = """You are an expert YouTube title generator. Your task is to create compelling, accurate titles that capture the essence of video content.
+# The two prompts differ in the length they ask for.
+SYSTEM_PROMPT = """You are an expert YouTube title generator. Your task is to create compelling, accurate titles that capture the essence of video content.
 
 Guidelines for generating YouTube titles:
 1. Be accurate and truthful - the title must reflect the actual content
 2. Make it compelling and click-worthy while staying honest
-3. Keep titles concise (ideally 30-70 characters, max 100 characters)
+3. Keep titles concise (ideally {ideal} characters, max 100 characters)
 4. Use natural language that viewers would search for
 5. Highlight the most interesting or valuable aspect
 6. Create a curiosity gap without being misleading
 
 Generate only the title itself, nothing else."""
-SYSTEM_PROMPT_INFER = SYSTEM_PROMPT_TRAIN.replace("ideally 30-70 characters", "ideally 50-80 characters")
+SYSTEM_PROMPT_TRAIN = SYSTEM_PROMPT.format(ideal="30-70")
+SYSTEM_PROMPT_INFER = SYSTEM_PROMPT.format(ideal="50-80")
 
 USER_PROMPT_TAIL = "\n\nGenerate the YouTube title:"
 

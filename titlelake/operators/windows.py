@@ -122,7 +122,7 @@ def best_by_score(df: DataFrame, key: str, score: Column, order_cols: Sequence[s
 
 def cap_per_group(df: DataFrame, group: str, n: int, views: str, tie: str) -> DataFrame:
     """Top-n rows per group by views desc, id asc; rows without a group pass."""
-    grouped = df.where(F.col(group).isNotNull() & (F.col(group) != ""))
-    free = df.where(F.col(group).isNull() | (F.col(group) == ""))
-    capped = top_k_per_group(grouped, [group], [F.col(views).desc(), F.col(tie)], n)
-    return capped.unionByName(free)
+    free = F.col(group).isNull() | (F.col(group) == "")
+    # a row without a group is a group of its own, so one plan ranks all rows
+    own = df.withColumns({"__group": F.when(~free, F.col(group)), "__single": F.when(free, F.monotonically_increasing_id())})
+    return top_k_per_group(own, ["__group", "__single"], [F.col(views).desc(), F.col(tie)], n).drop("__group", "__single")

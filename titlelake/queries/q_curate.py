@@ -129,7 +129,7 @@ union all select 1, 'virality', (select count(*) from f9)
 union all select 2, 'engagement', (select count(*) from f10)
 union all select 3, 'dedupe', (select count(*) from dd)""")
 def q_a13(spark, sf):
-    f = curate_funnel(fx.trending(spark, sf))
+    f = curate_funnel(fx.trending(spark, sf), materialize=True)  # four consumers of the survivors
     return f.select(F.col("step").cast("int").alias("step"), "stage", "rows")
 
 
