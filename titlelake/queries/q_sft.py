@@ -91,6 +91,19 @@ def q_l10(spark, sf):
     return sft.training_text(data, tr)
 
 
+@register("L10_chat_rows", ex_sql(False) + f"""
+select id, source, 3 as turns,
+  {_turn('system', _sq(rc.SYSTEM_PROMPT_TRAIN))} || chr(10) ||
+  {_turn('user', _user_sql('source', "source_text"))} || chr(10) ||
+  {_turn('assistant', 'title')} as text
+from sp""")
+def q_l10_chat(spark, sf):
+    """The message form of every example, rendered to text for comparison."""
+    data, _, _ = _prep(spark, sf)
+    rows = sft.chat_rows(data)
+    return rows.select("id", "source", F.size("messages").alias("turns"), rc.messages_to_text("messages").alias("text"))
+
+
 @register("L10_inference_prompts", ex_sql(False) + f"""
 select sha1('42:test:' || id) as pos, id, lower({strip_sql('source')}) as source,
   {_turn('system', _sq(rc.SYSTEM_PROMPT_INFER))} || chr(10) ||
