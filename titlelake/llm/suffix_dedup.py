@@ -289,9 +289,10 @@ def find_repeats(keyed: DataFrame, length: int) -> DataFrame:
     blocks = stored(keyed.mapInArrow(scan, "k1 bigint, k2 bigint, v bigint, c bigint, lo bigint, hi bigint, again boolean"), "blocks")
     anchors = blocks.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("again")).filter("n > 1 or again").select("v")
     near = stored(blocks.join(anchors, "v", "left_semi"), "near")
-    contents = near.groupBy("v", "c").agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("again"), F.min(F.struct("k1", "k2", "lo", "hi")).alias("one"))
+    # counts are tables of their own: a join of two tables on a hot anchor can be split, one with an aggregate can't
+    contents = stored(near.groupBy("v", "c").agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("again"), F.min(F.struct("k1", "k2", "lo", "hi")).alias("one")), "contents")
     whole = near.join(contents.filter("n > 1").select("v", "c"), ["v", "c"]).select("k1", "k2", "lo", (F.col("hi") + length).alias("hi"))
-    several = contents.groupBy("v").agg(F.count(F.lit(1)).alias("m"), F.max("again").alias("again")).filter("m > 1 or again").select("v", "m")
+    several = stored(contents.groupBy("v").agg(F.count(F.lit(1)).alias("m"), F.max("again").alias("again")).filter("m > 1 or again").select("v", "m"), "several")
     deal = F.ceil(F.col("m") / SHARD_BLOCKS).cast("int")
     open_ = contents.select("v", "c", "n", "one.*").join(several, "v").select("*", deal.alias("deal"))
     open_ = open_.withColumn("salt", F.pmod(F.xxhash64("c"), "deal").cast("int"))
@@ -340,7 +341,9 @@ def find_repeats(keyed: DataFrame, length: int) -> DataFrame:
 
     once = keyed.join(want, ["k1", "k2"])
     data = once.mapInArrow(fetch, "v bigint, n bigint, deal int, salt int, k1 bigint, k2 bigint, lo bigint, data binary")
-    shards = data.repartition("v", "salt").sortWithinPartitions("v", "salt").mapInArrow(sort, RUNS_DDL)
+    # as many tasks as the session's shuffles have: the work of a shard is far more than its bytes say
+    tasks = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = data.repartition(tasks, "v", "salt").sortWithinPartitions("v", "salt").mapInArrow(sort, RUNS_DDL)
     # finished runs are spread by document; fingerprint ranges meet by anchor and range
     by = F.when(F.col("prints").isNull(), F.xxhash64("k1")).otherwise(F.xxhash64("v", "part"))
     found = shards.withColumn("by", by).repartition("by").sortWithinPartitions("v", "part").mapInArrow(merge, "k1 bigint, k2 bigint, lo bigint, hi bigint")
