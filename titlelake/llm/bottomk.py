@@ -129,8 +129,8 @@ def with_next(docs: DataFrame, range_bytes: int = 8 << 20) -> DataFrame:
     marked = own.join(F.broadcast(table), F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("tk") == F.col("h_tk")), "left")
     places = F.when(F.col("target").isNull(), F.array(F.struct(F.col("part"), F.lit(0).alias("ahead")))).otherwise(
         F.array(F.struct(F.col("part"), F.lit(0).alias("ahead")), F.struct(F.col("target").alias("part"), F.lit(1).alias("ahead"))))
-    return marked.select("doc_id", "tk", "text", F.explode(places).alias("p")).select("p.part", "p.ahead", "doc_id", "tk", "text").repartition(
-        parts, "part").sortWithinPartitions("part", "ahead", F.col("doc_id").desc(), F.col("tk").desc())
+    return marked.select("doc_id", "tk", "text", F.explode(places).alias("p")).select("p.part", "p.ahead", "doc_id", "tk", "text").repartitionById(
+        parts, F.col("part")).sortWithinPartitions("part", "ahead", F.col("doc_id").desc(), F.col("tk").desc())
 
 
 def edited(text: str, after: str) -> str:

@@ -101,7 +101,7 @@ def write_records(docs: DataFrame, tokenizer: str, path: str, end: int = 0, file
                 ], ["part", "doc_id", "tk", "frame"])
 
     framed = own.withColumn("tk", text_key()).mapInArrow(encode, "part int, doc_id bigint, tk bigint, frame binary")
-    ordered = framed.repartition(parts, "part").sortWithinPartitions("part", "doc_id", "tk")
+    ordered = framed.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "doc_id", "tk")
     ordered.select("part", F.col("frame").cast("string").alias("value")).write.partitionBy("part").option("lineSep", "\n").text(path)
 
 
