@@ -2,7 +2,8 @@
 
 Each stage reads what the one before it kept, as Parquet.  All stages but the last
 return the columns of ``documents``; the last returns the packed pieces.  Near duplicates take
-five-word shingles at a resemblance of 0.8, repeated passages strings of 400 bytes.
+five-word shingles at a resemblance of 0.8, repeated passages ``PASSAGE_WORDS`` words or strings of 400 bytes
+(texts without white space have few words).
 """
 
 from __future__ import annotations
@@ -18,6 +19,10 @@ from titlelake.llm.suffix_dedup import without_repeats
 from titlelake.llm.toxicity_fm import drop_toxic
 
 
+#: Words of the shortest passage that may stand once only.
+PASSAGE_WORDS = 51
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents not predicted toxic; the labels teach, and only those outside the held-out fifth."""
     source = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -30,8 +35,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that stand anywhere else."""
-    return without_repeats(docs)
+    """Texts without the passages of over 50 words that stand anywhere else."""
+    return without_repeats(docs, words=PASSAGE_WORDS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -177,3 +177,41 @@ def test_pipeline_form_keeps_columns(edge_docs):
     rows = {r["doc_id"]: r for r in out.collect()}
     assert rows[1]["text"] == "" and rows[1]["n_chars"] == 0  # document 5 holds the same text
     assert rows[2]["text"] is None
+
+
+def test_pipeline_stage_removes_passages_of_over_50_words(spark):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    some = lambda n, size: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(*size))) for _ in range(n))
+    long, short, only50, left, right = some(51, (4, 6)), some(51, (1, 2)), some(50, (4, 6)), some(30, (4, 6)), some(30, (4, 6))
+    dense = "".join(chr(rng.randint(0x4E00, 0x9000)) for _ in range(200))  # 600 bytes without white space
+    assert len(long) < 400 and len(short) < 160
+    around = [(some(60, (3, 7)), some(80, (3, 7))) for _ in range(14)]
+    inner = [long, long.replace(" ", "\n", 20), short, short, only50, only50, left + " " + right, left, right, dense, dense, some(70, (3, 7)), "", long + " " + short]
+    texts = [f"{a} {x} {b}" for (a, b), x in zip(around, inner)]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, n_chars bigint")
+    got = {r["doc_id"]: r for r in corpus_pipeline.passage_dedup(spark, docs, "").collect()}
+    removed = {0, 1, 2, 3, 13}
+    for i, ((a, b), t) in enumerate(zip(around, texts)):
+        want = (f"{a}  {b}" if i in removed else f"{a} {b}" if i in (9, 10) else t)
+        if i == 13:  # two passages, the space between them is of neither
+            want = f"{a}   {b}"
+        if i in (9, 10):  # byte strings take the equal spaces around too
+            assert got[i]["text"].replace(" ", "") == want.replace(" ", "")
+        else:
+            assert got[i]["text"] == want, i
+        assert got[i]["n_chars"] == len(got[i]["text"])
+
+
+def test_word_passages_against_brute_force(spark):
+    rng = random.Random(13)
+    pool = [[rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.randint(20, 90))] for _ in range(12)]
+    texts = [" \t".join(w for _ in range(rng.randint(1, 6)) for w in rng.choice(pool)) for _ in range(40)] + ["", "x " * 200, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["text"] for r in suffix_dedup.without_repeats(docs, 1 << 20, 51).collect()}
+    own = [(t or "").split() for t in texts]
+    count = Counter(tuple(w[i : i + 51]) for w in own for i in range(len(w) - 50))
+    for d, w in enumerate(own):
+        gone = {j for i in range(len(w) - 50) if count[tuple(w[i : i + 51])] > 1 for j in range(i, i + 51)}
+        assert (got[d] or "").split() == [x for j, x in enumerate(w) if j not in gone], d

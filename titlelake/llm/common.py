@@ -38,11 +38,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
 _written: list[str] = []
 
 
-def clear_stored(spark: SparkSession) -> None:
-    """Delete the tables that ``stored`` wrote in this session; call it when no
-    result that reads them is needed any more."""
+def clear_stored(spark: SparkSession, since: int = 0) -> None:
+    """Delete the tables that ``stored`` wrote in this session (after the first
+    ``since``); call it when no result that reads them is needed any more."""
     conf = spark._jsparkSession.sessionState().newHadoopConf()
-    while _written:
+    while len(_written) > since:
         path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
         path.getFileSystem(conf).delete(path, True)
 
@@ -60,6 +60,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_so_far() -> int:
+    return len(_written)
+
+
+def settled(df: DataFrame, name: str, since: int) -> DataFrame:
+    """``stored``, and the tables written after the first ``since``, which only ``df`` reads, are deleted."""
+    out = stored(df, name)
+    own = _written.pop()
+    clear_stored(df.sparkSession, since)
+    _written.append(own)
+    return out
+
+
 def doc_rows(docs: DataFrame, *more: str) -> DataFrame:
     """``doc_id``, ``text`` (null as empty) and the named columns only."""
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)

@@ -23,12 +23,16 @@ everything; copies, rows repeated in identifier and text among them, lose all
 that lies in a repeated string; long and periodic texts are cut
 into blocks of at most ``BLOCK_STARTS`` starts under the same anchor, so no step
 holds more than a shard; an empty table gives an empty result.
+
+``without_repeats`` can also remove passages by their number of words: the same
+search runs over texts written as one ``CODE``-byte hash a word, so a passage of so many
+words is a string of fixed length, however short the words are.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,10 +41,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from titlelake.llm.common import column, doc_rows, pieces, small_batches, stored, texts_of
-from titlelake.llm.shingles import mix
+from titlelake.llm.common import column, doc_rows, pieces, settled, small_batches, stored, stored_so_far, texts_of
+from titlelake.llm.shingles import _hashes, mix
 
 GRAM = 128
+#: Bytes of a word's hash, and of the substrings that anchors are taken from in texts of such hashes.
+CODE, CODE_GRAM = 4, 64
 BLOCK_STARTS, CHUNK_STARTS = 4096, 1 << 20
 #: Different blocks of an anchor in one shard, and the bytes at which a task starts the next suffix array.
 SHARD_BLOCKS, SHARD_BYTES = 2000, 2 << 20
@@ -76,16 +82,16 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def blocks_of(data: bytes, length: int) -> list[tuple[int, int, int, int, bool]]:
+def blocks_of(data: bytes, length: int, gram: int = GRAM) -> list[tuple[int, int, int, int, bool]]:
     """``anchor, first start, last start, hash of the bytes, again`` of each block; ``again``: the anchor's hash stands in several places of the text."""
     n = len(data) - length + 1
     if n <= 0:
         return []
-    raw, wide = np.frombuffer(data, np.uint8), length - GRAM + 1
+    raw, wide = np.frombuffer(data, np.uint8), length - gram + 1
     anchor, first, seen = [], [], []
     for at in range(0, n, CHUNK_STARTS):
         part = raw[at : min(n, at + CHUNK_STARTS) + length - 1]
-        grams = mix(rolling(part, GRAM, _BASE))
+        grams = mix(rolling(part, gram, _BASE))
         least = sliding_min(grams, wide)
         cut = np.append(0, np.flatnonzero(least[1:] != least[:-1]) + 1)
         anchor.append(least[cut])
@@ -269,7 +275,30 @@ def _keys() -> tuple[Column, Column]:
     return F.xxhash64("doc_id", "text").alias("k1"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("k2")
 
 
-def find_repeats(keyed: DataFrame, length: int) -> DataFrame:
+def text_bytes(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
+
+
+def word_codes(text: str) -> bytes:
+    """``CODE`` bytes for each word; words are runs without ASCII white space, told apart by case."""
+    own = text_bytes(text).split()
+    return np.fromiter(map(_hashes.__getitem__, own), np.uint64, len(own)).astype("<u4").tobytes()
+
+
+def word_ranges(text: str, spans: list[tuple[int, int]], words: int) -> list[tuple[int, int]]:
+    """Byte ranges in the text of repeated strings of ``words`` codes: only those that start at a word."""
+    raw = np.frombuffer(text_bytes(text), np.uint8)
+    space = np.concatenate([[True], (raw == 32) | (raw >= 9) & (raw <= 13), [True]])
+    first, last = np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
+    out = []
+    for lo, hi in spans:
+        a, b = -(-lo // CODE), (hi - words * CODE) // CODE
+        if a <= b:
+            out.append((int(first[a]), int(last[b + words - 1])))
+    return out
+
+
+def find_repeats(keyed: DataFrame, length: int, encode: Callable[[str], bytes] = text_bytes, gram: int = GRAM) -> DataFrame:
     """``k1, k2, spans`` (byte ranges, end exclusive, that may overlap) of the documents that hold a repeat."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,7 +306,7 @@ def find_repeats(keyed: DataFrame, length: int) -> DataFrame:
             for part in pieces(batch):
                 found, row = [], []
                 for i, t in enumerate(texts_of(part)):
-                    own = blocks_of(t.encode("utf-8", "surrogatepass"), length)
+                    own = blocks_of(encode(t), length, gram)
                     found += own
                     row += [i] * len(own)
                 cols = list(zip(*found)) or [[]] * 5
@@ -304,7 +333,7 @@ def find_repeats(keyed: DataFrame, length: int) -> DataFrame:
             for part in pieces(batch, 1 << 20):
                 def rows():
                     for k1, k2, t, own in zip(*(column(part, c).to_pylist() for c in ("k1", "k2", "text", "want"))):
-                        data = t.encode("utf-8", "surrogatepass")
+                        data = encode(t)
                         for x in own:
                             yield {"v": x["v"], "n": x["n"], "deal": x["deal"], "salt": x["salt"], "k1": k1, "k2": k2, "lo": x["lo"], "data": data[x["lo"] : x["hi"] + length]}
                 yield from _batches(rows(), schema)
@@ -399,25 +428,39 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
         digest, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<array<bigint>>")
 
 
-def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
-    """The documents with their repeated runs cut out of ``text``; a character
+def without_repeats(docs: DataFrame, length: int = 400, words: int | None = None) -> DataFrame:
+    """The documents with their repeated runs cut out of ``text``: strings of ``length``
+    bytes, and where ``words`` is given passages of so many words too, in any white space.  A character
     that a run covers in part stays.  Other columns stay as they are, but for
     ``n_chars``, which follows the text where there is one."""
+    if words is not None and words * CODE < CODE_GRAM:
+        raise ValueError(f"words must be {CODE_GRAM // CODE} at least")
     small_batches(docs.sparkSession)
-    spans = find_repeats(keyed_docs(docs), length)
+    keyed, mark = keyed_docs(docs), stored_so_far()
+    spans = find_repeats(keyed, length).withColumn("word_spans", F.lit(None).cast("array<struct<lo:bigint,hi:bigint>>"))
+    if words is not None:
+        # each search's tables go before the next one's are written
+        spans = settled(spans, "byte-spans", mark)
+        mark = stored_so_far()
+        found = settled(find_repeats(keyed, words * CODE, word_codes, CODE_GRAM), "word-spans", mark)
+        spans = spans.drop("word_spans").join(found.withColumnRenamed("spans", "word_spans"), ["k1", "k2"], "full")
 
     @F.pandas_udf("string")
-    def trimmed(text: pd.Series, value: pd.Series) -> pd.Series:
-        return pd.Series([whole_characters(t, _spans_of(s)) for t, s in zip(text, value)])
+    def trimmed(text: pd.Series, value: pd.Series, by_word: pd.Series) -> pd.Series:
+        def runs(t, own, ws):
+            more = [] if ws is None else word_ranges(t, [(x["lo"], x["hi"]) for x in ws], words)
+            return union_of(_spans_of(own) + more)
+
+        return pd.Series([whole_characters(t, runs(t, s, w)) for t, s, w in zip(text, value, by_word)])
 
     names = docs.columns
     own = docs.withColumn("__text", F.coalesce("text", F.lit("")))
     k1, k2 = F.xxhash64("doc_id", "__text"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0))
-    spans = spans.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("spans").alias("__spans"))
+    spans = spans.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("spans").alias("__spans"), F.col("word_spans").alias("__words"))
     own = own.withColumn("__a", k1).withColumn("__b", k2).join(spans, (F.col("__a") == F.col("__k1")) & (F.col("__b") == F.col("__k2")), "left")
-    own = own.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(trimmed("__text", "__spans")))
+    own = own.withColumn("text", F.when(F.col("__k1").isNull(), F.col("text")).otherwise(trimmed("__text", "__spans", "__words")))
     if "n_chars" in names:
-        own = own.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        own = own.withColumn("n_chars", F.when(F.col("__k1").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return own.select(*names)
 
 
