@@ -214,6 +214,17 @@ def test_spans_map_to_the_original():
     assert found(pair)[1] == [(12, 1, len(pair))]
 
 
+@pytest.mark.parametrize("first, second", [
+    ("token%3Dhunter2abc", "token%3Dhunter2abc"),
+    ("token%3Dhunter2abc", base64.b64encode(b"token=hunter2abc").decode()),
+    (urllib.parse.quote(base64.b64encode(b"x: token=hunter2abc").decode()), base64.b64encode(b"x: token=hunter2abc").decode()),
+])
+def test_equal_secrets_are_reported_at_every_place(first, second):
+    more = found(f"a {first} b {second} c")[1]
+    assert any(2 <= lo < hi <= 2 + len(first) for lo, _, hi in more)
+    assert any(5 + len(first) <= lo < hi <= 5 + len(first) + len(second) for lo, _, hi in more)
+
+
 def test_cycles_bombs_and_base_rules():
     assert secret_scan.scan("%2525 " * 50).layers < 10
     bomb = base64.b64encode(zlib.compress(b"a" * 5_000_000)).decode()

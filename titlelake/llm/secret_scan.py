@@ -3,8 +3,8 @@ r"""Secret scans with a recursive decoding worklist.
 Three kinds are looked for in a text and in every layer that can be decoded from it:
 percent escapes, \\u, \\x and numeric character escapes, base64, and
 compressed (gzip, zlib) data within base64.  Layers wait in a worklist
-until nothing new decodes; a layer whose text was seen before is not opened again, so
-cycles end.  Each decoded character carries the span of the original text
+until nothing new decodes; a layer whose text came from the same place of the
+original before is not opened again, so cycles end and a copy elsewhere is.  Each decoded character carries the span of the original text
 that it came from, and a find in a layer is reported as the span of its
 first to last character there.
 
@@ -59,7 +59,7 @@ class Layer:
 class Found:
     base: list[tuple[int, int, int]] = field(default_factory=list)  # start, kind, end
     all: list[tuple[int, int, int]] = field(default_factory=list)
-    layers: int = 0
+    layers: int = 0  # with different texts
     oversize: int = 0
 
 
@@ -169,11 +169,10 @@ def _reads(data: bytes) -> bool:
 def scan(text: str, most_bytes: int = 16 << 20) -> Found:
     """All finds of a text and its layers."""
     out = Found(sorted(finds(text)))
-    every, seen, work = set(out.base), {text}, deque([Layer(text)])
+    every, seen, work = set(out.base), set(), deque([Layer(text)])
     while work:
         layer = work.popleft()
         if layer.begin is not None:
-            out.layers += 1
             every.update((layer.span(lo, hi)[0], kind, layer.span(lo, hi)[1]) for lo, kind, hi in finds(layer.text))
         inner = []
         if "%" in layer.text:
@@ -185,10 +184,10 @@ def scan(text: str, most_bytes: int = 16 << 20) -> Found:
             out.oversize += large
             inner.append(got)
         for new in inner:
-            if new is not None and new.text not in seen:
-                seen.add(new.text)
+            if new is not None and (key := (new.text, tuple(new.begin), tuple(new.end))) not in seen:
+                seen.add(key)
                 work.append(new)
-    out.all = sorted(every)
+    out.all, out.layers = sorted(every), len({text for text, *_ in seen})
     return out
 
 
