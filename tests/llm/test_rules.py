@@ -277,6 +277,16 @@ def test_formats_and_coreference(spark):
         assert gone.lower() not in " ".join(out).lower()
 
 
+def test_shortest_entities_pass_the_hint(spark):
+    """By itself in a text, the shortest match of every pattern is replaced."""
+    short = {"email": "a@b.cd", "iban": "AB12 CDEF GHIJ KLMN", "ip": "8.8.4.4", "ssn": "123-45-6789", "card": "4080-250821-78762", "phone": "+1 2 34 56", "name": "Mr Ab"}
+    assert set(short) == set(pii_surrogates.PATTERNS)
+    texts = [f"see {x} ok" for x in short.values()]
+    out = surrogates(spark, [*texts, "no 8.8.4.4 12"])
+    assert not [k for k, a, b in zip(short, texts, out) if a == b]
+    assert out[-1].split()[1] == out[list(short).index("ip")].split()[1]  # one surrogate for one address
+
+
 def test_distinct_entities_stay_distinct(spark):
     texts = [f"Mr. A{''.join(chr(97 + int(c)) for c in str(i))} and u{i}@x{i % 7}.org and {i:04d} 5555 4444 {i * 7 % 10000:04d}" for i in range(400)]
     out = surrogates(spark, texts)

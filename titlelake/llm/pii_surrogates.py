@@ -68,7 +68,7 @@ def any_entity() -> str:
 
 
 #: What every entity holds; spares other texts the long pattern.
-HINT = rf"@|[0-9]{{2,}}|(?:{FEMALE}|{MALE}|{EITHER})\.? \p{{Lu}}"
+HINT = rf"@|[0-9]{{2,}}|[0-9]\.[0-9]|(?:{FEMALE}|{MALE}|{EITHER})\.? \p{{Lu}}"
 
 
 def kind_of(entity: Column) -> Column:
