@@ -152,6 +152,22 @@ def test_blocks_do_not_depend_on_chunks(monkeypatch):
     assert all(x[4] for x in cut if x[1] > 6_100)  # the anchor stands in many places of the periodic part
 
 
+def test_repeats_at_chunk_borders(monkeypatch):
+    """A periodic run at a border: a block that holds a string twice says so, wherever its anchor's places are."""
+    monkeypatch.setattr(suffix_dedup, "CHUNK_STARTS", 700)
+    rng, length, held = random.Random(3), 400, 0
+    for _ in range(300):
+        unit = bytes(rng.randrange(256) for _ in range(rng.randint(20, 130)))
+        lead, tail = rng.randint(400, 699), rng.randint(1, 500)
+        data = rng.randbytes(lead) + (unit * 60)[: rng.randint(420, 900)] + rng.randbytes(tail)
+        for _, lo, hi, _, again in suffix_dedup.blocks_of(data, length):
+            own = [data[i : i + length] for i in range(lo, hi + 1)]
+            if len(set(own)) < len(own):
+                held += 1
+                assert again
+    assert held > 20
+
+
 def test_suffix_array_and_prefixes():
     rng = random.Random(1)
     for _ in range(30):

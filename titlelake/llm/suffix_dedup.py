@@ -88,7 +88,7 @@ def blocks_of(data: bytes, length: int, gram: int = GRAM) -> list[tuple[int, int
     if n <= 0:
         return []
     raw, wide = np.frombuffer(data, np.uint8), length - gram + 1
-    anchor, first, seen = [], [], []
+    anchor, first, seen, before = [], [], [], np.uint64(0)
     for at in range(0, n, CHUNK_STARTS):
         part = raw[at : min(n, at + CHUNK_STARTS) + length - 1]
         grams = mix(rolling(part, gram, _BASE))
@@ -97,7 +97,9 @@ def blocks_of(data: bytes, length: int, gram: int = GRAM) -> list[tuple[int, int
         anchor.append(least[cut])
         first.append(cut + at)
         own = grams[: len(least)] if at + CHUNK_STARTS < n else grams  # a place counts in one chunk
-        seen.append(own[own <= least.max()])
+        # the windows of the chunk before reach into this one, with anchors of their own
+        seen.append(own[own <= max(least.max(), before)])
+        before = least[-wide:].max()
     anchor, first, seen = np.concatenate(anchor), np.concatenate(first), np.sort(np.concatenate(seen))
     fresh = np.append(True, anchor[1:] != anchor[:-1])
     anchor, first = anchor[fresh], first[fresh]
