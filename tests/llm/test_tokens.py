@@ -134,3 +134,12 @@ def test_damage_is_found():
             list(records.frames(bytes(bad)))
     with pytest.raises(ValueError, match="damaged record"):
         list(records.frames(data[:-2]))
+
+
+def test_pieces_are_numbered_within_their_bucket(edge_docs):
+    rows = packing_pow2.digests(packing_pow2.pack(edge_docs.repartition(3), PATH, size=256)).collect()
+    assert all(1 << r["bucket"] == r["length"] for r in rows)
+    own = {}
+    for r in rows:
+        own.setdefault((r["bucket"], r["bucket_sequence"] >> 40), []).append(r["bucket_sequence"] & (1 << 40) - 1)
+    assert len({b for b, _ in own}) > 4 and all(sorted(x) == list(range(len(x))) for x in own.values())
