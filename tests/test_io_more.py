@@ -177,3 +177,22 @@ def test_csv_to_parquet_prunes_columns(spark, scratch):
     assert sorted(tuple(r) for r in df.collect()) == [("v1", "a\nb"), ("v2", "c")]
     plan = df.where("video_id = 'v2'").select("title")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(video_id), EqualTo(video_id,v2)]" in plan
+
+
+@pytest.mark.parametrize("name", ["q_s6", "q_s9"])
+def test_large_channels_are_several_documents(spark, scratch, monkeypatch, name):
+    """No document gathers a channel: rows of a document stay near the limit, and all are read back."""
+    import glob
+    import re
+
+    from titlelake.queries import q_io
+
+    rows = spark.range(1200).selectExpr("concat('v', id) as video_id", "if(id < 1000, 'hot', concat('c', id % 20)) as channelId", "concat('t', id) as title", "'x' as tags")
+    monkeypatch.setattr(q_io, "DOCUMENT_ROWS", 100)
+    monkeypatch.setattr(q_io.fx, "videos", lambda spark, sf: rows)
+    monkeypatch.setattr(q_io, "_scratch", lambda spark, name: f"{scratch}/{name}")
+    got = [r[0] for r in getattr(q_io, name)(spark, "").collect()]
+    assert sorted(got) == sorted(f"v{i}" for i in range(1200))
+    files = [open(f).read() for f in glob.glob(f"{scratch}/*/channelId=hot/part-*")]
+    assert 5 <= len(files) <= 10
+    assert max(len(re.findall(r'"v[0-9]', x)) for x in files) <= 160
