@@ -225,6 +225,28 @@ def test_equal_secrets_are_reported_at_every_place(first, second):
     assert any(5 + len(first) <= lo < hi <= 5 + len(first) + len(second) for lo, _, hi in more)
 
 
+B64 = lambda b: base64.b64encode(b).decode()
+WRAPPED = base64.encodebytes(b"some words that come before it, many of them, " * 2 + SECRET.encode()).decode()
+
+
+@pytest.mark.parametrize("own", [
+    "password%3A hunter2abc", r"\u0022password\u0022: \u0022hunter2abc\u0022", "http://x.org/caf%E9/?token%3Dhunter2abc", WRAPPED, WRAPPED.replace("\n", "\\n"),
+    "https://x.io/cb/" + B64(b"x: token=hunter2abc, and more"), "io/c/" + B64(zlib.compress(SECRET.encode())), B64(b"caf\xe9 \x01\x02\x03 token=hunter2abc"),
+])
+def test_whole_layers(own):
+    base, more = found(f"a {own} b")
+    assert any(2 <= lo < hi <= 2 + len(own) and kind == 0 for lo, kind, hi in more)
+
+
+def test_large_layers_are_scanned_in_parts():
+    rng = random.Random(1)
+    plain = bytes(rng.choice(b"klmnop \n") for _ in range(40_000))
+    for at in (0, 3990, 20_000, 40_000):
+        own = B64(zlib.compress(plain[:at] + b" " + SECRET.encode() + b" " + plain[at:]))
+        f = secret_scan.scan(f"a {own} b", most_bytes=4000)
+        assert f.oversize == 1 and [x[1] for x in f.all if x not in f.base] and all(2 <= lo < hi <= 2 + len(own) for lo, _, hi in f.all)
+
+
 def test_cycles_bombs_and_base_rules():
     assert secret_scan.scan("%2525 " * 50).layers < 10
     bomb = base64.b64encode(zlib.compress(b"a" * 5_000_000)).decode()

@@ -2,7 +2,9 @@ r"""Secret scans with a recursive decoding worklist.
 
 Three kinds are looked for in a text and in every layer that can be decoded from it:
 percent escapes, \\u, \\x and numeric character escapes, base64, and
-compressed (gzip, zlib) data within base64.  Layers wait in a worklist
+compressed (gzip, zlib) data within base64.  A layer of escapes is the whole text
+with all of them decoded in place; base64 is joined over line ends and read from each
+path segment on; bytes that are no text stay where they hold a find or a layer.  Layers wait in a worklist
 until nothing new decodes; a layer whose text came from the same place of the
 original before is not opened again, so cycles end and a copy elsewhere is.  Each decoded character carries the span of the original text
 that it came from, and a find in a layer is reported as the span of its
@@ -11,22 +13,22 @@ first to last character there.
 Cases: a null or empty text has no span; texts of any length are scanned
 whole; equal texts have equal spans; repeated rows are each scanned; an empty
 table gives an empty result.  A compressed layer of more than
-``most_bytes`` is a decompression bomb: the row says so in ``n_oversize`` and
-the layer is not opened.
+``most_bytes`` is scanned in parts of that size that overlap by ``OVERLAP`` bytes, one
+part in memory at a time, and the row counts it in ``n_oversize``.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import re
 import zlib
-from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 
 from titlelake.llm.common import column, doc_rows, pieces, small_batches, texts_of
@@ -37,10 +39,14 @@ ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 
-TOKEN = re.compile(r"\S+")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
-ONE_PERCENT = re.compile(r"%([0-9A-Fa-f]{2})")
+RUN = r"[A-Za-z0-9+/_-]"
+BASE64 = re.compile(rf"(?<!{RUN}){RUN}{{16,}}={{0,2}}")
+LINE_END = re.compile(r"[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t]*")
+JOINED = re.compile(rf"(?<!{RUN}){RUN}{{4,}}+(?:{LINE_END.pattern}{RUN}++)+={{0,2}}")
+PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ONE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#(\d{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
+#: Bytes that parts of a large layer share.
+OVERLAP = 1 << 16
 
 
 @dataclass
@@ -48,11 +54,16 @@ class Layer:
     """A text and, for each of its characters, where it began and ended in the original (None: the original itself)."""
 
     text: str
-    begin: list[int] | None = None
-    end: list[int] | None = None
+    begin: np.ndarray | None = None
+    end: np.ndarray | None = None
+    part: bool = False  # may begin within a run
 
     def span(self, lo: int, hi: int) -> tuple[int, int]:
-        return (lo, hi) if self.begin is None else (self.begin[lo], self.end[hi - 1])
+        return (lo, hi) if self.begin is None else (int(self.begin[lo]), int(self.end[hi - 1]))
+
+    def of(self, text: str, first: np.ndarray, last: np.ndarray, part: bool = False) -> Layer:
+        """A layer whose characters come from the characters ``first`` to ``last`` of this one."""
+        return Layer(text, *((first, last + 1) if self.begin is None else (self.begin[first], self.end[last])), part)
 
 
 @dataclass
@@ -76,118 +87,148 @@ def finds(text: str) -> Iterator[tuple[int, int, int]]:
         yield m.start(), 2, m.end()
 
 
-def _from_bytes(data: bytes, begin: list[int], end: list[int]) -> Layer | None:
-    """Characters of UTF-8 bytes with the bytes' spans; None unless it reads as text."""
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    if not text or sum(c.isprintable() or c in "\t\n\r" for c in text) < 0.9 * len(text):
-        return None
-    first, last, at = [], [], 0
-    for c in text:
-        n = len(c.encode("utf-8"))
-        first.append(begin[at])
-        last.append(end[at + n - 1])
-        at += n
-    return Layer(text, first, last)
-
-
-def tokens_with(escape: re.Pattern, text: str) -> list[tuple[int, int]]:
-    """Runs without white space that hold an escape."""
-    return [m.span() for m in TOKEN.finditer(text) if escape.search(text, *m.span())]
-
-
-def unescape_percent(layer: Layer, lo: int, hi: int) -> Layer | None:
-    data, begin, end, at = bytearray(), [], [], lo
-    while at < hi:
-        m = ONE_PERCENT.match(layer.text, at, hi)
-        own = bytes([int(m[1], 16)]) if m else layer.text[at].encode("utf-8", "surrogatepass")
-        to = m.end() if m else at + 1
-        a, b = layer.span(at, to)
-        data += own
-        begin += [a] * len(own)
-        end += [b] * len(own)
-        at = to
-    return _from_bytes(bytes(data), begin, end)
-
-
-def unescape_unicode(layer: Layer, lo: int, hi: int) -> Layer | None:
-    out, begin, end, at = [], [], [], lo
-    while at < hi:
-        m = ONE_ESCAPE.match(layer.text, at, hi)
-        to, c = (m.end(), 0) if m else (at + 1, ord(layer.text[at]))
-        if m:
-            c = int(m[1] or m[2] or m[4], 16) if not m[3] else int(m[3])
-        a, b = layer.span(at, to)
-        if 0xDC00 <= c < 0xE000 and out and 0xD800 <= out[-1] < 0xDC00:  # the second half of a pair
-            out[-1] = 0x10000 + (out[-1] - 0xD800 << 10) + c - 0xDC00
-            end[-1] = b
+def characters(data: bytes) -> tuple[str, np.ndarray, np.ndarray, bool]:
+    """Text of the bytes, each character's first and last byte, and whether all are UTF-8; a byte that is not becomes U+FFFD."""
+    text = data.decode("utf-8", "surrogateescape")
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").copy()
+    lone = (code >= 0xDC80) & (code <= 0xDCFF)
+    size = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
+    size[lone] = 1
+    last = np.cumsum(size) - 1
+    if lone.any():
+        code[lone] = 0xFFFD
+        text = code.tobytes().decode("utf-32-le", "surrogatepass")
+    return text, last - size + 1, last, not lone.any()
+
+
+def holds(text: str) -> bool:
+    """A find or something that decodes."""
+    return any(True for _ in finds(text)) or any(p.search(text) for p in (PERCENT, ONE_ESCAPE, BASE64))
+
+
+def reads(text: str) -> bool:
+    return sum(c.isprintable() or c in "\t\n\r" for c in text) >= 0.9 * len(text)
+
+
+def in_place(layer: Layer, decoded: list[tuple[int, int, str, np.ndarray, np.ndarray]]) -> Layer:
+    """The text with each ``lo, hi, text, first, last`` in place of its characters ``lo`` to ``hi``."""
+    out, first, last, at = [], [], [], 0
+    for lo, hi, own, a, b in [*decoded, (len(layer.text), 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64))]:
+        same = np.arange(at, lo)
+        out += [layer.text[at:lo], own]
+        first += [same, a]
+        last += [same, b]
+        at = hi
+    return layer.of("".join(out), np.concatenate(first), np.concatenate(last))
+
+
+def unescape_percent(layer: Layer) -> Iterator[Layer]:
+    decoded = []
+    for m in PERCENT.finditer(layer.text):
+        own, first, last, _ = characters(bytes.fromhex(m[0].replace("%", "")))
+        decoded.append((m.start(), m.end(), own, m.start() + 3 * first, m.start() + 3 * last + 2))
+    if decoded:
+        yield in_place(layer, decoded)
+
+
+def unescape_unicode(layer: Layer) -> Iterator[Layer]:
+    decoded: list[list[int]] = []
+    for m in ONE_ESCAPE.finditer(layer.text):
+        c = int(m[1] or m[2] or m[4], 16) if not m[3] else int(m[3])
+        if 0xDC00 <= c < 0xE000 and decoded and decoded[-1][1] == m.start() and 0xD800 <= decoded[-1][2] < 0xDC00:  # the second half of a pair
+            decoded[-1][1:] = m.end(), 0x10000 + (decoded[-1][2] - 0xD800 << 10) + c - 0xDC00
         else:
-            out.append(min(c, 0x10FFFF))
-            begin.append(a)
-            end.append(b)
-        at = to
-    return Layer("".join(map(chr, out)), begin, end)
-
-
-def unwrap_base64(layer: Layer, lo: int, hi: int, most: int) -> tuple[Layer | None, bool]:
-    """The decoded layer, inflated if it is compressed, and whether it was too large."""
-    body = layer.text[lo:hi].rstrip("=").replace("-", "+").replace("_", "/")
+            decoded.append([m.start(), m.end(), min(c, 0x10FFFF)])
+    if decoded:
+        yield in_place(layer, [(lo, hi, chr(c), np.array([lo]), np.array([hi - 1])) for lo, hi, c in decoded])
+
+
+def inflated(data: bytes, most: int) -> Iterator[bytes]:
+    """What gzip or zlib data holds, up to its first error, in overlapping parts of at most ``most`` bytes."""
+    opened, held, fresh = zlib.decompressobj(47), b"", False
+    for at in range(0, len(data), 4096):
+        rest = data[at : at + 4096]
+        while True:
+            try:
+                more = opened.decompress(rest, most - len(held))
+            except zlib.error:
+                more, at = b"", len(data)
+                rest = b""
+            else:
+                rest = opened.unconsumed_tail
+            held, fresh = held + more, fresh or bool(more)
+            if len(held) >= most:
+                yield held
+                held, fresh = held[-min(OVERLAP, most // 2) :], False
+            elif not rest:
+                break
+        if at == len(data) or opened.eof:
+            break
+    if fresh:
+        yield held
+
+
+def unwrap_base64(layer: Layer, most: int, out: Found) -> Iterator[Layer]:
+    for m in (*BASE64.finditer(layer.text), *JOINED.finditer(layer.text)):
+        lo, hi = m.start(), m.start() + len(m[0].rstrip("="))
+        ends = [x.span() for x in LINE_END.finditer(layer.text, lo, hi)] if m.re is JOINED else []
+        lines = list(zip([lo, *(b for _, b in ends)], [*(a for a, _ in ends), hi]))
+        body, place = "".join(layer.text[a:b] for a, b in lines), np.concatenate([np.arange(a, b) for a, b in lines])
+        if len(body) < 16:
+            continue
+        # a path segment, a line or a part may begin anywhere; what follows reads the same from any place in step with it
+        starts = {0, *np.cumsum([b - a for a, b in lines])[:-1].tolist(), *(x.end() for x in re.finditer("[/_-]", body))}
+        body = body.replace("-", "+").replace("_", "/")
+        opened = False
+        for at in sorted(starts):
+            head = base64.b64decode(body[at : at + 4]) if at + 16 <= len(body) else b""
+            if head[:2] == b"\x1f\x8b" or head and head[0] & 15 == 8 and (head[0] << 8 | head[1]) % 31 == 0:
+                for k, plain in enumerate(inflated(_decoded(body[at:]), most)):
+                    text = characters(plain)[0]
+                    out.oversize += k == 1
+                    opened |= at == 0
+                    if reads(text[:4096]) or holds(text):
+                        yield layer.of(text, np.full(len(text), place[at]), np.full(len(text), place[-1]), True)
+        for at in sorted({0, 1, 2, 3} if layer.part else {x % 4 for x in starts}):
+            data = _decoded(body[at:])
+            text, first, last, utf8 = characters(data)
+            if not opened and at == 0 and utf8 and reads(text) or holds(text):
+                yield layer.of(text, place[at + first * 4 // 3], place[at + ((last + 1) * 4 + 2) // 3 - 1])
+
+
+def _decoded(body: str) -> bytes:
     if len(body) % 4 == 1:
         body = body[:-1]
-    try:
-        data = base64.b64decode(body + "=" * (-len(body) % 4))
-    except (binascii.Error, ValueError):
-        return None, False
-    if data[:2] == b"\x1f\x8b" or len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0:
-        opened = zlib.decompressobj(47)  # gzip or zlib by its head
-        try:
-            plain = opened.decompress(data, most)
-        except zlib.error:
-            plain = b""
-        if plain:
-            if opened.unconsumed_tail:
-                return None, True
-            a, b = layer.span(lo, hi)
-            return _from_bytes(plain, [a] * len(plain), [b] * len(plain)), False
-    if any(c >= 0x80 for c in data[:4]) and _reads(data) is False:
-        return None, False
-    n = len(data)
-    span = [layer.span(lo + i * 4 // 3, lo + min(len(body), (i + 1) * 4 // 3 + 1)) for i in range(n)]
-    return _from_bytes(data, [s[0] for s in span], [s[1] for s in span]), False
-
-
-def _reads(data: bytes) -> bool:
-    try:
-        data.decode("utf-8")
-    except UnicodeDecodeError:
-        return False
-    return True
+    return base64.b64decode(body + "=" * (-len(body) % 4))
 
 
 def scan(text: str, most_bytes: int = 16 << 20) -> Found:
-    """All finds of a text and its layers."""
+    """All finds of a text and its layers, the deepest first, so that only a layer and those it came from are held."""
     out = Found(sorted(finds(text)))
-    every, seen, work = set(out.base), set(), deque([Layer(text)])
+    every, seen, texts = set(out.base), set(), set()
+
+    def inner(layer: Layer) -> Iterator[Layer]:
+        yield from unescape_percent(layer)
+        yield from unescape_unicode(layer)
+        yield from unwrap_base64(layer, most_bytes, out)
+
+    work = [inner(Layer(text))]
     while work:
-        layer = work.popleft()
-        if layer.begin is not None:
-            every.update((layer.span(lo, hi)[0], kind, layer.span(lo, hi)[1]) for lo, kind, hi in finds(layer.text))
-        inner = []
-        if "%" in layer.text:
-            inner += [unescape_percent(layer, lo, hi) for lo, hi in tokens_with(ONE_PERCENT, layer.text)]
-        if "\\" in layer.text or "&#" in layer.text:
-            inner += [unescape_unicode(layer, lo, hi) for lo, hi in tokens_with(ONE_ESCAPE, layer.text)]
-        for m in BASE64.finditer(layer.text):
-            got, large = unwrap_base64(layer, m.start(), m.end(), most_bytes)
-            out.oversize += large
-            inner.append(got)
-        for new in inner:
-            if new is not None and (key := (new.text, tuple(new.begin), tuple(new.end))) not in seen:
-                seen.add(key)
-                work.append(new)
-    out.all, out.layers = sorted(every), len({text for text, *_ in seen})
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
+        own = xxhash.xxh3_128_digest(layer.text.encode("utf-8", "surrogatepass"))
+        key = own + xxhash.xxh3_128_digest(layer.begin.tobytes() + layer.end.tobytes())
+        if not layer.text or key in seen:
+            continue
+        seen.add(key)
+        texts.add(own)
+        for lo, kind, hi in finds(layer.text):
+            a, b = layer.span(lo, hi)
+            every.add((a, kind, b))
+        work.append(inner(layer))
+    out.all, out.layers = sorted(every), len(texts)
     return out
 
 
