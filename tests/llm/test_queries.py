@@ -23,7 +23,11 @@ def test_query_matches_sql(spark, name):
     assert got[cols].sort_values(cols).reset_index(drop=True).astype(str).equals(want[cols].sort_values(cols).reset_index(drop=True).astype(str))
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+#: One row for each vector or phrase: their own tests hold them.
+OTHER_ROWS = {"op13_embedding_whitening"}
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - OTHER_ROWS))
 def test_query_covers_the_table(spark, name):
     ids = {r["doc_id"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()}
     got = entry.queries()[name](spark, SF)

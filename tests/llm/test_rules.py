@@ -30,18 +30,61 @@ def labelled(n, rng, rule):
     return rows
 
 
-def test_pairs_are_learned_beyond_weights():
+def fit_rows(spark, rows, cfg):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id bigint, toxic int")
+    return toxicity_fm.fit(docs, labels, cfg)
+
+
+def test_pairs_are_learned_beyond_weights(spark):
     """Neither term alone decides (exclusive or): only the product of vectors tells the classes apart."""
     rows = labelled(3000, random.Random(3), lambda a, b: a != b)
-    cfg = toxicity_fm.Config(epochs=40)
-    bits = cfg.hash_bits
-    slots = [toxicity_fm.all_slots(t, bits) for _, t, _ in rows]
-    model = toxicity_fm.train(slots[:2400], np.array([y for *_, y in rows[:2400]]), 0.48, cfg)
+    # a term alone has no gain here: all slots are kept
+    model = fit_rows(spark, [(t, y) for _, t, y in rows[:2400]], toxicity_fm.Config(epochs=40, least_gain=-1.0))
     score = model.score([t for _, t, _ in rows[2400:]])
     right = np.mean((score >= 0.5) == np.array([y for *_, y in rows[2400:]]))
     assert right > 0.95
 
 
+def test_margin_is_the_sum_of_weights_and_of_all_pairs():
+    rng = np.random.default_rng(2)
+    weight, factor = rng.normal(size=9), rng.normal(size=(9, 4))
+    rows = [rng.choice(9, size=n, replace=False) for n in (0, 1, 2, 5, 9)]
+    got, _ = toxicity_fm.margins(0.3, weight, factor, *toxicity_fm.ragged(rows))
+    want = [0.3 + sum(weight[i] for i in r) + sum(factor[i] @ factor[j] for k, i in enumerate(r) for j in r[:k]) for r in rows]
+    assert np.allclose(got, want)
+
+
+def test_kept_slots_are_those_of_the_largest_ratio(spark):
+    """Counts and ratios in Spark against a table of every slot and label."""
+    rows = [(t, y) for _, t, y in labelled(200, random.Random(6), lambda a, b: a or b)]
+    cfg = toxicity_fm.Config(slots=20, least_gain=1.0)
+    model = fit_rows(spark, rows, cfg)
+    n, n_pos = len(rows), sum(y for _, y in rows)
+    count = Counter((int(s), y) for t, y in rows for s in toxicity_fm.all_slots(t, cfg.hash_bits))
+    h = lambda *x: sum(v * np.log(v) for v in x if v)
+    gain = {}
+    for s in {s for s, _ in count}:
+        p, q = count[s, 1], count[s, 0]
+        if p + q >= 3:
+            gain[s] = 2 * (h(p, q, n_pos - p, n - n_pos - q) + h(n) - h(p + q) - h(n - p - q) - h(n_pos) - h(n - n_pos))
+    best = sorted((s for s in gain if gain[s] > 1.0), key=lambda s: (-round(gain[s], 9), s))[:20]
+    assert sorted(best) == model.slots.tolist()
+
+
+def test_the_sample_is_bounded_by_rows(spark):
+    """4,000 rows of one identifier among 300 labelled ones: ten rows are learnt from."""
+    cfg = toxicity_fm.Config(sample_rows=10)
+    docs = spark.range(4300).selectExpr("greatest(id - 3999, 0) as doc_id", "concat('word ', id % 7) as text")
+    labels = spark.range(301).selectExpr("id as doc_id", "cast(id % 3 = 0 as int) as toxic")
+    rows, share = toxicity_fm.sampled(docs, labels, cfg, "toxic")
+    got = rows.collect()
+    assert len(got) == 10 == len({r["doc_id"] for r in got}) and sum(r["y"] for r in got) == 5
+    assert share == pytest.approx(101 / 301)
+    always = labels.filter("doc_id = 0")
+    assert toxicity_fm.sampled(docs, always, cfg, "toxic")[0].count() == 1
+
+
 def test_held_out_accuracy_and_edges(spark, edge_docs, no_docs):
     rows = labelled(1500, random.Random(4), lambda a, b: a and b)
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
@@ -60,11 +103,10 @@ def test_held_out_accuracy_and_edges(spark, edge_docs, no_docs):
     assert kept.columns == edge_docs.columns
 
 
-def test_inflected_words_are_known_by_their_beginnings():
+def test_inflected_words_are_known_by_their_beginnings(spark):
     rng = random.Random(8)
     rows = [(" ".join([f"w{rng.randint(0, 200)}" for _ in range(30)] + (["zorkel" + rng.choice("abcdefgh") * rng.randint(1, 9)] if y else [])), y) for y in [0, 1] * 300]
-    cfg = toxicity_fm.Config()
-    model = toxicity_fm.train([toxicity_fm.all_slots(t, cfg.hash_bits) for t, _ in rows], np.array([y for _, y in rows]), 0.5, cfg)
+    model = fit_rows(spark, rows, toxicity_fm.Config())
     assert (model.score(["w1 w2 zorkelxyz", "w1 w2 zebra", ""]) >= 0.5).tolist()[:2] == [True, False]
 
 

@@ -38,13 +38,17 @@ def shared_path(spark: SparkSession, name: str) -> str:
 _written: list[str] = []
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder that no result reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def clear_stored(spark: SparkSession, since: int = 0) -> None:
     """Delete the tables that ``stored`` wrote in this session (after the first
     ``since``); call it when no result that reads them is needed any more."""
-    conf = spark._jsparkSession.sessionState().newHadoopConf()
     while len(_written) > since:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
+        discard(spark, _written.pop())
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

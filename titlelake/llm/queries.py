@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from titlelake.llm import bottomk, bpe_speculate, line_rules, minhash_oph, packing_pow2, pii_surrogates, records, secret_scan, simhash_blocks, suffix_dedup, toxicity_fm, whitening_polar
-from titlelake.llm.queries_sql import OP2_SQL, OP7_SQL
+from titlelake.llm import bottomk, bpe_speculate, collocations_dic, line_rules, minhash_oph, packing_pow2, pii_surrogates, records, secret_scan, simhash_blocks, suffix_dedup, toxicity_fm, whitening_polar
+from titlelake.llm.queries_sql import OP2_SQL, OP7_SQL, OP12_SQL
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -62,6 +62,10 @@ def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_blocks.simhash_duplicates(_table(spark, sf_dir, "documents")).drop("fp")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations_dic.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = whitening_polar.whiten(_table(spark, sf_dir, "embeddings"))
     return out.withColumn("deviation", F.col("deviation").try_cast("long"))
@@ -69,6 +73,6 @@ def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_toxicity_fm, op2_minhash_near_dedup, op3_packing_pow2, op4_suffix_dedup, op5_fingerprints, op6_token_records, op7_line_quality, op8_secret_scan, op9_pii_surrogates, op10_bpe_round_trip, op11_simhash_near_dedup, op13_embedding_whitening)
+    for f in (op1_toxicity_fm, op2_minhash_near_dedup, op3_packing_pow2, op4_suffix_dedup, op5_fingerprints, op6_token_records, op7_line_quality, op8_secret_scan, op9_pii_surrogates, op10_bpe_round_trip, op11_simhash_near_dedup, op12_collocations, op13_embedding_whitening)
 }
-ORACLES: dict[str, str] = {"op2_minhash_near_dedup": OP2_SQL, "op7_line_quality": OP7_SQL}
+ORACLES: dict[str, str] = {"op2_minhash_near_dedup": OP2_SQL, "op7_line_quality": OP7_SQL, "op12_collocations": OP12_SQL}

@@ -36,3 +36,23 @@ base as (
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, n_removed_words,
   not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and 100 * n_removed_words <= 50 * n_words as kept
 from base"""
+
+OP12_SQL = r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as p from documents),
+each as (select lang, list_filter(string_split_regex(p, '[ \t]+'), lambda x: x <> '') as w from pieces),
+total as (select lang, sum(len(w))::bigint as n from each group by lang),
+grams as (select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) as g from each, unnest([1, 2, 3, 4]) as s(k) where len(w) >= k),
+f as (select lang, k as size, g, count(*)::bigint as f from grams group by all having count(*) >= 30),
+cands as (select lang, size, g, f as a, string_split(g, ' ') as w from f where size > 1),
+cuts as (select lang, g, a, w, size, unnest(range(1, size)) as k from cands),
+scored as (
+  select c.lang, c.g, c.a, c.k, x.f as l, y.f as r, (2000000::hugeint * c.a // (x.f + y.f))::bigint as score
+  from cuts c join f x on x.lang = c.lang and x.g = array_to_string(c.w[1:c.k], ' ') join f y on y.lang = c.lang and y.g = array_to_string(c.w[c.k + 1:c.size], ' ')),
+best as (select * from scored qualify row_number() over (partition by lang, g order by score, k) = 1),
+within as (
+  select lang, array_to_string(w[i:i + m - 1], ' ') as g, max(a) as more
+  from (select lang, a, w, size, m, unnest(range(1, size - m + 2)) as i from (select *, unnest(range(2, size)) as m from cands)) group by all),
+kept as (select b.* from best b left join within x on x.lang = b.lang and x.g = b.g where x.more is null or 100::hugeint * x.more < 80::hugeint * b.a),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, encode(g)) as rank from kept qualify rank <= 2000)
+select r.lang, r.rank, r.g as phrase, r.a, r.l, r.r, t.n, r.score from ranked r join total t on t.lang = r.lang"""

@@ -2,17 +2,20 @@
 
 Terms are the distinct lower-cased words of a text and their beginnings of
 four to six letters (abuse is inflected and compounded like any word), hashed
-to 30 bits.  A first look at a bounded sample of labelled rows keeps the
+to 30 bits.  Spark counts the slots of a bounded sample of labelled rows by label and keeps the
 slots that tell the classes apart best (log-likelihood ratio); the machine
 then learns for each slot a weight and a vector, so that a pair of slots (an
 insult and the mention of a group) adds the product of their vectors beyond
-the two weights.  Scoring a text is one pass over its distinct words.
+the two weights.  Only the kept slots of the sampled rows reach the driver.
+Scoring a text is one pass over its distinct words.
 
 Cases: a null or empty text has no term and gets the intercept's score; a
-text of any length is read whole; rows repeat freely; an empty table gives an
+text of any length is read whole; rows repeat freely, and of a labelled identifier's rows
+one is learnt from; an empty table gives an
 empty result; without both classes in the sample every score is the share of
 label 1 (0 without labels).  Labels that are null are not used, and where a
-document has several labels the largest counts.
+document has several labels the largest counts; slots of equal gain are ranked by
+number; extra columns, whatever their names, are never read by a score.
 """
 
 from __future__ import annotations
@@ -22,13 +25,15 @@ import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from titlelake.llm.common import doc_rows, small_batches
+from titlelake.llm.common import clear_stored, column, doc_rows, small_batches, stored, stored_so_far
 
 WORD = re.compile(r"\w+")
 BEGINNINGS = (4, 5, 6)
@@ -125,35 +130,29 @@ def margins(bias, weight, factor, flat, row, n):
     return out + 0.5 * ((sums**2).sum(1) - squares), sums
 
 
-def ratio(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
-    """Log-likelihood ratio of each slot's presence and the label."""
-    def xlogx(x):
-        return np.where(x > 0, x * np.log(np.maximum(x, 1e-12)), 0.0)
+def ratio(pos: Column, neg: Column, n_pos: int, n_neg: int) -> Column:
+    """Log-likelihood ratio of a slot's presence and the label."""
+    def xlogx(x: Column) -> Column:
+        x = x.cast("double")
+        return F.when(x > 0, x * F.log(x)).otherwise(0.0)
 
-    n = n_pos + n_neg
-    cells = xlogx(pos) + xlogx(neg) + xlogx(n_pos - pos) + xlogx(n_neg - neg)
-    return 2 * (cells + xlogx(np.array(float(n))) - xlogx(pos + neg) - xlogx(n - pos - neg) - xlogx(np.array(float(n_pos))) - xlogx(np.array(float(n_neg))))
+    n = F.lit(float(n_pos + n_neg))
+    all_pos, all_neg = F.lit(float(n_pos)), F.lit(float(n_neg))
+    cells = xlogx(pos) + xlogx(neg) + xlogx(all_pos - pos) + xlogx(all_neg - neg)
+    return 2 * (cells + xlogx(n) - xlogx(pos + neg) - xlogx(n - pos - neg) - xlogx(all_pos) - xlogx(all_neg))
 
 
-def train(rows: list[np.ndarray], labels: np.ndarray, share: float, cfg: Config) -> Model:
-    """Fit on the slots of each sampled row.  ``share`` is the share of label 1
-    among all training rows: the intercept is moved from the sample's to it."""
+def train(kept: np.ndarray, sparse: list[np.ndarray], labels: np.ndarray, share: float, cfg: Config) -> Model:
+    """Fit on the kept slots (ascending) and, for each sampled row, the places of those it has.  ``share`` is
+    the share of label 1 among all training rows: the intercept is moved from the sample's to it."""
     y = labels.astype(float)
     n_pos, n_neg = int(y.sum()), int((1 - y).sum())
     if not n_pos or not n_neg:
         p = min(max(share, 1e-6), 1 - 1e-6)
         return Model(cfg.hash_bits, float(np.log(p / (1 - p))), np.zeros(0, np.int64), np.zeros(0), np.zeros((0, cfg.factors)))
-    every, count = np.unique(np.concatenate(rows), return_counts=True)
-    every, count = every[count >= 3], count[count >= 3]
-    own = [np.searchsorted(every, r[np.isin(r, every, assume_unique=True)]) for r, one in zip(rows, y) if one]
-    pos = np.bincount(np.concatenate(own), minlength=len(every)).astype(float)
-    gain = ratio(pos, count - pos, n_pos, n_neg)
-    best = np.argsort(-gain, kind="stable")[: cfg.slots]
-    kept = np.sort(every[best[gain[best] > cfg.least_gain]]).astype(np.int64)
     model = Model(cfg.hash_bits, 0.0, kept, np.zeros(len(kept)), np.zeros((len(kept), cfg.factors)))
     rng = np.random.default_rng(cfg.seed)
     model.factor = rng.normal(0, 0.01, model.factor.shape)
-    sparse = [np.searchsorted(kept, r[np.isin(r, kept, assume_unique=True)]) for r in rows]
     bias, g_bias = float(np.log(n_pos / n_neg)), 1e-8
     g_w, g_v = np.full(len(kept), 1e-8), np.full(model.factor.shape, 1e-8)
     for _ in range(cfg.epochs):
@@ -179,20 +178,21 @@ def train(rows: list[np.ndarray], labels: np.ndarray, share: float, cfg: Config)
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, cfg: Config = Config(), label: str = "toxic") -> Model:
-    """Learn from the labelled rows given: callers filter ``labels`` first.
+def sampled(docs: DataFrame, labels: DataFrame, cfg: Config, label: str) -> tuple[DataFrame, float]:
+    """``doc_id, y, s`` (the slots of the text as bytes) of ``sample_rows`` labelled rows at most, and the share of
+    label 1 among all.
 
-    The sample is by hash of the identifier, for each class its own share, so
-    it is the same on every run; its size alone reaches the driver."""
-    small_batches(docs.sparkSession)
+    The draw is by hash of the identifier, for each class its own share, so it is the same on every run.  A
+    hash limit lets few more identifiers through than wanted; the first of them are taken, and
+    of an identifier's rows the one with the least slots."""
     own = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     counts = {r["y"]: r["n"] for r in own.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    total = sum(counts.values())
-    share = counts.get(1, 0) / total if total else 0.0
+    share = counts.get(1, 0) / max(1, sum(counts.values()))
     half, scale = cfg.sample_rows // 2, 1 << 30
-    cuts = {c: min(scale, int(scale * 0.95 * (half if c else cfg.sample_rows - min(half, counts.get(1, 0))) / max(1, n))) for c, n in counts.items()}
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(cfg.seed)), F.lit(scale))
-    chosen = own.filter(draw < F.when(F.col("y") == 1, cuts.get(1, 0)).otherwise(cuts.get(0, 0)))
+    wanted = {c: min(n, half if c == 1 else cfg.sample_rows - min(half, counts.get(1, 0))) for c, n in counts.items()}
+    drawn = own.withColumn("draw", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(cfg.seed)), F.lit(scale)))
+    firsts = [drawn.filter((F.col("y") == c) & (F.col("draw") < int(min(scale, scale * (1.05 * m + 200) / counts[c])))).orderBy("draw", "doc_id").limit(m) for c, m in wanted.items()]
+    chosen = reduce(DataFrame.unionAll, firsts, drawn.limit(0)).select("doc_id", "y")
     bits = cfg.hash_bits
 
     @F.pandas_udf("binary")
@@ -200,10 +200,58 @@ def fit(docs: DataFrame, labels: DataFrame, cfg: Config = Config(), label: str =
         for part in texts:
             yield pd.Series([all_slots(t, bits).tobytes() for t in part])
 
-    # the sample is at most about ``sample_rows`` rows of two numbers: a bounded broadcast and a bounded collect
-    got = doc_rows(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "y", slots("text").alias("s")).collect()
-    got.sort(key=lambda r: (r["doc_id"], bytes(r["s"])))
-    return train([np.frombuffer(bytes(r["s"]), dtype="<i4") for r in got], np.array([r["y"] for r in got], dtype=int), share, cfg)
+    # at most ``sample_rows`` rows of two numbers: a bounded broadcast
+    rows = doc_rows(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "y", slots("text").alias("s"))
+    return rows.groupBy("doc_id", "y").agg(F.min("s").alias("s")), share
+
+
+def slot_counts(sample: DataFrame) -> DataFrame:
+    """``slot, pos, neg``: rows of each label that have the slot."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            y = column(batch, "y").to_numpy(zero_copy_only=False)
+            s = [np.frombuffer(x, dtype="<i4") for x in column(batch, "s").to_pylist()]
+            every, place = np.unique(np.concatenate([*s, np.zeros(0, "<i4")]), return_inverse=True)
+            n = np.bincount(place, minlength=len(every))
+            pos = np.bincount(place, weights=np.repeat(y == 1, [len(x) for x in s]), minlength=len(every)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(every.astype(np.int32)), pa.array(pos), pa.array(n - pos)], ["slot", "pos", "neg"])
+
+    each = sample.select("y", "s").mapInArrow(count, "slot int, pos bigint, neg bigint")
+    return each.groupBy("slot").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+
+
+def places(sample: DataFrame, kept: np.ndarray) -> DataFrame:
+    """``doc_id, y, at``: which of the kept slots each sampled row has, by their number."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = [np.flatnonzero(np.isin(kept, np.frombuffer(x, dtype="<i4"))).astype("<i2").tobytes() for x in column(batch, "s").to_pylist()]
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "y"), pa.array(at, pa.binary())], ["doc_id", "y", "at"])
+
+    return sample.mapInArrow(look, f"doc_id {sample.schema['doc_id'].dataType.simpleString()}, y int, at binary")
+
+
+def fit(docs: DataFrame, labels: DataFrame, cfg: Config = Config(), label: str = "toxic") -> Model:
+    """Learn from the labelled rows given: callers filter ``labels`` first.
+
+    What reaches the driver is the kept slots and which of them each sampled row has: at most
+    ``sample_rows`` rows of ``2 * slots`` bytes, however long the texts and however often they repeat."""
+    if not 0 < cfg.slots <= 1 << 15:
+        raise ValueError("slots must be at most 32,768")
+    small_batches(docs.sparkSession)
+    mark = stored_so_far()
+    rows, share = sampled(docs, labels, cfg, label)
+    sample = stored(rows, "toxicity-sample")
+    by_label = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_pos, n_neg = by_label.get(1, 0), sum(by_label.values()) - by_label.get(1, 0)
+    gain = ratio(F.col("pos"), F.col("neg"), n_pos, n_neg)
+    best = slot_counts(sample).filter("pos + neg >= 3").withColumn("gain", gain).filter(F.col("gain") > cfg.least_gain)
+    kept = np.sort(np.array([r["slot"] for r in best.orderBy(F.desc("gain"), "slot").limit(cfg.slots).select("slot").collect()], dtype=np.int64))
+    got = places(sample, kept).toArrow().sort_by("doc_id")
+    clear_stored(docs.sparkSession, mark)
+    sparse = [np.frombuffer(x, dtype="<i2").astype(np.int64) for x in got.column("at").to_pylist()]
+    return train(kept, sparse, (got.column("y").to_numpy() == 1).astype(int), share, cfg)
 
 
 def score_column(model: Model, text: str = "text") -> Column:
