@@ -409,7 +409,8 @@ def keyed_docs(docs: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans`` of every document."""
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, text`` of every document: the digest is of
+    the bytes kept, ``text`` is what they spell, where a character that a run covers in part stays."""
     if length < GRAM:
         raise ValueError(f"length must be {GRAM} at least")
     small_batches(docs.sparkSession)
@@ -418,16 +419,18 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch):
-                data = [t.encode("utf-8", "surrogatepass") for t in texts_of(part)]
+                texts = texts_of(part)
+                data = [t.encode("utf-8", "surrogatepass") for t in texts]
                 runs = [_spans_of(x) for x in column(part, "spans").to_pylist()]
                 yield pa.RecordBatch.from_arrays([
                     column(part, "doc_id"), pa.array([len(d) for d in data], pa.int64()), pa.array([sum(b - a for a, b in r) for r in runs], pa.int64()),
                     pa.array([len(r) for r in runs], pa.int64()), pa.array([hashlib.sha256(cut(d, r)).hexdigest() for d, r in zip(data, runs)]),
-                    pa.array([[list(x) for x in r] for r in runs], pa.list_(pa.list_(pa.int64())))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+                    pa.array([[list(x) for x in r] for r in runs], pa.list_(pa.list_(pa.int64()))),
+                    pa.array([whole_characters(t, r) if r else t for t, r in zip(texts, runs)], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "text"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return keyed.join(find_repeats(keyed, length), ["k1", "k2"], "left").select("doc_id", "text", "spans").mapInArrow(
-        digest, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<array<bigint>>")
+        digest, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<array<bigint>>, text string")
 
 
 def without_repeats(docs: DataFrame, length: int = 400, words: int | None = None) -> DataFrame:
