@@ -91,3 +91,31 @@ def test_rank_matches_pandas(spark, tied):
     order = pdf.assign(ch=pdf["ch"].fillna("")).sort_values(["s", "id"], ascending=[False, True], na_position="last")
     want = dict(zip(order["id"], order.groupby("ch").cumcount() + 1))
     assert got == want
+
+
+def _final(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+@pytest.mark.parametrize("name, scans", [("A8_channel_median", 1), ("A9_engagement_thresholds", 1), ("A3_describe", 2), ("F9_virality", 2), ("L1_profile", 3)])
+def test_the_source_is_read_and_dealt_once(spark, name, scans):
+    """Quantiles take one scan and one exchange of rows; F9 reads the rows besides, A3 and L1 their plain aggregates."""
+    from tests.conftest import SF_SMALL
+    from titlelake.catalog import QUERIES, load_all
+
+    load_all()
+    old = spark.conf.get("spark.sql.maxPlanStringLength")
+    spark.conf.set("spark.sql.maxPlanStringLength", str(1 << 28))
+    try:
+        plan = _final(QUERIES[name](spark, SF_SMALL))
+    finally:
+        spark.conf.set("spark.sql.maxPlanStringLength", old)
+    assert plan.count("FileScan parquet") == scans
+    assert "ReusedExchange" in plan
+
+
+def test_shared_values_and_counts(spark):
+    df = spark.createDataFrame([("a", 1.0, 5.0), ("a", 2.0, None), ("a", 4.0, 9.0), ("b", 7.0, None)], "g string, v double, w double")
+    got = {r["g"]: r for r in quantiles(df, ["g"], {"lo": ("v", 0.0), "mid": ("w", 0.5), "hi": ("v", 1.0)}, count="n").collect()}
+    assert tuple(got["a"]) == ("a", 1.0, 7.0, 4.0, 3) and tuple(got["b"]) == ("b", 7.0, None, 7.0, 1)

@@ -5,8 +5,8 @@
 All scalar statistics (shape, types, missing counts and percentages, date
 ranges as Unix seconds, describe, totals, engagement means, title-length
 mean/min/max) come from ONE aggregate pass; all medians and quartiles share
-one exact-quantile pipeline; only the per-year and top-k value counts are
-separate keyed aggregates.
+one exact-quantile pipeline, which counts the values of each column once; the per-year
+and top-k value counts are one keyed aggregate. So the table is read three times, whatever its columns.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from titlelake.functions.text import title_len
 from titlelake.operators import aggregates as agg
 from titlelake.operators.quantiles import quantiles
+from titlelake.operators.windows import top_k_per_group
 
 
 def profile(df: DataFrame, top_k: int = 20) -> DataFrame:
@@ -68,13 +69,29 @@ def profile(df: DataFrame, top_k: int = 20) -> DataFrame:
     parts = [one.select(F.explode(F.array(*[
         F.struct(F.lit(s).alias("section"), F.lit(k).alias("key"), F.col(c).cast("double").alias("value"))
         for s, k, c in names])).alias("r")).select("r.*")]
-    if "publishedAt" in cols:
-        parts.append(agg.rows_per_year(df).select(F.lit("videos_per_year").alias("section"),
-                                                  F.col("year").cast("string").alias("key"),
-                                                  F.col("rows").cast("double").alias("value")))
+    counted = value_sections(df, top_k)
+    return reduce(DataFrame.unionByName, parts if counted is None else [*parts, counted])
+
+
+def value_sections(df: DataFrame, top_k: int) -> DataFrame | None:
+    """Videos per year and the most frequent categories and channels, counted in one pass; None without any such column."""
+    found = {}
+    if "publishedAt" in df.columns:
+        found["videos_per_year"] = F.year(F.try_to_timestamp(F.col("publishedAt").cast("string")))
     for col, section in (("categoryId", "category_counts"), ("channelTitle", "top_channels")):
-        if col in cols:
-            parts.append(agg.value_counts(df, col, top_k).select(
-                F.lit(section).alias("section"), F.col(col).cast("string").alias("key"),
-                F.col("count").cast("double").alias("value")))
-    return reduce(DataFrame.unionByName, parts)
+        if col in df.columns:
+            found[section] = F.col(col)
+    if not found:
+        return None
+    entries = F.array(*[F.struct(F.lit(s).alias("section"), c.cast("string").alias("key"), order.alias("order"))
+                        for s, c in found.items() for order in [_order(c, df, s)]])
+    counts = (df.select(F.explode(entries).alias("e")).select("e.*").where(F.col("key").isNotNull())
+              .groupBy("section", "key", "order").agg(F.count(F.lit(1)).cast("double").alias("value")))
+    # all years, and of the others the ``top_k`` most frequent: ties by value, numbers as numbers
+    ranked = top_k_per_group(counts.where("section <> 'videos_per_year'"), ["section"], [F.col("value").desc(), F.col("order"), F.col("key")], top_k)
+    return counts.where("section = 'videos_per_year'").unionByName(ranked).select("section", "key", "value")
+
+
+def _order(c, df: DataFrame, section: str):
+    numeric = section == "category_counts" and dict(df.dtypes)["categoryId"] != "string"
+    return c.cast("double") if numeric else F.lit(None).cast("double")

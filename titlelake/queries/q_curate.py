@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from titlelake import fixtures as fx
 from titlelake.catalog import register
 from titlelake.operators import filters as flt
-from titlelake.operators.quantiles import quantile
+from titlelake.operators.quantiles import quantile, quantiles
 from titlelake.operators.windows import dedupe_titles, rank_within_channel
 from titlelake.plans.curate import CurateConfig, curate, curate_funnel
 
@@ -53,9 +53,8 @@ from (select channelTitle, quantile_cont(coalesce(try_cast(view_count as double)
 def q_a8(spark, sf):
     t = fx.trending(spark, sf).where(F.col("channelTitle").isNotNull())
     vc = F.coalesce(F.col("view_count").try_cast("double"), F.lit(0.0))
-    med = quantile(t.withColumn("vc", vc), ["channelTitle"], "vc", 0.5, "m")
-    cnt = t.groupBy("channelTitle").agg(F.count(F.lit(1)).alias("rows"))
-    return med.join(cnt, "channelTitle").select(
+    med = quantiles(t.withColumn("vc", vc), ["channelTitle"], {"m": ("vc", 0.5)}, count="rows")
+    return med.select(
         "channelTitle", F.round(F.when(F.col("m") == 0, 1.0).otherwise(F.col("m")), 6).alias("channel_median_views"),
         "rows")
 
