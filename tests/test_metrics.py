@@ -114,7 +114,7 @@ def test_zero_vector_is_nan_and_skipped(spark):
 def test_max_cosine_with_equal_vectors(spark):
     """Mode collapse: all vectors equal are one vector of one block."""
     same = spark.range(3000).selectExpr("id as vec_id", "array(1D, 2D, 3D) as embedding")
-    got = mt.max_cosine(same, same, pred_blocks=5, corpus_blocks=5)
+    got = mt.max_cosine(same, same, block_bytes=64)
     assert got.count() == 3000 and got.where("abs(max_sim - 1) > 1e-9").count() == 0
 
 

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from titlelake.functions.text import NON_WORD_RE, STRIP_CLASS, safe_strip, word_tokens
 from titlelake.operators.aggregates import mean_std
+from titlelake.operators.nearest import max_products
 
 NAN = float("nan")
 # Mode-collapse cut, sentiment cuts, the published VADER
@@ -172,59 +173,41 @@ def cosine_to_centroid(preds: DataFrame, corpus: DataFrame, col: str = "embeddin
     return p.join(F.broadcast(c), "__k").select("vec_id", _dot(F.col("u"), F.col("c")).alias("cos_centroid"))
 
 
-def max_cosine(preds: DataFrame, corpus: DataFrame, col: str = "embedding", pred_blocks: int | None = None,
-               corpus_blocks: int | None = None) -> DataFrame:
+def max_cosine(preds: DataFrame, corpus: DataFrame, col: str = "embedding", pivots: int = 64,
+               block_bytes: int = 8 << 20) -> DataFrame:
     """M4 (J8): per prediction, max cosine to any corpus vector (no self-exclusion).
 
-    Exact all-pairs work is done block by block: both sides are reduced to
-    their distinct unit vectors (a maximum does not change, and however many
-    vectors are equal, none fills a block) and hashed into blocks, every
-    (prediction block, corpus block) pair meets once through an equi-join on
-    the replicated corpus-block index, a vectorised matmul in ``mapInPandas``
-    yields each vector's best score per corpus block, and a keyed ``max``
-    combines the blocks. Individual pairs never become rows.
-
-    The block counts default to the session's shuffle partitions (an eighth of
-    them for the corpus, since predictions are replicated once per corpus
-    block), so plan building reads no data; pass counts to bound a block's rows.
-    A zero vector gives NaN, and a corpus with one gives NaN for all, as numpy's maximum does.
+    Exact, by the pivot cells of ``titlelake.operators.nearest``: a block of the corpus holds
+    ``block_bytes`` at most and is opened only by predictions whose maximum may lie in it. The
+    corpus' blocks and each prediction's first similarity are computed while the plan is built. A zero
+    vector gives NaN, and a corpus with one gives NaN for all, as numpy's maximum does; null vectors are skipped.
     """
-    partitions = int(preds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pred_blocks = pred_blocks or max(1, partitions)
-    corpus_blocks = corpus_blocks or max(1, partitions // 8)
-    # Blocks travel as flat row-major double arrays (one Arrow list per
-    # block), which convert to numpy without per-element Python objects.
-    units = preds.select("vec_id", _unit(col).alias("u")).withColumn("uk", F.xxhash64("u"))
-    pb = (units.select("uk", "u").groupBy("uk").agg(F.first("u").alias("u"))
-          .groupBy(F.pmod(F.xxhash64("uk"), F.lit(pred_blocks)).alias("pb"))
-          .agg(F.collect_list(F.struct("uk", "u")).alias("s"))
-          .select("pb", F.transform("s", lambda r: r["uk"]).alias("ids"),
-                  F.flatten(F.transform("s", lambda r: r["u"])).alias("P")))
-    cb = (corpus.select(_unit(col).alias("u")).withColumn("uk", F.xxhash64("u"))
-          .groupBy("uk").agg(F.first("u").alias("u"))
-          .groupBy(F.pmod(F.xxhash64("uk"), F.lit(corpus_blocks)).alias("cb"))
-          .agg(F.flatten(F.collect_list("u")).alias("C")))
-    grid = pb.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(corpus_blocks - 1)))).join(cb, "cb")
-
-    def block_max(it):
-        for pdf in it:
-            ids, best = [], []
-            for i_arr, P, C in zip(pdf["ids"], pdf["P"], pdf["C"]):
-                n_p = len(i_arr)
-                if n_p == 0 or C is None or len(C) == 0:
-                    continue
-                pm = np.asarray(P, dtype=np.float64).reshape(n_p, -1)
-                cm = np.asarray(C, dtype=np.float64).reshape(-1, pm.shape[1])
-                ids.append(np.asarray(i_arr, dtype=np.int64))
-                best.append((pm @ cm.T).max(axis=1))
-            if ids:
-                top = np.concatenate(best)
-                none = np.isnan(top)  # pandas would turn NaN into null
-                yield pd.DataFrame({"uk": np.concatenate(ids), "s": np.where(none, 0.0, top), "none": none})
-
-    per_block = grid.select("ids", "P", "C").mapInPandas(block_max, "uk long, s double, none boolean")
-    best = per_block.groupBy("uk").agg(F.when(F.max("none"), F.lit(NAN)).otherwise(F.max("s")).alias("max_sim"))
-    return units.select("vec_id", "uk").join(best, "uk").select("vec_id", "max_sim")
+    units, distinct = distinct_units(preds, col)
+    _, pool = distinct_units(corpus, col)
+    usable = lambda df: df.where(~F.isnan(F.element_at("u", 1)))
+    found = max_products(usable(distinct), usable(pool), pivots, block_bytes)
+    spoilt = pool.agg(F.bool_or(F.isnan(F.element_at("u", 1))).alias("nan")).first()["nan"]
+    if found is None or spoilt:
+        every = units.select("vec_id", F.lit(NAN).alias("max_sim"))
+        return every if spoilt else every.limit(0)
+    out = units.join(found.best, "uk", "left")
+    return out.select("vec_id", F.coalesce("s", F.lit(NAN)).alias("max_sim"))
+
+
+def distinct_units(vectors: DataFrame, col: str) -> tuple[DataFrame, DataFrame]:
+    """``vec_id, uk`` of every vector that is not null (where it has an id) and its distinct unit vectors ``uk, u``."""
+    have = vectors.where(F.col(col).isNotNull() & (F.size(col) > 0))
+    units = have.select(*[c for c in ("vec_id",) if c in have.columns], _unit(col).alias("u")).withColumn("uk", F.xxhash64("u"))
+    return units.drop("u"), units.groupBy("uk").agg(F.first("u").alias("u"))
+
+
+def cells_opened(preds: DataFrame, corpus: DataFrame, col: str = "embedding", pivots: int = 64, block_bytes: int = 8 << 20) -> DataFrame:
+    """One row: ``opened``, the blocks that the distinct predictions open together, of ``possible`` without bounds."""
+    distinct, pool = distinct_units(preds, col)[1], distinct_units(corpus, col)[1]
+    found = max_products(distinct, pool, pivots, block_bytes)
+    if found is None:
+        return distinct.agg(F.lit(0).cast("long").alias("opened"), F.lit(0).cast("long").alias("possible"))
+    return found.met.agg(F.sum("n").alias("opened")).withColumn("possible", F.lit(found.blocks * distinct.count()).cast("long"))
 
 
 def cosine_summary(preds: DataFrame, corpus: DataFrame, col: str = "embedding") -> DataFrame:

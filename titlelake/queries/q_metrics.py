@@ -117,7 +117,7 @@ mx as (select p.vec_id, max(list_dot_product({UNIT.format(e='p.embedding')}, {UN
 
 @register("M4_max_cosine", MAXCOS + "select vec_id, round(max_sim, 6) as max_sim from mx")
 def q_m4(spark, sf):
-    r = mt.max_cosine(fx.pred_emb(spark, sf), fx.corpus_emb(spark, sf), pred_blocks=7, corpus_blocks=5)
+    r = mt.max_cosine(fx.pred_emb(spark, sf), fx.corpus_emb(spark, sf), pivots=16, block_bytes=1 << 16)
     return r.select("vec_id", F.round("max_sim", 6).alias("max_sim"))
 
 
