@@ -89,13 +89,16 @@ def q_s6(spark, sf):
     return rd.read_json_array(spark, f"{root}/*", STRING_SCHEMA)
 
 
-@register("S7_read_records", " union all ".join(f"select video_id, title, tags, '{k}' as kind from ({STRING_ROWS})" for k in ("csv", "jsonl")))
+@register("S7_read_records", " union all ".join(f"select video_id, title, tags, '{k}' as kind from ({STRING_ROWS})" for k in ("csv", "json", "jsonl")))
 def q_s7(spark, sf):
     root = _scratch(spark, "s7")
     rows = _strings(spark, sf)
     sk.write_csv(rows, f"{root}/a.csv")
     sk.write_jsonl(rows, f"{root}/a.jsonl")
-    parts = [rd.read_records(spark, f"{root}/a.{k}", STRING_SCHEMA).select(*STRINGS, F.lit(k).alias("kind")) for k in ("csv", "jsonl")]
+    row = F.to_json(F.struct(*STRINGS), {"ignoreNullFields": "false"})
+    docs = _by_document(fx.videos(spark, sf)).agg(F.concat(F.lit("[\n  "), F.array_join(F.collect_list(row), ",\n  "), F.lit("\n]\n")).alias("value"))
+    docs.select("value").write.option("maxRecordsPerFile", 1).text(f"{root}/a.json")
+    parts = [rd.read_records(spark, f"{root}/a.{k}", STRING_SCHEMA if k == "jsonl" else None).select(*STRINGS, F.lit(k).alias("kind")) for k in ("csv", "json", "jsonl")]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
@@ -144,8 +147,7 @@ def q_k6(spark, sf):
     m = fx.videos(spark, sf).groupBy(F.col("channelId").alias("run")).agg(
         F.count(F.lit(1)).cast("double").alias("rows"),
         F.when(F.sum("likes") % 2 == 0, F.lit(float("nan"))).otherwise(F.avg("likes")).alias("score"))
-    text = F.regexp_replace(F.to_json(F.struct("rows", "score")), r'":"(NaN|-?Infinity)"', '":$1')
-    m.select("run", text.alias("value")).write.partitionBy("run").option("maxRecordsPerFile", 1).text(f"{root}/eval")
+    sk.metrics_json(m, ["rows", "score"], keep=["run"]).write.partitionBy("run").option("maxRecordsPerFile", 1).text(f"{root}/eval")
     out = rd.read_run_metrics(spark, [f"{root}/absent/*/x.json", f"{root}/eval/*/part-*"])
     return out.select(F.regexp_replace("run", "^run=", "").alias("run"), "rows", "score")
 

@@ -6,38 +6,50 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from titlelake.functions.text import safe_strip
+from titlelake.sources.split_csv import can_split, read_split_csv
+from titlelake.sources.split_json import array_objects, array_scalars
 
 OVERFLOW = "__overflow"
 
 
 def read_trending_csv(spark: SparkSession, path: str, schema: T.StructType, encoding: str = "UTF-8") -> DataFrame:
-    """Header CSV with quoted newlines and doubled-quote escapes. The
-    header's names bind the columns, whatever their order and however many
-    there are; a column of the schema that the file lacks is null, and a value
-    that does not parse is null. Rows with more fields than the header are
+    """Header CSV with quoted newlines and doubled-quote escapes. Each file's
+    header binds its columns by name, whatever their order and however many
+    there are; a column of the schema that a file lacks is null, and a value
+    that does not parse is null. Rows with more fields than their file's header are
     skipped, short rows are null-padded.
 
-    A trailing sentinel column catches overflow fields: a row that fills it
-    had too many fields and is dropped. (DROPMALFORMED would also drop short
-    rows.) ``encoding="auto"`` reads UTF-8 and falls back to ISO-8859-1 when
-    a replacement character shows up (one bounded probe)."""
-    if encoding == "auto":
-        df = read_trending_csv(spark, path, schema, "UTF-8")
-        bad = df.where(F.exists(F.array(*[F.col(f.name).cast("string") for f in schema.fields]),
-                                lambda x: F.contains(x, F.lit("�")))).limit(1).count()
-        return read_trending_csv(spark, path, schema, "ISO-8859-1") if bad else df
+    Files are read in splits (``titlelake.sources.split_csv``). ``encoding="auto"`` reads each file
+    as UTF-8, or as ISO-8859-1 where its bytes are no UTF-8."""
+    cut = read_csv_fields(spark, path, [f.name for f in schema.fields], encoding)
+    return cut.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
+def read_csv_fields(spark: SparkSession, path: str, columns: Sequence[str] | None = None, encoding: str = "UTF-8") -> DataFrame:
+    """The named columns as strings (all of the first file's header without names); files of an encoding
+    in which a line feed is no single byte are one task each."""
+    if can_split(encoding):
+        return read_split_csv(spark, path, None if columns is None else list(columns), encoding)
+    return read_whole_csv(spark, path, columns, encoding)
+
+
+def read_whole_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None, encoding: str = "UTF-8") -> DataFrame:
+    """As ``read_csv_fields``, by Spark's multi-line reader: a file is a task and the first file's header binds all.
+
+    A trailing sentinel column catches overflow fields: a row that fills it had too many fields
+    and is dropped. (DROPMALFORMED would also drop short rows.)"""
     names = csv_header(spark, path, encoding)
     wide = T.StructType([T.StructField(f"__c{i}", T.StringType()) for i in range(len(names))] + [T.StructField(OVERFLOW, T.StringType())])
     df = (spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
           .option("mode", "PERMISSIVE").option("encoding", encoding).schema(wide).csv(path))
     at = {n: i for i, n in reversed(list(enumerate(names)))}
     return df.where(F.col(OVERFLOW).isNull()).select(*[
-        (F.col(f"__c{at[f.name]}") if f.name in at else F.lit(None)).try_cast(f.dataType).alias(f.name) for f in schema.fields])
+        (F.col(f"__c{at[c]}") if c in at else F.lit(None).cast("string")).alias(c) for c in (names if columns is None else columns)])
 
 
 def csv_header(spark: SparkSession, path: str, encoding: str = "UTF-8") -> list[str]:
@@ -50,46 +62,57 @@ def csv_header(spark: SparkSession, path: str, encoding: str = "UTF-8") -> list[
 def transcode_csv(spark: SparkSession, src: str, dst: str, src_encoding: str = "ISO-8859-1") -> None:
     """Re-encode a CSV table as UTF-8 (all columns kept as text)."""
     from titlelake.sources.sinks import write_csv
-    df = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-          .option("encoding", src_encoding).csv(src))
-    write_csv(df, dst)
+    write_csv(read_csv_fields(spark, src, encoding=src_encoding), dst)
 
 
 def read_csv_strings(spark: SparkSession, path: str, required: tuple = ("video_id", "title")) -> DataFrame:
     """S3: all-string CSV rows; fail when a required column is missing."""
-    df = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-          .option("inferSchema", False).csv(path))
+    df = read_csv_fields(spark, path)
     missing = [c for c in required if c not in df.columns]
     if missing:
         raise ValueError(f"Input CSV must include columns {missing}")
     return df
 
 
-def read_jsonl_tolerant(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """JSON lines; blank, malformed and non-object lines are skipped."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    # The JSON parser stops after the first complete value, so a line with
-    # more behind it must be rejected by other means: as the one entry of an
-    # array the whole line has to parse, and to give exactly one object.
+def _one_object() -> Column:
+    """Whether the line ``value`` is one JSON object and nothing else.
+
+    The JSON parser stops after the first complete value, so a line with
+    more behind it must be rejected by other means: as the one entry of an
+    array the whole line has to parse, and to give exactly one object."""
     body = safe_strip("value")
     one = F.from_json(F.concat(F.lit("["), body, F.lit("]")), "array<map<string,string>>", {"mode": "PERMISSIVE"})
-    objects = lines.where(body.startswith("{") & body.endswith("}") & (F.size(one) == 1)
-                          & F.from_json("value", "map<string,string>").isNotNull())
+    return (body.startswith("{") & body.endswith("}") & F.coalesce(F.size(one) == 1, F.lit(False))
+            & F.from_json("value", "map<string,string>").isNotNull())
+
+
+def read_jsonl_tolerant(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """JSON lines; blank, malformed and non-object lines are skipped."""
+    objects = spark.read.text(path).where(F.trim("value") != "").where(_one_object())
     return objects.select(F.from_json("value", schema).alias("r")).where(F.col("r").isNotNull()).select("r.*")
 
 
 def read_jsonl_strict(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """JSON lines; blank lines skipped, a malformed line fails the job."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    """JSON lines; blank lines skipped; a line that is not one object and nothing else fails the job."""
+    lines = spark.read.text(path).where(safe_strip("value") != "")
+    text = F.when(_one_object(), F.col("value")).otherwise(F.raise_error(F.lit("a line is not one JSON object")).cast("string"))
+    return lines.select(F.from_json(text, schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
-def read_json_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_json_array(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """JSON documents that each hold a top-level array of objects; any
-    other document, and a malformed one, fails the job."""
-    body = safe_strip("value")
-    text = F.when(body.startswith("["), body).otherwise(F.raise_error(F.lit("the document's top level is no array")).cast("string"))
-    docs = spark.read.text(path, wholetext=True).select(F.from_json(text, T.ArrayType(schema), {"mode": "FAILFAST"}).alias("a"))
-    return docs.select(F.explode("a").alias("r")).where(F.col("r").isNotNull()).select("r.*")
+    other document, and a malformed one, fails the job. Read in splits
+    (``titlelake.sources.split_json``); without a schema one is inferred from the objects."""
+    objects = array_objects(spark, path)
+    if schema is None:
+        schema = object_schema(objects)
+    return objects.select(F.from_json("json", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+
+
+def object_schema(objects: DataFrame) -> T.StructType:
+    """String columns for all keys of the ``json`` objects, in alphabetical order (one row of names reaches the driver)."""
+    names = objects.select(F.explode(F.json_object_keys("json")).alias("k")).distinct().agg(F.sort_array(F.collect_list("k")).alias("ks"))
+    return T.StructType([T.StructField(k, T.StringType()) for k in names.first()["ks"]])
 
 
 def read_records(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -100,7 +123,7 @@ def read_records(spark: SparkSession, path: str, schema: T.StructType | None = N
     if low.endswith(".jsonl"):
         return read_jsonl_strict(spark, path, schema) if schema else spark.read.option("mode", "FAILFAST").json(path)
     if low.endswith(".json"):
-        return read_json_array(spark, path, schema) if schema else spark.read.option("multiLine", True).json(path)
+        return read_json_array(spark, path, schema)
     raise ValueError(f"no reader for {path!r}: the suffix must be .csv, .json or .jsonl")
 
 
@@ -115,9 +138,9 @@ def read_id_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_id_json_list(spark: SparkSession, path: str) -> DataFrame:
-    """JSON array of ids -> (pos, id): non-blank, first occurrence kept."""
-    arr = spark.read.text(path, wholetext=True).select(F.from_json("value", "array<string>").alias("a"))
-    ex = arr.select(F.posexplode("a").alias("pos", "id")).select("pos", safe_strip("id").alias("id"))
+    """JSON arrays of ids -> (pos, id): non-blank, first occurrence kept, in the order of ``pos``. Malformed
+    documents and others than arrays fail the job. Read in splits (``titlelake.sources.split_json``)."""
+    ex = array_scalars(spark, path).select("pos", safe_strip("value").alias("id"))
     return ex.where(F.col("id") != "").groupBy("id").agg(F.min("pos").alias("pos")).select("pos", "id")
 
 

@@ -4,6 +4,7 @@ never reads and overwrites the same path in one plan."""
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,11 +39,11 @@ def write_audit_pair(tagged: DataFrame, path: str, keep_col: str = "keep") -> No
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
-def metrics_json(row: DataFrame) -> DataFrame:
-    """K6: the metrics row as one JSON document string; numbers that are not
-    finite are written bare (``NaN``), as Python's json module does."""
-    text = F.to_json(F.struct(*row.columns), {"ignoreNullFields": "false"})
-    return row.select(F.regexp_replace(text, r'":"(NaN|-?Infinity)"', '":$1').alias("json"))
+def metrics_json(row: DataFrame, metrics: Sequence[str] | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """K6: the metrics of each row (all columns without names) as one JSON document string, beside the columns to
+    ``keep``; numbers that are not finite are written bare (``NaN``), as Python's json module does."""
+    text = F.to_json(F.struct(*(metrics or row.columns)), {"ignoreNullFields": "false"})
+    return row.select(*keep, F.regexp_replace(text, r'":"(NaN|-?Infinity)"', '":$1').alias("json"))
 
 
 def write_metrics_json(row: DataFrame, path: str) -> None:
