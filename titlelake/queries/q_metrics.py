@@ -33,11 +33,11 @@ TOK = "list_filter(string_split_regex(lower(coalesce({x}, '')), '[^a-z0-9]+'), l
 
 
 def _grams_sql(n: int) -> str:
-    def side(x, s):
-        t = TOK.format(x=x)
+    """Grams of the token lists ``tr`` and ``tp``, which are cut once."""
+    def side(t, s):
         return (f"select id, {s} as side, unnest(list_transform(range(1, len({t}) - {n} + 2), "
-                f"lambda k: array_to_string(({t})[k:k + {n - 1}], ' '))) as g from pairs where len({t}) >= {n}")
-    return side("reference", 1) + " union all " + side("prediction", 2)
+                f"lambda k: array_to_string({t}[k:k + {n - 1}], ' '))) as g from toks where len({t}) >= {n}")
+    return side("tr", 1) + " union all " + side("tp", 2)
 
 
 def _fin(rounded: bool, cols: str, raw: str) -> str:
@@ -47,11 +47,12 @@ def _fin(rounded: bool, cols: str, raw: str) -> str:
 def _rouge_sql(n: int, rounded: bool = True) -> str:
     tr, tp = TOK.format(x="reference"), TOK.format(x="prediction")
     return PAIRS + f""",
+toks as materialized (select id, {tr} as tr, {tp} as tp from pairs),
 gr as ({_grams_sql(n)}),
 cg as (select id, g, count_if(side = 1) as cr, count_if(side = 2) as cp from gr group by id, g),
 ov as (select id, sum(least(cr, cp)) as ov from cg group by id),
-s as (select p.id, greatest(len({tr}) - {n} + 1, 0) as nr, greatest(len({tp}) - {n} + 1, 0) as np,
-        coalesce(o.ov, 0) as ov from pairs p left join ov o on p.id = o.id),
+s as (select p.id, greatest(len(p.tr) - {n} + 1, 0) as nr, greatest(len(p.tp) - {n} + 1, 0) as np,
+        coalesce(o.ov, 0) as ov from toks p left join ov o on p.id = o.id),
 m as (select id, ov / greatest(np, 1) as p, ov / greatest(nr, 1) as r from s)
 select """ + _fin(rounded, "id, round(p, 6) as p, round(r, 6) as r, round(case when p + r > 0 then 2 * p * r / (p + r) else 0 end, 6) as f1",
                  "id, p, r, case when p + r > 0 then 2 * p * r / (p + r) else 0 end as f1") + " from m"
