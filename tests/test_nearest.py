@@ -23,11 +23,17 @@ def test_maximum_equals_all_pairs(spark, spread, block_bytes, pivots):
     corpus, preds = clusters(rng, 700, 6, spread), clusters(rng, 300, 6, spread)
     preds[:5] = corpus[:5] * 3.0
     preds[5:40] = preds[5]
-    got = {r["vec_id"]: r["max_sim"] for r in mt.max_cosine(frame(spark, preds), frame(spark, corpus), pivots=pivots, block_bytes=block_bytes).collect()}
+    got = {r["vec_id"]: r["max_sim"] for r in mt.max_cosine_by_cells(frame(spark, preds), frame(spark, corpus), pivots=pivots, block_bytes=block_bytes).collect()}
     want = (unit(preds) @ unit(corpus).T).max(1)
     assert len(got) == 300 and np.allclose([got[i] for i in range(300)], want, atol=1e-12)
 
 
+def test_equal_vectors_are_one(spark):
+    same = spark.range(3000).selectExpr("id as vec_id", "array(1D, 2D, 3D) as embedding")
+    got = mt.max_cosine_by_cells(same, same, block_bytes=64)
+    assert got.count() == 3000 and got.where("abs(max_sim - 1) > 1e-9").count() == 0
+
+
 def test_blocks_are_bounded_and_most_stay_shut(spark):
     from titlelake.operators import nearest
 
@@ -45,9 +51,9 @@ def test_nulls_zero_vectors_and_empty_sides(spark):
     schema = "vec_id long, embedding array<double>"
     preds = spark.createDataFrame([(1, [3.0, 4.0]), (2, None), (3, [0.0, 0.0]), (None, [4.0, 3.0]), (4, [])], schema)
     corpus = spark.createDataFrame([(1, [0.0, 2.0]), (2, None)], schema)
-    got = {r["vec_id"]: r["max_sim"] for r in mt.max_cosine(preds, corpus).collect()}
+    got = {r["vec_id"]: r["max_sim"] for r in mt.max_cosine_by_cells(preds, corpus).collect()}
     assert set(got) == {1, 3, None} and got[1] == pytest.approx(0.8) and got[None] == pytest.approx(0.6) and np.isnan(got[3])
     zero = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 1.0])], schema)
-    assert all(np.isnan(r["max_sim"]) for r in mt.max_cosine(preds, zero).collect())
-    assert mt.max_cosine(preds, corpus.limit(0)).count() == 0
-    assert mt.max_cosine(preds.limit(0), corpus).count() == 0
+    assert all(np.isnan(r["max_sim"]) for r in mt.max_cosine_by_cells(preds, zero).collect())
+    assert mt.max_cosine_by_cells(preds, corpus.limit(0)).count() == 0
+    assert mt.max_cosine_by_cells(preds.limit(0), corpus).count() == 0

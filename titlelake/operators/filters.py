@@ -133,16 +133,6 @@ def sft_quality_keep(source, source_text, title) -> Column:
     return title_ok & text_ok
 
 
-def non_empty_pair(a, b) -> Column:
-    """both sides non-blank after strip."""
-    return (safe_strip(a) != "") & (safe_strip(b) != "")
-
-
-def has_transcript(col: str = "full_transcript") -> Column:
-    """non-blank transcript."""
-    return safe_strip(col) != ""
-
-
 def blank_transcripts(df: DataFrame, cols: Sequence[str] = ("video_id", "title", "description")) -> DataFrame:
     """rows with a blank transcript, projected for a retry."""
     return df.where(safe_strip("full_transcript") == "").select(*[safe_strip(c).alias(c) for c in cols])

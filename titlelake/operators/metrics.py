@@ -173,13 +173,69 @@ def cosine_to_centroid(preds: DataFrame, corpus: DataFrame, col: str = "embeddin
     return p.join(F.broadcast(c), "__k").select("vec_id", _dot(F.col("u"), F.col("c")).alias("cos_centroid"))
 
 
-def max_cosine(preds: DataFrame, corpus: DataFrame, col: str = "embedding", pivots: int = 64,
-               block_bytes: int = 8 << 20) -> DataFrame:
+def max_cosine(preds: DataFrame, corpus: DataFrame, col: str = "embedding", pred_blocks: int | None = None,
+               corpus_blocks: int | None = None) -> DataFrame:
     """M4 (J8): per prediction, max cosine to any corpus vector (no self-exclusion).
 
-    Exact, by the pivot cells of ``titlelake.operators.nearest``: a block of the corpus holds
+    Exact all-pairs work is done block by block: both sides are reduced to
+    their distinct unit vectors (a maximum does not change, and however many
+    vectors are equal, none fills a block) and hashed into blocks, every
+    (prediction block, corpus block) pair meets once through an equi-join on
+    the replicated corpus-block index, a vectorised matmul in ``mapInPandas``
+    yields each vector's best score per corpus block, and a keyed ``max``
+    combines the blocks. Individual pairs never become rows.
+
+    The block counts default to the session's shuffle partitions (an eighth of
+    them for the corpus, since predictions are replicated once per corpus
+    block), so plan building reads no data; pass counts to bound a block's rows.
+    A zero vector gives NaN, and a corpus with one gives NaN for all, as numpy's maximum does.
+    """
+    partitions = int(preds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pred_blocks = pred_blocks or max(1, partitions)
+    corpus_blocks = corpus_blocks or max(1, partitions // 8)
+    # Blocks travel as flat row-major double arrays (one Arrow list per
+    # block), which convert to numpy without per-element Python objects.
+    units = preds.select("vec_id", _unit(col).alias("u")).withColumn("uk", F.xxhash64("u"))
+    pb = (units.select("uk", "u").groupBy("uk").agg(F.first("u").alias("u"))
+          .groupBy(F.pmod(F.xxhash64("uk"), F.lit(pred_blocks)).alias("pb"))
+          .agg(F.collect_list(F.struct("uk", "u")).alias("s"))
+          .select("pb", F.transform("s", lambda r: r["uk"]).alias("ids"),
+                  F.flatten(F.transform("s", lambda r: r["u"])).alias("P")))
+    cb = (corpus.select(_unit(col).alias("u")).withColumn("uk", F.xxhash64("u"))
+          .groupBy("uk").agg(F.first("u").alias("u"))
+          .groupBy(F.pmod(F.xxhash64("uk"), F.lit(corpus_blocks)).alias("cb"))
+          .agg(F.flatten(F.collect_list("u")).alias("C")))
+    grid = pb.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(corpus_blocks - 1)))).join(cb, "cb")
+
+    def block_max(it):
+        for pdf in it:
+            ids, best = [], []
+            for i_arr, P, C in zip(pdf["ids"], pdf["P"], pdf["C"]):
+                n_p = len(i_arr)
+                if n_p == 0 or C is None or len(C) == 0:
+                    continue
+                pm = np.asarray(P, dtype=np.float64).reshape(n_p, -1)
+                cm = np.asarray(C, dtype=np.float64).reshape(-1, pm.shape[1])
+                ids.append(np.asarray(i_arr, dtype=np.int64))
+                best.append((pm @ cm.T).max(axis=1))
+            if ids:
+                top = np.concatenate(best)
+                none = np.isnan(top)  # pandas would turn NaN into null
+                yield pd.DataFrame({"uk": np.concatenate(ids), "s": np.where(none, 0.0, top), "none": none})
+
+    per_block = grid.select("ids", "P", "C").mapInPandas(block_max, "uk long, s double, none boolean")
+    best = per_block.groupBy("uk").agg(F.when(F.max("none"), F.lit(NAN)).otherwise(F.max("s")).alias("max_sim"))
+    return units.select("vec_id", "uk").join(best, "uk").select("vec_id", "max_sim")
+
+
+def max_cosine_by_cells(preds: DataFrame, corpus: DataFrame, col: str = "embedding", pivots: int = 64,
+               block_bytes: int = 8 << 20) -> DataFrame:
+    """M4 (J8) for a large corpus: the same maximum by the pivot cells of ``titlelake.operators.nearest``.
+
+    A block of the corpus holds
     ``block_bytes`` at most and is opened only by predictions whose maximum may lie in it. The
-    corpus' blocks and each prediction's first similarity are computed while the plan is built. A zero
+    corpus' blocks and each prediction's first similarity are computed when this is called, so callers
+    pass its result on (``cosine_summary`` and ``evaluate`` take it as ``max_sims``). A zero
     vector gives NaN, and a corpus with one gives NaN for all, as numpy's maximum does; null vectors are skipped.
     """
     units, distinct = distinct_units(preds, col)
@@ -210,11 +266,12 @@ def cells_opened(preds: DataFrame, corpus: DataFrame, col: str = "embedding", pi
     return found.met.agg(F.sum("n").alias("opened")).withColumn("possible", F.lit(found.blocks * distinct.count()).cast("long"))
 
 
-def cosine_summary(preds: DataFrame, corpus: DataFrame, col: str = "embedding") -> DataFrame:
-    """M3-M5 summary row; NaN when either side is empty."""
+def cosine_summary(preds: DataFrame, corpus: DataFrame, col: str = "embedding", max_sims: DataFrame | None = None) -> DataFrame:
+    """M3-M5 summary row; NaN when either side is empty. ``max_sims``: the result of
+    ``max_cosine_by_cells``, where the corpus is large; without it ``max_cosine`` is part of the plan."""
     names = COSINE_NAMES
     cc = mean_std(cosine_to_centroid(preds, corpus, col), {"cosine_mean_corpus": "cos_centroid"})
-    mx = max_cosine(preds, corpus, col)
+    mx = max_cosine(preds, corpus, col) if max_sims is None else max_sims
     ms = mean_std(mx, {"cosine_max_sim": "max_sim"})
     prop = mx.agg(F.when(F.count(F.lit(1)) > 0, F.avg(((F.col("max_sim") >= MODE_COLLAPSE_THRESHOLD) & ~F.isnan("max_sim")).cast("double")))
                   .otherwise(F.lit(NAN)).alias("cosine_max_sim_prop_above_95"))
@@ -413,7 +470,7 @@ def _nan_row(like: DataFrame, names: Sequence[str]) -> DataFrame:
 
 def evaluate(pairs: DataFrame, lexicon: DataFrame, pred_emb: DataFrame | None = None,
              corpus_emb: DataFrame | None = None, token_nll: DataFrame | None = None,
-             ref_emb: DataFrame | None = None) -> DataFrame:
+             ref_emb: DataFrame | None = None, max_sims: DataFrame | None = None) -> DataFrame:
     """Every metric family in one wide row (the 40 names of
     ``METRIC_NAMES``). Empty input -> every value NaN (M11).
 
@@ -421,7 +478,7 @@ def evaluate(pairs: DataFrame, lexicon: DataFrame, pred_emb: DataFrame | None =
     where they belong to pairs: then only those of kept pairs count), and the
     corpus as ``corpus_emb`` (rows whose optional ``text`` is blank are left
     out) or, without one, ``ref_emb`` (``id, embedding``): the references of the
-    kept pairs are the corpus. The plan is lazy; a caller that has costly
+    kept pairs are the corpus. ``max_sims``: see ``cosine_summary``. The plan is lazy; a caller that has costly
     pairs passes them materialised, since every family reads them."""
     p = clean_pairs(pairs)
     kept = p.select("id")
@@ -431,15 +488,10 @@ def evaluate(pairs: DataFrame, lexicon: DataFrame, pred_emb: DataFrame | None =
         corpus_emb = corpus_emb.where(safe_strip("text") != "")
     if corpus_emb is None and ref_emb is not None:
         corpus_emb = ref_emb.join(kept, "id", "left_semi")
-    parts = [rouge_summary(p), cosine_summary(pred_emb, corpus_emb) if pred_emb is not None and corpus_emb is not None
+    parts = [rouge_summary(p), cosine_summary(pred_emb, corpus_emb, max_sims=max_sims) if pred_emb is not None and corpus_emb is not None
              else _nan_row(p, COSINE_NAMES)]
     parts.append(perplexity_summary(token_nll.join(kept, "id", "left_semi")) if token_nll is not None
                  else _nan_row(p, PERPLEXITY_NAMES))
     parts += [sentiment_summary(p, lexicon), ttr(p), self_bleu(p)]
     row = one_row_join(parts)
     return row.select(*[F.col(n).cast("double").alias(n) for n in METRIC_NAMES])
-
-
-def empty_metrics(spark) -> DataFrame:
-    """The all-NaN metrics row."""
-    return spark.createDataFrame([tuple([NAN] * len(METRIC_NAMES))], METRICS_SCHEMA)

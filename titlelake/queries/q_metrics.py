@@ -118,7 +118,7 @@ mx as (select p.vec_id, max(list_dot_product({UNIT.format(e='p.embedding')}, {UN
 
 @register("M4_max_cosine", MAXCOS + "select vec_id, round(max_sim, 6) as max_sim from mx")
 def q_m4(spark, sf):
-    r = mt.max_cosine(fx.pred_emb(spark, sf), fx.corpus_emb(spark, sf), pivots=16, block_bytes=1 << 16)
+    r = mt.max_cosine_by_cells(fx.pred_emb(spark, sf), fx.corpus_emb(spark, sf), pivots=16, block_bytes=1 << 16)
     return r.select("vec_id", F.round("max_sim", 6).alias("max_sim"))
 
 
@@ -126,7 +126,8 @@ def q_m4(spark, sf):
 select round(avg(cast(max_sim >= 0.95 as double)), 6) as prop_above_95, round(avg(max_sim), 6) as max_sim_mean,
   round(stddev_pop(max_sim), 6) as max_sim_std from mx""")
 def q_m5(spark, sf):
-    s = mt.cosine_summary(fx.pred_emb(spark, sf), fx.corpus_emb(spark, sf))
+    preds, corpus = fx.pred_emb(spark, sf), fx.corpus_emb(spark, sf)
+    s = mt.cosine_summary(preds, corpus, max_sims=mt.max_cosine_by_cells(preds, corpus))
     return s.select(F.round("cosine_max_sim_prop_above_95", 6).alias("prop_above_95"),
                     F.round("cosine_max_sim_mean", 6).alias("max_sim_mean"),
                     F.round("cosine_max_sim_std", 6).alias("max_sim_std"))
