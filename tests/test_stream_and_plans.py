@@ -188,3 +188,46 @@ def test_checkpoint_folder_is_never_local_on_a_cluster():
     import pytest
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         ensure_checkpoint_dir(Session())
+
+
+def _log(spark, rows):
+    return spark.createDataFrame([(p, i, "t", "d", None, None, x) for p, i, x in rows], FETCH_LOG_SCHEMA).coalesce(1)
+
+
+def _sink(spark, path):
+    return sorted((r["video_id"], r["full_transcript"]) for r in spark.read.parquet(path).collect())
+
+
+def test_ids_of_earlier_batches_are_state_not_a_read_of_the_sink(spark, scratch, monkeypatch):
+    from titlelake.streaming import ingest
+
+    reads = []
+    own = ingest._sink_ids
+    monkeypatch.setattr(ingest, "_sink_ids", lambda *a: reads.append(a) or own(*a))
+    for i, rows in enumerate([[(5, "a", "late"), (1, "a", "first"), (2, " ", "blank")], [(0, "a", "again"), (3, "b ", "b")], [(9, "b", "again"), (4, "c", "c")]]):
+        _log(spark, rows).write.mode("append").parquet(f"{scratch}/in")
+        run_ingest(spark, f"{scratch}/in", f"{scratch}/sink", f"{scratch}/ck", max_files_per_trigger=1)
+    assert _sink(spark, f"{scratch}/sink") == [("a", "first"), ("b", "b"), ("c", "c")]
+    assert len(reads) == 1  # the first run asks whether the sink had rows before its checkpoint
+
+
+def test_a_sink_older_than_the_checkpoint(spark, scratch):
+    _log(spark, [(1, "a", "old")]).write.parquet(f"{scratch}/in1")
+    run_ingest(spark, f"{scratch}/in1", f"{scratch}/sink", f"{scratch}/ck1")
+    _log(spark, [(1, "b", "b")]).write.parquet(f"{scratch}/in2")
+    run_ingest(spark, f"{scratch}/in2", f"{scratch}/sink", f"{scratch}/ck2")
+    _log(spark, [(1, " a", "new"), (2, "c", "c")]).write.mode("append").parquet(f"{scratch}/in2")
+    run_ingest(spark, f"{scratch}/in2", f"{scratch}/sink", f"{scratch}/ck2")
+    assert _sink(spark, f"{scratch}/sink") == [("a", "old"), ("b", "b"), ("c", "c")]
+
+
+def test_a_batch_that_was_written_and_not_committed(spark, scratch):
+    import os
+
+    _log(spark, [(1, "a", "a"), (2, "b", "b")]).write.parquet(f"{scratch}/in")
+    run_ingest(spark, f"{scratch}/in", f"{scratch}/sink", f"{scratch}/ck")
+    for name in os.listdir(f"{scratch}/ck/commits"):
+        if name.strip(".").split(".")[0] == "0":
+            os.remove(f"{scratch}/ck/commits/{name}")
+    run_ingest(spark, f"{scratch}/in", f"{scratch}/sink", f"{scratch}/ck")
+    assert _sink(spark, f"{scratch}/sink") == [("a", "a"), ("b", "b")]

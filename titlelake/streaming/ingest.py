@@ -2,16 +2,25 @@
 
 New fetch-outcome files landing in ``source_dir`` are processed once each
 (file source + checkpoint). Every micro-batch keeps the first row per id
-that is no retryable failure, drops ids already present in the sink (anti-join against what has been
-written so far) and appends the assembled transcript records. A stopped
-job resumes from its checkpoint; ``trigger(availableNow=True)`` drains what
-is there and stops.
+that is no retryable failure and whose id no earlier batch has written. Which ids
+were written is keyed state in the state store (RocksDB: on disk, one
+small entry for each id), so a micro-batch costs what its own rows cost, however large the sink has
+grown. ``trigger(availableNow=True)`` drains what is there and stops.
+
+The sink is looked at in two cases only. A new checkpoint over a sink that already has
+rows copies their ids once to a snapshot beside the checkpoint, which the stream is
+filtered by. A micro-batch that a stopped job had begun and not committed
+leaves out what it had already written.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from titlelake.functions.records import classify_fetch
 from titlelake.functions.text import safe_strip
@@ -20,6 +29,8 @@ from titlelake.operators.windows import keep_first
 from titlelake.plans.transcripts import TRANSCRIPT_COLS, assemble
 from titlelake.sources.readers import existing
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 FETCH_LOG_SCHEMA = T.StructType([
     T.StructField("pos", T.LongType()), T.StructField("video_id", T.StringType()),
     T.StructField("title", T.StringType()), T.StructField("description", T.StringType()),
@@ -33,38 +44,81 @@ def _sink_ids(spark: SparkSession, sink_dir: str) -> DataFrame | None:
     return spark.read.parquet(sink_dir).select("video_id") if existing(spark, f"{sink_dir.rstrip('/')}/part-*") else None
 
 
-def _final_rows(log: DataFrame) -> DataFrame:
-    """First row per id among those that are no retryable failure: such a
-    failure never hides a later outcome, however files fall into micro-batches."""
+def _final(log: DataFrame) -> DataFrame:
+    """Rows that are no retryable failure (such a failure never hides a later
+    outcome, however files fall into micro-batches), with stripped ids that are not blank."""
     final = log.where(classify_fetch("exc_type", "exc_msg") != "retryable")
-    return keep_first(final.withColumn("video_id", safe_strip("video_id")), "video_id", "pos")
+    return final.withColumn("video_id", safe_strip("video_id")).where("video_id <> ''")
+
+
+def _first_unseen(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The id's first row of this micro-batch, unless an earlier one had the id; one row is held at a time."""
+    if state.exists:
+        return
+    first = None
+    for part in parts:
+        own = part.loc[[part["pos"].idxmin()]] if part["pos"].notna().any() else part.iloc[:1]
+        if first is None or own["pos"].iloc[0] < first["pos"].iloc[0] or pd.isna(first["pos"].iloc[0]):
+            first = own
+    state.update((True,))
+    yield first
+
+
+def new_rows(log: DataFrame) -> DataFrame:
+    """The streaming rows whose id is seen for the first time."""
+    return _final(log).groupBy("video_id").applyInPandasWithState(
+        _first_unseen, FETCH_LOG_SCHEMA, "seen boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def _entries(spark: SparkSession, path: str) -> set[str]:
+    """Names in a folder of the checkpoint; none if it is not there."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return {s.getPath().getName() for s in fs.listStatus(folder)} if fs.exists(folder) else set()
 
 
-def process_batch(spark: SparkSession, batch: DataFrame, sink_dir: str) -> None:
-    """One micro-batch: first final row per id, minus ids already in the sink, appended."""
-    b = _final_rows(batch)
-    done = _sink_ids(spark, sink_dir)
-    if done is not None:
-        b = anti_by_id(b, done)
-    assemble(b).select(*TRANSCRIPT_COLS).write.mode("append").parquet(sink_dir)
+def _snapshot(spark: SparkSession, sink_dir: str, checkpoint_dir: str) -> DataFrame | None:
+    """Ids that the sink had before this checkpoint began, or None."""
+    path = f"{checkpoint_dir.rstrip('/')}-ids-before"
+    if not _entries(spark, f"{checkpoint_dir}/offsets"):
+        had = _sink_ids(spark, sink_dir)
+        if had is not None:
+            had.distinct().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path) if existing(spark, f"{path}/_SUCCESS") else None
 
 
 def run_ingest(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
                max_files_per_trigger: int = 100):
-    """Start the stream (file source -> foreachBatch) and wait until the
+    """Start the stream (file source -> keyed state -> appends) and wait until the
     files present now are processed."""
+    before = _snapshot(spark, sink_dir, checkpoint_dir)
+    numbers = lambda kind: {n for n in _entries(spark, f"{checkpoint_dir}/{kind}") if n.isdigit()}
+    unfinished = numbers("offsets") - numbers("commits")
     stream = (spark.readStream.schema(FETCH_LOG_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
               .parquet(source_dir))
-    q = (stream.writeStream.option("checkpointLocation", checkpoint_dir)
-         .foreachBatch(lambda df, _id: process_batch(spark, df, sink_dir))
-         .trigger(availableNow=True).start())
+    if before is not None:
+        stream = anti_by_id(stream, before)
+
+    def append(rows: DataFrame, batch: int) -> None:
+        if str(batch) in unfinished:
+            written = _sink_ids(spark, sink_dir)
+            rows = rows if written is None else anti_by_id(rows, written, stripped=True)
+        assemble(rows).select(*TRANSCRIPT_COLS).write.mode("append").parquet(sink_dir)
+
+    had = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        q = (new_rows(stream).writeStream.option("checkpointLocation", checkpoint_dir)
+             .foreachBatch(append).trigger(availableNow=True).start())
+    finally:
+        spark.conf.unset(STATE_STORE) if had is None else spark.conf.set(STATE_STORE, had)
     q.awaitTermination()
     return q
 
 
 def batch_equivalent(log: DataFrame) -> DataFrame:
     """What one batch run over all files would write (for replay checks)."""
-    return assemble(_final_rows(log)).select(*TRANSCRIPT_COLS)
+    return assemble(keep_first(_final(log), "video_id", "pos")).select(*TRANSCRIPT_COLS)
 
 
-__all__ = ["run_ingest", "process_batch", "batch_equivalent", "FETCH_LOG_SCHEMA"]
+__all__ = ["run_ingest", "new_rows", "batch_equivalent", "FETCH_LOG_SCHEMA"]
