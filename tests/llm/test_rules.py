@@ -351,6 +351,45 @@ def test_shortest_entities_pass_the_hint(spark):
     assert out[-1].split()[1] == out[list(short).index("ip")].split()[1]  # one surrogate for one address
 
 
+def luhn_ok(digits):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def iban_ok(text):
+    t = text.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97 == 1
+
+
+def test_country_codes_and_check_digits_stay(spark):
+    texts = ["call +49 30 1234567 or +4930 1234567", "call +1 275 555 5927", "call +420 601 123 456", "card 4111 1111 1111 1111 and 4111 1111 1111 1112, 3782-822463-10005",
+             "DE89 3704 0044 0532 0130 00 and GB82 WEST 1234 5698 7654 32 and DE88 3704 0044 0532 0130 00", "Mr. O\u2019Neil and Mrs. O\u2019Neil"]
+    out = surrogates(spark, texts)
+    a, b = re.findall(r"\+[0-9 ]+[0-9]", out[0])
+    assert a.startswith("+49 ") and a.replace(" ", "") == b.replace(" ", "") != "+49301234567"
+    assert out[1].startswith("call +1 ") and out[2].startswith("call +420 ")
+    cards = [re.sub(r"\D", "", x) for x in re.findall(r"[0-9]{4}[ -][0-9 -]+[0-9]", out[3])]
+    assert [luhn_ok(c) for c in cards] == [True, False, True] and len(set(cards)) == 3
+    ibans = re.findall(r"[A-Z]{2}[0-9]{2}(?: [A-Z0-9]{2,4})+", out[4])
+    assert [iban_ok(x) for x in ibans] == [True, True, False] and [x[:2] for x in ibans] == ["DE", "GB", "DE"] and re.fullmatch(r"GB\d\d [A-Z]{4}( \d{4}){3} \d\d", ibans[1])
+    assert "Neil" not in out[5] and out[5].split()[1] == out[5].split()[4]
+
+
+def test_numbers_stay_distinct_in_a_full_form(spark):
+    """Every value of a form at once: a permutation of them."""
+    frame = spark.range(1000).selectExpr("'ssn' as type", "lpad(id, 3, '0') as norm").unionAll(spark.range(10_000).selectExpr("'phone1' as type", "concat('7', lpad(id, 4, '0')) as norm"))
+    frame = frame.unionAll(spark.range(10_000).selectExpr("'card' as type", "lpad(id, 4, '0') as norm")).unionAll(spark.range(65_536).selectExpr("'ip' as type", "concat('10.0.', id div 256, '.', id % 256) as norm"))
+    got = pii_surrogates.assign(frame, "k").collect()
+    for kind, n in (("ssn", 1000), ("phone1", 10_000), ("card", 10_000), ("ip", 65_536)):
+        own = [r for r in got if r["type"] == kind]
+        assert len(own) == n == len({r["sur"] for r in own}) and sum(r["sur"] == r["norm"] for r in own) < 20
+        if kind in ("ssn", "card"):
+            assert {r["sur"] for r in own} == {r["norm"] for r in own}
+        if kind == "phone1":
+            assert all(re.fullmatch("7[0-9]{4}", r["sur"]) for r in own)
+        if kind == "ip":
+            assert all(re.fullmatch(r"(\d{1,3}\.){3}\d{1,3}", r["sur"]) and max(map(int, r["sur"].split("."))) < 256 for r in own)
+
+
 def test_distinct_entities_stay_distinct(spark):
     texts = [f"Mr. A{''.join(chr(97 + int(c)) for c in str(i))} and u{i}@x{i % 7}.org and {i:04d} 5555 4444 {i * 7 % 10000:04d}" for i in range(400)]
     out = surrogates(spark, texts)

@@ -5,12 +5,14 @@ names after a form of address are found by one pattern.  Each distinct
 entity (coreference: the same value in any notation or case, and a surname
 or given name by itself) gets one keyed surrogate in the whole table:
 
-* numbers keep their length, grouping and country code, names their script,
-  gender and case, addresses their shape;
-* collision check: a surrogate that two entities share, or that is itself an
+* numbers keep their length, grouping, country code and the rightness of their check digits (card: Luhn,
+  account: remainder by 97), names their script, gender and case, addresses their shape;
+* numbers and addresses are mapped by a keyed permutation of the values of their form, so different ones
+  stay different however full the form is (a value may be mapped to another number that
+  occurs in the table, which is replaced as well);
+* collision check of names and mail addresses: a surrogate that two entities share, or that is itself an
   entity of the table, is drawn again by all but the first of them, until
-  none is left (names and mail names grow from the fourth draw on; a number
-  whose form has too few values ends in an error, never in a shared surrogate).
+  none is left (they grow from the fourth draw on).
 
 Entities travel as rows of distinct values, texts only to join their
 replacements.  Cases: a null text stays null; a text without entity stays as
@@ -38,9 +40,15 @@ PATTERNS = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9-])(?:[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -]?)[0-9]{6}\2[0-9]{5})(?![0-9-])",
     "phone": r"(?<![0-9+(])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}|(?<=\+[0-9]{1,3}[ .-]?)[0-9]{1,4}(?:[ .-]?[0-9]{2,4}){2,4})(?![0-9])",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{FEMALE}|{MALE}|{EITHER})\.? \p{{Lu}}[\p{{Ll}}\p{{Lu}}'-]+(?: \p{{Lu}}[\p{{Ll}}\p{{Lu}}'-]+)?",
+    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{FEMALE}|{MALE}|{EITHER})\.? \p{{Lu}}[\p{{Ll}}\p{{Lu}}'\x{{2019}}-]+(?: \p{{Lu}}[\p{{Ll}}\p{{Lu}}'\x{{2019}}-]+)?",
 }
-NUMBERS = ("ssn", "card", "phone", "iban")
+#: A phone number's type ends with the digits of its country code, which stay.
+PHONES = ("phone0", "phone1", "phone2", "phone3")
+NUMBERS = ("ssn", "card", "iban", *PHONES)
+# Country codes of one and of two digits; all others have three.
+ONE_DIGIT = "[17]"
+TWO_DIGITS = "2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
+ROUNDS = 6
 # Syllables of surrogate names by script, and the endings by gender.
 SYLLABLES = {
     "latin": "ba be bi bo da de di do fa fe ga go ha he ka ki la le li lo ma me mi mo na ne ni no pa pe ra re ri ro sa se ta te va ve".split(),
@@ -94,18 +102,79 @@ def units(entity: Column, kind: Column) -> Column:
     given = lambda w: part(F.concat(F.lit("given_"), gender, F.lit("_"), script_of(w)), w)
     family = lambda w: part(F.concat(F.lit("family_s_"), script_of(w)), w)
     one, two = F.get(words, F.lit(1)), F.get(words, F.lit(2))
+    code = F.regexp_replace(entity, "[^0-9]", "")
+    country = F.when(~entity.startswith("+"), "phone0").when(code.rlike(f"^{ONE_DIGIT}"), "phone1").when(code.rlike(f"^(?:{TWO_DIGITS})"), "phone2").otherwise("phone3")
+    kind = F.when(kind == "phone", country).otherwise(kind)
     whole = F.struct(kind.alias("type"), F.when(kind == "email", F.lower(entity)).when(kind == "iban", F.upper(F.replace(entity, F.lit(" "), F.lit("")))).when(
         kind.isin(*NUMBERS), F.regexp_replace(entity, "[^0-9]", "")).otherwise(entity).alias("norm"), entity.alias("raw"))
     # numbers of one type but different length or prefix are different norms already
     return F.when(kind != "name", F.array(whole)).when(F.size(words) > 2, F.array(none, given(one), family(two))).otherwise(F.array(none, family(one)))
 
 
+def permuted(values: Column, radix: Column, key: str, label: Column) -> Column:
+    """A keyed permutation of all arrays of one size whose entries are below ``radix``: a Feistel network, each
+    half in turn shifted, entry by entry, by a hash of the other."""
+    half = F.floor(F.size(values) / 2).cast("int")
+    left, right = lambda x: F.slice(x, F.lit(1), half), lambda x: F.slice(x, half + 1, F.size(values) - half)
+
+    def shifted(own: Column, other: Column, most: Column, r: Column) -> Column:
+        seed = F.sha2(F.concat_ws("|", F.lit(key), label, r.cast("string"), F.array_join(other.cast("array<string>"), ".")), 256)
+        by = lambda i: F.conv(F.substr(seed, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
+        return F.transform(own, lambda v, i: F.pmod(v + by(i), F.get(most, i)))
+
+    def step(acc: Column, r: Column) -> Column:
+        a, b = acc["a"], acc["b"]
+        return F.struct(F.when(r % 2 == 0, shifted(a, b, left(radix), r)).otherwise(a).alias("a"), F.when(r % 2 == 1, shifted(b, a, right(radix), r)).otherwise(b).alias("b"))
+
+    start = F.struct(left(values).alias("a"), right(values).alias("b"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda acc: F.concat(acc["a"], acc["b"]))
+
+
+def same_classes(text: Column, key: str, label: Column) -> Column:
+    """A permutation of the texts of digits and capitals that have them at the same places."""
+    chars = F.split(text, "")
+    digit = lambda c: F.regexp_like(c, F.lit("[0-9]"))
+    values = F.transform(chars, lambda c: F.when(digit(c), c.cast("string").try_cast("int")).otherwise(F.ascii(c) - 65))
+    out = permuted(values, F.transform(chars, lambda c: F.when(digit(c), 10).otherwise(26)), key, F.concat_ws("|", label, F.regexp_replace(F.regexp_replace(text, "[0-9]", "0"), "[A-Z]", "A")))
+    return F.array_join(F.zip_with(out, chars, lambda v, c: F.when(digit(c), v.cast("string")).otherwise(F.char(v + 65))), "")
+
+
+def luhn(digits: Column) -> Column:
+    """Check digit that follows the digits."""
+    doubled = F.transform(F.reverse(F.split(digits, "")), lambda c, i: c.cast("int") * F.when(i % 2 == 0, 2).otherwise(1))
+    return F.pmod(-F.aggregate(doubled, F.lit(0), lambda a, v: a + v - F.when(v > 9, 9).otherwise(0)), F.lit(10))
+
+
+def account_check(country: Column, body: Column) -> Column:
+    """The two check digits of an account number."""
+    value = lambda c: F.when(F.regexp_like(c, F.lit("[0-9]")), c.try_cast("int")).otherwise(F.ascii(c) - 55)
+    rest = F.aggregate(F.split(F.concat(body, country, F.lit("00")), ""), F.lit(0), lambda a, c: (a * F.when(value(c) > 9, 100).otherwise(10) + value(c)) % 97)
+    return 98 - rest
+
+
+def mapped(key: str, kind: Column, norm: Column) -> Column:
+    """Normalised surrogate of a number or address: a permutation of its form's values."""
+    rest = lambda at: F.substr(norm, F.lit(at), F.length(norm))
+    octets = F.split(norm, "\\.").cast("array<int>")
+    address = F.array_join(permuted(octets, F.transform(octets, lambda _: F.lit(256)), key, kind).cast("array<string>"), ".")
+    kept = F.substr(kind, F.lit(6), F.lit(1)).try_cast("int")
+    phone = F.concat(F.substr(norm, F.lit(1), kept), same_classes(F.substr(norm, kept + 1, F.length(norm)), key, F.concat(kind, F.substr(norm, F.lit(1), kept))))
+    # a check digit is as far from the right one as it was: right ones stay right, and nothing is lost
+    size = F.length(norm)
+    front = F.substr(norm, F.lit(1), size - 1)
+    new = same_classes(front, key, kind)
+    card = F.concat(new, F.pmod(luhn(new) + F.substr(norm, size, F.lit(1)).try_cast("int") - luhn(front), F.lit(10)).cast("string"))
+    country, body = F.substr(norm, F.lit(1), F.lit(2)), rest(5)
+    own = same_classes(body, key, F.concat(kind, country))
+    check = F.pmod(account_check(country, own) + F.substr(norm, F.lit(3), F.lit(2)).try_cast("int") - account_check(country, body), F.lit(100))
+    account = F.concat(country, F.lpad(check.cast("string"), 2, "0"), own)
+    return F.when(kind == "ip", address).when(kind == "ssn", same_classes(norm, key, kind)).when(kind.startswith("phone"), phone).when(kind == "card", card).when(kind == "iban", account)
+
+
 def surrogate(key: str, kind: Column, norm: Column, draw: Column) -> Column:
-    """Normalised surrogate of one draw: digits, letters and choices from a keyed hash."""
+    """Normalised surrogate of a name or mail address, of one draw: letters and choices from a keyed hash."""
     seed = F.sha2(F.concat_ws("|", F.lit(key), kind, norm, draw.cast("string")), 256)
     digits = F.translate(seed, "abcdef", "012345")
-    pick = lambda at, n: F.conv(F.substr(seed, F.lit(at), F.lit(4)), 16, 10).cast("int") % n
-    octet = lambda at: (pick(at, 223) + 1).cast("string")
     more = F.greatest(draw - 2, F.lit(0))
 
     def name(script: str) -> Column:
@@ -116,32 +185,31 @@ def surrogate(key: str, kind: Column, norm: Column, draw: Column) -> Column:
 
     user = F.concat(F.translate(F.substr(seed, F.lit(1), F.lit(7) + more), "0123456789", "ghijklmnop"), F.lit("."), F.substr(digits, F.lit(20), F.lit(2)))
     host = F.concat(F.translate(F.substr(seed, F.lit(30), F.lit(4)), "0123456789", "ghijklmnop"), F.lit(".example."), F.regexp_extract(norm, r"\.([a-z]+)$", 1))
-    country = F.when((kind == "phone") & (F.length(norm) > 10), F.length(norm) - 10).otherwise(0)
-    number = F.concat(F.substr(norm, F.lit(1), country), F.substr(digits, F.lit(1), F.length(norm) - country))
-    account = F.concat(F.substr(norm, F.lit(1), F.lit(2)), F.array_join(F.transform(F.split(F.substr(norm, F.lit(3)), ""), lambda c, i: F.when(
-        c.rlike("[0-9]"), F.substr(digits, i + 1, F.lit(1))).otherwise(F.upper(F.substr(F.translate(seed, "0123456789", "GHIJKLMNOP"), i + 1, F.lit(1))))), ""))
-    out = F.when(kind == "email", F.concat(user, F.lit("@"), host)).when(kind == "ip", F.concat_ws(".", octet(1), octet(5), octet(9), octet(13))).when(kind == "iban", account).when(kind.isin("ssn", "card", "phone"), number)
+    out = F.when(kind == "email", F.concat(user, F.lit("@"), host))
     for script in SYLLABLES:
         out = out.when(kind.endswith(script), name(script))
     return out
 
 
 def assign(entities: DataFrame, key: str) -> DataFrame:
-    """``type, norm, sur`` for the distinct ``type, norm`` given: no surrogate twice in a type, none that is an entity of it."""
+    """``type, norm, sur`` for the distinct ``type, norm`` given: no surrogate twice in a type, and no name or mail address that is an entity of it."""
     family = F.regexp_replace("type", "_[fmn]_", "_")
-    todo, done = entities, None
+    numbers = F.col("type").isin("ip", *NUMBERS)
+    done = entities.filter(numbers).select("type", "norm", F.lit("").alias("group"), mapped(key, F.col("type"), F.col("norm")).alias("sur"))
+    entities = entities.filter(~numbers)
+    todo = entities
     taken = entities.select(family.alias("group"), F.col("norm").alias("sur"))
     for draw in range(DRAWS):
         now = todo.select("type", "norm", family.alias("group"), surrogate(key, F.col("type"), F.col("norm"), F.lit(draw)).alias("sur"))
         first = now.groupBy("group", "sur").agg(F.min(F.struct("type", "norm")).alias("own")).join(taken, ["group", "sur"], "left_anti")
         won = stored(first.select("own.type", "own.norm", "group", "sur"), "surrogates")
-        done = won if done is None else done.unionByName(won)
+        done = done.unionByName(won)
         taken = taken.unionByName(won.select("group", "sur"))
         left = todo.join(won.select("type", "norm"), ["type", "norm"], "left_anti")
         if left.isEmpty():
             return done.select("type", "norm", "sur")
         todo = stored(left, "again")
-    raise ValueError(f"entities without a surrogate of their own after {DRAWS} draws: a form has too few values")
+    raise ValueError(f"names without a surrogate of their own after {DRAWS} draws: a form has too few values")
 
 
 def dressed(raw: Column, kind: Column, sur: Column) -> Column:
