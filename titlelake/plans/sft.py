@@ -21,7 +21,6 @@ from titlelake.functions import records as rc
 from titlelake.functions.text import clean_prediction, safe_strip
 from titlelake.operators.filters import guard_min_rows, sft_quality_keep
 from titlelake.operators.joins import ordered_lookup
-from titlelake.operators.windows import keep_first
 
 BUCKET_HEX = 4  # 65,536 hash-prefix buckets per stratum
 
@@ -33,26 +32,50 @@ class SplitConfig:
     stratify_source: bool = False
 
 
-def examples(records: DataFrame, row_index: str = "row_index") -> DataFrame:
-    """Quality-gated examples (id, source, source_text, title, row_index),
-    first row per id kept."""
+def _usable(records: DataFrame, row_index: str) -> DataFrame:
+    """All rows that pass the quality gate: id, source, source_text, title, row_index."""
     cols = set(records.columns)
     col_or_null = lambda c: F.col(c) if c in cols else F.lit(None).cast("string")
     src = rc.select_source(col_or_null("full_transcript"), col_or_null("transcript"), col_or_null("description"))
     ex = records.select(rc.infer_id(col_or_null("video_id"), col_or_null("url"), F.col(row_index)).alias("id"),
                         src["source"].alias("source"), src["source_text"].alias("source_text"),
                         safe_strip(col_or_null("title")).alias("title"), F.col(row_index).alias("row_index"))
-    ex = ex.where(sft_quality_keep("source", "source_text", "title"))
-    return keep_first(ex, "id", "row_index", drop_blank=False)
+    return ex.where(sft_quality_keep("source", "source_text", "title") & F.col("id").isNotNull())
+
+
+def _firsts(usable: DataFrame) -> DataFrame:
+    """W3 on narrow rows: id, source and row_index of each id's first row.
+
+    One number holds the position and which of the two sources (P14) the row has, so every
+    reader of the firsts shares one hash aggregate and its exchange; no text is shuffled or held in a buffer."""
+    code = F.min(F.col("row_index").cast("bigint") * 2 + (F.col("source") == "description").cast("int")).alias("__first")
+    # the filter keeps the aggregate in every reader's plan, also where only the id is read
+    first = usable.groupBy("id").agg(code).where(F.col("__first").isNotNull())
+    return first.select("id", F.when(F.col("__first") % 2 == 0, "transcript").otherwise("description").alias("source"),
+                        F.floor(F.col("__first") / 2).alias("row_index"))
+
+
+def _with_texts(narrow: DataFrame, usable: DataFrame) -> DataFrame:
+    """Narrow rows with their texts, which are joined once. ``row_index`` numbers the records."""
+    own = narrow.withColumnsRenamed({"id": "__id", "row_index": "__row"}).drop("source")
+    return usable.join(own, (F.col("id") == F.col("__id")) & (F.col("row_index") == F.col("__row"))).drop("__id", "__row")
+
+
+def examples(records: DataFrame, row_index: str = "row_index") -> DataFrame:
+    """Quality-gated examples (id, source, source_text, title, row_index),
+    first row per id kept."""
+    usable = _usable(records, row_index)
+    return _with_texts(_firsts(usable), usable)
 
 
 def split(ex: DataFrame, cfg: SplitConfig = SplitConfig()) -> DataFrame:
     """Examples + ``is_test`` and the O2 order keys ``order_key``."""
     if not 0.0 < cfg.test_size < 1.0:
         raise ValueError("test_size must be in (0, 1)")
-    keyed = ex.withColumns({"__st": F.col("source") if cfg.stratify_source else F.lit(""),
-                            "__h": rc.hash_key(cfg.seed, F.col("id"))})
-    ids = keyed.select("__st", "__h", F.substring("__h", 1, BUCKET_HEX).alias("__b"))  # no text travels
+    # keys that are never null: no reader's plan gets a filter of its own, so all share what is below
+    keyed = ex.withColumns({"__st": F.coalesce(F.col("source"), F.lit("")) if cfg.stratify_source else F.lit(""),
+                            "__h": F.coalesce(rc.hash_key(cfg.seed, F.col("id")), F.lit(""))})
+    ids = keyed.select("__st", "__h", F.coalesce(F.substring("__h", 1, BUCKET_HEX), F.lit("")).alias("__b"))  # no text travels
     hist = ids.groupBy("__st", "__b").agg(F.count(F.lit(1)).alias("__c"))
     by_bucket = Window.partitionBy("__st").orderBy("__b")
     n = F.sum("__c").over(Window.partitionBy("__st"))
@@ -78,11 +101,12 @@ def prepare(records: DataFrame, cfg: SplitConfig = SplitConfig(), row_index: str
     ``order_key``, by which a writer sorts (train then test, each in sha1 order:
     U3, O2); id lists carry their order key as ``pos``. Fewer than
     ``min_examples`` usable examples fail the job that reads the result (F15)."""
-    ex = examples(records, row_index)
+    usable = _usable(records, row_index)
+    first = _firsts(usable)
     if min_examples:
-        ex = guard_min_rows(ex, min_examples)
-    s = split(ex, cfg)
-    data = s.select("id", "source", "source_text", "title", "is_test", "order_key")
+        first = guard_min_rows(first, min_examples)
+    s = split(first, cfg)
+    data = _with_texts(s, usable).select("id", "source", "source_text", "title", "is_test", "order_key")
     train_ids = s.where(~F.col("is_test")).select(F.col("order_key").alias("pos"), "id")
     test_ids = s.where(F.col("is_test")).select(F.col("order_key").alias("pos"), "id")
     return data, train_ids, test_ids
