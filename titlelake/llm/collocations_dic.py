@@ -181,20 +181,25 @@ def active_counts(lang: str, words: list[bytes], ids: np.ndarray, table: np.ndar
 
 
 def scanned(blocks: DataFrame, shared, scan: int, cfg: Config) -> DataFrame:
-    """``lang, length, phrase, act, c`` of the active phrases of the blocks given; ``shared`` broadcasts the slots."""
+    """``key, act, c`` of the active phrases of the blocks given, where a key is language, tab, phrase (phrases
+    have no tab): one short string to be compared.  ``shared`` broadcasts the slots."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(shared.value, dtype=np.uint8)
         for batch in batches:
             for lang, words, ids in zip(column(batch, "lang").to_pylist(), column(batch, "words").to_pylist(), column(batch, "ids").to_pylist()):
-                for length, phrase, c, act in active_counts(lang, words.split(b" "), np.frombuffer(ids, dtype="<i4"), table, scan, cfg):
-                    size = len(phrase)
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([lang] * size, pa.string()), pa.array(np.full(size, length, dtype=np.int8)), phrase,
-                        pa.array(act.astype(np.int16)), pa.array(c.astype(np.int64)),
-                    ], ["lang", "length", "phrase", "act", "c"])
+                for _, phrase, c, act in active_counts(lang, words.split(b" "), np.frombuffer(ids, dtype="<i4"), table, scan, cfg):
+                    key = pc.binary_join_element_wise(pa.scalar(lang), phrase, "\t")
+                    yield pa.RecordBatch.from_arrays([key, pa.array(act.astype(np.int16)), pa.array(c.astype(np.int64))], ["key", "act", "c"])
 
-    return blocks.select("lang", "words", "ids").mapInArrow(count, "lang string, length tinyint, phrase string, act smallint, c bigint")
+    return blocks.select("lang", "words", "ids").mapInArrow(count, "key string, act smallint, c bigint")
+
+
+def named(rows: DataFrame, *more: Column) -> DataFrame:
+    """``lang, phrase, length`` of rows with a ``key``, and the columns given."""
+    phrase = F.substring_index("key", "\t", -1)
+    lang = F.substr("key", F.lit(1), F.length("key") - F.length(phrase) - 1)
+    return rows.select(lang.alias("lang"), phrase.alias("phrase"), (F.length(phrase) - F.length(F.replace(phrase, F.lit(" "), F.lit(""))) + 1).alias("length"), *more)
 
 
 def slots_of(phrases: DataFrame, slots: int) -> DataFrame:
@@ -237,7 +242,7 @@ def _written(df: DataFrame, path: str) -> DataFrame:
 
 
 def phrase_counts(docs: DataFrame, cfg: Config = Config()) -> tuple[DataFrame, DataFrame]:
-    """``lang, length, phrase, f`` of all phrases (words too) that occur ``least`` times or more, and
+    """``lang, phrase, length, f`` of all phrases (words too) that occur ``least`` times or more, and
     ``lang, n``: all word occurrences."""
     spark: SparkSession = docs.sparkSession
     if not 1 <= cfg.shards <= UNSET // cfg.longest - 1:
@@ -257,11 +262,12 @@ def phrase_counts(docs: DataFrame, cfg: Config = Config()) -> tuple[DataFrame, D
         rows = scanned(blocks.filter(F.col("shard") == scan % cfg.shards), shared, scan, cfg)
         if state is not None:
             rows = rows.unionAll(state.filter(F.col("act") + cfg.shards >= scan))
-        summed = rows.groupBy("lang", "length", "phrase", "act").agg(F.sum("c").alias("c"))
+        # a phrase has one activating scan, the same in all its rows
+        summed = rows.groupBy("key").agg(F.min("act").alias("act"), F.sum("c").alias("c"))
         after = _written(summed, f"{home}/state-{scan}")
         whole = after.filter((F.col("act") + cfg.shards == scan) & (F.col("c") >= cfg.least))
-        done.append(_written(whole.select("lang", "length", "phrase", F.col("c").alias("f")), f"{home}/done-{scan}"))
-        if mark(table, after.filter((F.col("c") >= cfg.least) & (F.col("length") < cfg.longest)), scan):
+        done.append(_written(named(whole, F.col("c").alias("f")), f"{home}/done-{scan}"))
+        if mark(table, named(after.filter(F.col("c") >= cfg.least)).filter(F.col("length") < cfg.longest), scan):
             last = scan
         if state is not None:
             discard(spark, f"{home}/state-{scan - 1}")
