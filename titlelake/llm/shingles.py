@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words remembered for each worker; beyond it the memory starts afresh.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 _SHIFT = np.uint64(33)

@@ -49,7 +49,7 @@ GRAM = 128
 CODE, CODE_GRAM = 4, 64
 BLOCK_STARTS, CHUNK_STARTS = 4096, 1 << 20
 #: Different blocks of an anchor in one shard, and the bytes at which a task starts the next suffix array.
-SHARD_BLOCKS, SHARD_BYTES = 2000, 2 << 20
+SHARD_BLOCKS, SHARD_BYTES = 2000, 1 << 20
 _BASE, _BASE2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 

@@ -38,7 +38,7 @@ from titlelake.llm.common import clear_stored, column, doc_rows, small_batches,
 WORD = re.compile(r"\w+")
 BEGINNINGS = (4, 5, 6)
 #: Distinct words remembered for each worker.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 
 @dataclass
