@@ -17,6 +17,7 @@ from titlelake.operators.filters import guard_min_rows
 from titlelake.queries.q_misc import _scratch
 from titlelake.sources import readers as rd
 from titlelake.sources import sinks as sk
+from titlelake.sources.published import publish, read_published
 
 VIDEOS = fx.duckdb_ctes("videos")
 STRINGS = ["video_id", "title", "tags"]
@@ -179,6 +180,15 @@ def q_k7(spark, sf):
     return spark.read.parquet(root)
 
 
+@register("K7_publish_dataset", VIDEOS + "select video_id, concat(title, '!') as title from videos")
+def q_k7_published(spark, sf):
+    """K7: the same by a manifest, without renames."""
+    root = f"{_scratch(spark, 'k7p')}/table"
+    publish(fx.videos(spark, sf).select("video_id", "title"), root)
+    publish(read_published(spark, root).select("video_id", F.concat("title", F.lit("!")).alias("title")), root)
+    return read_published(spark, root)
+
+
 @register("F15_min_rows_guard", VIDEOS + "select video_id from videos")
 def q_f15(spark, sf):
     return guard_min_rows(fx.videos(spark, sf).select("video_id"), 20)
