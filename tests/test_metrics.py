@@ -141,3 +141,17 @@ def test_evaluate_takes_references_as_corpus_and_kept_pairs_only(spark):
     assert row["cosine_max_sim_mean"] == 1.0 and row["cosine_mean_corpus_mean"] == 1.0
     corpus = spark.createDataFrame([("t", [0.0, 1.0]), (" ", [1.0, 0.0])], "text string, embedding array<double>")
     assert mt.evaluate(pairs, lex, pred_emb=emb, corpus_emb=corpus).first()["cosine_max_sim_mean"] == 0.0
+
+
+def test_sentiment_phrases(spark):
+    """A phrase gives the hits in it its valence: the longest, then the first; other rules follow."""
+    lex = spark.createDataFrame([("kiss", 1.8), ("death", -2.9), ("good", 1.9)], "token string, valence double")
+    phrases = spark.createDataFrame([("Kiss of death", -1.5), ("of death", 3.0), ("good kiss", 0.5), ("so good", 2.5), ("one two three four five", 9.0)], "phrase string, valence double")
+    texts = ["a kiss of death", "KISS of Death here", "kiss", "not so good", "good kiss good", "of death", "kiss of good death"]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "id string, prediction string")
+    got = {r["id"]: round(r["compound"], 6) for r in mt.compound_scores(df, lex, phrases=phrases).collect()}
+    norm = lambda s: round(s / math.sqrt(s * s + 15), 6)
+    assert got["0"] == norm(-1.5 * 2) and got["1"] == norm(-1.5 * 2 - 0.733) and got["2"] == norm(1.8)
+    assert got["3"] == norm(2.5 * -0.74) and got["4"] == norm(0.5 * 2 + 1.9) and got["5"] == norm(3.0) and got["6"] == norm(1.8 + 1.9 - 2.9)
+    plain = {r["id"]: round(r["compound"], 9) for r in mt.compound_scores(df, lex, phrases=phrases.limit(0)).collect()}
+    assert plain == {r["id"]: round(r["compound"], 9) for r in mt.compound_scores(df, lex).collect()}

@@ -48,6 +48,8 @@ NEGATIONS = (
 )
 # "isn't" and "don't" become one word before tokens are cut.
 CONTRACTION_RE = "([A-Za-z]+[nN])['\u2019]([tT])([^A-Za-z]|$)"
+#: Most tokens of a sentiment phrase.
+PHRASE_WORDS = 4
 SELF_BLEU_MAX_N = 4
 SMOOTH_EPS = 0.1
 
@@ -280,7 +282,8 @@ def cosine_summary(preds: DataFrame, corpus: DataFrame, col: str = "embedding",
 
 # ------------------------------------------------------------ sentiment
 def compound_scores(texts: DataFrame, lexicon: DataFrame, text: str = "prediction",
-                    boosters: DataFrame | None = None, negations: Sequence[str] = NEGATIONS) -> DataFrame:
+                    boosters: DataFrame | None = None, negations: Sequence[str] = NEGATIONS,
+                    phrases: DataFrame | None = None) -> DataFrame:
     """M6: per text, the lexicon compound score ``s / sqrt(s^2 + 15)``.
 
     Rules of Hutto & Gilbert (2014) applied to each lexicon hit (the lexicon
@@ -297,7 +300,11 @@ def compound_scores(texts: DataFrame, lexicon: DataFrame, text: str = "predictio
     mixed-case text), scaled by 1, 0.95 and 0.9 with distance; this comes
     before the negation rule.
 
-    A token row carries at most the three tokens before it, so rows stay
+    With an optional ``phrases`` table (phrase, valence; two to four tokens, space-joined), a phrase that
+    a hit stands in gives the hit its valence instead of the lexicon's ("kiss of death", "the shit"), before all
+    other rules; of several the longest counts, then the one that starts first.
+
+    A token row carries at most the three tokens before and after it, so rows stay
     linear in the text. Rows are told apart by their content; rows alike in
     identifier and text are scored together and divided by their number."""
     raw = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), CONTRACTION_RE, "$1$2$3")
@@ -311,10 +318,14 @@ def compound_scores(texts: DataFrame, lexicon: DataFrame, text: str = "predictio
     tok = tok.withColumns({"cap_diff": (n_caps > 0) & (n_caps < F.size("o")),
                            "but_at": F.array_position(F.transform("o", F.lower), "but")})
     entry = F.transform("o", lambda x, i: F.struct(
-        i.alias("i"), x.alias("word"), F.slice("o", F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3))).alias("prev")))
+        i.alias("i"), x.alias("word"), F.slice("o", F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3))).alias("prev"),
+        *([F.slice("o", i + 2, F.lit(PHRASE_WORDS - 1)).alias("next")] if phrases is not None else [])))
     ex = tok.select("__row", "cap_diff", "but_at", F.explode(entry).alias("e")).select(
         "__row", "cap_diff", "but_at", "e.*").withColumn("token", F.lower("word"))
     hits = ex.join(lexicon.select(F.lower("token").alias("token"), "valence"), "token")
+    if phrases is not None:
+        hits = hits.join(_phrase_valences(hits, phrases), ["__row", "i"], "left")
+        hits = hits.withColumn("valence", F.coalesce("phrase_valence", "valence"))
     val = F.col("valence")
     v = F.when(F.col("cap_diff") & caps(F.col("word")),
                F.when(val > 0, val + CAPS_INCREMENT).otherwise(val - CAPS_INCREMENT)).otherwise(val)
@@ -339,6 +350,23 @@ def compound_scores(texts: DataFrame, lexicon: DataFrame, text: str = "predictio
     return out.select("id", (s2 / F.sqrt(s2 * s2 + VADER_ALPHA)).alias("compound"))
 
 
+def _phrase_valences(hits: DataFrame, phrases: DataFrame) -> DataFrame:
+    """``__row, i, phrase_valence`` of the hits that stand in a phrase: each names the
+    runs of two to four tokens around it (nine at most), which a keyed join looks up."""
+    around = F.concat("prev", F.array("word"), "next")
+    own = hits.select("__row", "i", around.alias("w"), (F.size("prev") + 1).alias("at"))
+
+    def runs_of(size: int) -> Column:
+        first, last = F.greatest(F.col("at") - size + 1, F.lit(1)), F.least(F.col("at"), F.size("w") - size + 1)
+        starts = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda k: F.struct(F.lit(size).alias("size"), k.alias("start"), F.lower(F.array_join(F.slice("w", k, F.lit(size)), " ")).alias("phrase")))
+
+    runs = [runs_of(size) for size in range(2, PHRASE_WORDS + 1)]
+    cand = own.select("__row", "i", F.explode(F.concat(*runs)).alias("r")).select("__row", "i", "r.*")
+    table = phrases.groupBy(F.lower("phrase").alias("phrase")).agg(F.max("valence").alias("pv"))
+    return cand.join(table, "phrase").groupBy("__row", "i").agg(F.max_by("pv", F.struct(F.col("size"), -F.col("start"))).alias("phrase_valence"))
+
+
 def _booster_sums(hits: DataFrame, lexicon: DataFrame, boosters: DataFrame) -> DataFrame:
     """Per lexicon hit: summed booster contributions of the up to three
     preceding tokens, the nearest last in ``prev`` (keyed joins; no per-row

@@ -142,7 +142,8 @@ OT = f"list_filter(string_split_regex({RAW}, '[^\\p{{L}}\\p{{N}}_]+'), lambda w:
 IS_CAPS = "(o[i] = upper(o[i]) and o[i] <> lower(o[i]))"
 
 
-@register("M6_sentiment", PAIRS + f""",
+def _sentiment_sql(phrases: str = "", valence: str = "l.valence", joined: str = "") -> str:
+    return PAIRS + f""",
 {fx.duckdb_ctes('lexicon')[5:]},
 tk0 as (select id, {OT} as o,
           length(coalesce(prediction, '')) - length(replace(coalesce(prediction, ''), '!', '')) as bang,
@@ -150,8 +151,8 @@ tk0 as (select id, {OT} as o,
 tk as (select *, list_transform(o, lambda w: lower(w)) as t,
          len(list_filter(o, lambda w: w = upper(w) and w <> lower(w))) as ncaps from tk0),
 tk2 as (select *, ncaps > 0 and ncaps < len(o) as cap_diff, list_position(t, 'but') as but_at from tk),
-tx as (select id, t, o, cap_diff, but_at, unnest(range(1, len(t) + 1)) as i from tk2),
-h0 as (select tx.*, l.valence from tx join lexicon l on t[i] = lower(l.token)),
+{phrases}tx as (select id, t, o, cap_diff, but_at, unnest(range(1, len(t) + 1)) as i from tk2),
+h0 as (select tx.*, {valence} as valence from tx join lexicon l on t[i] = lower(l.token){joined}),
 h1 as (select id, i, but_at, t, case when cap_diff and {IS_CAPS} then
          case when valence > 0 then valence + {mt.CAPS_INCREMENT} else valence - {mt.CAPS_INCREMENT} end
          else valence end as v from h0),
@@ -164,12 +165,38 @@ s0 as (select tk2.id, tk2.bang, tk2.qm, coalesce(sum(h.v), 0) as s from tk2 left
 s1 as (select id, s, least(bang, 4) * {mt.BANG_INCREMENT} + case when qm > 1 then case when qm <= 3
          then qm * {mt.QUESTION_INCREMENT} else {mt.QUESTION_MAX} end else 0 end as punct from s0),
 s as (select id, case when s > 0 then s + punct when s < 0 then s - punct else s end as s from s1)
-select id, round(s / sqrt(s * s + 15), 6) as compound from s""")
+select id, round(s / sqrt(s * s + 15), 6) as compound from s"""
+
+
+@register("M6_sentiment", _sentiment_sql())
 def q_m6(spark, sf):
     c = mt.compound_scores(_pairs(spark, sf), fx.lexicon(spark))
     return c.select("id", F.round("compound", 6).alias("compound"))
 
 
+#: Phrases for M6: the beginnings of two and three tokens of every prediction.
+PHRASES = """ph as (select p as phrase, (length(p) * 37 % 50 - 25) / 10.0 as valence from (
+  select t[1] || ' ' || t[2] as p from tk where len(t) > 1 union select t[1] || ' ' || t[2] || ' ' || t[3] from tk where len(t) > 2) x),
+"""
+IN_PHRASE = """ left join (
+  select x.id, x.i, max_by(ph.valence, x.size * 100 - x.k) as pv from (
+    select id, i, t, size, unnest(range(greatest(i - size + 1, 1), least(i, len(t) - size + 1) + 1)) as k from
+      (select id, t, unnest(range(1, len(t) + 1)) as i from tk) y, unnest([2, 3, 4]) as z(size)) x
+  join ph on ph.phrase = array_to_string(x.t[x.k:x.k + x.size - 1], ' ') and x.k >= x.i - 3 group by x.id, x.i) q on q.id = tx.id and q.i = tx.i"""
+
+
+@register("M6_sentiment_phrases", _sentiment_sql(PHRASES, "coalesce(q.pv, l.valence)", IN_PHRASE))
+def q_m6_phrases(spark, sf):
+    """M6 with a table of phrases taken from the predictions themselves."""
+    pairs = _pairs(spark, sf)
+    raw = F.regexp_replace(F.coalesce(F.col("prediction"), F.lit("")), mt.CONTRACTION_RE, "$1$2$3")
+    words = pairs.select(F.transform(F.filter(F.split(raw, mt.NON_WORD_RE), lambda x: x != ""), F.lower).alias("t"))
+    phrases = words.select(F.explode(F.array(*[F.when(F.size("t") >= n, F.array_join(F.slice("t", 1, n), " ")) for n in (2, 3)])).alias("phrase"))
+    phrases = phrases.where(F.col("phrase").isNotNull()).distinct().withColumn("valence", (F.length("phrase") * 37 % 50 - 25) / 10.0)
+    c = mt.compound_scores(pairs, fx.lexicon(spark), phrases=phrases)
+    return c.select("id", F.round("compound", 6).alias("compound"))
+
+
 @register("M7_ttr", PAIRS + f"""
 select round(count(distinct w) / count(*), 6) as diversity_ttr from
   (select unnest(list_filter(string_split_regex(lower({strip_sql('prediction')}), '[^\\p{{L}}\\p{{N}}_]+'),
