@@ -426,3 +426,24 @@ def test_repeated_rows_and_hot_entities(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     out = pii_surrogates.replace_entities(docs).collect()
     assert len(out) == len(rows) and len({re.search(r"\S+@\S+", r["text"])[0] for r in out}) == 1
+
+
+def test_size_of_parts_loses_no_find():
+    import base64
+    import gzip
+    import random
+    import zlib
+
+    rng = random.Random(3)
+    noise = lambda n: "".join(rng.choices("abcdefghijkl mnopqrstuvw.,;xyz", k=n))
+    enc = lambda b: base64.b64encode(b).decode()
+    hidden = noise(85_000) + " token=hunter2abc " + "AKIA" + "B" * 16 + noise(5_000)
+    run = enc(gzip.compress(hidden.encode()))
+    wrapped = "\n".join(run[i : i + 76] for i in range(0, len(run), 76))
+    for own in ("io/cb/" + wrapped, enc(enc(hidden.encode()).encode()), enc(zlib.compress(run.encode()))):
+        assert len(own) > secret_scan.OVERLAP
+        text = "see " + enc(gzip.compress(f"{noise(1_000)}: {own} {noise(2_000)}".encode())) + " end"
+        want = secret_scan.scan(text)
+        assert {kind for _, kind, _ in want.all} >= {0, 1} and not want.oversize
+        parts = secret_scan.scan(text, most_bytes=50_000)
+        assert parts.all == want.all and parts.oversize

@@ -14,7 +14,8 @@ Cases: a null or empty text has no span; texts of any length are scanned
 whole; equal texts have equal spans; repeated rows are each scanned; an empty
 table gives an empty result.  A compressed layer of more than
 ``most_bytes`` is scanned in parts of that size that overlap by ``OVERLAP`` bytes, one
-part in memory at a time, and the row counts it in ``n_oversize``.
+part in memory at a time, and the row counts it in ``n_oversize``.  A base64 run that a part
+does not end is decoded on beside the parts, as a stream, so that the size of parts decides about no find in it.
 """
 
 from __future__ import annotations
@@ -47,6 +48,13 @@ PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ONE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#(\d{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
 #: Bytes that parts of a large layer share.
 OVERLAP = 1 << 16
+#: Bytes that are inflated at a time.
+STEP = 1 << 16
+LINE_END_BYTES, CUT_LINE_END = re.compile(LINE_END.pattern.encode()), re.compile(rb"[ \t\r\n\\]*\Z")
+BYTES_OF_RUN = re.compile(rb"(?:[A-Za-z0-9+/_-]|\n(?!\n))*+")
+MAY_BE_RUN = np.isin(np.arange(256), np.frombuffer(bytes(x for x in range(128) if re.match(RUN, chr(x))) + b" \t\r\n\\", np.uint8))
+#: Compressed data may begin after these.
+LINE_FEED, BEFORE_HEAD = 10, np.frombuffer(b"/_-\n", np.uint8)
 
 
 @dataclass
@@ -143,29 +151,152 @@ def unescape_unicode(layer: Layer) -> Iterator[Layer]:
         yield in_place(layer, [(lo, hi, chr(c), np.array([lo]), np.array([hi - 1])) for lo, hi, c in decoded])
 
 
-def inflated(data: bytes, most: int) -> Iterator[bytes]:
-    """What gzip or zlib data holds, up to its first error, in overlapping parts of at most ``most`` bytes."""
-    opened, held, fresh = zlib.decompressobj(47), b"", False
-    for at in range(0, len(data), 4096):
-        rest = data[at : at + 4096]
-        while True:
-            try:
-                more = opened.decompress(rest, most - len(held))
-            except zlib.error:
-                more, at = b"", len(data)
-                rest = b""
-            else:
-                rest = opened.unconsumed_tail
-            held, fresh = held + more, fresh or bool(more)
-            if len(held) >= most:
-                yield held
-                held, fresh = held[-min(OVERLAP, most // 2) :], False
-            elif not rest:
+class Stream:
+    """Bytes that arrive bit by bit, given out in overlapping parts of at most ``most``.  The base64 run that is open
+    where a part ends, and too long for the overlap, is decoded on; what it holds is given out as parts too."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.overlap = most, min(OVERLAP, most // 2)
+        self.held, self.offered, self.fresh, self.run = bytearray(), 0, False, None
+
+    def feed(self, data: bytes) -> Iterator[bytes]:
+        for at in range(0, len(data), self.overlap):
+            self.held += data[at : at + self.overlap]
+            self.fresh = True
+            if len(self.held) >= self.most:
+                yield from self.go_on(len(self.held))
+                if self.run is None:
+                    yield from self.open()
+                yield bytes(self.held)
+                cut = len(self.held) - self.overlap
+                del self.held[:cut]
+                self.offered, self.fresh = max(0, self.offered - cut), False
+
+    def go_on(self, end: int) -> Iterator[bytes]:
+        """Offer the open run what follows it; a line end that may be cut waits."""
+        if self.run is not None:
+            new = self.held[self.offered : end]
+            new = new[: len(new) - len(CUT_LINE_END.search(new)[0])]
+            self.offered += len(new)
+            own = BYTES_OF_RUN.match(LINE_END_BYTES.sub(b"\n", new))
+            yield from self.run.feed(own[0])
+            if own.end() < len(own.string):
+                yield from self.run.close()
+                self.run = None
+
+    def open(self) -> Iterator[bytes]:
+        code = np.frombuffer(bytes(self.held), np.uint8)
+        hard = np.flatnonzero(~MAY_BE_RUN[code])
+        begin = int(hard[-1]) + 1 if len(hard) else 0
+        if len(code) - begin > self.overlap:
+            tail = bytes(self.held[begin:])
+            tail = tail[: len(tail) - len(CUT_LINE_END.search(tail)[0])]
+            self.offered = begin + len(tail)
+            own = LINE_END_BYTES.sub(b"\n", tail)
+            own = own[max(own.rfind(c) for c in (b" ", b"\t", b"\r", b"\\")) + 1 :].rpartition(b"\n\n")[2]
+            self.run = Run(self.most)
+            yield from self.run.feed(own)
+
+    def close(self) -> Iterator[bytes]:
+        yield from self.go_on(len(self.held))
+        if self.run is not None:
+            yield from self.run.close()
+        if self.fresh:
+            yield bytes(self.held)
+
+
+class Run:
+    """A base64 run that arrives bit by bit: read in every step, and inflated from each place where compressed data may begin."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.before, self.ahead, self.begins = most, b"\n", b"", np.zeros(0, bool)
+        self.read: list[tuple[Base64, Stream | Inflated]] = [(Base64(k), Stream(most)) for k in range(4)]
+
+    def feed(self, chars: bytes) -> Iterator[bytes]:
+        """``chars``: of the run, and the line feeds within it."""
+        if not chars:
+            return
+        code = np.frombuffer(self.before + chars, np.uint8)
+        own = code[1:] != LINE_FEED
+        body, begins = code[1:][own].tobytes(), np.isin(code[:-1], BEFORE_HEAD)[own]
+        self.before = chars[-1:]
+        for decoder, to in self.read:
+            yield from to.feed(decoder.feed(body))
+        whole, begins = self.ahead + body, np.append(self.begins, begins)
+        for at in np.flatnonzero(begins[: max(0, len(whole) - 3)]).tolist():
+            if is_compressed(plain_base64(whole[at : at + 4])):
+                decoder, to = Base64(0), Inflated(self.most)
+                self.read.append((decoder, to))
+                yield from to.feed(decoder.feed(whole[at:]))
+        self.ahead, self.begins = whole[-3:], begins[-3:]
+        self.read = [(decoder, to) for decoder, to in self.read if isinstance(to, Stream) or not to.run_out]
+
+    def close(self) -> Iterator[bytes]:
+        for decoder, to in self.read:
+            yield from to.feed(decoder.rest())
+            yield from to.close()
+
+
+class Base64:
+    """Decodes all but the first ``skip`` characters."""
+
+    def __init__(self, skip: int) -> None:
+        self.skip, self.left = skip, b""
+
+    def feed(self, body: bytes) -> bytes:
+        own = self.left + body[self.skip :]
+        self.skip = max(0, self.skip - len(body))
+        whole = len(own) // 4 * 4
+        self.left = own[whole:]
+        return plain_base64(own[:whole])
+
+    def rest(self) -> bytes:
+        return _decoded(self.left.decode().replace("-", "+").replace("_", "/"))
+
+
+class Inflated:
+    """What gzip or zlib data holds, up to its first error."""
+
+    def __init__(self, most: int) -> None:
+        self.zip, self.out, self.run_out, self.most = zlib.decompressobj(47), Stream(most), False, most
+
+    def feed(self, data: bytes) -> Iterator[bytes]:
+        for at in range(0, len(data), 4096):
+            rest = data[at : at + 4096]
+            while not self.run_out:
+                try:
+                    more, rest = self.zip.decompress(rest, STEP), self.zip.unconsumed_tail
+                except zlib.error:
+                    more, self.run_out = b"", True
+                yield from self.out.feed(more)
+                if self.zip.eof:
+                    self.run_out = True
+                if not rest and len(more) < STEP:
+                    break
+            if self.run_out:
                 break
-        if at == len(data) or opened.eof:
-            break
-    if fresh:
-        yield held
+        if self.run_out:
+            yield from self.close()
+
+    def close(self) -> Iterator[bytes]:
+        yield from self.out.close()
+        self.out = Stream(self.most)
+
+
+def plain_base64(body: bytes) -> bytes:
+    return base64.b64decode(body, b"-_") if b"-" in body or b"_" in body else base64.b64decode(body)
+
+
+def is_compressed(head: bytes) -> bool:
+    """The first bytes of gzip or zlib data."""
+    return head[:2] == b"\x1f\x8b" or bool(head) and head[0] & 15 == 8 and (head[0] << 8 | head[1]) % 31 == 0
+
+
+def inflated(data: bytes, most: int) -> Iterator[bytes]:
+    """Parts of at most about ``most`` bytes of what gzip or zlib data holds."""
+    own = Inflated(most)
+    yield from own.feed(data)
+    yield from own.close()
 
 
 def unwrap_base64(layer: Layer, most: int, out: Found) -> Iterator[Layer]:
@@ -182,7 +313,7 @@ def unwrap_base64(layer: Layer, most: int, out: Found) -> Iterator[Layer]:
         opened = False
         for at in sorted(starts):
             head = base64.b64decode(body[at : at + 4]) if at + 16 <= len(body) else b""
-            if head[:2] == b"\x1f\x8b" or head and head[0] & 15 == 8 and (head[0] << 8 | head[1]) % 31 == 0:
+            if is_compressed(head):
                 for k, plain in enumerate(inflated(_decoded(body[at:]), most)):
                     text = characters(plain)[0]
                     out.oversize += k == 1
