@@ -71,6 +71,16 @@ def test_families_around_the_threshold(spark, seed):
     check(spark, rows)
 
 
+def test_sets_whose_digests_share_a_half_are_told_apart(spark):
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randint(0, 999)}" for _ in range(12)) for _ in range(40)]
+    rows = [(i, t) for i, t in enumerate([*texts, *texts[:10], *(t + " more" for t in texts[:10]), "", None])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = minhash_oph.near_duplicates(docs, minhash_oph.Config(words=5, node_bits=3)).collect()
+    want = [(d, n, c, c == d) for d, n, c in brute_components(rows, 5)]
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got)
+
+
 def test_bins_agree_as_the_sets_do():
     signer = minhash_oph.Signer(minhash_oph.Config())
     rng = np.random.default_rng(5)

@@ -12,7 +12,8 @@ the overlap of x and centre c, two members overlap in at most
 min(I(x), I(y)) shingles of c plus the shingles outside c that they share.
 Only members of different components whose sizes allow a link by that bound,
 from overlap alone or with shared outside shingles, are confirmed as pairs.
-Equal shingle sets are one node from the start, so copies never multiply.
+Equal shingle sets are one node from the start, so copies never multiply; a node is named by half of a
+128-bit digest of its set, and where sets of different digests have that half in common they are named anew by both.
 
 Cases: a null, empty or wordless text has no shingle, links with nothing and
 is kept; fewer words than a shingle make one shingle of the whole sequence;
@@ -47,6 +48,7 @@ class Config:
     bands: int = 32
     rows: int = 4
     seed: int = 7
+    node_bits: int = 64  # of the first half of a digest; fewer make common halves likely, for tests
 
 
 class Signer:
@@ -77,13 +79,23 @@ class Signer:
         return key.view(np.int64)
 
 
-def node_of(hashes: np.ndarray) -> int:
-    """Signed 64-bit digest that stands for the set."""
-    return int(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes())).astype(np.int64))
+def digest(sets: list[np.ndarray], cfg: Config) -> list[pa.Array]:
+    """``node, more``: the halves of a 128-bit digest of each set, signed; null for the empty set."""
+    both = np.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "S16").view(">i8").reshape(-1, 2) if sets else np.zeros((0, 2), ">i8")
+    empty = np.array([not len(s) for s in sets], bool)
+    halves = both.astype(np.int64)
+    halves[:, 0] >>= 64 - cfg.node_bits
+    return [pa.array(halves[:, i].copy(), pa.int64(), mask=empty) for i in range(2)]
+
+
+def told_apart(df: DataFrame, shared: DataFrame) -> DataFrame:
+    """``df`` with the nodes that stand in ``shared`` named by both halves of the digest."""
+    both = df.join(shared.select(F.col("node").alias("__shared")), F.col("node") == F.col("__shared"), "left")
+    return both.withColumn("node", F.when(F.col("__shared").isNotNull(), F.xxhash64("node", "more")).otherwise(F.col("node"))).drop("__shared")
 
 
 def signatures(docs: DataFrame, cfg: Config) -> DataFrame:
-    """``doc_id, n, node, keys``; node and keys are null for a text without shingles."""
+    """``doc_id, n, node, more, keys``; all but the first two are null for a text without shingles."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(cfg)
@@ -92,27 +104,27 @@ def signatures(docs: DataFrame, cfg: Config) -> DataFrame:
                 sets = [shingle_set(t, cfg.words) for t in texts_of(part)]
                 yield pa.RecordBatch.from_arrays([
                     column(part, "doc_id"), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
+                    *digest(sets, cfg),
                     pa.array([signer.keys(s) if len(s) else None for s in sets], pa.list_(pa.int64())),
-                ], ["doc_id", "n", "node", "keys"])
+                ], ["doc_id", "n", "node", "more", "keys"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return doc_rows(docs).mapInArrow(sign, f"doc_id {kind}, n bigint, node bigint, keys array<bigint>")
+    return doc_rows(docs).mapInArrow(sign, f"doc_id {kind}, n bigint, node bigint, more bigint, keys array<bigint>")
 
 
 def full_sets(docs: DataFrame, cfg: Config) -> DataFrame:
-    """``node, n, hs``: the full shingle set of every row given."""
+    """``node, more, n, hs``: the full shingle set of every row given."""
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, 1 << 20):
                 sets = [s for s in (shingle_set(t, cfg.words) for t in texts_of(part)) if len(s)]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                    *digest(sets, cfg), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
-                ], ["node", "n", "hs"])
+                ], ["node", "more", "n", "hs"])
 
-    return doc_rows(docs).mapInArrow(expand, "node bigint, n bigint, hs array<bigint>")
+    return doc_rows(docs).mapInArrow(expand, "node bigint, more bigint, n bigint, hs array<bigint>")
 
 
 def linked(inter: Column, a: Column, b: Column, percent: int) -> Column:
@@ -196,12 +208,21 @@ def near_duplicates(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every document."""
     small_batches(docs.sparkSession)
     signed = stored(signatures(docs, cfg), "signed")
-    reps = stored(signed.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys")), "reps")
+    nodes_of = lambda df: stored(df.filter(F.col("node").isNotNull()).groupBy("node").agg(
+        F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.min("more").alias("lo"), F.max("more").alias("hi")), "reps")
+    reps = nodes_of(signed)
+    shared = reps.filter("lo < hi").select("node")
+    several = not shared.isEmpty()
+    if several:
+        signed = stored(told_apart(signed, shared), "signed")
+        reps = nodes_of(signed)
+    reps = reps.drop("lo", "hi")
     edges, nodes = stars(reps)
     ids = nodes.select(F.col("id").alias("want")).distinct()
     own = doc_rows(docs).withColumn("tk", text_key())
     chosen = own.join(ids, F.col("doc_id").eqNullSafe(F.col("want")), "left_semi").dropDuplicates(["doc_id", "tk"])
-    sets = stored(full_sets(chosen, cfg), "sets")
+    sets = full_sets(chosen, cfg)
+    sets = stored((told_apart(sets, shared) if several else sets).drop("more"), "sets")
     both = with_sets(edges, sets).withColumn("outside", F.array_except("hb", "ha"))
     inter = F.col("nb") - F.size("outside")
     keep = F.col("big") | linked(inter, F.col("na"), F.col("nb"), cfg.percent)
