@@ -155,3 +155,25 @@ def test_sentiment_phrases(spark):
     assert got["3"] == norm(2.5 * -0.74) and got["4"] == norm(0.5 * 2 + 1.9) and got["5"] == norm(3.0) and got["6"] == norm(1.8 + 1.9 - 2.9)
     plain = {r["id"]: round(r["compound"], 9) for r in mt.compound_scores(df, lex, phrases=phrases.limit(0)).collect()}
     assert plain == {r["id"]: round(r["compound"], 9) for r in mt.compound_scores(df, lex).collect()}
+
+
+def test_rouge_n_meets_grams_within_the_row(spark):
+    """Repeated grams count as often as both sides have them, rows alike each for itself, and nothing is shuffled."""
+    import random
+
+    rng = random.Random(5)
+    text = lambda: " ".join(rng.choice(["a", "b", "a1", "1", "c2"]) for _ in range(rng.randrange(0, 30)))
+    rows = [(str(k), text(), text()) for k in range(60)] + [("x", "a a a b", "a a b"), ("x", "a a a b", "a a b"), ("y", None, "a b")]
+    pairs = spark.createDataFrame(rows, "id string, reference string, prediction string").repartition(3)
+    for n in (1, 2, 3):
+        df = mt.rouge_n(pairs.coalesce(1), n)
+        grams = lambda t, n=n: Counter(zip(*[(t or "").split()[k:] for k in range(n)]))
+        want = []
+        for i, r, p in rows:
+            a, b = grams(r), grams(p)
+            ov = sum((a & b).values())
+            prec, rec = ov / max(sum(b.values()), 1), ov / max(sum(a.values()), 1)
+            want.append((i, round(prec, 9), round(rec, 9), round(2 * prec * rec / (prec + rec) if ov else 0.0, 9)))
+        assert sorted((x["id"], round(x["p"], 9), round(x["r"], 9), round(x["f1"], 9)) for x in df.collect()) == sorted(want)
+        plan = mt.rouge_n(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id as id", "text as reference", "lang as prediction"), n)
+        assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
