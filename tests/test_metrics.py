@@ -177,3 +177,12 @@ def test_rouge_n_meets_grams_within_the_row(spark):
         assert sorted((x["id"], round(x["p"], 9), round(x["r"], 9), round(x["f1"], 9)) for x in df.collect()) == sorted(want)
         plan = mt.rouge_n(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id as id", "text as reference", "lang as prediction"), n)
         assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sentiment_tokens_are_not_shuffled_to_meet_the_lexicon(spark):
+    from titlelake import fixtures as fx
+
+    texts = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id as id", "text as prediction")
+    plan = mt.compound_scores(texts, fx.lexicon(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [token" in plan and "hashpartitioning(token" not in plan
+    assert fx.lexicon(spark).collect() == spark.createDataFrame(fx.LEXICON, "token string, valence double").collect()
