@@ -186,3 +186,15 @@ def test_sentiment_tokens_are_not_shuffled_to_meet_the_lexicon(spark):
     plan = mt.compound_scores(texts, fx.lexicon(spark))._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin [token" in plan and "hashpartitioning(token" not in plan
     assert fx.lexicon(spark).collect() == spark.createDataFrame(fx.LEXICON, "token string, valence double").collect()
+
+
+def test_self_bleu_shuffles_no_grams_as_text(spark):
+    """What meets the other texts is a hash of fixed width; no inferred filter counts a text's grams once more for each gram."""
+    texts = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id as id", "text as prediction")
+    df = mt.self_bleu(texts)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(h#" in plan and "hashpartitioning(n#" not in plan and "hashpartitioning(key#0, k" not in plan
+    assert "size(zip_with" not in plan
+    few = [" ".join(r.prediction.split()[:12]) for r in texts.limit(30).collect()] + ["a b a b a", "a b a b a", "a a a a b", "z"]
+    got = mt.self_bleu(pairs_df(spark, few)).collect()[0]["diversity_self_bleu"]
+    assert math.isclose(got, brute_self_bleu(few), rel_tol=1e-9)
