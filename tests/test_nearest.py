@@ -57,3 +57,30 @@ def test_nulls_zero_vectors_and_empty_sides(spark):
     assert all(np.isnan(r["max_sim"]) for r in mt.max_cosine_by_cells(preds, zero).collect())
     assert mt.max_cosine_by_cells(preds, corpus.limit(0)).count() == 0
     assert mt.max_cosine_by_cells(preds.limit(0), corpus).count() == 0
+
+
+def test_vectors_are_sent_to_shelves_not_to_blocks(spark):
+    """With blocks of one vector and nothing separated, all blocks meet all vectors; a vector is still sent to each shelf once a round."""
+    from titlelake.operators import nearest as ns
+
+    rng = np.random.default_rng(11)
+    x, y = rng.normal(size=(40, 24)), rng.normal(size=(600, 24))
+    found = ns.cells(mt.distinct_units(frame(spark, y), "embedding")[1], 4, 1)
+    assert len(found.number) == 600 > 2 * ns.SHELVES
+    u = mt.distinct_units(frame(spark, x), "embedding")[1]
+    sent = ns.further_meetings(u.selectExpr("uk", "u", "-1.0D as s").coalesce(1), found).selectExpr("length(uks) / 8 as vectors", "n").toPandas()
+    assert sent["n"].sum() == 40 * 599
+    assert sent["vectors"].sum() <= 40 * ns.SHELVES
+    got = [r["max_sim"] for r in mt.max_cosine_by_cells(frame(spark, x), frame(spark, y), pivots=4, block_bytes=1).orderBy("vec_id").collect()]
+    assert np.allclose(got, (unit(x) @ unit(y).T).max(1))
+
+
+def test_batches_are_cut_by_what_they_become():
+    """A batch of many vectors is taken in parts whose products keep within the bound."""
+    import pyarrow as pa
+
+    from titlelake.operators import nearest as ns
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_000))], ["uk"])
+    cut = list(ns._filled(iter([batch, batch.slice(0, 0)]), 4000))
+    assert sum(b.num_rows for b in cut) == 10_000 and max(b.num_rows for b in cut) * 4000 <= ns.PRODUCT

@@ -10,9 +10,10 @@
    prediction first meets the block of the best bound, and then only
    the blocks whose bound exceeds the similarity found there.
 
-Vectors and blocks meet by equi-joins on the block's number, as matrices of bounded
-size on both sides; pairs never become rows and nothing depends on a table's size but
-the number of blocks.  What reaches the driver is the pivots (``pivots`` vectors) and four numbers
+Blocks stand on ``SHELVES`` shelves.  Vectors and blocks meet by equi-joins on the shelf, as matrices of bounded
+size on both sides: a vector is sent once to each shelf that has a block open for it, however many blocks
+the corpus has, so what is shuffled grows with the tables and not with their product.  Pairs of vectors never become
+rows, and products are taken for a bounded number of vectors at a time.  What reaches the driver is the pivots (``pivots`` vectors) and four numbers
 for each block.  Where bounds separate nothing, all blocks are opened and the answer is the same.
 """
 
@@ -30,15 +31,20 @@ from titlelake.session import cut_lineage
 
 #: Added to a bound, against rounding of angles and products.
 SLACK = 1e-9
+#: A vector is shuffled this often at most in each of the two rounds.
+SHELVES = 64
+#: Numbers of one product that a task holds.
+PRODUCT = 1 << 22
 
 
 @dataclass
 class Cells:
-    """``blocks``: ``block, matrix`` rows; the arrays describe block 0, 1, ...: number, pivot, least and largest angle."""
+    """``blocks``: ``shelf, block, matrix`` rows; the arrays describe block 0, 1, ...: number, shelf, pivot, least and largest angle."""
 
     blocks: DataFrame
     pivots: np.ndarray
     number: np.ndarray
+    shelf: np.ndarray
     pivot: np.ndarray
     lo: np.ndarray
     hi: np.ndarray
@@ -50,15 +56,18 @@ class Cells:
 
     def plain(self) -> Cells:
         """Without the table, for tasks."""
-        return Cells(None, self.pivots, self.number, self.pivot, self.lo, self.hi)
+        return Cells(None, self.pivots, self.number, self.shelf, self.pivot, self.lo, self.hi)
 
 
 def angles(u: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(u @ pivots.T, -1.0, 1.0))
 
 
-def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return (b for b in batches if b.num_rows)
+def _filled(batches: Iterator[pa.RecordBatch], width: int = 0) -> Iterator[pa.RecordBatch]:
+    """The batches with rows, cut so that rows of ``width`` numbers keep within ``PRODUCT``."""
+    for b in batches:
+        step = max(1, PRODUCT // width) if width else max(1, b.num_rows)
+        yield from (b.slice(i, step) for i in range(0, b.num_rows, step))
 
 
 def _matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
@@ -109,62 +118,75 @@ def cells(units: DataFrame, pivots: int, block_bytes: int) -> Cells | None:
     # every row has its own (cell, angle, key), so no cell is too large for a range
     rings = near.repartitionByRange("cell", "t", "uk").sortWithinPartitions("cell", "t", "uk")
     blocks = rings.mapInArrow(cut, "cell int, lo double, hi double, matrix binary")
-    blocks = cut_lineage(blocks.withColumn("block", F.monotonically_increasing_id()))
-    about = blocks.select("block", "cell", "lo", "hi").orderBy("block").toPandas()
-    return Cells(blocks.select("block", "matrix"), chosen, about["block"].to_numpy(), about["cell"].to_numpy(), about["lo"].to_numpy(), about["hi"].to_numpy())
+    blocks = cut_lineage(blocks.withColumn("block", F.monotonically_increasing_id())).withColumn("shelf", F.pmod(F.hash("block"), F.lit(SHELVES)))
+    about = blocks.select("block", "shelf", "cell", "lo", "hi").orderBy("block").toPandas()
+    return Cells(blocks.select("shelf", "block", "matrix"), chosen, about["block"].to_numpy(), about["shelf"].to_numpy(), about["cell"].to_numpy(), about["lo"].to_numpy(), about["hi"].to_numpy())
 
 
-def _rows(block: int, uk: np.ndarray, u: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([len(uk)], pa.int64()), pa.array([uk.tobytes()], pa.binary()), pa.array([u.tobytes()], pa.binary())],
-                                      ["block", "n", "uks", "us"])
+MEETINGS = "shelf int, n bigint, uks binary, us binary, open array<bigint>, mask binary"
 
 
-BATCHES = "block bigint, n bigint, uks binary, us binary"
+def _meetings(found: Cells, uk: np.ndarray, u: np.ndarray, meets: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row for each shelf: the vectors that meet a block of it, those blocks, and who meets which (``meets``: vectors x blocks)."""
+    for shelf in np.unique(found.shelf[meets.any(0)]):
+        at = np.flatnonzero((found.shelf == shelf) & meets.any(0))
+        own = meets[:, at].any(1)
+        mask = meets[np.ix_(own, at)]
+        yield pa.RecordBatch.from_arrays([
+            pa.array([shelf], pa.int32()), pa.array([int(mask.sum())], pa.int64()), pa.array([uk[own].tobytes()], pa.binary()), pa.array([u[own].tobytes()], pa.binary()),
+            pa.array([found.number[at].tolist()], pa.list_(pa.int64())), pa.array([np.packbits(mask).tobytes()], pa.binary())],
+            ["shelf", "n", "uks", "us", "open", "mask"])
 
 
 def first_meetings(units: DataFrame, found: Cells) -> DataFrame:
-    """``block, n, uks, us``: each vector with the block of its best bound."""
+    """``MEETINGS``: each vector with the block of its best bound."""
     plain = found.plain()
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _filled(batches):
+        for batch in _filled(batches, len(plain.number)):
             uk, u = _numbers(batch, "uk"), _matrix(batch, "u")
-            best = plain.bounds(u).argmax(1)
-            for b in np.unique(best):
-                own = best == b
-                yield _rows(plain.number[b], uk[own], u[own])
+            meets = np.zeros((len(u), len(plain.number)), dtype=bool)
+            meets[np.arange(len(u)), plain.bounds(u).argmax(1)] = True
+            yield from _meetings(plain, uk, u, meets)
 
-    return units.mapInArrow(choose, BATCHES)
+    return units.mapInArrow(choose, MEETINGS)
 
 
 def further_meetings(units: DataFrame, found: Cells) -> DataFrame:
-    """``block, n, uks, us``: the vectors (``uk, u, s``) with the blocks that may hold more than ``s``."""
+    """``MEETINGS``: the vectors (``uk, u, s``) with the blocks that may hold more than ``s``."""
     plain = found.plain()
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _filled(batches):
+        for batch in _filled(batches, len(plain.number)):
             uk, u, s = _numbers(batch, "uk"), _matrix(batch, "u"), _numbers(batch, "s")
             bounds = plain.bounds(u)
             first = bounds.argmax(1)
             open_ = bounds > s[:, None]
             open_[np.arange(len(u)), first] = False
-            for b in np.flatnonzero(open_.any(0)):
-                own = open_[:, b]
-                yield _rows(plain.number[b], uk[own], u[own])
+            yield from _meetings(plain, uk, u, open_)
 
-    return units.mapInArrow(choose, BATCHES)
+    return units.mapInArrow(choose, MEETINGS)
 
 
 def best_of(meetings: DataFrame, found: Cells) -> DataFrame:
     """``uk, s``: the largest cosine in each block that a vector meets."""
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _filled(batches):
-            for uks, us, matrix in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("uks", "us", "matrix"))):
-                uk = np.frombuffer(uks, dtype=np.int64)
-                u = np.frombuffer(us).reshape(len(uk), -1)
-                yield pa.RecordBatch.from_arrays([pa.array(uk), pa.array((u @ np.frombuffer(matrix).reshape(-1, u.shape[1]).T).max(1))], ["uk", "s"])
-
-    return meetings.join(found.blocks, "block").select("uks", "us", "matrix").mapInArrow(multiply, "uk bigint, s double")
+            get = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
+            for k in range(batch.num_rows):
+                uk = np.frombuffer(get["uks"][k].as_buffer(), dtype=np.int64)
+                u = np.frombuffer(get["us"][k].as_buffer()).reshape(len(uk), -1)
+                matrix = np.frombuffer(get["matrix"][k].as_buffer()).reshape(-1, u.shape[1])
+                width = get["open"][k].as_py()
+                mask = np.unpackbits(np.frombuffer(get["mask"][k].as_buffer(), dtype=np.uint8), count=len(uk) * len(width)).reshape(len(uk), -1)
+                own = np.flatnonzero(mask[:, width.index(get["block"][k].as_py())])
+                step = max(1, PRODUCT // len(matrix))
+                for i in range(0, len(own), step):
+                    part = own[i : i + step]
+                    yield pa.RecordBatch.from_arrays([pa.array(uk[part]), pa.array((u[part] @ matrix.T).max(1))], ["uk", "s"])
+
+    pairs = meetings.join(found.blocks, "shelf").where(F.array_contains("open", F.col("block")))
+    return pairs.select("uks", "us", "open", "mask", "block", "matrix").mapInArrow(multiply, "uk bigint, s double")
 
 
 @dataclass
