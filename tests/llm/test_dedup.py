@@ -241,3 +241,45 @@ def test_word_passages_against_brute_force(spark):
     for d, w in enumerate(own):
         gone = {j for i in range(len(w) - 50) if count[tuple(w[i : i + 51])] > 1 for j in range(i, i + 51)}
         assert (got[d] or "").split() == [x for j, x in enumerate(w) if j not in gone], d
+
+
+def test_query_tells_passages_of_over_50_words(spark, tmp_path):
+    """Passages under 400 bytes: the contract's columns keep them, ``n_passages`` and ``text`` tell them."""
+    from titlelake.llm.queries import op4_suffix_dedup
+
+    rng = random.Random(14)
+    some = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 7))) for _ in range(n))
+    passage, only50, long = some(52), some(50), some(150)
+    assert len(passage) < 400 and len(only50) < 400
+    inner = [passage, passage.replace(" ", "\n", 9), only50, only50, some(40), "", long, f"{passage} {some(60)} {long}"]
+    around = [(some(60), some(60)) for _ in inner]
+    texts = [f"{a} {x} {b}" for (a, b), x in zip(around, inner)] + [None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(op4_suffix_dedup(spark, str(tmp_path)).collect(), key=lambda r: r["doc_id"])
+    assert [r["n_passages"] for r in got] == [1, 1, 0, 0, 0, 0, 1, 2, 0, 0]
+    want = [(i, *x) for i, x in enumerate(brute_repeats(texts, 400))]
+    assert [tuple(r[c] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in got] == want
+    for i in (0, 1, 6):  # byte strings take the equal spaces around too
+        assert "".join(got[i]["text"].split()) == "".join(around[i]).replace(" ", "")
+    assert all(got[i]["text"] == texts[i] for i in (2, 3, 4, 5)) and got[7]["n_removed"] == got[6]["n_removed"] < got[7]["n_bytes"]
+
+
+def test_prefixes_over_blocks_and_repeats_only_in_a_shard():
+    """Long periodic texts in many blocks: shared bytes run past blocks; starts whose string stands once are left out."""
+    rng = random.Random(6)
+    unit = bytes(rng.randrange(97, 123) for _ in range(13))
+    own = [unit * 9, rng.randbytes(70), unit * 3 + rng.randbytes(20), b"z" * 90, unit[4:] * 5, b"z" * 31]
+    text, begin = np.frombuffer(b"".join(own), np.uint8), np.cumsum([0, *map(len, own[:-1])])
+    sa, rank = suffix_dedup.suffix_array(text)
+    raw = text.tobytes()
+    shared = lambda a, b, most: next((k for k in range(min(len(a), len(b), most)) if a[k] != b[k]), min(len(a), len(b), most))
+    for most in (7, 40, 400):
+        want = [0] + [shared(raw[i:], raw[j:], most) for i, j in zip(sa.tolist(), sa[1:].tolist())]
+        assert suffix_dedup.common_prefixes(text, sa, rank, begin, most).tolist() == want
+    shard = suffix_dedup.Shard(30)
+    for i, data in enumerate(own):
+        shard.add({"v": 1, "n": 1, "deal": 1, "salt": 0, "k1": i, "k2": i, "lo": 1000 * i, "data": data})
+    count = Counter(d[i : i + 30] for d in own for i in range(len(d) - 29))
+    want = {(k, 1000 * k + i) for k, d in enumerate(own) for i in range(len(d) - 29) if count[d[i : i + 30]] > 1}
+    got = {(r["k1"], at) for r in shard.repeats() for at in range(r["lo"], r["hi"] - 29)}
+    assert got == want and {r["k1"] for r in shard.rows} == {k for k, _ in want}

@@ -9,9 +9,9 @@ starts of one document that share an anchor form a *block*:
    anchors that occur again can hold a repeat; blocks whose bytes occur again are
    removed whole, by counts alone, however often a text is copied.
 2. What differs under one anchor meets in a shard: a suffix array by
-   Larsson-Sadakane refinement, common prefixes of neighbours by Kasai's
-   method (one lane for each block), and a start is a repeat where a
-   neighbour shares ``length`` bytes.
+   Larsson-Sadakane refinement over the blocks' strings whose hash occurs again
+   there, common prefixes of neighbours by Kasai's method, and a start is a
+   repeat where a neighbour shares ``length`` bytes.
 3. An anchor with more than ``SHARD_BLOCKS`` different blocks is dealt over
    several shards.  Each sends the sorted fingerprints of its different strings,
    cut into ranges, and ranges of the same anchor are merged by binary search:
@@ -24,7 +24,7 @@ that lies in a repeated string; long and periodic texts are cut
 into blocks of at most ``BLOCK_STARTS`` starts under the same anchor, so no step
 holds more than a shard; an empty table gives an empty result.
 
-``without_repeats`` can also remove passages by their number of words: the same
+Both forms can also look for passages by their number of words: the same
 search runs over texts written as one ``CODE``-byte hash a word, so a passage of so many
 words is a string of fixed length, however short the words are.
 """
@@ -143,39 +143,43 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def common_prefixes(text: np.ndarray, sa: np.ndarray, rank: np.ndarray, begin: np.ndarray, most: int) -> np.ndarray:
     """Bytes (at most ``most``) that each suffix shares with the one before it in order.
 
-    Kasai: from a place to the next the shared length falls by one at most.
-    Each block (they begin at ``begin``) is a lane of its own; all lanes step together."""
+    Kasai: from a place to the next the shared length falls by one at most, and by just one where the
+    bytes before both suffixes are equal.  So bytes are compared at the other places only, and at the
+    blocks' (they begin at ``begin``): within a block no place is further from a compared one than its size."""
     n = len(text)
-    padded = np.append(text, np.zeros(most + 8, np.uint8))
-    eight = np.zeros(n + most + 1, np.uint64)
+    if not n:
+        return np.zeros(0, np.int64)
+    longest = most + int(np.diff(np.append(begin, n)).max())
+    padded = np.append(text, np.zeros(8, np.uint8))
+    eight = np.zeros(n + 1, np.uint64)
     for i in range(8):
-        eight = eight << np.uint64(8) | padded[i : i + len(eight)]
+        eight = eight << np.uint64(8) | padded[i : i + n + 1]
     before = np.append(-1, sa[:-1])[rank]  # by place in the text
-    out = np.zeros(n, np.int64)
-    size = np.diff(np.append(begin, n))
-    order = np.argsort(-size, kind="stable")
-    lane, size = begin[order], size[order]
-    held = np.zeros(len(lane), np.int64)
-    for step in range(int(size[0]) if len(size) else 0):
-        live = int(np.searchsorted(-size, -step, side="left"))
-        at = lane[:live] + step
-        prev = before[at]
-        h = np.maximum(held[:live] - 1, 0)
-        go = np.flatnonzero(prev >= 0)
-        h[prev < 0] = 0
-        while len(go):
-            a, b = at[go] + h[go], prev[go] + h[go]
-            room = np.minimum(np.minimum(n - a, n - b), most - h[go])
-            differ = eight[a] ^ eight[b]
-            # equal leading bytes of the eight
-            same = np.full(len(go), 8)
-            for k in range(7, -1, -1):
-                same[(differ >> np.uint64(8 * (7 - k))) & np.uint64(255) != 0] = k
-            gain = np.minimum(same, room)
-            h[go] += gain
-            go = go[(gain == 8) & (room > 8)]
-        held[:live] = h
-        out[rank[at]] = h
+    compared = np.append(True, (before[1:] < 1) | (text[:-1] != text[before[1:] - 1]))
+    compared[begin] = True
+    at = np.flatnonzero(compared & (before >= 0))
+    pair, held, go = before[at], np.zeros(len(at), np.int64), np.arange(len(at))
+    while len(go):
+        a, b = at[go] + held[go], pair[go] + held[go]
+        room = np.minimum(np.minimum(n - a, n - b), longest - held[go])
+        differ = eight[a] ^ eight[b]
+        same = np.full(len(go), 8)
+        end = np.flatnonzero(differ)
+        # equal leading bytes of the eight
+        last = differ[end]
+        lead = np.zeros(len(end), np.int64)
+        for k in range(1, 8):
+            lead[last >> np.uint64(64 - 8 * k) == 0] = k
+        same[end] = lead
+        gain = np.minimum(same, room)
+        held[go] += gain
+        go = go[(gain == 8) & (room > 8)]
+    shared = np.zeros(n, np.int64)
+    shared[at] = held
+    place = np.arange(n)
+    near = np.maximum.accumulate(np.where(compared, place, 0))
+    out = np.empty(n, np.int64)
+    out[rank] = np.clip(shared[near] - (place - near), 0, most)
     return out
 
 
@@ -189,8 +193,34 @@ class Shard:
         self.rows.append(row)
         self.size += len(row["data"])
 
+    def thin(self) -> None:
+        """Leave out the starts whose string's hash stands once in the shard: equal strings have equal hashes, so no
+        repeat is lost, and the suffix array tells what is left.  Anchors over several shards stay whole."""
+        text = np.frombuffer(b"".join(r["data"] for r in self.rows), np.uint8)
+        size = np.array([len(r["data"]) for r in self.rows])
+        begin = np.cumsum(size) - size
+        edge = np.zeros(len(text) + 1, np.int8)
+        edge[begin] = 1
+        edge[begin + size - self.length + 1] -= 1
+        place = np.flatnonzero(np.cumsum(edge[:-1], dtype=np.int8))
+        prints = rolling(text, self.length, _BASE2)[place]
+        order = np.argsort(prints)
+        same = prints[order[1:]] == prints[order[:-1]]
+        again = place[np.sort(order[np.append(False, same) | np.append(same, False)])]
+        rows = []
+        for r, at, a, b in zip(self.rows, begin.tolist(), np.searchsorted(again, begin).tolist(), np.searchsorted(again, begin + size).tolist()):
+            if r["deal"] > 1:
+                rows.append(r)
+            elif a < b:  # starts further apart than a string's length become blocks of their own
+                for own in np.split(again[a:b] - at, np.flatnonzero(np.diff(again[a:b]) > self.length) + 1):
+                    lo, hi = int(own[0]), int(own[-1]) + self.length
+                    rows.append({**r, "lo": r["lo"] + lo, "data": r["data"][lo:hi]})
+        self.rows = rows
+
     def repeats(self) -> Iterator[dict]:
         """Runs of repeated starts, and for anchors over several shards the ranges of fingerprints."""
+        if self.rows:
+            self.thin()
         if not self.rows:
             return
         text = np.frombuffer(b"".join(r["data"] for r in self.rows), np.uint8)
@@ -408,13 +438,36 @@ def keyed_docs(docs: DataFrame) -> DataFrame:
     return doc_rows(docs).select("doc_id", "text", *_keys())
 
 
-def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, text`` of every document: the digest is of
-    the bytes kept, ``text`` is what they spell, where a character that a run covers in part stays."""
+def _found(keyed: DataFrame, length: int, words: int | None) -> DataFrame:
+    """``k1, k2, spans, word_spans``: byte ranges, and ranges in the texts' word codes where ``words`` is given."""
+    mark = stored_so_far()
+    spans = find_repeats(keyed, length).withColumn("word_spans", F.lit(None).cast("array<struct<lo:bigint,hi:bigint>>"))
+    if words is None:
+        return spans
+    # each search's tables go before the next one's are written
+    spans = settled(spans, "byte-spans", mark)
+    mark = stored_so_far()
+    found = settled(find_repeats(keyed, words * CODE, word_codes, CODE_GRAM), "word-spans", mark)
+    return spans.drop("word_spans").join(found.withColumnRenamed("spans", "word_spans"), ["k1", "k2"], "full")
+
+
+def _check(length: int, words: int | None) -> None:
     if length < GRAM:
         raise ValueError(f"length must be {GRAM} at least")
+    if words is not None and words * CODE < CODE_GRAM:
+        raise ValueError(f"words must be {CODE_GRAM // CODE} at least")
+
+
+def remove_repeats(docs: DataFrame, length: int = 400, words: int | None = None) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, text`` of every document: the digest is of
+    the bytes kept, ``text`` is what they spell, where a character that a run covers in part stays.
+
+    Where ``words`` is given, a last column ``n_passages`` counts the maximal runs of repeated passages of so many
+    words, in any white space and of any number of bytes, and ``text`` is without them too; the other columns stay as they are."""
+    _check(length, words)
     small_batches(docs.sparkSession)
     keyed = keyed_docs(docs)
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "text"] + ["n_passages"] * (words is not None)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -422,15 +475,23 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
                 texts = texts_of(part)
                 data = [t.encode("utf-8", "surrogatepass") for t in texts]
                 runs = [_spans_of(x) for x in column(part, "spans").to_pylist()]
-                yield pa.RecordBatch.from_arrays([
+                passages = [_passages(t, x, words) for t, x in zip(texts, column(part, "word_spans").to_pylist())]
+                gone = [union_of(r + p) for r, p in zip(runs, passages)]
+                cols = [
                     column(part, "doc_id"), pa.array([len(d) for d in data], pa.int64()), pa.array([sum(b - a for a, b in r) for r in runs], pa.int64()),
                     pa.array([len(r) for r in runs], pa.int64()), pa.array([hashlib.sha256(cut(d, r)).hexdigest() for d, r in zip(data, runs)]),
                     pa.array([[list(x) for x in r] for r in runs], pa.list_(pa.list_(pa.int64()))),
-                    pa.array([whole_characters(t, r) if r else t for t, r in zip(texts, runs)], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "text"])
+                    pa.array([whole_characters(t, g) if g else t for t, g in zip(texts, gone)], pa.string()), pa.array([len(p) for p in passages], pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols[: len(names)], names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return keyed.join(find_repeats(keyed, length), ["k1", "k2"], "left").select("doc_id", "text", "spans").mapInArrow(
-        digest, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<array<bigint>>, text string")
+    return keyed.join(_found(keyed, length, words), ["k1", "k2"], "left").select("doc_id", "text", "spans", "word_spans").mapInArrow(
+        digest, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<array<bigint>>, text string" + ", n_passages bigint" * (words is not None))
+
+
+def _passages(text: str, value, words: int | None) -> list[tuple[int, int]]:
+    """Maximal byte ranges in the text of its word spans."""
+    return [] if value is None else union_of(word_ranges(text, [(x["lo"], x["hi"]) for x in value], words))
 
 
 def without_repeats(docs: DataFrame, length: int = 400, words: int | None = None) -> DataFrame:
@@ -438,25 +499,13 @@ def without_repeats(docs: DataFrame, length: int = 400, words: int | None = None
     bytes, and where ``words`` is given passages of so many words too, in any white space.  A character
     that a run covers in part stays.  Other columns stay as they are, but for
     ``n_chars``, which follows the text where there is one."""
-    if words is not None and words * CODE < CODE_GRAM:
-        raise ValueError(f"words must be {CODE_GRAM // CODE} at least")
+    _check(length, words)
     small_batches(docs.sparkSession)
-    keyed, mark = keyed_docs(docs), stored_so_far()
-    spans = find_repeats(keyed, length).withColumn("word_spans", F.lit(None).cast("array<struct<lo:bigint,hi:bigint>>"))
-    if words is not None:
-        # each search's tables go before the next one's are written
-        spans = settled(spans, "byte-spans", mark)
-        mark = stored_so_far()
-        found = settled(find_repeats(keyed, words * CODE, word_codes, CODE_GRAM), "word-spans", mark)
-        spans = spans.drop("word_spans").join(found.withColumnRenamed("spans", "word_spans"), ["k1", "k2"], "full")
+    spans = _found(keyed_docs(docs), length, words)
 
     @F.pandas_udf("string")
     def trimmed(text: pd.Series, value: pd.Series, by_word: pd.Series) -> pd.Series:
-        def runs(t, own, ws):
-            more = [] if ws is None else word_ranges(t, [(x["lo"], x["hi"]) for x in ws], words)
-            return union_of(_spans_of(own) + more)
-
-        return pd.Series([whole_characters(t, runs(t, s, w)) for t, s, w in zip(text, value, by_word)])
+        return pd.Series([whole_characters(t, union_of(_spans_of(s) + _passages(t, w, words))) for t, s, w in zip(text, value, by_word)])
 
     names = docs.columns
     own = docs.withColumn("__text", F.coalesce("text", F.lit("")))
