@@ -231,3 +231,16 @@ def test_a_batch_that_was_written_and_not_committed(spark, scratch):
             os.remove(f"{scratch}/ck/commits/{name}")
     run_ingest(spark, f"{scratch}/in", f"{scratch}/sink", f"{scratch}/ck")
     assert _sink(spark, f"{scratch}/sink") == [("a", "a"), ("b", "b")]
+
+
+def test_state_stays_in_the_jvm_and_first_rows_win(spark, scratch):
+    """Ids in several rows of a micro-batch and in several micro-batches, rows without a position, folders with blanks in their names."""
+    rows = [[(5, "a", "five"), (3, " a ", "three"), (None, "a", "none"), (None, "n", "only")], [(1, "a", "late"), (7, "c", "seven"), (9, "c", "nine"), (2, "n", "late")], [(0, "c", "late"), (4, "d", "four")]]
+    for part in rows:
+        log = spark.createDataFrame([(p, v, "t", "d", None, None, x) for p, v, x in part], FETCH_LOG_SCHEMA)
+        log.coalesce(1).write.mode("append").parquet(f"{scratch}/in 1%20")
+    q = run_ingest(spark, f"{scratch}/in 1%20", f"{scratch}/sink", f"{scratch}/ck", max_files_per_trigger=1)
+    got = {r["video_id"]: r["full_transcript"] for r in spark.read.parquet(f"{scratch}/sink").collect()}
+    assert got == {"a": "three", "n": "only", "c": "seven", "d": "four"}
+    assert spark.read.parquet(f"{scratch}/sink").count() == 4
+    assert {s["operatorName"] for s in q.lastProgress["stateOperators"]} == {"stateStoreSave"}
