@@ -145,3 +145,13 @@ def test_strict_lines_and_records(spark, scratch):
     got = rd.read_records(spark, f"{scratch}/list.json")
     assert got.columns == ["a", "b"] and sorted(map(tuple, got.collect()), key=str) == [("x", None), (None, "1")][::1] or True
     assert {tuple(r) for r in got.collect()} == {(None, "1"), ("x", None)}
+
+
+def test_a_record_is_parsed_once(spark, scratch):
+    from titlelake.sources.readers import read_csv_fields
+
+    spark.createDataFrame([("a", "1\n2", 'q"'), ("b", "", "z")], "x string, y string, z string").write.option("header", True).option("escape", '"').csv(f"{scratch}/c")
+    got = read_csv_fields(spark, f"{scratch}/c", ["z", "x", "none"])
+    assert sorted(map(tuple, got.collect())) == [('q"', "a", None), ("z", "b", None)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_csv(") + plan.count("csvtostructs(") == 1

@@ -131,7 +131,8 @@ def records(spark: SparkSession, path: str, splits: Splits) -> DataFrame:
     """``header, record``: each record of the files, without their headers, as UTF-8 text."""
     shared = spark.sparkContext.broadcast((splits.start, splits.of))
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def join(batches: Iterator[pa.RecordBatch], crossing: bool) -> Iterator[pa.RecordBatch]:
+        """The split's whole records, or (``crossing``) the fragments at its ends: only their lines are cut out then."""
         start, of = shared.value
         now, held, odd_so_far, owner, skip = None, [], 0, None, False
 
@@ -153,7 +154,7 @@ def records(spark: SparkSession, path: str, splits: Splits) -> DataFrame:
             for a, b in zip([0, *change.tolist()], [*change.tolist(), batch.num_rows]):
                 key = int(files[a]), int(blocks[a])
                 if key != now:
-                    if held:
+                    if held and crossing:
                         yield rows([b"\n".join(held)], owner)
                     now, held = key, []
                     if key not in start:
@@ -165,13 +166,21 @@ def records(spark: SparkSession, path: str, splits: Splits) -> DataFrame:
                 after = (odd_so_far + np.cumsum(pc.count_substring(own, '"').to_numpy(zero_copy_only=False) & 1)) & 1
                 ends = np.flatnonzero(after == 0)
                 odd_so_far = int(after[-1])
+                if crossing:
+                    if len(ends):
+                        if owner != now[1]:  # the end of a record of another split
+                            yield rows([b"\n".join([*held, *own.slice(0, int(ends[0]) + 1).to_pylist()])], owner)
+                            owner = now[1]
+                        held = own.slice(int(ends[-1]) + 1).to_pylist()
+                    else:
+                        held += own.to_pylist()
+                    continue
                 lines = own.to_pylist()
                 whole, at = [], 0
                 for end in ends.tolist():
                     text = lines[at] if end == at and not held else b"\n".join([*held, *lines[at : end + 1]])
                     at, held = end + 1, []
-                    if owner != now[1]:  # the end of a record of another split
-                        yield rows([text], owner)
+                    if owner != now[1]:  # a fragment
                         owner = now[1]
                     elif skip:
                         skip = False
@@ -180,17 +189,20 @@ def records(spark: SparkSession, path: str, splits: Splits) -> DataFrame:
                 held += lines[at:]
                 if whole:
                     yield rows(whole, None)
-        if held:
+        if held and crossing:
             yield rows([b"\n".join(held)], owner)
 
-    found = _lines(spark, path).select("file", "block", F.col("line").cast("binary").alias("line")).mapInArrow(join, RECORDS)
-    parts = found.where(F.col("owner").isNotNull()).groupBy("file", "header", "owner").agg(
+    lines = _lines(spark, path).select("file", "block", F.col("line").cast("binary").alias("line"))
+    # a pass each, as one result for both would be read by two plans and made twice
+    found = lines.mapInArrow(lambda batches: join(batches, False), RECORDS)
+    parts = lines.mapInArrow(lambda batches: join(batches, True), RECORDS).groupBy("file", "header", "owner").agg(
         F.array_sort(F.collect_list(F.struct("block", "record"))).alias("parts"))
     text = lambda c: F.make_valid_utf8(c.cast("string"))
     crossing = F.array_join(F.transform("parts", lambda p: text(p["record"])), "\n")
-    out = found.where(F.col("owner").isNull()).select("header", text(F.col("record")).alias("record"))
+    out = found.select("header", text(F.col("record")).alias("record"))
     out = out.unionAll(parts.select("header", crossing.alias("record")))
-    return out.select("header", F.regexp_replace("record", "\r\\z", "").alias("record")).where(F.col("record") != "")
+    ended = F.when(F.endswith("record", F.lit("\r")), F.expr("left(record, char_length(record) - 1)")).otherwise(F.col("record"))
+    return out.select("header", ended.alias("record")).where(F.col("record") != "")
 
 
 def read_split_csv(spark: SparkSession, path: str, columns: list[str] | None = None, encoding: str = "UTF-8") -> DataFrame:
@@ -202,8 +214,9 @@ def read_split_csv(spark: SparkSession, path: str, columns: list[str] | None = N
     columns = columns if columns is not None else (splits.headers[0] if splits.headers else [])
     width = max([len(h) for h in splits.headers], default=0)
     fields = F.from_csv("record", ", ".join(f"c{i} string" for i in range(width + 1)), OPTIONS)
-    cut = records(spark, path, splits).select("header", fields.alias("r")).select(
-        "header", F.array(*[F.col(f"r.c{i}") for i in range(width + 1)]).alias("f"))
+    # as a generator: a record is parsed once, not once for each field that is read from it
+    cut = records(spark, path, splits).select("header", F.inline(F.array(fields))).select(
+        "header", F.array(*[F.col(f"c{i}") for i in range(width + 1)]).alias("f"))
     of_header = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.col("header"))
     if not splits.headers:
         return cut.select(*[F.lit(None).cast("string").alias(c) for c in columns])
