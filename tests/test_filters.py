@@ -44,3 +44,25 @@ def test_high_volume_is_strict(spark):
     df = spark.createDataFrame(rows, "channelTitle string, i int")
     got = {r[0]: r[1] for r in flt.tag_high_volume(df, max_videos=4).groupBy("channelTitle").agg(F.max("high_volume")).collect()}
     assert got == {"big": True, "edge": False, None: False}
+
+
+def test_a_whole_text_is_stripped_once_to_be_judged(spark):
+    import re
+
+    from titlelake.functions.records import select_source
+    from titlelake.functions.text import WHITESPACE, not_blank, safe_strip
+    from titlelake.operators.filters import sft_quality_keep
+    from titlelake.plans import sft
+
+    texts = [" " + "x" * 200 + "　", "x" * 199 + "  ", "y" * 50_001, "\n" + "y" * 50_000 + "\x85", WHITESPACE, "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    keep = sft_quality_keep(F.lit("transcript"), safe_strip("t"), F.lit("a title of ten"))
+    assert [r[0] for r in rows.select(keep).collect()] == [True, False, False, True, False, False, False]
+    assert [r[0] for r in rows.select(not_blank("t")).collect()] == [True] * 4 + [False] * 3
+    src = select_source(F.col("t"), F.lit(None), F.lit(" d "))
+    assert [tuple(r[0]) for r in rows.select(src).collect()][3:] == [("transcript", "y" * 50_000)] + [("description", "d")] * 3
+
+    v = spark.createDataFrame([("v", "title", "text", "more", 0)], "video_id string, title string, full_transcript string, description string, row_index long")
+    plan = sft._usable(v, "row_index").select("id")._jdf.queryExecution().optimizedPlan().toString()
+    # once where a row is a transcript, and once where it is a description
+    assert len(re.findall(r"(?<!l)trim\(CASE WHEN", plan)) <= 2, plan

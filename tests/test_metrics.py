@@ -198,3 +198,22 @@ def test_self_bleu_shuffles_no_grams_as_text(spark):
     few = [" ".join(r.prediction.split()[:12]) for r in texts.limit(30).collect()] + ["a b a b a", "a b a b a", "a a a a b", "z"]
     got = mt.self_bleu(pairs_df(spark, few)).collect()[0]["diversity_self_bleu"]
     assert math.isclose(got, brute_self_bleu(few), rel_tol=1e-9)
+
+
+def _optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sentiment_scores_are_computed_once_and_joined_with_the_lexicon_only(spark):
+    lexicon = spark.createDataFrame([("great", 3.0)], "token string, valence double")
+    rows = spark.createDataFrame([(None, "r", "great"), (None, "r", "great"), ("a", "r", "great"), ("b", "r", "dull")], "id string, reference string, prediction string")
+    assert _optimized(mt.sentiment_summary(rows, lexicon)).count("Join") == 1
+    got = mt.compound_scores(rows, lexicon).collect()
+    assert sorted(str(r["id"]) for r in got) == ["None", "None", "a", "b"]  # rows alike stay rows
+    assert all(math.isclose(r["compound"], 0.0 if r["id"] == "b" else 3 / math.sqrt(24)) for r in got)
+
+
+def test_self_bleu_cuts_the_texts_once(spark):
+    plan = _optimized(mt.self_bleu(pairs_df(spark, ["a b", "a b", "c d"])))
+    distinct = [line for line in plan.splitlines() if "Aggregate [_groupingexpression" in line]
+    assert distinct and all("first(t" in line for line in distinct)  # the number of texts is read from the same aggregate
